@@ -61,14 +61,16 @@ def row_number_by_time(
 
 
 def _with_piece(df: DataFrame, order: str, keys: Sequence[str], pieces: int) -> DataFrame:
-    cuts = F.percentile_approx(order, [i / pieces for i in range(1, pieces)], F.lit(20 * pieces))
+    cuts = F.array_distinct(
+        F.percentile_approx(order, [i / pieces for i in range(1, pieces)], F.lit(20 * pieces))
+    )
     if keys:
         bounds = df.groupBy(*keys).agg(cuts.alias("__cuts"))
         df = df.join(bounds, list(keys))
         cut_col: Column = F.col("__cuts")
     else:
         cut_col = df.agg(cuts.alias("__cuts")).scalar()
-    piece = F.size(F.filter(F.array_distinct(cut_col), lambda c: c < F.col(order)))
+    piece = F.size(F.filter(cut_col, lambda c: c < F.col(order)))
     return df.withColumn("__piece", piece).drop("__cuts")
 
 
