@@ -67,10 +67,9 @@ def _with_piece(df: DataFrame, order: str, keys: Sequence[str], pieces: int) ->
     if keys:
         bounds = df.groupBy(*keys).agg(cuts.alias("__cuts"))
         df = df.join(bounds, list(keys))
-        cut_col: Column = F.col("__cuts")
     else:
-        cut_col = df.agg(cuts.alias("__cuts")).scalar()
-    piece = F.size(F.filter(cut_col, lambda c: c < F.col(order)))
+        df = df.withColumn("__cuts", df.agg(cuts.alias("__cuts")).scalar())
+    piece = F.size(F.filter("__cuts", lambda c: c < F.col(order)))
     return df.withColumn("__piece", piece).drop("__cuts")
 
 
