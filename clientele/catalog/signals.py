@@ -89,3 +89,202 @@ def cohort_micro_signals(spark: SparkSession, root: str) -> DataFrame:
 )
 def event_sessions(spark: SparkSession, root: str) -> DataFrame:
     return log_with_sessions(spark, root).select("event_id", "user_id", "session_id")
+
+
+# ---------------------------------------------------------------- gates and selections
+
+SPEC = S.SignalSpec(
+    name="micro_signal", dimensions=S.COHORT, trend="wow_purchase_velocity_pct", min_cohort=2,
+    primary=("age_group", "product_category"), valid_values={"gender": ("Female", "Male")},
+    metrics=("purchase_rate", "total_revenue", "page_views"),
+)
+MIN_USERS = 2
+
+
+def dirty_frame(spark: SparkSession, root: str) -> DataFrame:
+    """Signals with what the gate removes: repeated rows, a negative count, a wild trend, an odd group."""
+    df = signal_frame(spark, root)
+    v = F.col("wow_purchase_velocity_pct")
+    odd = F.col("purchase_count") % 5
+    shifted = df.withColumns({
+        "active_users": F.when(odd == 4, -F.col("active_users")).otherwise(F.col("active_users")),
+        "wow_purchase_velocity_pct": F.when(odd == 2, v + 7).otherwise(v),
+        "age_group": F.when((odd == 1) & (F.col("page_views") > 2), "Alpha").otherwise(F.col("age_group")),
+    })
+    return shifted.unionByName(shifted.where(odd == 2))
+
+
+DIRTY_SQL = f"""{WEEKLY_SQL}, shifted AS (
+  SELECT * REPLACE (CASE WHEN purchase_count % 5 = 4 THEN -active_users ELSE active_users END AS active_users,
+                    CASE WHEN purchase_count % 5 = 2 THEN wow_purchase_velocity_pct + 7 ELSE wow_purchase_velocity_pct END AS wow_purchase_velocity_pct,
+                    CASE WHEN purchase_count % 5 = 1 AND page_views > 2 THEN 'Alpha' ELSE age_group END AS age_group) FROM signal),
+dirty AS (SELECT * FROM shifted UNION ALL SELECT * FROM shifted WHERE purchase_count % 5 = 2),
+s1 AS (SELECT * FROM dirty WHERE wow_purchase_velocity_pct IS NOT NULL AND purchase_rate IS NOT NULL AND active_users IS NOT NULL AND trend_flag IS NOT NULL),
+s2 AS (SELECT * FROM s1 WHERE active_users >= 0),
+s3 AS (SELECT * REPLACE (least(greatest(wow_purchase_velocity_pct, -5), 5) AS wow_purchase_velocity_pct) FROM s2),
+s4 AS (SELECT DISTINCT * FROM s3),
+s5 AS (SELECT * FROM s4 WHERE age_group IN ('Gen-Z', 'Millennial', 'Gen-X', 'Boomer', 'Unknown'))"""
+
+
+@query("clean_signals", f"WITH {DIRTY_SQL} SELECT {SIGNAL_OUT} FROM s5")
+def clean_signals(spark: SparkSession, root: str) -> DataFrame:
+    return comparable(S.clean_signals(dirty_frame(spark, root)))
+
+
+@query(
+    "clean_signals_report",
+    f"""WITH {DIRTY_SQL}
+    SELECT 'rows_before' AS issue, count(*) AS rows FROM dirty UNION ALL SELECT 'rows_after', count(*) FROM s5
+    UNION ALL SELECT 'null:wow_purchase_velocity_pct', count(*) FROM dirty WHERE wow_purchase_velocity_pct IS NULL
+    UNION ALL SELECT 'null:purchase_rate', count(*) FROM dirty WHERE wow_purchase_velocity_pct IS NOT NULL AND purchase_rate IS NULL
+    UNION ALL SELECT 'null:active_users', 0 UNION ALL SELECT 'null:trend_flag', 0
+    UNION ALL SELECT 'negative:active_users', count(*) FROM s1 WHERE active_users < 0
+    UNION ALL SELECT 'capped:wow_purchase_velocity_pct', count(*) FROM s2 WHERE abs(wow_purchase_velocity_pct) > 5
+    UNION ALL SELECT 'duplicate', (SELECT count(*) FROM s3) - (SELECT count(*) FROM s4)
+    UNION ALL SELECT 'invalid:age_group', (SELECT count(*) FROM s4) - (SELECT count(*) FROM s5)""",
+)
+def clean_signals_report(spark: SparkSession, root: str) -> DataFrame:
+    return S.clean_report(dirty_frame(spark, root))
+
+
+@query(
+    "declared_signal_gate",
+    f"""WITH {DIRTY_SQL}, g AS (SELECT DISTINCT * FROM (SELECT * REPLACE (least(greatest(wow_purchase_velocity_pct, -5), 5) AS wow_purchase_velocity_pct)
+          FROM dirty WHERE wow_purchase_velocity_pct IS NOT NULL AND active_users >= 0 AND gender IN ('Female', 'Male')))
+    SELECT {SIGNAL_OUT} FROM g""",
+)
+def declared_signal_gate(spark: SparkSession, root: str) -> DataFrame:
+    return comparable(S.clean_by_spec(dirty_frame(spark, root), SPEC))
+
+
+@query(
+    "declared_signal_report",
+    f"""WITH {DIRTY_SQL}
+    SELECT 'rows_before' AS issue, count(*) AS rows FROM dirty
+    UNION ALL SELECT 'null:wow_purchase_velocity_pct', count(*) FROM dirty WHERE wow_purchase_velocity_pct IS NULL
+    UNION ALL SELECT 'null:active_users', 0
+    UNION ALL SELECT 'negative:active_users', count(*) FROM dirty WHERE wow_purchase_velocity_pct IS NOT NULL AND active_users < 0
+    UNION ALL SELECT 'capped:wow_purchase_velocity_pct', count(*) FROM dirty WHERE active_users >= 0 AND abs(wow_purchase_velocity_pct) > 5
+    UNION ALL SELECT 'invalid:gender', 0""",
+)
+def declared_signal_report(spark: SparkSession, root: str) -> DataFrame:
+    return S.spec_report(dirty_frame(spark, root), SPEC)
+
+
+SCORE = "abs(wow_purchase_velocity_pct) * ln(1 + active_users)"
+KEYS = "age_group, gender, city, product_category"
+LATEST_SQL = f"""{WEEKLY_SQL}, big AS (SELECT * FROM signal WHERE active_users >= {MIN_USERS}),
+latest AS (SELECT * FROM big WHERE week_start = (SELECT max(week_start) FROM big))"""
+TRIM_SQL = f"""{LATEST_SQL}, best AS (SELECT * FROM latest QUALIFY row_number() OVER (PARTITION BY age_group, product_category
+   ORDER BY {SCORE} DESC NULLS LAST, {KEYS}) <= 5),
+trimmed AS (SELECT * FROM best ORDER BY {SCORE} DESC NULLS LAST, {KEYS} LIMIT 100)"""
+
+
+@query("weighted_trim", f"WITH {TRIM_SQL} SELECT {SIGNAL_OUT} FROM trimmed")
+def weighted_trim(spark: SparkSession, root: str) -> DataFrame:
+    return comparable(S.weighted_trim(signal_frame(spark, root), MIN_USERS))
+
+
+@query(
+    "category_benchmark",
+    f"""WITH {LATEST_SQL} SELECT product_category, {sql_round('avg(purchase_rate)')} AS avg_purchase_rate,
+    {sql_round('avg(wow_purchase_velocity_pct)')} AS avg_velocity, {sql_round('avg(web_footprint_vs_national)')} AS avg_web_footprint,
+    CAST(sum(active_users) AS BIGINT) AS total_users FROM latest GROUP BY 1""",
+)
+def category_benchmark(spark: SparkSession, root: str) -> DataFrame:
+    return comparable(S.category_benchmark(signal_frame(spark, root), MIN_USERS))
+
+
+@query(
+    "top_movers",
+    f"""WITH {LATEST_SQL}, m AS (SELECT * FROM latest QUALIFY row_number() OVER (PARTITION BY age_group, product_category
+       ORDER BY abs(wow_purchase_velocity_pct) DESC NULLS LAST, {KEYS}) <= 5) SELECT {SIGNAL_OUT} FROM m""",
+)
+def top_movers(spark: SparkSession, root: str) -> DataFrame:
+    return comparable(S.top_movers(signal_frame(spark, root), 5, MIN_USERS))
+
+
+PREP_SQL = f"""{WEEKLY_SQL}, prep AS (
+  SELECT * REPLACE (least(greatest(wow_purchase_velocity_pct, -5), 5) AS wow_purchase_velocity_pct,
+      CASE WHEN wow_purchase_velocity_pct > 0.1::DOUBLE THEN 'RISING' WHEN wow_purchase_velocity_pct < -0.1::DOUBLE THEN 'FALLING' ELSE 'STABLE' END AS trend_flag),
+      {SCORE} AS _score
+  FROM signal WHERE week_start = (SELECT max(week_start) FROM signal) AND active_users >= {MIN_USERS}
+    AND wow_purchase_velocity_pct IS NOT NULL)"""
+
+
+@query("prepared_signal", f"WITH {PREP_SQL} SELECT {SIGNAL_OUT}, {sql_round('_score')} AS score FROM prep")
+def prepared_signal(spark: SparkSession, root: str) -> DataFrame:
+    return comparable(S.prepare(signal_frame(spark, root), SPEC).withColumnRenamed("_score", "score"))
+
+
+@query(
+    "selected_signal_rows",
+    f"""WITH {TRIM_SQL} SELECT row_number() OVER (ORDER BY {SCORE} DESC NULLS LAST, {KEYS}) AS rank, {SIGNAL_OUT} FROM trimmed""",
+)
+def selected_signal_rows(spark: SparkSession, root: str) -> DataFrame:
+    return comparable(S.selected_rows(signal_frame(spark, root), SPEC))
+
+
+@query(
+    "dimension_benchmark",
+    f"""WITH {TRIM_SQL} SELECT age_group, {sql_round('avg(wow_purchase_velocity_pct)')} AS wow_purchase_velocity_pct,
+    {sql_round('avg(active_users)')} AS active_users FROM trimmed GROUP BY 1""",
+)
+def dimension_benchmark(spark: SparkSession, root: str) -> DataFrame:
+    return comparable(S.benchmark(S.selected_rows(signal_frame(spark, root), SPEC), SPEC))
+
+
+@query(
+    "detected_roles",
+    """WITH cells AS (
+      SELECT 'event_type' AS "column", event_type AS v FROM events UNION ALL SELECT 'props', props FROM events),
+    d AS (SELECT "column", count(DISTINCT v) AS n_values, string_agg(DISTINCT v, ', ' ORDER BY v) AS vals FROM cells GROUP BY 1)
+    SELECT r.*, d.n_values, CASE WHEN d.n_values <= 30 THEN d.vals END AS "values" FROM
+    (VALUES ('event_id', 'metric', 'numeric'), ('ts', 'timestamp', 'datetime'), ('user_id', 'metric', 'numeric'),
+            ('event_type', 'dimension', 'categorical'), ('value', 'trend', 'numeric'), ('props', 'dimension', 'categorical'))
+        AS r("column", role, kind) LEFT JOIN d USING ("column")""",
+)
+def detected_roles(spark: SparkSession, root: str) -> DataFrame:
+    return S.detect_roles(star.table(spark, root, "events"), trend="value", period="ts")
+
+
+TREND_SQL = f"""SELECT r AS rank, flag || ' wow_purchase_velocity_pct for ' || seg AS trend_title, flag AS direction,
+  {sql_round('t')} AS metric_value, printf('%.0f%% %s baseline', abs(t) * 100, CASE WHEN t > 0 THEN 'above' ELSE 'below' END) AS benchmark_comparison,
+  {{conf}} AS confidence FROM (
+    SELECT *, wow_purchase_velocity_pct AS t, trend_flag AS flag,
+      'age_group=' || age_group || ', gender=' || gender || ', city=' || city || ', product_category=' || product_category AS seg,
+      row_number() OVER (ORDER BY {{order}} DESC NULLS LAST, {KEYS}) AS r FROM {{src}}) WHERE r <= 5"""
+
+
+@query(
+    "extracted_trends",
+    f"WITH {WEEKLY_SQL}, latest AS (SELECT * FROM signal WHERE week_start = (SELECT max(week_start) FROM signal)) "
+    + TREND_SQL.format(src="latest", order="abs(wow_purchase_velocity_pct)",
+        conf="CASE WHEN abs(t) > 0.3::DOUBLE AND active_users > 500 THEN 'HIGH' WHEN abs(t) > 0.15::DOUBLE THEN 'MEDIUM' ELSE 'LOW' END"),
+)
+def extracted_trends(spark: SparkSession, root: str) -> DataFrame:
+    cols = ["rank", "trend_title", "direction", "metric_value", "benchmark_comparison", "confidence"]
+    return comparable(S.extract_trends(signal_frame(spark, root), SPEC).select(*cols))
+
+
+@query(
+    "lean_trends",
+    f"WITH {PREP_SQL} "
+    + TREND_SQL.format(src="prep", order="_score",
+        conf="CASE WHEN abs(t) > 0.3::DOUBLE AND active_users > 500 THEN 'HIGH' ELSE 'MEDIUM' END"),
+)
+def lean_trends(spark: SparkSession, root: str) -> DataFrame:
+    cols = ["rank", "trend_title", "direction", "metric_value", "benchmark_comparison", "confidence"]
+    return comparable(S.extract_trends(signal_frame(spark, root), SPEC, variant="lean").select(*cols))
+
+
+@query(
+    "rounded_signal_block",
+    f"""WITH {WEEKLY_SQL} SELECT {KEYS}, strftime(week_start, '%Y-%m-%d') AS week_start,
+      {sql_round('purchasers / nullif(active_users, 0)::DOUBLE', 3)} AS purchase_rate,
+      {sql_round('(purchase_count - prev) / nullif(prev, 0)::DOUBLE', 3)} AS wow_purchase_velocity_pct FROM trended""",
+)
+def rounded_signal_block(spark: SparkSession, root: str) -> DataFrame:
+    weekly = S.weekly_cohorts(log_with_sessions(spark, root), star.user_profiles(spark, root), since="2023-12-05")
+    df = S.rounded_signals(weekly).select(*S.COHORT, "week_start", "purchase_rate", "wow_purchase_velocity_pct")
+    return comparable(df, 3)

@@ -29,20 +29,19 @@ def ensure_checkpoint_dir(spark: SparkSession) -> None:
         raise RuntimeError("set spark.checkpoint.dir to a folder all executors can reach")
 
 
-def row_number_by_time(
+def row_number_in_pieces(
     df: DataFrame,
     keys: Sequence[str],
-    time: str,
-    ties: Sequence[str] = (),
+    order: Sequence[Column | str],
+    piece: Column,
     out: str = "rn",
     total: str | None = None,
-    grain: str = "day",
 ) -> DataFrame:
-    """1-based position of each row within its key by time; optionally the key's row count.
+    """1-based position of each row within its key; optionally the key's row count.
 
-    Each (key, day) is numbered on its own and shifted by the counts of the key's earlier days.
+    ``piece`` must not decrease along the order. Each (key, piece) is numbered on its own and
+    shifted by the counts of the key's earlier pieces.
     """
-    piece = F.to_date(time) if grain == "day" else F.date_trunc(grain, time)
     pieced = df.withColumn("__piece", piece)
     counts = pieced.groupBy(*keys, "__piece").agg(F.count(F.lit(1)).alias("__n"))
     earlier = W.partitionBy(*keys).orderBy("__piece").rowsBetween(W.unboundedPreceding, -1)
@@ -52,7 +51,7 @@ def row_number_by_time(
         F.coalesce(F.sum("__n").over(earlier), F.lit(0)).alias("__shift"),
         F.sum("__n").over(W.partitionBy(*keys)).alias("__total"),
     )
-    within = W.partitionBy(*keys, "__piece").orderBy(time, *ties)
+    within = W.partitionBy(*keys, "__piece").orderBy(*order)
     numbered = pieced.withColumn("__rn", F.row_number().over(within)).join(shifts, [*keys, "__piece"])
     result = numbered.withColumn(out, F.col("__rn") + F.col("__shift"))
     if total:
@@ -60,6 +59,18 @@ def row_number_by_time(
     return result.drop("__piece", "__rn", "__shift", "__total")
 
 
+def row_number_by_time(
+    df: DataFrame,
+    keys: Sequence[str],
+    time: str,
+    ties: Sequence[str] = (),
+    out: str = "rn",
+    total: str | None = None,
+) -> DataFrame:
+    """Position of each row within its key by time, one calendar day per piece."""
+    return row_number_in_pieces(df, keys, [time, *ties], F.to_date(time), out, total)
+
+
 def _with_piece(df: DataFrame, order: str, keys: Sequence[str], pieces: int) -> DataFrame:
     cuts = F.array_distinct(
         F.percentile_approx(order, [i / pieces for i in range(1, pieces)], F.lit(20 * pieces))
