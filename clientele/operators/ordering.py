@@ -29,6 +29,12 @@ def ensure_checkpoint_dir(spark: SparkSession) -> None:
         raise RuntimeError("set spark.checkpoint.dir to a folder all executors can reach")
 
 
+def settled(df: DataFrame) -> DataFrame:
+    """Compute once and keep in the shared checkpoint folder what several branches of a plan read."""
+    ensure_checkpoint_dir(df.sparkSession)
+    return df.checkpoint()
+
+
 def row_number_in_pieces(
     df: DataFrame,
     keys: Sequence[str],
@@ -80,7 +86,9 @@ def _with_piece(df: DataFrame, order: str, keys: Sequence[str], pieces: int) ->
         df = df.join(bounds, list(keys))
     else:
         df = df.withColumn("__cuts", df.agg(cuts.alias("__cuts")).scalar())
-    piece = F.size(F.filter("__cuts", lambda c: c < F.col(order)))
+    # a value that is itself a cut gets a piece of its own, so a very frequent value stays alone
+    below = F.size(F.filter("__cuts", lambda c: c < F.col(order)))
+    piece = 2 * below + F.array_contains("__cuts", F.col(order)).cast("int")
     return df.withColumn("__piece", piece).drop("__cuts")
 
 
@@ -94,9 +102,10 @@ def running_totals(
     """Totals of the rows with a smaller ``order`` value, exclusive of the row itself.
 
     ``df`` has one row per (keys, order). ``sums`` maps an input column to the output prefix:
-    ``{"n": "cum"}`` adds ``cum_before`` and ``cum_total``.
+    ``{"n": "cum"}`` adds ``cum_before`` and ``cum_total``. The input is read three times (cuts,
+    piece totals, rows), so it is settled first.
     """
-    pieced = _with_piece(df, order, keys, pieces)
+    pieced = _with_piece(settled(df), order, keys, pieces)
     parts = pieced.groupBy(*keys, "__piece").agg(*[F.sum(c).alias(f"__part_{c}") for c in sums])
     scope = W.partitionBy(*keys) if keys else W.partitionBy(F.lit(0))
     earlier = scope.orderBy("__piece").rowsBetween(W.unboundedPreceding, -1)
@@ -151,8 +160,7 @@ def global_row_number(df: DataFrame, order: Sequence[Column | str], out: str = "
     The sorted rows are checkpointed once, so the per-partition counts and the rows agree even
     if an executor is lost in between; only one count per partition is combined.
     """
-    ensure_checkpoint_dir(df.sparkSession)
-    placed = df.orderBy(*order).withColumn("__at", F.monotonically_increasing_id()).checkpoint()
+    placed = settled(df.orderBy(*order).withColumn("__at", F.monotonically_increasing_id()))
     part = F.shiftright(F.col("__at"), 33)
     sizes = placed.groupBy(part.alias("__part")).agg(F.count(F.lit(1)).alias("__n"))
     earlier = W.partitionBy(F.lit(0)).orderBy("__part").rowsBetween(W.unboundedPreceding, -1)

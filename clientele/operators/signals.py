@@ -344,7 +344,7 @@ def _trend_rows(top: DataFrame, spec: SignalSpec, variant: str) -> DataFrame:
         direction.alias("direction"),
         F.round(t, 4).alias("metric_value"),
         F.lit(spec.trend).alias("metric_name"),
-        F.format_string("%.0f%% %s baseline", F.abs(t) * 100, F.when(t > 0, "above").otherwise("below")).alias(
+        F.format_string("%.0f%% %s baseline", F.rint(F.abs(t) * 100), F.when(t > 0, "above").otherwise("below")).alias(
             "benchmark_comparison"
         ),
         R.confidence_grade(t, spec.cohort, variant).alias("confidence"),
