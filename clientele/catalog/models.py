@@ -1 +1,157 @@
-"""Queries to come."""
+"""Queries of embedding quality, of model baselines and of the streaming forms run on closed input."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from clientele.catalog import query
+from clientele.catalog.commerce import features_of, targets_of
+from clientele.catalog.common import comparable, sql_round
+from clientele.operators import embeddings as E
+from clientele.operators import models as B
+from clientele.operators import splits as P
+from clientele.sources import star
+
+# small enough for every benchmark run; the library defaults are the full sizes
+SIZES = B.ModelSizes(trees=20, depth=5, rounds=5, boost_depth=4, step=0.1, max_iter=50)
+
+
+def vectors(spark: SparkSession, root: str) -> DataFrame:
+    return star.table(spark, root, "embeddings").withColumns(
+        {"binary": (F.col("label") < 2).cast("int"), "target": (1 + F.col("vec_id") % 100).cast("double")}
+    )
+
+
+UNIT = """emb AS (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS v FROM embeddings),
+nrm AS (SELECT vec_id, label, v, sqrt(list_sum(list_transform(v, lambda x: x * x))) AS n FROM emb),
+unit AS (SELECT vec_id, label, list_transform(v, lambda x: x / (n + 1e-10::DOUBLE)) AS u FROM nrm)"""
+
+
+@query(
+    "embedding_stats",
+    f"""WITH {UNIT}, e AS (SELECT unnest(v) AS x FROM emb)
+    SELECT {sql_round('avg(x)')} AS mean, {sql_round('stddev_pop(x)')} AS std, {sql_round('min(x)')} AS min, {sql_round('max(x)')} AS max,
+      (SELECT {sql_round('avg(n)')} FROM nrm) AS norm_mean, (SELECT {sql_round('stddev_pop(n)')} FROM nrm) AS norm_std,
+      CAST((SELECT max(len(v)) FROM emb) AS BIGINT) AS dimension, (SELECT count(*) FROM emb) AS num_samples FROM e""",
+)
+def embedding_stats(spark: SparkSession, root: str) -> DataFrame:
+    return comparable(E.basic_stats(vectors(spark, root)))
+
+
+@query("embedding_isotropy")
+def embedding_isotropy(spark: SparkSession, root: str) -> DataFrame:
+    return E.isotropy(vectors(spark, root))
+
+
+@query("embedding_rank")
+def embedding_rank(spark: SparkSession, root: str) -> DataFrame:
+    return E.effective_rank(vectors(spark, root))
+
+
+HASH = "CAST(('0x' || substr(md5('42|' || vec_id), 1, 8)) AS BIGINT)"
+
+
+@query(
+    "embedding_uniformity",
+    f"""WITH {UNIT}, s AS (SELECT vec_id, u FROM unit ORDER BY {HASH}, vec_id LIMIT 5000),
+    p AS (SELECT CASE WHEN a.vec_id = b.vec_id THEN 0 ELSE greatest(list_sum(list_transform(list_zip(a.u, b.u), lambda z: (z[1] - z[2]) * (z[1] - z[2]))), 0) END AS d FROM s a, s b)
+    SELECT {sql_round('ln(avg(exp(-2 * d)))')} AS uniformity_loss, {sql_round('avg(sqrt(d))')} AS avg_pairwise_distance FROM p""",
+)
+def embedding_uniformity(spark: SparkSession, root: str) -> DataFrame:
+    return comparable(E.uniformity(vectors(spark, root), "vec_id"))
+
+
+@query(
+    "embedding_alignment",
+    f"""WITH {UNIT}, p AS (SELECT a.label AS la, b.label AS lb, sqrt(list_sum(list_transform(list_zip(a.u, b.u), lambda z: (z[1] - z[2]) * (z[1] - z[2])))) AS d
+        FROM unit a JOIN unit b ON a.vec_id <> b.vec_id),
+    c AS (SELECT la, avg(d) FILTER (WHERE la = lb) AS intra, avg(d) FILTER (WHERE la <> lb) AS inter FROM p GROUP BY 1)
+    SELECT {sql_round('avg(intra)')} AS avg_intra_class_distance, {sql_round('avg(inter) FILTER (WHERE intra IS NOT NULL)')} AS avg_inter_class_distance,
+      {sql_round('avg(inter) FILTER (WHERE intra IS NOT NULL) / (avg(intra) + 1e-10)')} AS separation_ratio FROM c""",
+)
+def embedding_alignment(spark: SparkSession, root: str) -> DataFrame:
+    return comparable(E.alignment(vectors(spark, root), "vec_id", "label"))
+
+
+@query(
+    "cluster_scores",
+    f"""WITH {UNIT}, x AS (SELECT vec_id, label, unnest(v) AS x, unnest(range(1, len(v) + 1)) AS j FROM emb),
+    m AS (SELECT label, j, avg(x) AS m FROM x GROUP BY 1, 2), g AS (SELECT j, avg(x) AS g FROM x GROUP BY 1),
+    d AS (SELECT vec_id, x.label, sum((x - m) * (x - m)) AS d2 FROM x JOIN m ON m.label = x.label AND m.j = x.j GROUP BY 1, 2),
+    s AS (SELECT label, count(*) AS n, sum(d2) AS w, avg(sqrt(d2)) AS sc FROM d GROUP BY 1),
+    b AS (SELECT label, sum((m - g) * (m - g)) AS b FROM m JOIN g USING (j) GROUP BY 1),
+    dist AS (SELECT p.label AS a, q.label AS b, sqrt(sum((p.m - q.m) * (p.m - q.m))) AS d FROM m p JOIN m q ON p.j = q.j AND p.label <> q.label GROUP BY 1, 2),
+    r AS (SELECT a, max((sa.sc + sb.sc) / d) AS r FROM dist JOIN s sa ON sa.label = a JOIN s sb ON sb.label = dist.b GROUP BY 1)
+    SELECT count(*) AS k, {sql_round('sum(w)', 3)} AS inertia, {sql_round('sum(n * b) / (count(*) - 1) / (sum(w) / (sum(n) - count(*)))', 3)} AS calinski_harabasz,
+      (SELECT {sql_round('avg(r)', 3)} FROM r) AS davies_bouldin FROM s JOIN b USING (label)""",
+)
+def cluster_scores(spark: SparkSession, root: str) -> DataFrame:
+    """Cluster scores of the given labels, so that they compare; the sweep below clusters itself."""
+    given = vectors(spark, root).select(F.col("label").alias("cluster"), F.col("embedding").cast("array<double>").alias("v"))
+    return comparable(E.cluster_scores(given, "v"), 3)
+
+
+@query("cluster_sweep")
+def cluster_sweep(spark: SparkSession, root: str) -> DataFrame:
+    return E.cluster_sweep(vectors(spark, root))
+
+
+FEATURES = ["recency_days", "frequency", "monetary", "avg_order_value", "std_order_value", "n_unique_products",
+            "avg_delivery_days", "n_late_deliveries", "avg_installments", "user_segment"]
+
+
+def model_data(spark: SparkSession, root: str) -> DataFrame:
+    feats = features_of(spark, root).select("user_id", *FEATURES)
+    frame, names = B.model_frame(feats, targets_of(spark, root), P.hash_split(feats.select("user_id")))
+    return B.prepared(frame, names)
+
+
+@query("baseline_models")
+def baseline_models(spark: SparkSession, root: str) -> DataFrame:
+    tasks = [t for t in B.TASKS if t.name in ("early_adopter", "clv")]
+    return B.train_baselines(model_data(spark, root), tasks, SIZES)
+
+
+@query("segment_models")
+def segment_models(spark: SparkSession, root: str) -> DataFrame:
+    """A task with several classes: the nation's last digit from the features."""
+    digit = star.table(spark, root, "customer").select(
+        F.col("c_custkey").cast("string").alias("user_id"), (F.col("c_nationkey") % 5).alias("segment_id")
+    )
+    data = model_data(spark, root).join(digit, "user_id")
+    return B.train_baselines(data, [B.Task("segment", "segment_id", "multiclass")], SIZES)
+
+
+@query("linear_probe")
+def linear_probe(spark: SparkSession, root: str) -> DataFrame:
+    v = vectors(spark, root)
+    return B.linear_probe(v, "vec_id", "embedding", "binary", "binary").unionByName(
+        B.regression_probe(v, "vec_id", "embedding", "target", "target")
+    )
+
+
+@query("knn_probe")
+def knn_probe(spark: SparkSession, root: str) -> DataFrame:
+    return B.knn_probe(vectors(spark, root), "vec_id", "embedding", "label", "label")
+
+
+@query("cross_validation")
+def cross_validation(spark: SparkSession, root: str) -> DataFrame:
+    return B.cross_validated(vectors(spark, root), "vec_id", "embedding", "binary", "binary")
+
+
+@query("feature_set_comparison")
+def feature_set_comparison(spark: SparkSession, root: str) -> DataFrame:
+    v = vectors(spark, root).withColumns({"noise": B.noise_vector("vec_id", 8), "raw": F.slice("embedding", 1, 8)})
+    return B.compare_feature_sets(v, "vec_id", {"embedding": "embedding", "random": "noise"}, "raw", "binary", "binary", SIZES)
+
+
+@query("feature_group_ablation")
+def feature_group_ablation(spark: SparkSession, root: str) -> DataFrame:
+    groups = {"money": ["monetary", "avg_order_value", "std_order_value"], "activity": ["frequency", "n_unique_products"],
+              "delivery": ["avg_delivery_days", "n_late_deliveries"]}
+    data = features_of(spark, root).select("user_id", *[c for g in groups.values() for c in g]).join(
+        targets_of(spark, root).select("user_id", "early_adopter"), "user_id"
+    )
+    return B.group_ablation(data, "user_id", groups, "early_adopter", "early_adopter", max_iter=30)
