@@ -36,4 +36,5 @@ def load() -> None:
         models,
         quality,
         signals,
+        streams,
     )
