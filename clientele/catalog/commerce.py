@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Mapping
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -10,12 +12,13 @@ from clientele.catalog.common import CLEAN, comparable, sql_days, sql_round
 from clientele.operators import adapter as A
 from clientele.operators import features as X
 from clientele.operators import targets as G
+from clientele.operators.ordering import settled
 from clientele.sources import readers, star
 
 PAYMENT_FLAGS = {"uses_credit_card": "1-URGENT", "uses_boleto": "5-LOW"}
 
 
-def cleaned(spark: SparkSession, root: str) -> dict[str, DataFrame]:
+def cleaned(spark: SparkSession, root: str) -> Mapping[str, DataFrame]:
     return A.clean(star.commerce(spark, root))
 
 
@@ -424,7 +427,7 @@ seqs AS (SELECT user_id, string_agg(kind || ':' || idx || ':' || CAST(CAST(epoch
 
 @query("interaction_sequences", SEQ_SQL + " SELECT user_id, n, events FROM seqs")
 def interaction_sequences(spark: SparkSession, root: str) -> DataFrame:
-    seq = X.interaction_sequences(A.journey_events(cleaned(spark, root)))
+    seq = X.interaction_sequences(settled(A.journey_events(cleaned(spark, root))))
     text = F.transform("events", lambda e: F.concat_ws(
         ":", e["event_type_id"].cast("string"), e["product_idx"].cast("string"), e["time_delta"].cast("bigint").cast("string")))
     return seq.select("user_id", F.size("events").cast("bigint").alias("n"), F.array_join(text, " ").alias("events"))

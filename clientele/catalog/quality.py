@@ -18,6 +18,7 @@ from clientele.operators import features as X
 from clientele.operators import metrics as M
 from clientele.operators import quality as Q
 from clientele.operators import splits as P
+from clientele.operators.ordering import settled
 from clientele.sources import star
 
 CHECK_OUT = '"check", "column", {v} AS "value", status'.format(v=sql_round('"value"'))
@@ -145,7 +146,7 @@ SEQ_CELLS = [("sequences", "events", "count(*)", "info"), ("max_length", "events
 
 @query("sequence_checks", SEQ_TABLE_SQL + f", c AS ({_cells(SEQ_CELLS, 'lens')}) SELECT {CHECK_OUT} FROM c")
 def sequence_checks(spark: SparkSession, root: str) -> DataFrame:
-    seq = X.interaction_sequences(A.journey_events(cleaned(spark, root)))
+    seq = settled(X.interaction_sequences(settled(A.journey_events(cleaned(spark, root)))))
     return comparable(Q.check_sequences(seq, max_product=10_000_000))
 
 
@@ -275,10 +276,11 @@ def scored(spark: SparkSession, root: str) -> DataFrame:
         F.col("c_custkey").cast("string").alias("user_id"), "c_custkey", F.col("c_mktsegment").alias("variant")
     )
     other = F.col("c_custkey") * 53 % 89 / 100.0
-    return targets_of(spark, root).join(people, "user_id").withColumns({
+    # stands for a stored prediction table
+    return settled(targets_of(spark, root).join(people, "user_id").withColumns({
         "a": F.col("c_custkey") * 37 % 101 / 100.0,
         "b": F.when(other < 0.3, F.col("churn") * 0.9).otherwise(other),
-    })
+    }))
 
 
 def _class_sql(score: str, key: str, source: str = "scored") -> str:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Mapping
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -9,6 +11,7 @@ from clientele.functions import rules as R
 from clientele.functions.timeutil import floor_days
 from clientele.operators.ordering import global_row_number
 from clientele.sources import contracts as C
+from clientele.sources.contracts import LazyTables
 
 # The attributes items take over from products.
 PRODUCT_ATTRIBUTES = (
@@ -53,43 +56,73 @@ def with_delivery(orders: DataFrame) -> DataFrame:
     )
 
 
+def with_owner(orders: DataFrame, customers: DataFrame, min_orders: int = 1) -> DataFrame:
+    """Stable customer id per order; NULL where unknown or where the customer has too few orders."""
+    people = customers.select("customer_id", "customer_unique_id")
+    owner = orders.join(people, "customer_id", "left")
+    if min_orders <= 1:
+        return owner
+    active = owner.groupBy("customer_unique_id").count().where(F.col("count") >= min_orders)
+    active = active.select("customer_unique_id", F.lit(True).alias("__active"))
+    return owner.join(active, "customer_unique_id", "left").withColumn(
+        "customer_unique_id", F.when(F.col("__active"), F.col("customer_unique_id"))
+    ).drop("__active")
+
+
+def with_attributes(items: DataFrame, products: DataFrame) -> DataFrame:
+    attributes = [c for c in PRODUCT_ATTRIBUTES if c in products.columns]
+    if "category_english" not in attributes:
+        return items
+    return items.join(products.select("product_id", *attributes), "product_id", "left")
+
+
 def clean(
-    tables: dict[str, DataFrame],
+    tables: Mapping[str, DataFrame],
     statuses: tuple[str, ...] = R.VALID_ORDER_STATUSES,
     min_orders: int = 1,
-) -> dict[str, DataFrame]:
-    """Clean orders with customer, payment, review and delivery columns; items with product attributes."""
-    kept = valid_orders(tables["orders"], statuses)
-    ids = kept.select("order_id")
-    people = tables["customers"].select("customer_id", "customer_unique_id")
-    owned = kept.join(people, "customer_id", "left").where(F.col("customer_unique_id").isNotNull())
-    if min_orders > 1:
-        active = owned.groupBy("customer_unique_id").count().where(F.col("count") >= min_orders)
-        owned = owned.join(active, "customer_unique_id", "left_semi")
-
-    items = tables["order_items"].join(ids, "order_id", "left_semi")
-    attributes = [c for c in PRODUCT_ATTRIBUTES if c in tables["products"].columns]
-    if "category_english" in attributes:
-        items = items.join(tables["products"].select("product_id", *attributes), "product_id", "left")
-    payments = tables["payments"].join(ids, "order_id", "left_semi")
-    reviews = tables["reviews"].join(ids, "order_id", "left_semi")
-    enriched = owned.join(payments_per_order(payments), "order_id", "left").join(
-        reviews_per_order(reviews), "order_id", "left"
-    )
-    return tables | {
-        "orders": with_delivery(enriched),
-        "order_items": items,
-        "payments": payments,
-        "reviews": reviews,
-    }
-
+) -> LazyTables:
+    """Clean tables. A left join stays in a plan even when its columns are not read, so each level is a table:
 
-def demographics(data: dict[str, DataFrame]) -> DataFrame:
+    ``owned_orders`` valid orders with customer and delivery days; ``orders`` adds payments and reviews;
+    ``owned_items`` items of valid orders with their owner and time; ``order_items`` adds product attributes;
+    ``payments`` and ``reviews`` of valid orders; ``all_payments`` and ``all_reviews`` as given.
+    """
+    kept = valid_orders(tables["orders"], statuses)
+    owner = with_owner(kept, tables["customers"], min_orders)
+    valid = kept.select("order_id")
+    out: LazyTables
+
+    def owned_orders() -> DataFrame:
+        return with_delivery(owner.where(F.col("customer_unique_id").isNotNull()))
+
+    def orders() -> DataFrame:
+        paid = out["owned_orders"].join(payments_per_order(tables["payments"]), "order_id", "left")
+        return paid.join(reviews_per_order(tables["reviews"]), "order_id", "left")
+
+    def owned_items() -> DataFrame:
+        ids = owner.select("order_id", "customer_unique_id", "order_purchase_timestamp").dropDuplicates(["order_id"])
+        return tables["order_items"].join(ids, "order_id")
+
+    base = tables if isinstance(tables, LazyTables) else LazyTables(tables)
+    out = base.replaced({
+        "owned_orders": owned_orders,
+        "orders": orders,
+        "owned_items": owned_items,
+        "order_items": lambda: with_attributes(out["owned_items"], tables["products"]),
+        "payments": lambda: tables["payments"].join(valid, "order_id", "left_semi"),
+        "reviews": lambda: tables["reviews"].join(valid, "order_id", "left_semi"),
+        "all_payments": lambda: tables["payments"],
+        "all_reviews": lambda: tables["reviews"],
+    })
+    return out
+
+
+def demographics(data: Mapping[str, DataFrame]) -> DataFrame:
     """One row per customer with first order, last known place, tenure and segment."""
     at = F.col("order_purchase_timestamp")
     # equal times are settled by the order id
     latest = F.struct(at, F.col("order_id"))
-    info = data["orders"].groupBy("customer_unique_id").agg(
+    info = data["owned_orders"].groupBy("customer_unique_id").agg(
         F.min(at).alias("first_order"),
         F.max(at).alias("last_order"),
         F.countDistinct("order_id").alias("total_orders"),
@@ -111,12 +144,11 @@ def demographics(data: dict[str, DataFrame]) -> DataFrame:
     )
 
 
-def transactions(data: dict[str, DataFrame]) -> DataFrame:
+def transactions(data: Mapping[str, DataFrame]) -> DataFrame:
     """One row per order item, with the buyer, the time and the full item cost."""
-    info = data["orders"].select(
-        "order_id", "customer_unique_id", "order_purchase_timestamp", "review_score"
-    ).dropDuplicates(["order_id"])
-    return data["order_items"].join(info, "order_id").select(
+    scores = data["all_reviews"].groupBy("order_id").agg(F.avg("review_score").alias("review_score"))
+    bought = data["owned_items"].where(F.col("customer_unique_id").isNotNull())
+    return bought.join(scores, "order_id", "left").select(
         F.concat_ws("_", "order_id", F.col("order_item_id").cast("string")).alias("transaction_id"),
         F.col("customer_unique_id").alias("user_id"),
         "product_id",
@@ -130,9 +162,9 @@ def transactions(data: dict[str, DataFrame]) -> DataFrame:
     )
 
 
-def journey_events(data: dict[str, DataFrame]) -> DataFrame:
+def journey_events(data: Mapping[str, DataFrame]) -> DataFrame:
     """Order life as events: four order stages, one purchase per item, one review per order."""
-    orders = data["orders"]
+    orders = data["owned_orders"]
     # Stage names and the order columns that hold their times.
     stages = {
         "order_placed": "order_purchase_timestamp",
@@ -148,20 +180,19 @@ def journey_events(data: dict[str, DataFrame]) -> DataFrame:
         F.col("order_id").alias("session_id"),
     ).where(F.col("timestamp").isNotNull())
 
-    owner = orders.select("order_id", F.col("customer_unique_id").alias("user_id"),
-                          F.col("order_purchase_timestamp").alias("timestamp")).dropDuplicates(["order_id"])
-    bought = data["order_items"].join(owner, "order_id").select(
-        "user_id", "product_id", F.lit("purchase").alias("event_type"), "timestamp",
-        F.col("order_id").alias("session_id"),
+    bought = data["owned_items"].where(F.col("customer_unique_id").isNotNull()).select(
+        F.col("customer_unique_id").alias("user_id"), "product_id", F.lit("purchase").alias("event_type"),
+        F.col("order_purchase_timestamp").alias("timestamp"), F.col("order_id").alias("session_id"),
     )
 
+    owner = orders.select("order_id", F.col("customer_unique_id").alias("user_id")).dropDuplicates(["order_id"])
     scored = F.col("review_score").isNotNull()
-    first = data["reviews"].groupBy("order_id").agg(
+    first = data["all_reviews"].groupBy("order_id").agg(
         F.min("review_creation_date").alias("__created"),
         F.min_by(F.when(scored, F.col("review_score")),
                  F.when(scored, F.struct("review_creation_date", "review_score"))).alias("__score"),
     )
-    reviewed = first.where(F.col("__created").isNotNull()).join(owner.drop("timestamp"), "order_id").select(
+    reviewed = first.where(F.col("__created").isNotNull()).join(owner, "order_id").select(
         "user_id",
         F.concat(F.lit("REVIEW_"), F.substring("order_id", 1, 8)).alias("product_id"),
         F.concat(F.lit("review_score_"), F.col("__score").cast("int").cast("string")).alias("event_type"),
@@ -177,7 +208,7 @@ def number_events(events: DataFrame) -> DataFrame:
     return global_row_number(events, order, out="event_id")
 
 
-def web_behavior(data: dict[str, DataFrame], dense_ids: bool = True) -> DataFrame:
+def web_behavior(data: Mapping[str, DataFrame], dense_ids: bool = True) -> DataFrame:
     """Journey events with an id: dense and ordered, or a hash that needs no global sort."""
     events = journey_events(data)
     if dense_ids:
@@ -190,10 +221,10 @@ def campaigns(spark: SparkSession) -> DataFrame:
     return C.empty(spark, C.CAMPAIGN_SCHEMA)
 
 
-def canonical_tables(data: dict[str, DataFrame], dense_ids: bool = True) -> dict[str, DataFrame]:
+def canonical_tables(data: Mapping[str, DataFrame], dense_ids: bool = True) -> dict[str, DataFrame]:
     return {
         "demographics": demographics(data),
         "transactions": transactions(data),
         "web_behavior": web_behavior(data, dense_ids),
-        "campaigns": campaigns(data["orders"].sparkSession),
+        "campaigns": campaigns(data["owned_orders"].sparkSession),
     }

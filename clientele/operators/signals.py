@@ -12,7 +12,7 @@ from pyspark.sql import types as T
 
 from clientele.functions import rules as R
 from clientele.functions.timeutil import as_timestamp, week_start
-from clientele.operators.ordering import top_rows
+from clientele.operators.ordering import settled, top_rows
 
 COHORT = ("age_group", "gender", "city", "product_category")
 
@@ -205,6 +205,8 @@ def spec_report(df: DataFrame, spec: SignalSpec) -> DataFrame:
 
 
 def latest_period(df: DataFrame, period: str = "week_start") -> DataFrame:
+    """Rows of the newest period. A signal frame is small and read twice here, so it is settled."""
+    df = settled(df)
     return df.where(F.col(period) == df.agg(F.max(period)).scalar())
 
 

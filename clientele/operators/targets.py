@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from clientele.functions.timeutil import as_timestamp, floor_days, plus_days
-from clientele.operators.ordering import quantiles, row_number_by_time, top_rows
+from clientele.operators.ordering import quantiles, row_number_by_time, settled, top_rows
 
 
 @dataclass(frozen=True)
@@ -35,9 +35,10 @@ def _on_spine(users: DataFrame, values: DataFrame, fill: dict[str, Column]) -> D
 
 def churn(users: DataFrame, txn: DataFrame, end: Column | str | None = None, rules: TargetRules = RULES) -> DataFrame:
     """1 when the last order is older than the window before the data end, or missing."""
-    limit = plus_days(data_end(txn, end), -rules.churn_days)
-    last = txn.groupBy("user_id").agg((F.max("timestamp") < limit).cast("int").alias("churn"))
-    return _on_spine(users, last, {"churn": F.lit(1)})
+    # settled per user, so that finding the data end does not read the transactions again
+    last = settled(txn.groupBy("user_id").agg(F.max("timestamp").alias("timestamp")))
+    limit = plus_days(data_end(last, end), -rules.churn_days)
+    return _on_spine(users, last.select("user_id", (F.col("timestamp") < limit).cast("int").alias("churn")), {"churn": F.lit(1)})
 
 
 def clv(users: DataFrame, txn: DataFrame) -> DataFrame:
@@ -98,10 +99,11 @@ def days_to_next(
     if dedupe == "day":
         stamps = stamps.groupBy("user_id", F.to_date("timestamp").alias("d")).agg(F.max("timestamp").alias("timestamp"))
     last_two = top_rows(stamps, ["user_id"], [F.col("timestamp").desc()], 2)
-    gaps = last_two.groupBy("user_id").agg(
+    gaps = settled(last_two.groupBy("user_id").agg(
         F.count(F.lit(1)).alias("n"), F.min("timestamp").alias("a"), F.max("timestamp").alias("b")
-    )
-    gap = F.when(F.col("n") >= 2, floor_days("a", "b")).otherwise(floor_days("b", data_end(txn, end)))
+    ))
+    limit = data_end(gaps.withColumnRenamed("b", "timestamp"), end)
+    gap = F.when(F.col("n") >= 2, floor_days("a", "b")).otherwise(floor_days("b", limit))
     capped = F.least(gap, F.lit(rules.max_gap_days).cast("bigint")).alias("days_next_purchase")
     return _on_spine(users, gaps.select("user_id", capped),
                      {"days_next_purchase": F.lit(rules.max_gap_days).cast("bigint")})
@@ -123,20 +125,20 @@ def all_targets(
 ) -> DataFrame:
     """Every target on one spine, from one table of (user, instant) rows.
 
-    Transactions are merged per user and instant before anything else; ranks come from per-day
-    pieces, so all targets follow from a single grouped aggregate.
+    Transactions are merged per user and instant and settled; ranks come from per-day pieces, and
+    all targets follow from a single grouped aggregate.
     """
-    limit = data_end(txn, end)
     has = F.col("product_id").isNotNull()
     early = floor_days("first_seen", "timestamp") <= rules.early_days
-    instants = with_first_seen(txn).groupBy("user_id", "timestamp").agg(
+    instants = settled(with_first_seen(txn).groupBy("user_id", "timestamp").agg(
         F.sum("amount").alias("order_total"),
         F.count(F.lit(1)).alias("rows"),
         F.sum("review_score").alias("score_sum"),
         F.count("review_score").alias("score_n"),
         F.max(early.cast("int")).alias("early"),
         F.max_by("product_id", F.when(has, F.struct("transaction_id", "product_id"))).alias("item"),
-    )
+    ))
+    limit = data_end(instants, end)
     placed = row_number_by_time(instants, ["user_id"], "timestamp", out="rn", total="n")
     first, second = _half_means(F.col("n"), F.col("rn"), F.col("order_total"))
     last, before = F.col("rn") == F.col("n"), F.col("rn") == F.col("n") - 1
@@ -182,6 +184,7 @@ CONTINUOUS_TARGETS = ("clv", "days_next_purchase")
 
 def target_summary(targets: DataFrame) -> DataFrame:
     """Positive rate of binary targets, mean and exact median of continuous ones, as long rows."""
+    targets = settled(targets)
     means = targets.agg(*[F.avg(c).alias(f"{c}:rate") for c in BINARY_TARGETS],
                         *[F.avg(c).alias(f"{c}:mean") for c in CONTINUOUS_TARGETS],
                         F.avg((F.col("next_item_id") != "NONE").cast("int")).alias("next_item:valid_rate"))

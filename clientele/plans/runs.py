@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
 
 from clientele.operators import adapter as A
 from clientele.operators import features as X
@@ -12,16 +13,25 @@ from clientele.operators import sessions as N
 from clientele.operators import signals as S
 from clientele.operators import splits as P
 from clientele.operators import targets as G
+from clientele.operators.models import model_frame
+from clientele.operators.ordering import settled
 from clientele.sources import sinks
 
 
 def commerce_run(tables: dict[str, DataFrame], dense_ids: bool = True, exact_sizes: bool = True) -> dict[str, DataFrame]:
-    """Canonical tables, targets, features, sequences, splits and metadata, all lazy but for dense numbering."""
+    """Canonical tables, targets, features, sequences, splits and metadata.
+
+    Clean orders, items, transactions and events feed several outputs each; they are settled once
+    in the shared checkpoint folder instead of being derived again for every output.
+    """
     data = A.clean(tables)
+    data = data.replaced({name: settled(data[name]) for name in ("owned_orders", "order_items")})
+    data = data.replaced({"owned_items": data["order_items"]})
     canonical = A.canonical_tables(data, dense_ids)
+    canonical |= {name: settled(canonical[name]) for name in ("demographics", "transactions", "web_behavior")}
     people, txn, web = canonical["demographics"], canonical["transactions"], canonical["web_behavior"]
-    targets = G.all_targets(people, txn)
-    features = X.customer_features(people, txn, web, data)
+    targets = settled(G.all_targets(people, txn))
+    features = settled(X.customer_features(people, txn, web, data, end=txn.agg(F.max("timestamp")).scalar()))
     split = P.exact_split if exact_sizes else P.hash_split
     return {
         **canonical,
@@ -48,8 +58,6 @@ def write_commerce_run(out: dict[str, DataFrame], root: str, fmt: str = "parquet
 
 def read_model_frame(spark, root: str, key: str = "user_id") -> tuple[DataFrame, list[str]]:
     """Stored features, targets and splits, joined, with label columns kept out of the features."""
-    from clientele.operators.models import model_frame
-
     features = spark.read.parquet(f"{root}/features/customers")
     targets = spark.read.parquet(f"{root}/targets")
     return model_frame(features, targets, spark.read.parquet(f"{root}/splits"), key)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator, Mapping
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -47,6 +49,30 @@ CANONICAL_COLUMNS: dict[str, tuple[str, ...]] = {
 CAMPAIGN_SCHEMA = "user_id string, campaign_id string, timestamp timestamp_ntz, clicked bigint"
 
 
+class LazyTables(Mapping):
+    """Named tables, each defined when first asked for."""
+
+    def __init__(self, makers: Mapping[str, Callable[[], DataFrame] | DataFrame]):
+        self._makers = dict(makers)
+        self._made: dict[str, DataFrame] = {}
+
+    def __getitem__(self, name: str) -> DataFrame:
+        if name not in self._made:
+            maker = self._makers[name]
+            self._made[name] = maker if isinstance(maker, DataFrame) else maker()
+        return self._made[name]
+
+    def __iter__(self) -> Iterator[str]:
+        return iter(self._makers)
+
+    def __len__(self) -> int:
+        return len(self._makers)
+
+    def replaced(self, tables: Mapping[str, Callable[[], DataFrame] | DataFrame]) -> LazyTables:
+        """The same tables with some replaced or added."""
+        return LazyTables(self._makers | dict(tables))
+
+
 def empty(spark: SparkSession, schema: str) -> DataFrame:
     return spark.createDataFrame([], T._parse_datatype_string(schema))
 

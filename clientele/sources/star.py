@@ -5,14 +5,36 @@ Stand-ins are documented in FIXTURES.md; the check SQL in the catalog holds the
 
 from __future__ import annotations
 
+from functools import partial
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from clientele.functions.timeutil import plus_days
+from clientele.sources.contracts import LazyTables
+
+
+# Schemas of the test tables; stating them saves a footer-reading job per table.
+SCHEMAS = {
+    "region": "r_regionkey int, r_name string",
+    "nation": "n_nationkey int, n_name string, n_regionkey int",
+    "customer": "c_custkey bigint, c_name string, c_nationkey int, c_acctbal double, c_mktsegment string",
+    "supplier": "s_suppkey bigint, s_name string, s_nationkey int, s_acctbal double",
+    "part": "p_partkey bigint, p_name string, p_brand string, p_type string, p_size int, p_retailprice double",
+    "orders": "o_orderkey bigint, o_custkey bigint, o_orderstatus string, o_totalprice double, o_orderdate timestamp_ntz, o_orderpriority string",
+    "lineitem": "l_orderkey bigint, l_partkey bigint, l_suppkey bigint, l_linenumber int, l_quantity double, l_extendedprice double, l_discount double, l_tax double, l_returnflag string, l_linestatus string, l_shipdate timestamp_ntz",
+    "events": "event_id bigint, ts timestamp_ntz, user_id bigint, event_type string, value double, props string",
+    "documents": "doc_id bigint, text string, lang string, source string, n_chars bigint",
+    "embeddings": "vec_id bigint, embedding array<float>, label int",
+    "pages": "page_id bigint, url string, html string",
+    "benchmark": "item_id bigint, text string",
+    "labels": "doc_id bigint, quality int, toxic int",
+    "conversations": "conv_id bigint, turn bigint, role string, text string",
+}
 
 
 def table(spark: SparkSession, root: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{root}/{name}.parquet")
+    return spark.read.schema(SCHEMAS[name]).parquet(f"{root}/{name}.parquet")
 
 
 def customers(spark: SparkSession, root: str) -> DataFrame:
@@ -117,16 +139,10 @@ def sellers(spark: SparkSession, root: str) -> DataFrame:
     return table(spark, root, "supplier").select(F.col("s_suppkey").cast("string").alias("seller_id"))
 
 
-def commerce(spark: SparkSession, root: str) -> dict[str, DataFrame]:
-    return {
-        "customers": customers(spark, root),
-        "orders": orders(spark, root),
-        "order_items": order_items(spark, root),
-        "payments": payments(spark, root),
-        "reviews": reviews(spark, root),
-        "products": products(spark, root),
-        "sellers": sellers(spark, root),
-    }
+def commerce(spark: SparkSession, root: str) -> LazyTables:
+    makers = {"customers": customers, "orders": orders, "order_items": order_items, "payments": payments,
+              "reviews": reviews, "products": products, "sellers": sellers}
+    return LazyTables({name: partial(make, spark, root) for name, make in makers.items()})
 
 
 def lean_commerce(spark: SparkSession, root: str) -> dict[str, DataFrame]:
