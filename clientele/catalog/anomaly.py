@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from clientele.catalog import query
-from clientele.catalog.common import comparable, sql_round
+from clientele.catalog.common import comparable, sql_poisson, sql_round, sql_seeds
 from clientele.operators import anomaly as D
 from clientele.operators import governed as V
 from clientele.sources import star
@@ -218,10 +218,16 @@ def drill_down(spark: SparkSession, root: str) -> DataFrame:
     "cause_ablation",
     f"""WITH r AS (SELECT event_id, user_id, CASE WHEN ts >= TIMESTAMP '{SPLIT_AT}' THEN 1 ELSE 0 END AS cur,
         CASE WHEN ts >= TIMESTAMP '{SPLIT_AT}' AND user_id % 10 = 0 THEN "value" * 6 ELSE "value" END AS v FROM events),
-    full_ AS (SELECT avg(v) FILTER (WHERE cur = 1) - avg(v) FILTER (WHERE cur = 0) AS e FROM r),
-    rest AS (SELECT avg(v) FILTER (WHERE cur = 1) - avg(v) FILTER (WHERE cur = 0) AS e FROM r WHERE user_id % 10 > 0)
-    SELECT {sql_round('full_.e', 3)} AS effect, {sql_round('rest.e', 3)} AS effect_without, {sql_round('1 - abs(rest.e) / abs(full_.e)', 3)} AS reduction,
-      1 - abs(rest.e) / abs(full_.e) > 0.3 AS passed FROM full_, rest""",
+    z AS (SELECT cur, v, user_id % 10 = 0 AS c, {sql_seeds('event_id')} FROM r),
+    d AS (SELECT rep, cur, v, c, CASE WHEN rep = 0 THEN 1 ELSE {sql_poisson('rep')} END AS w FROM z, (SELECT unnest(range(0, 101)) AS rep)),
+    e AS (SELECT rep, sum(w * v) FILTER (WHERE cur = 1) / sum(w) FILTER (WHERE cur = 1) - sum(w * v) FILTER (WHERE cur = 0) / sum(w) FILTER (WHERE cur = 0) AS f,
+        sum(w * v) FILTER (WHERE cur = 1 AND NOT c) / sum(w) FILTER (WHERE cur = 1 AND NOT c)
+          - sum(w * v) FILTER (WHERE cur = 0 AND NOT c) / sum(w) FILTER (WHERE cur = 0 AND NOT c) AS x FROM d GROUP BY 1),
+    g AS (SELECT rep, f, x, 1 - abs(x) / abs(f) AS red FROM e),
+    o AS (SELECT max(f) FILTER (WHERE rep = 0) AS f, max(x) FILTER (WHERE rep = 0) AS x, max(red) FILTER (WHERE rep = 0) AS red,
+        quantile_cont(red, 0.025) FILTER (WHERE rep > 0) AS lo, quantile_cont(red, 0.975) FILTER (WHERE rep > 0) AS hi FROM g)
+    SELECT {sql_round('f', 3)} AS effect, {sql_round('x', 3)} AS effect_without, {sql_round('red', 3)} AS reduction, {sql_round('lo', 3)} AS ci_95_lower,
+      {sql_round('hi', 3)} AS ci_95_upper, red > 0.3 AND lo > 0.3 AS passed FROM o""",
 )
 def cause_ablation(spark: SparkSession, root: str) -> DataFrame:
     cur = F.col("ts") >= F.lit(SPLIT_AT).cast("timestamp_ntz")
@@ -231,7 +237,7 @@ def cause_ablation(spark: SparkSession, root: str) -> DataFrame:
     )
     causes = star.table(spark, root, "customer").where("c_custkey % 10 = 0").select(F.col("c_custkey").alias("user_id"))
     out = D.ablation(rows, causes, "event_id", "user_id", "v", "cur", replicates=100)
-    return comparable(out.select("effect", "effect_without", "reduction", "passed"), 3)
+    return comparable(out, 3)
 
 
 # ---------------------------------------------------------------- governed access

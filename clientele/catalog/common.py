@@ -70,6 +70,24 @@ def sql_days(a: str, b: str) -> str:
     return DAYS.format(a=a, b=b)
 
 
+# cumulative Poisson(1) probabilities, as the sampling weights of the bootstrap use them
+POISSON_STEPS = (0.36787944117144233, 0.7357588823428847, 0.9196986029286058, 0.9810118431238462, 0.9963401531726563,
+                 0.9994058151824183, 0.999916758850712, 0.9999897508033253)
+
+
+def sql_seeds(key: str, seed: int = 42) -> str:
+    digest = f"md5('{seed}|' || {key})"
+    return ", ".join(f"CAST(('0x' || substr({digest}, {at}, 8)) AS BIGINT) AS {name}" for at, name in ((1, "h1"), (9, "h2")))
+
+
+def sql_poisson(replicate: str = "r") -> str:
+    """The Poisson(1) draw of a row with seeds h1 and h2 in a replicate."""
+    u = (f"((h1 % 2147483647 + {replicate} * (h2 % 2147483647) + {replicate} * {replicate} * ((h1 + h2) % 65521)) % 2147483647"
+         " / 2147483647.0::DOUBLE)")
+    cases = " ".join(f"WHEN {u} < {limit!r}::DOUBLE THEN {k}" for k, limit in enumerate(POISSON_STEPS))
+    return f"CASE {cases} ELSE 8 END"
+
+
 def sql_round(expr: str, digits: int = 4) -> str:
     return f"round(CAST({expr} AS DOUBLE) + {EPS}::DOUBLE, {digits})"
 

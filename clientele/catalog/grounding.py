@@ -126,7 +126,7 @@ def serialised_rows(spark: SparkSession, root: str) -> DataFrame:
 
 # ---------------------------------------------------------------- generated answers and their checks
 
-TOP5_SQL = f"""{WEEKLY_SQL}, ranked AS (SELECT *, row_number() OVER (PARTITION BY product_category ORDER BY abs(wow_purchase_velocity_pct) DESC NULLS LAST, {KEYS}) AS rank
+TOP5_SQL = f"""{WEEKLY_SQL}, ranked AS (SELECT *, row_number() OVER (PARTITION BY product_category ORDER BY abs(wow_purchase_velocity_pct) DESC NULLS LAST, {KEYS}, week_start) AS rank
    FROM signal WHERE product_category IS NOT NULL),
 top5 AS (SELECT product_category AS doc, rank, wow_purchase_velocity_pct AS metric, trend_flag AS flag, age_group, gender, city,
    CASE WHEN rank % 2 = 0 AND length(city) % 2 = 0 THEN 'Atlantis' ELSE city END AS said_city FROM ranked WHERE rank <= 5)"""
@@ -135,7 +135,7 @@ top5 AS (SELECT product_category AS doc, rank, wow_purchase_velocity_pct AS metr
 def trend_answers(spark: SparkSession, root: str) -> DataFrame:
     """Five trends per category, some with an invented city, direction, confidence or thin evidence."""
     df = signal_frame(spark, root).where(F.col("product_category").isNotNull())
-    order = [F.abs(F.col("wow_purchase_velocity_pct")).desc_nulls_last(), *[F.col(c) for c in S.COHORT]]
+    order = [F.abs(F.col("wow_purchase_velocity_pct")).desc_nulls_last(), *[F.col(c) for c in S.COHORT], F.col("week_start")]
     top = top_rows(df, ["product_category"], order, 5, out="rank")
     city = F.when((F.col("rank") % 2 == 0) & (F.length("city") % 2 == 0), "Atlantis").otherwise(F.col("city"))
     return top.select(

@@ -10,7 +10,7 @@ from clientele.catalog import query
 from clientele.catalog.commerce import (
     EVENTS_SQL, FEATURES_SQL, TARGETS_SQL, cleaned, features_of, spine, targets_of, txn_of,
 )
-from clientele.catalog.common import CLEAN, CUSTOMERS, comparable, sql_round
+from clientele.catalog.common import CLEAN, CUSTOMERS, comparable, sql_poisson, sql_round, sql_seeds
 from clientele.catalog.labels import UNIT_SQL
 from clientele.functions import rules as R
 from clientele.operators import adapter as A
@@ -476,13 +476,8 @@ BOOT = 200
 
 @query(
     "paired_bootstrap",
-    SCORED_SQL + f""", seeds AS (SELECT churn, a, b, CAST(('0x' || substr(md5('42|' || c_custkey), 1, 8)) AS BIGINT) AS h1,
-        CAST(('0x' || substr(md5('42|' || c_custkey), 9, 8)) AS BIGINT) AS h2 FROM scored),
-    draws AS (SELECT r, churn, a, b, (h1 % 2147483647 + r * (h2 % 2147483647) + r * r * ((h1 + h2) % 65521)) % 2147483647 / 2147483647.0::DOUBLE AS u
-              FROM seeds, (SELECT unnest(range(1, {BOOT + 1})) AS r)),
-    pois AS (SELECT r, churn, a, b, CASE {" ".join(f"WHEN u < {c!r}::DOUBLE THEN {k}" for k, c in (
-        (0, 0.36787944117144233), (1, 0.7357588823428847), (2, 0.9196986029286058), (3, 0.9810118431238462), (4, 0.9963401531726563),
-        (5, 0.9994058151824183), (6, 0.999916758850712), (7, 0.9999897508033253)))} ELSE 8 END AS w FROM draws),
+    SCORED_SQL + f""", seeds AS (SELECT churn, a, b, {sql_seeds('c_custkey')} FROM scored),
+    pois AS (SELECT r, churn, a, b, {sql_poisson()} AS w FROM seeds, (SELECT unnest(range(1, {BOOT + 1})) AS r)),
     per AS (SELECT r, (sum(w * ((b >= 0.5)::INT = churn)::INT) - sum(w * ((a >= 0.5)::INT = churn)::INT)) / sum(w)::DOUBLE AS diff FROM pois GROUP BY 1),
     obs AS (SELECT avg(((b >= 0.5)::INT = churn)::INT) AS sb, avg(((a >= 0.5)::INT = churn)::INT) AS sa FROM scored)
     SELECT {sql_round('sb')} AS score_a, {sql_round('sa')} AS score_b, {sql_round('sb - sa')} AS observed_diff,
