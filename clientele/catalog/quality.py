@@ -487,3 +487,34 @@ BOOT = 200
 )
 def paired_bootstrap(spark: SparkSession, root: str) -> DataFrame:
     return comparable(M.paired_bootstrap(scored(spark, root), "c_custkey", "churn", "b", "a", replicates=BOOT))
+
+
+@query(
+    "evaluation_summary",
+    TWO_CURVES + f""" SELECT b.k AS variant, {sql_round('b.auc_roc - a.auc_roc')} AS difference,
+      CASE WHEN b.auc_roc > a.auc_roc THEN 'BETTER' WHEN b.auc_roc < a.auc_roc THEN 'WORSE' ELSE 'EQUAL' END AS verdict,
+      {sql_round('b.auc_roc - 0.5')} AS improvement_over_random, b.auc_roc > 0.5::DOUBLE + 0.05::DOUBLE AS sanity_passed FROM curve_a a JOIN curve_b b USING (k)""",
+)
+def evaluation_summary(spark: SparkSession, root: str) -> DataFrame:
+    s = scored(spark, root)
+    ours = M.auc_and_ap(s, "churn", "b", ["variant"]).select("variant", F.col("auc_roc").alias("embedding_auc"))
+    tree = M.auc_and_ap(s, "churn", "a", ["variant"]).select("variant", F.col("auc_roc").alias("tree_auc"))
+    out = M.evaluation_summary(ours.join(tree, "variant").withColumn("random_auc", F.lit(0.5)))
+    return comparable(out.select("variant", "difference", "verdict", "improvement_over_random", "sanity_passed"))
+
+
+@query(
+    "record_fields",
+    """SELECT c_custkey, CASE WHEN c_custkey % 3 = 0 THEN 'segment' ELSE '' END AS missing, CASE WHEN c_custkey % 2 = 0 THEN 'note' ELSE '' END AS extra FROM customer""",
+)
+def record_fields(spark: SparkSession, root: str) -> DataFrame:
+    """Fields a record lacks or has in excess, from its map of values."""
+    k = F.col("c_custkey")
+    pairs = F.array(
+        F.struct(F.lit("name").alias("k"), F.col("c_name").alias("v")),
+        F.when(k % 3 > 0, F.struct(F.lit("segment").alias("k"), F.col("c_mktsegment").alias("v"))),
+        F.when(k % 2 == 0, F.struct(F.lit("note").alias("k"), F.lit("x").alias("v"))),
+    )
+    records = star.table(spark, root, "customer").select(k, F.map_from_entries(F.filter(pairs, lambda p: p.isNotNull())).alias("fields"))
+    out = Q.missing_fields(records, "fields", ["name", "segment"])
+    return out.select("c_custkey", F.array_join("missing", ",").alias("missing"), F.array_join("extra", ",").alias("extra"))

@@ -13,6 +13,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
@@ -82,7 +83,10 @@ def _with_piece(df: DataFrame, order: str, keys: Sequence[str], pieces: int) ->
         F.percentile_approx(order, [i / pieces for i in range(1, pieces)], F.lit(20 * pieces))
     )
     if keys:
-        bounds = df.groupBy(*keys).agg(cuts.alias("__cuts"))
+        # a small key is one piece and carries no cut points
+        large = F.count(F.lit(1)) > 64 * pieces
+        none = F.array().cast(T.ArrayType(df.schema[order].dataType))
+        bounds = df.groupBy(*keys).agg(F.when(large, cuts).otherwise(none).alias("__cuts"))
         df = df.join(bounds, list(keys))
     else:
         df = df.withColumn("__cuts", df.agg(cuts.alias("__cuts")).scalar())

@@ -88,17 +88,22 @@ def with_trends(weekly: DataFrame, cohort: Sequence[str] = COHORT, category: str
 
 
 def micro_signals(
-    events: DataFrame, profiles: DataFrame, asof: Column | str, lookback_weeks: int = 8, output_weeks: int = 4
-) -> DataFrame:
-    """The weekly micro-signal report. The output window is cut after the lag, which needs older weeks."""
+    events: DataFrame, profiles: DataFrame, asof: Column | str, lookback_weeks: int = 8, output_weeks: int = 4,
+    ordered: bool = False,
+) -> DataFrame:
+    """The weekly micro-signal report. The output window is cut after the lag, which needs older weeks.
+
+    ``ordered`` sorts the result by age group, category and falling week, for an export.
+    """
     day = F.to_date(as_timestamp(asof))
     since = F.date_sub(day, 7 * lookback_weeks).cast("timestamp_ntz")
     signals = with_trends(weekly_cohorts(events, profiles, since))
-    return signals.where(F.col("week_start") >= F.date_sub(day, 7 * output_weeks)).select(
+    report = signals.where(F.col("week_start") >= F.date_sub(day, 7 * output_weeks)).select(
         *COHORT, "week_start", "active_users", "purchasers", "purchase_count", "total_revenue", "page_views",
         "sessions", "add_to_cart_events", "purchase_rate", "cart_conversion_rate", "pages_per_session",
         "national_avg_page_views", "wow_purchase_velocity_pct", "web_footprint_vs_national", "trend_flag",
     )
+    return report.orderBy("age_group", "product_category", F.col("week_start").desc()) if ordered else report
 
 
 def rounded_signals(weekly: DataFrame) -> DataFrame:

@@ -57,7 +57,7 @@ def upsell(users: DataFrame, txn: DataFrame, rules: TargetRules = RULES) -> Data
 
     An order here is all spending of a user at one instant.
     """
-    per_order = txn.groupBy("user_id", "timestamp").agg(F.sum("amount").alias("order_total"))
+    per_order = settled(txn.groupBy("user_id", "timestamp").agg(F.sum("amount").alias("order_total")))
     placed = row_number_by_time(per_order, ["user_id"], "timestamp", out="rn", total="n")
     first, second = _half_means(F.col("n"), F.col("rn"), F.col("order_total"))
     halves = placed.groupBy("user_id").agg(first.alias("first"), second.alias("second"))
@@ -240,7 +240,7 @@ def price_tier_upsell(txn: DataFrame, tiers: int = 4) -> DataFrame:
 
 def first_buyers(txn: DataFrame, category: str = "category", share: float = 0.10) -> DataFrame:
     """Users among the first share of buyers of some category, by the time of their first purchase."""
-    entries = txn.groupBy(category, "user_id").agg(F.min("timestamp").alias("entered"))
+    entries = settled(txn.groupBy(category, "user_id").agg(F.min("timestamp").alias("entered")))
     placed = row_number_by_time(entries, [category], "entered", ["user_id"], out="rn", total="n")
     early = F.max((F.col("rn") <= F.ceil(F.col("n") * share)).cast("int"))
     return placed.groupBy("user_id").agg(early.alias("early_buyer"))

@@ -43,6 +43,12 @@ def test_plans_stay_in_the_engine(spark, root, name):
     assert "Python" not in plan
 
 
+def test_groups_are_limited_before_the_shuffle(spark, root):
+    for name in ("top_movers", "cutoff_sequences"):
+        plan = QUERIES[name](spark, root)._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("WindowGroupLimit") >= 2, name
+
+
 def test_scans_read_only_needed_columns(spark, root):
     plan = QUERIES["cutoff_features"](spark, root)._jdf.queryExecution().executedPlan().toString()
     schemas = re.findall(r"ReadSchema: struct<([^>]*)>", plan)
