@@ -110,7 +110,7 @@ def linked_records(records: DataFrame, record: str, keys: Sequence[str], max_rou
 
     Records and keys form a two-sided graph; each round passes the smallest label over keys, with
     partial minima before every shuffle, so a key shared by very many records stays cheap. The
-    labels of each round are checkpointed. It stops when nothing changes.
+    labels of each round are settled. It stops when nothing changes.
     """
     cells = [F.struct(F.lit(k).alias("kind"), normal_key(k).alias("value")) for k in keys]
     edges = settled(records.select(F.col(record).alias("record"), F.inline(F.array(*cells))).where(F.col("value").isNotNull()).distinct())

@@ -8,6 +8,7 @@ small table of piece totals supplies what lies before each piece. Results are ex
 from __future__ import annotations
 
 import tempfile
+import uuid
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -31,9 +32,15 @@ def ensure_checkpoint_dir(spark: SparkSession) -> None:
 
 
 def settled(df: DataFrame) -> DataFrame:
-    """Compute once and keep in the shared checkpoint folder what several branches of a plan read."""
+    """Compute once and keep, as a Parquet table in the shared checkpoint folder, what several branches read.
+
+    Compared with a checkpoint of rows the table is columnar and compressed, later reads prune its
+    columns, and its real size guides joins. Losing an executor costs nothing that is written.
+    """
     ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint()
+    path = f"{df.sparkSession.sparkContext.getCheckpointDir()}/settled-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def row_number_in_pieces(
@@ -161,8 +168,8 @@ def quantiles(
 def global_row_number(df: DataFrame, order: Sequence[Column | str], out: str = "row_id") -> DataFrame:
     """Dense 1-based numbers over a total order, without a one-task window.
 
-    The sorted rows are checkpointed once, so the per-partition counts and the rows agree even
-    if an executor is lost in between; only one count per partition is combined.
+    The sorted rows are settled once, so the per-partition counts and the rows agree even if an
+    executor is lost in between; only one count per partition is combined.
     """
     placed = settled(df.orderBy(*order).withColumn("__at", F.monotonically_increasing_id()))
     part = F.shiftright(F.col("__at"), 33)
