@@ -9,16 +9,15 @@ from pyspark.sql import functions as F
 
 from clientele.catalog import query
 from clientele.catalog.common import comparable, sql_round
-from clientele.operators.ordering import ensure_checkpoint_dir
+from clientele.operators.ordering import work_dir
 from clientele.streaming import events as T
 
 SCHEMA = "event_id bigint, ts timestamp_ntz, user_id bigint, event_type string, value double, props string"
 
 
 def _run(spark: SparkSession, stream: DataFrame, name: str) -> DataFrame:
-    """Run over the closed input into a new folder below the shared checkpoint folder."""
-    ensure_checkpoint_dir(spark)
-    base = f"{spark.sparkContext.getCheckpointDir()}/{name}-{uuid.uuid4().hex}"
+    """Run over the closed input into a new folder below the shared work folder."""
+    base = f"{work_dir(spark)}/{name}-{uuid.uuid4().hex}"
     T.run_once(stream, f"{base}/out", f"{base}/state")
     return spark.read.schema(stream.schema).parquet(f"{base}/out")
 

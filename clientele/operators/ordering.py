@@ -7,7 +7,6 @@ small table of piece totals supplies what lies before each piece. Results are ex
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Sequence
 
@@ -17,30 +16,25 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 
-def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Use the shared folder the session names; only a local session may fall back to its own."""
-    sc = spark.sparkContext
-    if sc.getCheckpointDir():
-        return
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    if named:
-        sc.setCheckpointDir(named)
-    elif sc.master.startswith("local"):
-        sc.setCheckpointDir(tempfile.mkdtemp(prefix="clientele-checkpoint-"))
-    else:
-        raise RuntimeError("set spark.checkpoint.dir to a folder all executors can reach")
+def work_dir(spark: SparkSession) -> str:
+    """The shared folder for intermediate tables: ``spark.checkpoint.dir``, else a folder in the warehouse."""
+    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    return named or f"{spark.conf.get('spark.sql.warehouse.dir')}/settled"
 
 
 def settled(df: DataFrame) -> DataFrame:
-    """Compute once and keep, as a Parquet table in the shared checkpoint folder, what several branches read.
+    """Compute once and keep, as a Parquet table in the shared work folder, what several branches read.
 
     Compared with a checkpoint of rows the table is columnar and compressed, later reads prune its
-    columns, and its real size guides joins. Losing an executor costs nothing that is written.
+    columns, and its real size guides joins. Losing an executor costs nothing that is written. The
+    table is deleted when the session's JVM ends.
     """
-    ensure_checkpoint_dir(df.sparkSession)
-    path = f"{df.sparkSession.sparkContext.getCheckpointDir()}/settled-{uuid.uuid4().hex}"
+    spark = df.sparkSession
+    path = f"{work_dir(spark)}/settled-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(folder)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def row_number_in_pieces(
