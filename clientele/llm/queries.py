@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from clientele.llm import bpe, chat, language_id, mixing, secrets, topk
+from clientele.llm import bpe, chat, jaccard, language_id, mixing, secrets, topk
 from clientele.llm.common import hex_digest, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -33,6 +33,29 @@ def op1(spark: SparkSession, root: str) -> DataFrame:
     return predicted.select("doc_id", language_id.held_out("doc_id").alias("held_out"), "lang_pred", "score")
 
 
+OP2_SQL = r"""
+WITH RECURSIVE docs AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                                '[^\x20\x09-\x0D]+') AS w FROM documents),
+sets AS (SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')]
+                ELSE list_distinct(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i+4], ' '))) END AS s FROM docs),
+classes AS (SELECT min(doc_id) AS v, s, len(s) AS n FROM (SELECT doc_id, list_sort(s) AS s FROM sets) WHERE len(s) > 0 GROUP BY s),
+entries AS (SELECT v, n, unnest(s) AS x FROM classes),
+pairs AS (SELECT a.v AS a, b.v AS b, a.n AS n, b.n AS m, count(*) AS o FROM entries a JOIN entries b ON a.x = b.x AND a.v < b.v GROUP BY ALL),
+links AS (SELECT a, b FROM pairs WHERE 100 * o >= 80 * (n + m - o)),
+ends AS (SELECT a AS v, b AS w FROM links UNION ALL SELECT b, a FROM links),
+reach AS (SELECT v, v AS r FROM classes UNION SELECT e.w, r.r FROM reach r JOIN ends e USING (v)),
+roots AS (SELECT v, min(r) AS root FROM reach GROUP BY v)
+SELECT d.doc_id, CAST(len(d.s) AS BIGINT) AS n_shingles, coalesce(root, d.doc_id) AS component_id
+FROM sets d LEFT JOIN classes c ON list_sort(d.s) = c.s LEFT JOIN roots USING (v)
+"""
+
+
+@query("op2_jaccard_join", OP2_SQL)
+def op2(spark: SparkSession, root: str) -> DataFrame:
+    members, _ = jaccard.jaccard_join(table(spark, root, "documents"))
+    return members.select("doc_id", "n_shingles", "component_id")
+
+
 @query("op3_bpe")
 def op3(spark: SparkSession, root: str) -> DataFrame:
     encoded = bpe.encode(table(spark, root, "documents").select("doc_id", "text"))
