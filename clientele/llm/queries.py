@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from clientele.llm import bpe, chat, jaccard, language_id, mixing, secrets, topk
+from clientele.llm import bpe, chat, jaccard, language_id, mixing, secrets, suffixes, topk
 from clientele.llm.common import hex_digest, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -157,6 +157,12 @@ def op7(spark: SparkSession, root: str) -> DataFrame:
     return chat.digests(chat.examples(turns.unionByName(more)))
 
 
+@query("op9_suffix_dedup")
+def op9(spark: SparkSession, root: str) -> DataFrame:
+    left = suffixes.remove_repeats(table(spark, root, "documents"))
+    return left.select("doc_id", "n_bytes", "n_removed", "n_spans", hex_digest(F.col("kept")).alias("kept_sha256"))
+
+
 OP10_SQL = """
 WITH usable AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS code FROM embeddings
                 WHERE embedding IS NOT NULL AND vec_id IS NOT NULL
