@@ -16,6 +16,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 
+# drop shuffle files when an execution ends; only around writes that cut the lineage
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def work_dir(spark: SparkSession) -> str:
     """The shared folder for intermediate tables: ``spark.checkpoint.dir``, else a folder in the warehouse."""
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
@@ -26,17 +30,33 @@ def settled(df: DataFrame) -> DataFrame:
     """Compute once and keep, as a Parquet table in the shared work folder, what several branches read.
 
     Compared with a checkpoint of rows the table is columnar and compressed, later reads prune its
-    columns, and its real size guides joins. Losing an executor costs nothing that is written. The
-    table is deleted when the session's JVM ends.
+    columns, and its real size guides joins. Losing an executor costs nothing that is written, so the
+    shuffle files of the run are dropped once the table is there. The table is deleted when the
+    session's JVM ends, or earlier by ``dropped``.
     """
     spark = df.sparkSession
     path = f"{work_dir(spark)}/settled-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    before = spark.conf.get(CLEANUP, "false")
+    spark.conf.set(CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(CLEANUP, before)
     folder = spark._jvm.org.apache.hadoop.fs.Path(path)
     folder.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(folder)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def dropped(*tables: DataFrame) -> None:
+    """Delete settled tables that nothing reads any more."""
+    for df in tables:
+        spark = df.sparkSession
+        for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+            if "/settled-" in folder:
+                path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+                path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def row_number_in_pieces(
     df: DataFrame,
     keys: Sequence[str],
