@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from clientele.llm import bpe, chat, jaccard, language_id, mixing, secrets, suffixes, topk
+from clientele.llm import bpe, chat, fingerprint, jaccard, language_id, mixing, secrets, suffixes, topk, urls
 from clientele.llm.common import hex_digest, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -64,6 +64,13 @@ def op3(spark: SparkSession, root: str) -> DataFrame:
                           hex_digest(F.col("ids")).alias("ids_sha256"), hex_digest(F.col("decoded")).alias("decoded_sha256"))
 
 
+@query("op4_fingerprints")
+def op4(spark: SparkSession, root: str) -> DataFrame:
+    made = fingerprint.fingerprints(table(spark, root, "documents"))
+    return made.select("doc_id", "n_chars", hex_digest(F.col("edited")).alias("edited_sha256"),
+                       "fingerprint", "edited_fingerprint", "near_edited", "near_next")
+
+
 OP5_SQL = r"""
 WITH docs AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS size FROM documents),
 sources AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size,
@@ -157,6 +164,11 @@ def op7(spark: SparkSession, root: str) -> DataFrame:
     return chat.digests(chat.examples(turns.unionByName(more)))
 
 
+@query("op8_url_filter")
+def op8(spark: SparkSession, root: str) -> DataFrame:
+    return urls.judge(table(spark, root, "pages")).select("page_id", "host", "path", "rule", "verdict")
+
+
 @query("op9_suffix_dedup")
 def op9(spark: SparkSession, root: str) -> DataFrame:
     left = suffixes.remove_repeats(table(spark, root, "documents"))
