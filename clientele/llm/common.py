@@ -8,6 +8,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql import Window as W
 
 # what separates words: blank, tab, line feed, vertical tab, form feed, carriage return
 WORD = r"[^\x20\x09-\x0D]+"
@@ -61,6 +62,39 @@ def map_texts(
     return narrow.mapInArrow(run, schema)
 
 
+def with_row_key(df: DataFrame, key: str) -> DataFrame:
+    """Add ``__h`` and ``__copy``, which with the key tell every row apart.
+
+    ``__h`` hashes all columns; ``__copy`` numbers rows equal in all of them, which are
+    interchangeable. If no row repeats, which one count finds, it is 0 and nothing is shuffled.
+    """
+    hashed = df.withColumn("__h", F.xxhash64(*[F.col(f"`{c}`") for c in df.columns]))
+    counts = hashed.groupBy(key, "__h").agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0]
+    if (counts or 0) <= 1:
+        return hashed.withColumn("__copy", F.lit(0))
+    return hashed.withColumn("__copy", F.row_number().over(W.partitionBy(key, "__h").orderBy("__h")))
+
+
+def without_row_key(df: DataFrame) -> DataFrame:
+    return df.drop("__h", "__copy")
+
+
+def on_row(left: DataFrame, right: DataFrame, key: str, how: str) -> DataFrame:
+    """Join two tables that carry the same row key; of the right one the other columns stay."""
+    named = right.select(F.col(key).alias("__r_key"), F.col("__h").alias("__r_h"), F.col("__copy").alias("__r_copy"),
+                         *[c for c in right.columns if c not in {key, "__h", "__copy"}])
+    same = F.col(key).eqNullSafe(F.col("__r_key")) & (F.col("__h") == F.col("__r_h")) & (F.col("__copy") == F.col("__r_copy"))
+    return left.join(named, same, how).drop("__r_key", "__r_h", "__r_copy")
+
+
+SMALL_ROWS = 1_000_000  # narrow rows up to which a table is broadcast; larger ones are shuffled
+
+
+def small(df: DataFrame) -> DataFrame:
+    """A settled narrow table with the hint to broadcast it, if a count finds few rows."""
+    return F.broadcast(df) if df.count() <= SMALL_ROWS else df
+
+
 def n_words(text: Column) -> Column:
     """Words of a text; null has none."""
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")

@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql import Window as W
 
-from clientele.llm.common import map_texts
+from clientele.llm.common import map_texts, small
 from clientele.llm.shingles import BASE, U, mixed, shingle_set
 from clientele.operators.ordering import settled
 
@@ -39,7 +39,6 @@ LARGEST_BOUNDARY = 64  # beyond it subsets are far more than list entries
 FREQUENT = 200_000  # shingles whose counts the common order knows; 3 MB on each executor
 CHUNK = 1 << 22  # shingles counted together inside a task
 SKETCH_BITS = 1024
-SMALL_ROWS = 1_000_000  # rows of one long up to which a list of wanted texts is broadcast
 
 
 def least_overlap(n: int, percent: int = PERCENT) -> int:
@@ -114,7 +113,7 @@ def statistics(df: DataFrame, text: str, percent: int, width: int) -> tuple[np.n
     return often["a"].to_numpy(np.int64).view(U), often["n"].to_numpy(np.int64), boundary
 
 
-def prepared(df: DataFrame, key: str, text: str, percent: int, width: int) -> DataFrame:
+def prepared(df: DataFrame, key: str, text: str, percent: int, width: int, also: list[str]) -> DataFrame:
     """One row per text: a row number, the set's size and signature, a bit sketch and the join keys."""
     frequent, counts, boundary = statistics(df, text, percent, width)
     order = df.sparkSession.sparkContext.broadcast((frequent, counts))
@@ -149,9 +148,9 @@ def prepared(df: DataFrame, key: str, text: str, percent: int, width: int) -> Da
         return lambda texts: [one(t) for t in texts]
 
     longs = T.ArrayType(T.LongType())
-    rows = df.select(F.col(key).alias("key"), F.col(text).alias("text"), F.xxhash64(F.col(text)).alias("th"))
+    rows = df.select(F.col(key).alias("key"), F.col(text).alias("text"), F.xxhash64(F.col(text)).alias("th"), *also)
     made = map_texts(rows, "text", make, ("n", T.LongType()), ("s1", T.LongType()), ("s2", T.LongType()), ("bits", longs),
-                     ("light", longs), ("single", longs), ("heavy", T.BooleanType()), keep=["key", "th"])
+                     ("light", longs), ("single", longs), ("heavy", T.BooleanType()), keep=["key", "th", *also])
     return settled(made.withColumn("row", F.monotonically_increasing_id()))
 
 
@@ -192,9 +191,7 @@ def verified(pairs: DataFrame, rows: DataFrame, texts: DataFrame, percent: int,
         F.struct(F.col("a").alias("v"), F.col("th_a").alias("th"), F.col("s1_a").alias("s1")),
         F.struct(F.col("b").alias("v"), F.col("th_b").alias("th"), F.col("s1_b").alias("s1"))))).distinct()
     wanted = settled(wanted)
-    hashes = wanted.select("th").distinct()
-    if hashes.count() <= SMALL_ROWS:
-        hashes = F.broadcast(hashes)
+    hashes = small(settled(wanted.select("th").distinct()))
     found = texts.withColumn("th", F.xxhash64("text")).join(hashes, "th", "left_semi").dropDuplicates(["th", "text"])
 
     def make():
@@ -229,20 +226,22 @@ def components(links: DataFrame) -> DataFrame:
             return labels
 
 
-def jaccard_join(df: DataFrame, key: str = "doc_id", text: str = "text", percent: int = PERCENT, width: int = WIDTH) -> tuple[DataFrame, DataFrame]:
+def jaccard_join(df: DataFrame, key: str = "doc_id", text: str = "text", percent: int = PERCENT, width: int = WIDTH,
+                 also: list[str] | None = None) -> tuple[DataFrame, DataFrame]:
     """Members and links of the join.
 
     Members: one row per row of ``df`` with ``key``, ``n_shingles``, ``component_id`` (smallest key
     reachable by links, the row's own included; null keys only count where there is no other),
-    ``class_id`` (rows with equal sets share it; null without words), ``text_hash`` and ``is_first``
-    (one row of each component; every row without words). Links: ``(class_id, other_id, overlap)``
+    ``class_id`` (rows with equal sets share it; null without words), ``text_hash``, ``is_first``
+    (one row of each component; every row without words) and the columns named in ``also``. Links: ``(class_id, other_id, overlap)``
     between classes, enough to connect every component; pairs inside a component that its links
     connect already are not listed. Null and empty texts have size 0 and link with nothing; equal rows are members
     of one class; texts are compared whole; an empty table gives empty results.
     """
     if not 60 <= percent <= 100:
         raise ValueError("subsets of two shingles serve similarities from 60 to 100 percent")
-    rows = prepared(df, key, text, percent, width)
+    also = also or []
+    rows = prepared(df, key, text, percent, width, also)
     grouped = rows.where("n > 0").groupBy("n", "s1", "s2")
     classes = settled(grouped.agg(F.min("row").alias("v"), F.min("key").alias("low")))
     lists = listed(rows, classes)
@@ -265,11 +264,11 @@ def jaccard_join(df: DataFrame, key: str = "doc_id", text: str = "text", percent
     placed = classes.join(roots, "v", "left").withColumn("root", F.coalesce("root", "v"))
     lows = placed.groupBy("root").agg(F.min("low").alias("component_id"))
     placed = settled(placed.join(lows, "root").select("n", "s1", "s2", "v", "root", "component_id"))
-    joined = rows.select("key", "th", "n", "s1", "s2", "row").join(placed, ["n", "s1", "s2"], "left")
+    joined = rows.select("key", "th", "n", "s1", "s2", "row", *also).join(placed, ["n", "s1", "s2"], "left")
     joined = joined.withColumn("component_id", F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("key")))
     firsts = joined.where("n > 0").groupBy("root").agg(F.min(F.struct(F.col("key").isNull().alias("none"), "key", "row")).alias("f"))
     firsts = firsts.select(F.col("f.row").alias("row"), F.lit(True).alias("is_first"))
     members = joined.join(firsts, "row", "left").select(
         F.col("key").alias(key), F.col("n").alias("n_shingles"), "component_id", F.col("v").alias("class_id"),
-        F.col("th").alias("text_hash"), (F.coalesce("is_first", F.lit(False)) | (F.col("n") == 0)).alias("is_first"))
+        F.col("th").alias("text_hash"), (F.coalesce("is_first", F.lit(False)) | (F.col("n") == 0)).alias("is_first"), *also)
     return members, links.select(F.col("a").alias("class_id"), F.col("b").alias("other_id"), "overlap")

@@ -65,16 +65,17 @@ def _before(df: DataFrame, keys: list[str], piece: str, order: list[Column | str
 
 
 def mix(df: DataFrame, text: str = "text", source: str = "source", key: str = "doc_id",
-        weights: tuple[float, ...] = WEIGHTS, most: int = MOST, seed: int = 7) -> DataFrame:
+        weights: tuple[float, ...] = WEIGHTS, most: int = MOST, seed: int = 7,
+        also: list[str] | None = None) -> DataFrame:
     """``(key, size, source_size, target, taken)`` and ``times``: how often each row is in the mix.
 
     ``taken`` is ``size`` times ``times``. The document at the cut is taken if more than half of it
     fits; documents without words, and all of them if nothing has words, are taken no times. A null
     source is a source of its own. Rows are told apart by a number given when they are first kept;
     the shuffled order depends on key, size and seed only, and rows equal in all of these are
-    interchangeable, so reruns agree. Other columns are dropped; join them back by the key.
+    interchangeable, so reruns agree. Of the other columns those named in ``also`` stay.
     """
-    rows = df.select(F.col(key).alias("key"), F.col(source).cast("string").alias("source"), n_words(F.col(text)).alias("size"))
+    rows = df.select(F.col(key).alias("key"), F.col(source).cast("string").alias("source"), n_words(F.col(text)).alias("size"), *(also or []))
     rows = settled(rows.withColumn("row", F.monotonically_increasing_id()))
     shares = settled(targets(rows.groupBy("source").agg(F.sum("size").alias("source_size")), weights, most))
     # 52 bits of a hash that any engine can repeat
@@ -99,4 +100,4 @@ def mix(df: DataFrame, text: str = "text", source: str = "source", key: str = "d
     counted = rows.join(known, F.col("source").eqNullSafe(F.col("__source"))).join(times, "row", "left")
     times = F.coalesce("times", F.lit(0)).cast("int")
     return counted.select(F.col("key").alias(key), "size", "source_size", "target",
-                          (F.col("size") * times).cast("long").alias("taken"), times.alias("times"))
+                          (F.col("size") * times).cast("long").alias("taken"), times.alias("times"), *(also or []))
