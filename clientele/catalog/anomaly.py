@@ -159,16 +159,15 @@ def deviation_pairs(spark: SparkSession, root: str) -> DataFrame:
 
 @query(
     "root_causes",
-    PAIR_SQL + """, ed AS (SELECT DISTINCT cause, effect FROM sc WHERE round(score, 9) >= 0.65),
-    e0 AS (SELECT DISTINCT cause AS root, cause AS node, ents, 0 AS depth FROM ed JOIN dev ON dev_id = cause WHERE cause NOT IN (SELECT effect FROM ed)),
-    e1 AS (SELECT DISTINCT root, effect AS node, list_sort(list_intersect(e0.ents, d.ents)) AS ents, 1 AS depth FROM e0 JOIN ed ON ed.cause = e0.node JOIN dev d ON d.dev_id = effect),
-    e2 AS (SELECT DISTINCT root, effect AS node, list_sort(list_intersect(e1.ents, d.ents)) AS ents, 2 AS depth FROM (SELECT * FROM e1 WHERE len(ents) > 0) e1 JOIN ed ON ed.cause = e1.node JOIN dev d ON d.dev_id = effect)
-    SELECT root, node, CAST(depth AS BIGINT) AS depth, array_to_string(list_sort(ents), ',') AS entities FROM
-      (SELECT * FROM e0 UNION ALL SELECT * FROM e1 WHERE len(ents) > 0 UNION ALL SELECT * FROM e2 WHERE len(ents) > 0)""",
+    PAIR_SQL.replace("WITH ", "WITH RECURSIVE ", 1) + """, ed AS (SELECT DISTINCT cause, effect FROM sc WHERE round(score, 9) >= 0.65),
+    walk AS (SELECT DISTINCT cause AS root, cause AS node, list_sort(ents) AS ents, 0 AS depth FROM ed JOIN dev ON dev_id = cause WHERE cause NOT IN (SELECT effect FROM ed)
+      UNION SELECT root, effect, list_sort(list_intersect(w.ents, d.ents)), depth + 1 FROM walk w JOIN ed ON ed.cause = w.node JOIN dev d ON d.dev_id = effect
+      WHERE len(list_intersect(w.ents, d.ents)) > 0)
+    SELECT root, node, CAST(min(depth) AS BIGINT) AS depth, array_to_string(ents, ',') AS entities FROM walk GROUP BY root, node, ents""",
 )
 def root_causes(spark: SparkSession, root: str) -> DataFrame:
     nodes = deviations(spark, root).select(F.col("dev_id").alias("node"), "entities")
-    out = D.root_causes(_scored(spark, root), nodes, max_depth=2)
+    out = D.root_causes(_scored(spark, root), nodes)
     return out.select("root", "node", F.col("depth").cast("bigint").alias("depth"), F.array_join(F.array_sort("entities"), ",").alias("entities"))
 
 

@@ -120,7 +120,7 @@ def transactions(spark: SparkSession, root: str) -> DataFrame:
 
 EVENTS_SQL = f"""WITH {CLEAN},
 placed AS (
-  SELECT customer_unique_id AS user_id, 'ORDER_' || substr(order_id, 1, 8) AS product_id, event_type, t AS ts, order_id AS session_id
+  SELECT customer_unique_id AS user_id, 'ORDER_' || order_id AS product_id, event_type, t AS ts, order_id AS session_id
   FROM (SELECT customer_unique_id, order_id, 'order_placed' AS event_type, ts AS t FROM clean_orders
         UNION ALL SELECT customer_unique_id, order_id, 'shipped', carrier FROM clean_orders
         UNION ALL SELECT customer_unique_id, order_id, 'delivered', delivered FROM clean_orders) WHERE t IS NOT NULL),
@@ -128,7 +128,7 @@ bought AS (SELECT o.customer_unique_id AS user_id, i.product_id, 'purchase' AS e
            FROM clean_items i JOIN clean_orders o USING (order_id)),
 first_review AS (SELECT order_id, score, created FROM raw_reviews
                  QUALIFY row_number() OVER (PARTITION BY order_id ORDER BY created, score) = 1),
-reviewed AS (SELECT o.customer_unique_id AS user_id, 'REVIEW_' || substr(order_id, 1, 8) AS product_id,
+reviewed AS (SELECT o.customer_unique_id AS user_id, 'REVIEW_' || order_id AS product_id,
                     'review_score_' || score AS event_type, created AS ts, order_id AS session_id
              FROM first_review JOIN clean_orders o USING (order_id)),
 journey AS (SELECT * FROM placed UNION ALL SELECT * FROM bought UNION ALL SELECT * FROM reviewed),

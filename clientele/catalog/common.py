@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -71,8 +73,7 @@ def sql_days(a: str, b: str) -> str:
 
 
 # cumulative Poisson(1) probabilities, as the sampling weights of the bootstrap use them
-POISSON_STEPS = (0.36787944117144233, 0.7357588823428847, 0.9196986029286058, 0.9810118431238462, 0.9963401531726563,
-                 0.9994058151824183, 0.999916758850712, 0.9999897508033253)
+POISSON_STEPS = tuple(sum(math.exp(-1.0) / math.factorial(k) for k in range(n + 1)) for n in range(12))
 
 
 def sql_seeds(key: str, seed: int = 42) -> str:
@@ -85,7 +86,7 @@ def sql_poisson(replicate: str = "r") -> str:
     u = (f"((h1 % 2147483647 + {replicate} * (h2 % 2147483647) + {replicate} * {replicate} * ((h1 + h2) % 65521)) % 2147483647"
          " / 2147483647.0::DOUBLE)")
     cases = " ".join(f"WHEN {u} < {limit!r}::DOUBLE THEN {k}" for k, limit in enumerate(POISSON_STEPS))
-    return f"CASE {cases} ELSE 8 END"
+    return f"CASE {cases} ELSE {len(POISSON_STEPS)} END"
 
 
 def sql_round(expr: str, digits: int = 4) -> str:

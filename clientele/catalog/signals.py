@@ -20,7 +20,7 @@ SESSIONS_SQL = """ev AS (
   FROM events e LEFT JOIN part p ON CAST(p.p_partkey AS VARCHAR) = json_extract_string(e.props, '$.k')),
 gaps AS (SELECT *, CASE WHEN epoch_us(ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts)) > 1800000000
                         THEN 1 ELSE 0 END AS fresh FROM ev),
-sess AS (SELECT *, user_id || '_S' || lpad(CAST(CAST(sum(fresh) OVER (PARTITION BY user_id ORDER BY ts) AS BIGINT) AS VARCHAR), 4, '0')
+sess AS (SELECT *, user_id || '_S' || printf('%04d', CAST(sum(fresh) OVER (PARTITION BY user_id ORDER BY ts) AS BIGINT))
               AS session_id FROM gaps)"""
 
 WEEKLY_SQL = f"""{SESSIONS_SQL},
@@ -42,7 +42,7 @@ weekly AS (
          count(CASE WHEN kind = 'add_to_cart' THEN 1 END) AS add_to_cart_events,
          count(DISTINCT user_id) AS active_users
   FROM sess JOIN prof USING (user_id)
-  WHERE ts >= DATE '{ASOF}' - INTERVAL 56 DAY
+  WHERE ts >= DATE '{ASOF}' - INTERVAL 56 DAY AND ts < DATE '{ASOF}' + INTERVAL 1 DAY
   GROUP BY ALL),
 trended AS (
   SELECT *, lag(purchase_count) OVER (PARTITION BY age_group, gender, city, product_category ORDER BY week_start) AS prev,
@@ -75,7 +75,8 @@ def log_with_sessions(spark: SparkSession, root: str) -> DataFrame:
 
 
 def signal_frame(spark: SparkSession, root: str) -> DataFrame:
-    return S.micro_signals(log_with_sessions(spark, root), star.user_profiles(spark, root), ASOF)
+    logged = sessions.sessionise(S.in_window(star.user_events(spark, root), ASOF))
+    return S.micro_signals(logged, star.user_profiles(spark, root), ASOF)
 
 
 @query("cohort_micro_signals", f"WITH {WEEKLY_SQL} SELECT {SIGNAL_OUT} FROM signal")

@@ -8,6 +8,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 _PRIME = 2_147_483_647
+LARGEST_DRAW = 12
 
 
 def _digest(seed: int, *cols: Column | str) -> Column:
@@ -40,9 +41,10 @@ def poisson_one(h1: Column, h2: Column, replicate: Column) -> Column:
         F.lit(_PRIME),
     )
     u = mixed / F.lit(float(_PRIME))
-    out, cumulative = F.lit(8), []
+    # to the resolution of the draw: a count of 13 or more has less than one part in 2^31
+    out, cumulative = F.lit(LARGEST_DRAW), []
     p, total = math.exp(-1.0), 0.0
-    for k in range(8):
+    for k in range(LARGEST_DRAW):
         total += p
         cumulative.append((k, total))
         p /= k + 1

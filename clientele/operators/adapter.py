@@ -162,8 +162,13 @@ def transactions(data: Mapping[str, DataFrame]) -> DataFrame:
     )
 
 
-def journey_events(data: Mapping[str, DataFrame]) -> DataFrame:
-    """Order life as events: four order stages, one purchase per item, one review per order."""
+def journey_events(data: Mapping[str, DataFrame], short_ids: bool = False) -> DataFrame:
+    """Order life as events: four order stages, one purchase per item, one review per order.
+
+    Stages and reviews are named after their order; ``short_ids`` keeps only the first eight letters
+    of its id, which lets different orders share a name.
+    """
+    named = F.substring("order_id", 1, 8) if short_ids else F.col("order_id")
     orders = data["owned_orders"]
     # Stage names and the order columns that hold their times.
     stages = {
@@ -175,7 +180,7 @@ def journey_events(data: Mapping[str, DataFrame]) -> DataFrame:
     steps = [F.struct(F.lit(k).alias("event_type"), F.col(c).alias("timestamp")) for k, c in stages.items()]
     placed = orders.select(
         F.col("customer_unique_id").alias("user_id"),
-        F.concat(F.lit("ORDER_"), F.substring("order_id", 1, 8)).alias("product_id"),
+        F.concat(F.lit("ORDER_"), named).alias("product_id"),
         F.inline(F.array(*steps)),
         F.col("order_id").alias("session_id"),
     ).where(F.col("timestamp").isNotNull())
@@ -194,7 +199,7 @@ def journey_events(data: Mapping[str, DataFrame]) -> DataFrame:
     )
     reviewed = first.where(F.col("__created").isNotNull()).join(owner, "order_id").select(
         "user_id",
-        F.concat(F.lit("REVIEW_"), F.substring("order_id", 1, 8)).alias("product_id"),
+        F.concat(F.lit("REVIEW_"), named).alias("product_id"),
         F.concat(F.lit("review_score_"), F.col("__score").cast("int").cast("string")).alias("event_type"),
         F.col("__created").alias("timestamp"),
         F.col("order_id").alias("session_id"),

@@ -10,7 +10,7 @@ from pyspark.sql import types as T
 
 from clientele.functions.hashing import poisson_one, replicate_seeds
 from clientele.functions.timeutil import seconds_between
-from clientele.operators.ordering import quantiles, settled
+from clientele.operators.ordering import join_keys, quantiles, settled
 
 # Detection thresholds and the weights of the four pair scores.
 Z_LIMIT = 4.0
@@ -65,22 +65,35 @@ def field_roles(df: DataFrame, small: int = 30, spread: float = 0.8) -> DataFram
 
 
 def robust_scores(baseline: DataFrame, current: DataFrame, value: str, keys: Sequence[str] = (), limit: float = Z_LIMIT) -> DataFrame:
-    """``|x - median| / MAD`` of current rows against the baseline of their key. Medians are exact."""
+    """``|x - median| / MAD`` of current rows against the baseline of their key. Medians are exact.
+
+    Any difference from a constant baseline deviates (``z`` is NULL there). Rows whose key has no
+    baseline stay, with ``no_baseline`` set; a NULL key is a key.
+    """
     keyed = baseline if keys else baseline.withColumn("__all", F.lit(1))
     now = current if keys else current.withColumn("__all", F.lit(1))
     by = list(keys) or ["__all"]
     middle = settled(quantiles(keyed, value, {"median": 0.5}, by))
-    apart = keyed.join(middle, by).select(*by, F.abs(F.col(value) - F.col("median")).alias("__d"))
+    apart = join_keys(keyed, middle, by).select(*by, F.abs(F.col(value) - F.col("median")).alias("__d"))
     mad = quantiles(apart, "__d", {"mad": 0.5}, by)
-    scored = now.join(middle, by).join(mad, by).withColumn("z", F.try_divide(F.abs(F.col(value) - F.col("median")), F.col("mad")))
-    return scored.withColumn("deviates", F.coalesce(F.round("z", 9) > limit, F.lit(False))).drop(*([] if keys else ["__all"]))
+    away = F.abs(F.col(value) - F.col("median"))
+    scored = join_keys(join_keys(now, middle, by, "left"), mad, by, "left").withColumn("z", F.try_divide(away, F.col("mad")))
+    beyond = F.when(F.col("mad") == 0, away > 0).otherwise(F.round("z", 9) > limit)
+    return (
+        scored.withColumn("deviates", F.coalesce(beyond, F.lit(False)))
+        .withColumn("no_baseline", F.col("median").isNull())
+        .drop(*([] if keys else ["__all"]))
+    )
 
 
 def stability_index(
     baseline: DataFrame, current: DataFrame, value: str, keys: Sequence[str] = (), bins: int = 10,
     limit: float = PSI_LIMIT, floor: float = 1e-4,
 ) -> DataFrame:
-    """Population stability index against baseline quantile bins, per key; empty bins count as ``floor``."""
+    """Population stability index against baseline quantile bins, per key; empty bins count as ``floor``.
+
+    A key that only one side has is compared with ``floor`` on the other; a new key has one bin.
+    """
     keyed = baseline if keys else baseline.withColumn("__all", F.lit(1))
     now = current if keys else current.withColumn("__all", F.lit(1))
     by = list(keys) or ["__all"]
@@ -89,13 +102,13 @@ def stability_index(
     rows = keyed.select(*by, value, F.lit(1.0).alias("p"), F.lit(0.0).alias("q")).unionByName(
         now.select(*by, value, F.lit(0.0).alias("p"), F.lit(1.0).alias("q"))
     )
-    binned = rows.where(F.col(value).isNotNull()).join(cuts, by).withColumn(
-        "bin", F.size(F.filter("cuts", lambda c: c < F.col(value)))
-    )
+    known = join_keys(rows.where(F.col(value).isNotNull()), cuts, by, "left")
+    known = known.withColumn("cuts", F.coalesce("cuts", F.array().cast("array<double>")))
+    binned = known.withColumn("bin", F.size(F.filter("cuts", lambda c: c < F.col(value))))
     counts = binned.groupBy(*by, "bin").agg(F.sum("p").alias("p"), F.sum("q").alias("q"), F.first(F.size("cuts") + 1).alias("n_bins"))
     totals = counts.groupBy(*by).agg(F.sum("p").alias("tp"), F.sum("q").alias("tq"))
-    shares = counts.join(totals, by)
-    p, q = F.greatest(F.col("p") / F.col("tp"), F.lit(floor)), F.greatest(F.try_divide("q", "tq"), F.lit(floor))
+    shares = join_keys(counts, totals, by)
+    p, q = F.greatest(F.try_divide("p", "tp"), F.lit(floor)), F.greatest(F.try_divide("q", "tq"), F.lit(floor))
     out = shares.groupBy(*by).agg(F.sum((q - p) * F.log(q / p)).alias("psi"))
     return out.withColumn("shifted", F.col("psi") > limit).drop(*([] if keys else ["__all"]))
 
@@ -258,29 +271,31 @@ def ablation(
     return out.withColumn("passed", (F.col("reduction") > limit) & (F.col("ci_95_lower") > limit))
 
 
-def root_causes(edges: DataFrame, entities: DataFrame, max_depth: int = 5) -> DataFrame:
-    """Roots (no incoming edge), and for every node they reach the entities common to the whole chain.
+def root_causes(edges: DataFrame, entities: DataFrame) -> DataFrame:
+    """Roots (no incoming edge), and for every node they reach the entities common to a whole chain.
 
-    ``edges`` is ``(cause, effect)``, ``entities`` ``(node, entities)``. One join per step.
+    ``edges`` is ``(cause, effect)``, ``entities`` ``(node, entities)``. One join per step, until no
+    step finds a new (root, node, entities); a cycle leads back to known ones, so it ends as well.
+    ``depth`` is the length of the shortest such chain.
     """
     edges = settled(edges.select("cause", "effect").distinct())
+    nodes = settled(entities.select("node", F.array_sort("entities").alias("entities")))
     roots = edges.select(F.col("cause").alias("node")).distinct().join(
         edges.select(F.col("effect").alias("node")), "node", "left_anti"
     )
-    front = roots.join(entities, "node").select(F.col("node").alias("root"), "node", "entities", F.lit(0).alias("depth"))
-    out = front
-    for step in range(1, max_depth + 1):
+    front = settled(roots.join(nodes, "node").select(F.col("node").alias("root"), "node", "entities", F.lit(0).alias("depth")))
+    out, step = front, 0
+    while not front.isEmpty():
+        step += 1
         reached = (
             front.join(edges, front["node"] == edges["cause"])
             .select("root", F.col("effect").alias("node"), F.col("entities").alias("__seen"))
-            .join(entities, "node")
-            .select("root", "node", F.array_intersect("__seen", "entities").alias("entities"), F.lit(step).alias("depth"))
+            .join(nodes, "node")
+            .select("root", "node", F.array_sort(F.array_intersect("__seen", "entities")).alias("entities"))
             .where(F.size("entities") > 0)
             .distinct()
         )
-        front = settled(reached)
-        if front.isEmpty():
-            break
+        front = settled(reached.join(out, ["root", "node", "entities"], "left_anti").withColumn("depth", F.lit(step)))
         out = out.unionByName(front)
     return out
 
@@ -300,7 +315,6 @@ def missing_responses(causes: DataFrame, effects: DataFrame, entity: str, time:
     seen = effects.select(F.col(entity).alias("__e"), F.col(time).alias("__at"), bucket(time).alias("__slot2"))
     lag = seconds_between(F.col(time), F.col("__at"))
     on = (F.col(entity) == F.col("__e")) & (F.col("__slot") == F.col("__slot2")) & (lag > 0) & (lag <= window_seconds)
-    unanswered = asked.join(seen, on, "left_anti")
-    # a cause is missing its response only if both of its slots stayed empty
-    names = causes.columns
-    return unanswered.groupBy(*names).agg(F.count(F.lit(1)).alias("__n")).where(F.col("__n") == 2).drop("__n")
+    answered = asked.join(seen, on, "left_semi").select(entity, time).distinct()
+    # whether an answer came depends on entity and time alone, so equal causes stay or go together
+    return join_keys(causes, answered, [entity, time], "left_anti")

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from clientele.operators.ordering import quantiles, settled
+from clientele.operators.ordering import join_keys, quantiles, settled
 
 ROW_LIMIT = 5000
 # Governed thresholds.
@@ -43,7 +43,8 @@ _OPS = {
 def governed_request(catalog: dict[str, Entity], request: dict, row_limit: int = ROW_LIMIT) -> DataFrame:
     """``{entity, filters, metric, sort, limit}`` as a DataFrame. Unknown names are refused.
 
-    A filter on a term, such as ``segment = premium``, becomes the governed rule behind it.
+    So is a limit above ``row_limit``, and a request without a limit that has more rows: an answer is
+    never cut without a word. A filter on a term, such as ``segment = premium``, becomes the governed rule behind it.
     """
     entity = catalog.get(request["entity"])
     if entity is None:
@@ -63,7 +64,13 @@ def governed_request(catalog: dict[str, Entity], request: dict, row_limit: int =
     by = F.col(metric)
     order = by.desc_nulls_last() if request.get("sort", "desc") == "desc" else by.asc_nulls_last()
     shown = list(dict.fromkeys([entity.key, *entity.fields.values(), metric]))
-    return df.select(*shown).orderBy(order, entity.key).limit(min(int(request.get("limit", row_limit)), row_limit))
+    if "limit" in request:
+        if int(request["limit"]) > row_limit:
+            raise PermissionError(f"a request may ask for {row_limit} rows at most")
+        return df.select(*shown).orderBy(order, entity.key).limit(int(request["limit"]))
+    if df.limit(row_limit + 1).count() > row_limit:
+        raise PermissionError(f"more than {row_limit} rows: narrow the filters or state a limit")
+    return df.select(*shown).orderBy(order, entity.key)
 
 
 def governed_rules(customers: DataFrame, contacts: DataFrame, asof: Column, key: str = "customer_id",
@@ -163,10 +170,13 @@ def score_swings(scores: DataFrame, entity: str, time: str, score: str, limit: f
 
 
 def request_roll_up(log: DataFrame, keys: Sequence[str], latency: str = "latency_ms", status: str = "status") -> DataFrame:
-    """Requests, failures, success rate and latency percentiles (exact) per key."""
+    """Requests, failures, success rate and latency percentiles (exact) per key.
+
+    A group of requests without a key, or without any latency, is a row too.
+    """
     counts = log.groupBy(*keys).agg(
         F.count(F.lit(1)).alias("requests"),
         F.count_if(F.col(status) != "success").alias("failures"),
         F.avg((F.col(status) == "success").cast("double")).alias("success_rate"),
     )
-    return counts.join(quantiles(log, latency, {"p50": 0.50, "p95": 0.95, "p99": 0.99}, keys), list(keys))
+    return join_keys(counts, quantiles(log, latency, {"p50": 0.50, "p95": 0.95, "p99": 0.99}, keys), keys, "left")

@@ -13,7 +13,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from clientele.functions.hashing import poisson_one, replicate_seeds
-from clientele.operators.ordering import running_totals
+from clientele.operators.ordering import join_keys, running_totals
 from clientele.operators.pairs import concordance
 
 
@@ -67,7 +67,7 @@ def classification_metrics(
     cm = confusion(keyed, label, score, by, threshold)
     curve = auc_and_ap(keyed, label, score, by)
     tp, fp, fn, tn = (F.col(c).cast("double") for c in ("tp", "fp", "fn", "tn"))
-    out = cm.join(curve, by).withColumns({
+    out = join_keys(cm, curve, by).withColumns({
         "precision": _ratio(tp, tp + fp), "recall": _ratio(tp, tp + fn), "f1": _ratio(2 * tp, 2 * tp + fp + fn),
         "accuracy": _ratio(tp + tn, tp + fp + fn + tn),
     })

@@ -57,6 +57,19 @@ def dropped(*tables: DataFrame) -> None:
                 path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def join_keys(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:
+    """Join on keys of the same name, where NULL equals NULL; the left side's keys stay."""
+    mine = [f"__right_{k}" for k in keys]
+    renamed = right.withColumnsRenamed(dict(zip(keys, mine, strict=True)))
+    on = F.lit(True)
+    for k, m in zip(keys, mine, strict=True):
+        on = on & F.col(k).eqNullSafe(F.col(m))
+    joined = left.join(renamed, on, how)
+    if how in ("full", "full_outer"):
+        joined = joined.withColumns({k: F.coalesce(k, m) for k, m in zip(keys, mine, strict=True)})
+    return joined.drop(*mine)
+
+
 def row_number_in_pieces(
     df: DataFrame,
     keys: Sequence[str],
@@ -68,7 +81,7 @@ def row_number_in_pieces(
     """1-based position of each row within its key; optionally the key's row count.
 
     ``piece`` must not decrease along the order. Each (key, piece) is numbered on its own and
-    shifted by the counts of the key's earlier pieces.
+    shifted by the counts of the key's earlier pieces. NULL is a key, and a piece, like any other.
     """
     pieced = df.withColumn("__piece", piece)
     counts = pieced.groupBy(*keys, "__piece").agg(F.count(F.lit(1)).alias("__n"))
@@ -80,7 +93,8 @@ def row_number_in_pieces(
         F.sum("__n").over(W.partitionBy(*keys)).alias("__total"),
     )
     within = W.partitionBy(*keys, "__piece").orderBy(*order)
-    numbered = pieced.withColumn("__rn", F.row_number().over(within)).join(shifts, [*keys, "__piece"])
+    numbered = pieced.withColumn("__rn", F.row_number().over(within))
+    numbered = join_keys(numbered, shifts, [*keys, "__piece"])
     result = numbered.withColumn(out, F.col("__rn") + F.col("__shift"))
     if total:
         result = result.withColumn(total, F.col("__total"))
@@ -108,7 +122,7 @@ def _with_piece(df: DataFrame, order: str, keys: Sequence[str], pieces: int) ->
         large = F.count(F.lit(1)) > 64 * pieces
         none = F.array().cast(T.ArrayType(df.schema[order].dataType))
         bounds = df.groupBy(*keys).agg(F.when(large, cuts).otherwise(none).alias("__cuts"))
-        df = df.join(bounds, list(keys))
+        df = join_keys(df, bounds, keys)
     else:
         df = df.withColumn("__cuts", df.agg(cuts.alias("__cuts")).scalar())
     # a value that is itself a cut gets a piece of its own, so a very frequent value stays alone
@@ -142,7 +156,7 @@ def running_totals(
     )
     inside = W.partitionBy(*keys, "__piece").orderBy(order).rowsBetween(W.unboundedPreceding, -1)
     result = pieced.select("*", *[F.coalesce(F.sum(c).over(inside), F.lit(0)).alias(f"__in_{c}") for c in sums])
-    result = result.join(shifts, [*keys, "__piece"])
+    result = join_keys(result, shifts, [*keys, "__piece"])
     for c, p in sums.items():
         result = result.withColumn(f"{p}_before", F.col(f"__in_{c}") + F.col(f"__shift_{c}"))
     return result.drop("__piece", *[f"__in_{c}" for c in sums], *[f"__shift_{c}" for c in sums])

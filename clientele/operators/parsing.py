@@ -69,7 +69,7 @@ def parse_json_answers(responses: DataFrame, raw: str = "raw") -> DataFrame:
             F.col("__pick.stage").alias("stage"),
             F.col("__pick.json").isNotNull().alias("success"),
             F.when(empty, "Empty input").when(F.col("__pick.json").isNull(), F.concat(
-                F.lit("all stages failed: "), F.substring(raw, 1, 200))).alias("error"),
+                F.lit("all stages failed: "), F.col(raw))).alias("error"),
         )
     )
 
@@ -192,8 +192,9 @@ def yaml_candidates(raw: Column) -> list[Column]:
 
 
 def regex_trends(raw: Column) -> Column:
-    """Key-value pairs after each ``rank:``, as a JSON text of at most five trends; NULL when none is found."""
-    blocks = F.slice(F.split(raw, r"(?:^|\n)\s*-?\s*rank\s*:"), 2, 1_000_000)
+    """Key-value pairs after each ``rank:``, as a JSON text of all trends; NULL when none is found."""
+    pieces = F.split(raw, r"(?:^|\n)\s*-?\s*rank\s*:")
+    blocks = F.slice(pieces, 2, F.size(pieces))
     pair = r'(?U)([\w_]+)\s*:\s*"?([^"\n]+)"?'
 
     def one(block: Column, i: Column) -> Column:
@@ -202,7 +203,7 @@ def regex_trends(raw: Column) -> Column:
         entries = F.filter(F.arrays_zip(keys.alias("k"), values.alias("v")), lambda e: e["k"] != "rank")
         # the last value of a repeated key stays
         last = F.filter(entries, lambda e, at: ~F.exists(
-            F.slice(entries, at + 2, 1_000_000), lambda later: later["k"] == e["k"]))
+            F.slice(entries, at + 2, F.size(entries)), lambda later: later["k"] == e["k"]))
         cells = F.transform(last, lambda e: F.concat(
             F.lit('"'), e["k"], F.lit('":'),
             F.coalesce(F.when(e["v"].try_cast("double").isNotNull(), F.regexp_replace(e["v"], r"^\+", "")),
@@ -211,7 +212,7 @@ def regex_trends(raw: Column) -> Column:
         return F.struct(F.size(cells).alias("n"), F.concat(F.lit("{"), body, F.lit("}")).alias("text"))
 
     found = F.filter(F.transform(blocks, one), lambda t: t["n"] > 1)
-    texts = F.array_join(F.transform(F.slice(found, 1, 5), lambda t: t["text"]), ",")
+    texts = F.array_join(F.transform(found, lambda t: t["text"]), ",")
     return F.when(F.size(found) > 0, F.concat(F.lit('{"trends":['), texts, F.lit("]}")))
 
 
@@ -270,7 +271,7 @@ def parse_yaml_answers(responses: DataFrame, doc: str = "doc", raw: str = "raw")
         F.try_element_at(names, F.col("__stage") + 1).alias("stage"),
         F.col("__stage").isNotNull().alias("success"),
         F.when(empty, "Empty input").when(F.col("__stage").isNull(), F.concat(
-            F.lit("all stages failed: "), F.substring("raw", 1, 200))).alias("error"),
+            F.lit("all stages failed: "), F.col("raw"))).alias("error"),
     )
 
 
@@ -293,4 +294,5 @@ def trends_of(parsed: DataFrame) -> DataFrame:
 
 
 def dead_letters(parsed: DataFrame) -> DataFrame:
+    """Answers that no stage could read; the error holds the whole answer."""
     return parsed.where(~F.col("success")).select("doc", "error")

@@ -43,10 +43,17 @@ class SignalSpec:
 # ---------------------------------------------------------------- weekly cohort aggregation
 
 
-def weekly_cohorts(events: DataFrame, profiles: DataFrame, since: Column | str | None = None) -> DataFrame:
-    """Counts, revenue and distinct users per cohort and Monday week; users without profile drop out."""
+def weekly_cohorts(
+    events: DataFrame, profiles: DataFrame, since: Column | str | None = None, until: Column | str | None = None
+) -> DataFrame:
+    """Counts, revenue and distinct users per cohort and Monday week; users without profile drop out.
+
+    ``since`` is the first instant that counts, ``until`` the first one that does not.
+    """
     if since is not None:
         events = events.where(F.col("event_timestamp") >= as_timestamp(since))
+    if until is not None:
+        events = events.where(F.col("event_timestamp") < as_timestamp(until))
     people = profiles.select("user_id", "gender", "city", R.age_group("age").alias("age_group"))
     kind = F.col("event_type")
     bought, viewed = kind == "purchase", kind == "page_view"
@@ -67,12 +74,13 @@ def weekly_cohorts(events: DataFrame, profiles: DataFrame, since: Column | str |
 
 def with_trends(weekly: DataFrame, cohort: Sequence[str] = COHORT, category: str = "product_category") -> DataFrame:
     """Ratios, the change against the previous week present, and the share of the national average."""
-    national = weekly.groupBy(category, "week_start").agg(F.avg("page_views").alias("national_avg_page_views"))
+    # a window and not a join: cohorts without a category stay, and the weekly frame is computed once
+    national = F.avg("page_views").over(W.partitionBy(category, "week_start"))
     previous = F.lag("purchase_count").over(W.partitionBy(*cohort).orderBy("week_start"))
     velocity = R.safe_ratio(F.col("purchase_count") - F.col("prev_week_purchases"), "prev_week_purchases")
     return (
         weekly.withColumn("prev_week_purchases", previous)
-        .join(national, [category, "week_start"])
+        .withColumn("national_avg_page_views", national)
         .withColumns(
             {
                 "purchase_rate": R.safe_ratio("purchasers", "active_users"),
@@ -87,17 +95,28 @@ def with_trends(weekly: DataFrame, cohort: Sequence[str] = COHORT, category: str
     )
 
 
+def in_window(events: DataFrame, asof: Column | str, lookback_weeks: int = 8) -> DataFrame:
+    """The events a report as of a day reads. Cutting before sessions are numbered changes no count."""
+    day = F.to_date(as_timestamp(asof))
+    since = F.date_sub(day, 7 * lookback_weeks).cast("timestamp_ntz")
+    until = F.date_add(day, 1).cast("timestamp_ntz")
+    return events.where((F.col("event_timestamp") >= since) & (F.col("event_timestamp") < until))
+
+
 def micro_signals(
     events: DataFrame, profiles: DataFrame, asof: Column | str, lookback_weeks: int = 8, output_weeks: int = 4,
     ordered: bool = False,
 ) -> DataFrame:
-    """The weekly micro-signal report. The output window is cut after the lag, which needs older weeks.
+    """The weekly micro-signal report as of the end of a day; later events do not count.
+
+    The output window is cut after the lag, which needs older weeks.
 
     ``ordered`` sorts the result by age group, category and falling week, for an export.
     """
     day = F.to_date(as_timestamp(asof))
     since = F.date_sub(day, 7 * lookback_weeks).cast("timestamp_ntz")
-    signals = with_trends(weekly_cohorts(events, profiles, since))
+    until = F.date_add(day, 1).cast("timestamp_ntz")
+    signals = with_trends(weekly_cohorts(events, profiles, since, until))
     report = signals.where(F.col("week_start") >= F.date_sub(day, 7 * output_weeks)).select(
         *COHORT, "week_start", "active_users", "purchasers", "purchase_count", "total_revenue", "page_views",
         "sessions", "add_to_cart_events", "purchase_rate", "cart_conversion_rate", "pages_per_session",

@@ -77,8 +77,9 @@ def commerce_checks(out: dict[str, DataFrame]) -> DataFrame:
 
 def signal_run(events: DataFrame, profiles: DataFrame, asof: Column | str, spec: S.SignalSpec) -> dict[str, DataFrame]:
     """Sessions, weekly signals, gate and its report, selected rows, benchmark and extracted trends."""
-    logged = events if "session_id" in events.columns else N.sessionise(events)
-    signals = S.micro_signals(logged, profiles, asof)
+    logged = events if "session_id" in events.columns else N.sessionise(S.in_window(events, asof))
+    # six results read the signals
+    signals = settled(S.micro_signals(logged, profiles, asof))
     cleaned = S.clean_signals(signals)
     return {
         "signals": signals,

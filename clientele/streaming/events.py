@@ -10,6 +10,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from clientele.operators.ordering import join_keys
+
 
 def read_events(spark: SparkSession, root: str, schema: str, glob: str = "*.parquet", files_per_trigger: int | None = None) -> DataFrame:
     """A folder of Parquet files as a stream."""
@@ -50,6 +52,28 @@ def weekly_counts(events: DataFrame, keys: list[str], time: str = "event_timesta
     )
 
 
+def open_sessions(events: DataFrame, finished: DataFrame, user: str = "user_id", time: str = "event_timestamp",
+                  gap: str = "30 minutes", lateness: str = "1 hour") -> DataFrame:
+    """The sessions of a closed input that its watermark did not finish, from the same events as a batch.
+
+    Only users with events near the end of the input are read again.
+    """
+    timed = events.withColumn("__t", F.col(time).cast("timestamp"))
+    last = timed.agg(F.max("__t")).scalar()
+    late = timed.where(F.col("__t") >= last - F.expr(f"INTERVAL {lateness}") - F.expr(f"INTERVAL {gap}") * 2).select(user).distinct()
+    whole = sessions(events.join(late, user, "left_semi"), user, time, gap, lateness)
+    return whole.join(finished.select(user, "started"), [user, "started"], "left_anti")
+
+
+def open_weeks(events: DataFrame, finished: DataFrame, keys: list[str], time: str = "event_timestamp",
+               lateness: str = "1 day") -> DataFrame:
+    """The weeks of a closed input that its watermark did not finish, from the same events as a batch."""
+    last = events.agg(F.max(time)).scalar()
+    since = F.date_trunc("week", last - F.expr(f"INTERVAL {lateness}"))
+    whole = weekly_counts(events.where(F.col(time) >= since), keys, time, lateness)
+    return join_keys(whole, finished.select(*keys, "week_start"), [*keys, "week_start"], "left_anti")
+
+
 def run_once(stream: DataFrame, out: str, checkpoint: str, mode: str = "append") -> StreamingQuery:
     """Process what is there, in micro-batches, into a Parquet folder; a restart continues where it stopped."""
     query = (

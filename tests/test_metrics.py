@@ -117,7 +117,7 @@ def test_missing_responses_window_edges(spark):
 def test_governed_access(spark):
     df = spark.createDataFrame([(1, "KR", 1450.0, 0.9), (2, "KR", 900.0, 0.95), (3, "US", 2000.0, 0.5)], "id int, country string, clv double, p double")
     cat = {"customer": V.Entity(df, "id", {"country": "country"}, {"propensity": "p"}, {("segment", "premium"): F.col("clv") > 1000})}
-    ask = {"entity": "customer", "metric": "propensity", "filters": [{"field": "segment", "value": "premium"}], "limit": 99_999}
+    ask = {"entity": "customer", "metric": "propensity", "filters": [{"field": "segment", "value": "premium"}], "limit": 4_999}
     assert [r.id for r in V.governed_request(cat, ask).collect()] == [1, 3]
     for wrong in ({"entity": "order"}, {"metric": "margin"}, {"filters": [{"field": "age", "op": "=", "value": 1}]}, {"filters": [{"field": "segment", "value": "gold"}]}):
         with pytest.raises(PermissionError):
