@@ -87,6 +87,15 @@ def on_row(left: DataFrame, right: DataFrame, key: str, how: str) -> DataFrame:
     return left.join(named, same, how).drop("__r_key", "__r_h", "__r_copy")
 
 
+def packed(columns: list[str]) -> list[Column]:
+    """Columns that only pass through, as one struct, so that their names clash with no inner one."""
+    return [F.struct(*[F.col(f"`{c}`") for c in columns]).alias("__also")] if columns else []
+
+
+def unpacked(columns: list[str]) -> list[Column]:
+    return [F.col("__also").getField(c).alias(c) for c in columns]
+
+
 SMALL_ROWS = 1_000_000  # narrow rows up to which a table is broadcast; larger ones are shuffled
 
 

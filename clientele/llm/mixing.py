@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from clientele.llm.common import n_words
+from clientele.llm.common import n_words, packed, unpacked
 from clientele.operators.ordering import settled
 
 WEIGHTS = (1, 2, 3)
@@ -75,7 +75,7 @@ def mix(df: DataFrame, text: str = "text", source: str = "source", key: str = "d
     the shuffled order depends on key, size and seed only, and rows equal in all of these are
     interchangeable, so reruns agree. Of the other columns those named in ``also`` stay.
     """
-    rows = df.select(F.col(key).alias("key"), F.col(source).cast("string").alias("source"), n_words(F.col(text)).alias("size"), *(also or []))
+    rows = df.select(F.col(key).alias("key"), F.col(source).cast("string").alias("source"), n_words(F.col(text)).alias("size"), *packed(also or []))
     rows = settled(rows.withColumn("row", F.monotonically_increasing_id()))
     shares = settled(targets(rows.groupBy("source").agg(F.sum("size").alias("source_size")), weights, most))
     # 52 bits of a hash that any engine can repeat
@@ -91,8 +91,10 @@ def mix(df: DataFrame, text: str = "text", source: str = "source", key: str = "d
     sent = queued.where(F.col("size") > 0).withColumn("turn", F.explode(passes))
     finish = (F.col("turn") * F.col("source_size") + F.col("sent") + F.col("size")) / F.col("target")
     sent = sent.withColumn("finish", finish).withColumn("__all", F.lit(0))
-    # finish times run from 0 to little above 1, and equal steps of time hold equal sizes
-    sent = sent.withColumn("piece", F.least(F.floor(F.col("finish") * PIECES), F.lit(2 * PIECES)))
+    # the cut lies near time 1, and equal steps of time hold equal sizes; later times, which only sources
+    # with small targets have, are cut into equal steps of their logarithm
+    late = PIECES + F.floor(F.log2("finish") * PIECES)
+    sent = sent.withColumn("piece", F.when(F.col("finish") < 2, F.floor(F.col("finish") * PIECES)).otherwise(late))
     merged = _before(sent, ["__all"], "piece", ["finish", F.col("source").asc_nulls_last(), *order[:3], "turn", "row"], "size", "total")
     budget = shares.agg(F.coalesce(F.sum("target"), F.lit(0.0)).alias("budget")).scalar()
     fits = F.col("total") + F.col("size") / 2 < budget
@@ -100,4 +102,4 @@ def mix(df: DataFrame, text: str = "text", source: str = "source", key: str = "d
     counted = rows.join(known, F.col("source").eqNullSafe(F.col("__source"))).join(times, "row", "left")
     times = F.coalesce("times", F.lit(0)).cast("int")
     return counted.select(F.col("key").alias(key), "size", "source_size", "target",
-                          (F.col("size") * times).cast("long").alias("taken"), times.alias("times"), *(also or []))
+                          (F.col("size") * times).cast("long").alias("taken"), times.alias("times"), *unpacked(also or []))
