@@ -54,8 +54,8 @@ HASH = "CAST(('0x' || substr(md5('42|' || vec_id), 1, 8)) AS BIGINT)"
 
 @query(
     "embedding_uniformity",
-    f"""WITH {UNIT}, s AS (SELECT vec_id, u FROM unit ORDER BY {HASH}, vec_id LIMIT 5000),
-    p AS (SELECT CASE WHEN a.vec_id = b.vec_id THEN 0 ELSE greatest(list_sum(list_transform(list_zip(a.u, b.u), lambda z: (z[1] - z[2]) * (z[1] - z[2]))), 0) END AS d FROM s a, s b)
+    f"""WITH {UNIT}, s AS (SELECT vec_id, u, floor({HASH} / 4294967296.0::DOUBLE * greatest(1, (SELECT count(*) FROM unit) // 5000)) AS cell FROM unit),
+    p AS (SELECT CASE WHEN a.vec_id = b.vec_id THEN 0 ELSE greatest(list_sum(list_transform(list_zip(a.u, b.u), lambda z: (z[1] - z[2]) * (z[1] - z[2]))), 0) END AS d FROM s a JOIN s b USING (cell))
     SELECT {sql_round('ln(avg(exp(-2 * d)))')} AS uniformity_loss, {sql_round('avg(sqrt(d))')} AS avg_pairwise_distance FROM p""",
 )
 def embedding_uniformity(spark: SparkSession, root: str) -> DataFrame:

@@ -15,9 +15,9 @@ from pyspark.sql import functions as F
 from clientele.functions.hashing import unit_hash
 from clientele.operators.pairs import kernel_sums, label_distances
 
-# Cluster counts of the sweep and the row sample of the uniformity estimate.
+# Cluster counts of the sweep and the rows each row is compared with for uniformity.
 CLUSTER_COUNTS = (3, 5, 8, 10, 15)
-UNIFORMITY_ROWS = 5000
+CELL_ROWS = 5000
 
 
 def norm(vector: Column | str) -> Column:
@@ -105,13 +105,16 @@ def effective_rank(vectors: DataFrame, vector: str = "embedding") -> DataFrame:
     })
 
 
-def uniformity(vectors: DataFrame, key: str, vector: str = "embedding", rows: int = UNIFORMITY_ROWS, seed: int = 42) -> DataFrame:
-    """Log of the mean Gaussian kernel and mean distance over the pairs of a seeded sample of rows.
+def uniformity(vectors: DataFrame, key: str, vector: str = "embedding", cell_rows: int = CELL_ROWS, seed: int = 42) -> DataFrame:
+    """Log of the mean Gaussian kernel and mean distance over pairs of rows.
 
-    The sample is the operator: rows in hash order, as many as asked for.
+    Rows fall into cells of about ``cell_rows`` by a seeded hash, and every row is compared with all
+    rows of its cell, so every row counts and the cost is linear. Up to twice as many rows are one cell,
+    in which all pairs are compared.
     """
-    sampled = vectors.select(key, vector).orderBy(unit_hash(seed, key), key).limit(rows)
-    sums = kernel_sums(sampled, key, vector)
+    cells = max(1, vectors.count() // cell_rows)
+    cell = F.floor(unit_hash(seed, key) * cells)
+    sums = kernel_sums(vectors, key, vector, cell=cell, cell_rows=cell_rows)
     return sums.select(
         F.log(F.col("kernel") / F.col("pairs")).alias("uniformity_loss"),
         (F.col("distance") / F.col("pairs")).alias("avg_pairwise_distance"),

@@ -74,9 +74,14 @@ def classifiers(sizes: ModelSizes, seed: int = 42, boosted: bool = True) -> dict
     return out
 
 
-def regressors(sizes: ModelSizes, seed: int = 42) -> dict:
+def ridge(n_train: int) -> LinearRegression:
+    """Ridge with penalty 1 on the sum of squares, which is 1 / n on the mean that MLlib minimises."""
+    return LinearRegression(regParam=1.0 / max(n_train, 1), elasticNetParam=0.0)
+
+
+def regressors(sizes: ModelSizes, n_train: int, seed: int = 42) -> dict:
     return {
-        "ridge_regression": LinearRegression(regParam=1e-3, elasticNetParam=0.0),
+        "ridge_regression": ridge(n_train),
         "random_forest": RandomForestRegressor(numTrees=sizes.trees, maxDepth=sizes.depth,
                                                minInstancesPerNode=sizes.leaf_rows, seed=seed),
         "boosted_trees": GBTRegressor(maxIter=sizes.rounds, maxDepth=sizes.boost_depth, stepSize=sizes.step,
@@ -133,13 +138,22 @@ BINARY_METRICS = ("auc_roc", "f1", "precision", "recall", "accuracy", "avg_preci
 REGRESSION_METRICS = ("rmse", "mae", "r2")
 
 
+def _skipped(data: DataFrame, task: str, why: str, rows: int) -> DataFrame:
+    return data.sparkSession.createDataFrame([(task, "skipped", why, float(rows))], "task string, model string, metric string, value double")
+
+
 def train_baselines(data: DataFrame, tasks: Sequence[Task] = TASKS, sizes: ModelSizes = ModelSizes(), seed: int = 42,
                     test: str = "test") -> DataFrame:
-    """Every model on every task. A task without its target, without two classes or with too few rows is skipped."""
+    """Every model on every task.
+
+    A task without its target, without two classes or with too few rows is not trained: it gives one
+    row with the model ``skipped``, the reason as metric and the number of training rows as value.
+    """
     data = settled(data)
     out = []
     for task in tasks:
         if task.target not in data.columns:
+            out.append(_skipped(data, task.name, "no target", 0))
             continue
         rows = data.where(F.col(task.valid)) if task.valid else data
         rows = rows.where(F.col(task.target).isNotNull()).withColumn("label", F.col(task.target).cast("double"))
@@ -147,8 +161,10 @@ def train_baselines(data: DataFrame, tasks: Sequence[Task] = TASKS, sizes: Model
         size = rows.groupBy("split").agg(F.count(F.lit(1)).alias("n"), F.min("label").alias("a"), F.max("label").alias("b")).collect()
         n = {r["split"]: r for r in size}  # one row per split
         if "train" not in n or test not in n or n["train"]["n"] < MIN_TRAIN or n[test]["n"] < MIN_TEST:
+            out.append(_skipped(data, task.name, "too few rows", n["train"]["n"] if "train" in n else 0))
             continue
         if task.kind != "regression" and n["train"]["a"] == n["train"]["b"]:
+            out.append(_skipped(data, task.name, "one class", n["train"]["n"]))
             continue
         if task.kind == "binary":
             for name, model in classifiers(sizes, seed).items():
@@ -162,7 +178,7 @@ def train_baselines(data: DataFrame, tasks: Sequence[Task] = TASKS, sizes: Model
                 out.append(_rows(M.multiclass_metrics(pred), task.name, name, ("accuracy", "f1_macro", "f1_weighted")))
         else:
             fit_on = train.withColumn("label", R.to_log_target("label")) if task.log else train
-            for name, model in regressors(sizes, seed).items():
+            for name, model in regressors(sizes, n["train"]["n"], seed).items():
                 pred = model.fit(fit_on).transform(rows.where("split <> 'train'"))
                 if task.log:
                     pred = pred.withColumn("prediction", R.from_log_target("prediction"))
@@ -216,7 +232,8 @@ def regression_probe(vectors: DataFrame, key: str, vector: str, target: str, tas
     """Ridge regression on scaled vectors: errors and rank correlations of its predictions."""
     hashed = vectors.withColumn("split", F.when(unit_hash(seed, key) < 0.2, "test").otherwise("train"))
     data = settled(_scaled(hashed.withColumn("label", F.col(target).cast("double")), vector))
-    pred = LinearRegression(regParam=1e-3, elasticNetParam=0.0).fit(data.where("split = 'train'")).transform(data.where("split = 'test'"))
+    train = data.where("split = 'train'")
+    pred = ridge(train.count()).fit(train).transform(data.where("split = 'test'"))
     pred = settled(pred.select("label", "prediction"))
     ranks = M.spearman(pred, "label", "prediction").withColumn("kendall", M.kendall(pred, "label", "prediction").scalar())
     return _union([
@@ -233,7 +250,7 @@ def cross_validated(vectors: DataFrame, key: str, vector: str, label: str, task:
         model, metric = LogisticRegression(maxIter=max_iter), MulticlassClassificationEvaluator(metricName="accuracy")
     else:
         placed = vectors.withColumn("fold", F.floor(unit_hash(seed, key) * folds).cast("int"))
-        model, metric = LinearRegression(regParam=1e-3), RegressionEvaluator(metricName="r2")
+        model, metric = ridge(placed.count() * (folds - 1) // folds), RegressionEvaluator(metricName="r2")
     data = settled(placed.select("fold", F.col(label).cast("double").alias("label"),
                                  array_to_vector(F.transform(vector, lambda x: x.cast("double"))).alias("features")))
     cv = CrossValidator(estimator=model, estimatorParamMaps=ParamGridBuilder().build(), evaluator=metric, numFolds=folds, foldCol="fold")

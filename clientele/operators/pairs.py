@@ -9,7 +9,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from clientele.operators.ordering import _with_piece, settled, top_rows
@@ -45,10 +45,15 @@ def squared_distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.maximum(d, 0.0)
 
 
-def kernel_sums(vectors: DataFrame, key: str, vector: str, temperature: float = 2.0, block_rows: int = BLOCK_ROWS) -> DataFrame:
-    """Sums over all ordered pairs, self pairs included: Gaussian kernel, distance, and their number."""
-    n = vectors.count()
-    paired = block_pairs(vectors.select(key, vector), key, _blocks(n, block_rows))
+def kernel_sums(vectors: DataFrame, key: str, vector: str, temperature: float = 2.0, block_rows: int = BLOCK_ROWS,
+                cell: Column | None = None, cell_rows: int | None = None) -> DataFrame:
+    """Sums over ordered pairs, self pairs included: Gaussian kernel, distance, and their number.
+
+    All pairs by default; with ``cell`` only those of one cell, which holds about ``cell_rows`` rows.
+    """
+    n = cell_rows if cell_rows else vectors.count()
+    cell = F.lit(0) if cell is None else cell
+    paired = block_pairs(vectors.select(key, vector, cell.alias("__cell")), key, _blocks(n, block_rows))
 
     def work(pdf: pd.DataFrame) -> pd.DataFrame:
         a = unit_rows(_matrix(pdf.loc[pdf["side"] == 0, vector]).astype(float))
@@ -63,7 +68,7 @@ def kernel_sums(vectors: DataFrame, key: str, vector: str, temperature: float =
             times = 2.0
         return pd.DataFrame({"kernel": [times * np.exp(-temperature * d).sum()], "distance": [times * np.sqrt(d).sum()], "pairs": [times * d.size]})
 
-    parts = paired.groupBy("left", "right").applyInPandas(work, "kernel double, distance double, pairs double")
+    parts = paired.groupBy("__cell", "left", "right").applyInPandas(work, "kernel double, distance double, pairs double")
     return parts.agg(F.sum("kernel").alias("kernel"), F.sum("distance").alias("distance"), F.sum("pairs").alias("pairs"))
 
 

@@ -118,3 +118,20 @@ def test_block_statistics_match_brute_force(spark):
     for q in range(10):
         expected = sorted(range(10, 60), key=lambda j: (round(plain[q, j], 12), j))[:3]
         assert [r.neighbour for r in sorted((r for r in near if r.query == q), key=lambda r: r.place)] == expected
+
+
+def test_uniformity_reads_every_row_in_cells(spark):
+    import numpy as np
+
+    from clientele.functions.hashing import unit_hash
+    from clientele.operators import embeddings as E
+
+    rng = np.random.default_rng(3)
+    m = rng.normal(size=(60, 4))
+    df = spark.createDataFrame([(i, row.tolist()) for i, row in enumerate(m)], "id long, v array<double>")
+    cells = {r.id: int(r.u * 6) for r in df.select("id", unit_hash(42, "id").alias("u")).collect()}
+    u = m / np.linalg.norm(m, axis=1, keepdims=True)
+    d = [((u[i] - u[j]) ** 2).sum() for i in range(60) for j in range(60) if cells[i] == cells[j]]
+    got = E.uniformity(df, "id", "v", cell_rows=10).first()
+    assert abs(got.uniformity_loss - np.log(np.mean(np.exp(-2 * np.array(d))))) < 1e-6
+    assert abs(got.avg_pairwise_distance - np.mean(np.sqrt(d))) < 1e-6
