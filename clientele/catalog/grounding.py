@@ -229,17 +229,16 @@ def recommendation_checks(spark: SparkSession, root: str) -> DataFrame:
 )
 def playbook(spark: SparkSession, root: str) -> DataFrame:
     answers = trend_answers(spark, root)
-    entries = C.playbook(answers.withColumn("trend_title", F.col("doc")))
-    return comparable(entries.select(F.col("title").alias("doc"), "trend_id", "segment", "metric_value"))
+    return comparable(C.playbook(answers).select("doc", "trend_id", "segment", "metric_value"))
 
 
 @query(
     "compacted_state",
-    f"""WITH {TOP5_SQL} SELECT 'micro_signal' AS signal_id, 'TREND-' || rank AS trend_id, {sql_round('coalesce(metric, 0)')} AS "value", count(*) AS n FROM top5 GROUP BY ALL""",
+    f"""WITH {TOP5_SQL} SELECT doc, 'micro_signal' AS signal_id, 'TREND-' || rank AS trend_id, {sql_round('coalesce(metric, 0)')} AS "value" FROM top5""",
 )
 def compacted_state(spark: SparkSession, root: str) -> DataFrame:
     state = C.compact_state(trend_answers(spark, root), "micro_signal", "PASSED", "2024-01-30T00:00:00")
-    return comparable(state.select("signal_id", "trend_id", "value")).groupBy("signal_id", "trend_id", "value").agg(F.count(F.lit(1)).alias("n"))
+    return comparable(state.select("doc", "signal_id", "trend_id", "value"))
 
 
 # ---------------------------------------------------------------- insights

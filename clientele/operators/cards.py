@@ -167,14 +167,22 @@ def segment_text(age: Column | str, gender: Column | str, city: Column | str) ->
     return F.concat_ws(" / ", age, gender, F.coalesce(city, F.lit("All")))
 
 
+def _doc(df: DataFrame) -> list[str]:
+    return ["doc"] if "doc" in df.columns else []
+
+
 def playbook(trends: DataFrame) -> DataFrame:
-    """Trend rows as playbook entries with the id recommendations cite."""
+    """Trend rows as playbook entries with the id recommendations cite; ``doc`` stays if there is one.
+
+    Ids count within a document, so entries of several documents are told apart by ``doc`` and id.
+    """
     segment = (
         F.array_join(F.transform(F.array_sort(F.map_entries("segment")), lambda e: F.concat_ws("=", e["key"], e["value"])), " / ")
         if "segment" in trends.columns
         else segment_text(F.col("age_group"), F.col("gender"), F.col("city"))
     )
     return trends.select(
+        *_doc(trends),
         F.concat(F.lit("TREND-"), F.col("rank").cast("string")).alias("trend_id"),
         "rank",
         F.col("trend_title").alias("title"),
@@ -190,7 +198,10 @@ def playbook(trends: DataFrame) -> DataFrame:
 
 
 def playbook_text(entries: DataFrame, notes: Column | str | None = None) -> DataFrame:
-    """The entries as one text in rank order; an answer holds a handful of trends."""
+    """The entries of each document as one text in rank order; an answer holds a handful of trends.
+
+    Without a column ``doc`` all entries are one document.
+    """
     block = F.concat_ws(
         "\n",
         F.concat(F.lit("["), F.col("trend_id"), F.lit("]")),
@@ -207,14 +218,15 @@ def playbook_text(entries: DataFrame, notes: Column | str | None = None) -> Data
     if notes is not None:
         tail = notes if isinstance(notes, Column) else F.lit(notes)
         text = F.concat(text, F.lit("\n\n\n[DATA-QUALITY-NOTES]\n  "), tail)
-    return entries.agg(text.alias("text"))
+    return entries.groupBy(*_doc(entries)).agg(text.alias("text"))
 
 
 def compact_state(trends: DataFrame, signal: str, status: Column | str, generated_at: Column | str) -> DataFrame:
-    """What the next run needs of this one: one small row per trend, for an append-only table."""
+    """What the next run needs of this one: one small row per trend (and document), for an append-only table."""
     stated = status if isinstance(status, Column) else F.lit(status)
     at = generated_at if isinstance(generated_at, Column) else F.lit(generated_at)
     return trends.select(
+        *_doc(trends),
         F.lit(signal).alias("signal_id"),
         at.alias("generated_at"),
         F.concat(F.lit("TREND-"), F.col("rank").cast("string")).alias("trend_id"),

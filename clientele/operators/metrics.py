@@ -13,7 +13,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from clientele.functions.hashing import poisson_one, replicate_seeds
-from clientele.operators.ordering import join_keys, running_totals
+from clientele.operators.ordering import PIECE_ROWS, join_keys, running_totals
 from clientele.operators.pairs import concordance
 
 
@@ -295,14 +295,14 @@ def spearman(df: DataFrame, x: str, y: str) -> DataFrame:
     return ranked.agg(F.corr("__rx", "__ry").alias("spearman"))
 
 
-def kendall(df: DataFrame, x: str, y: str, pieces: int = 64) -> DataFrame:
+def kendall(df: DataFrame, x: str, y: str, piece_rows: int = PIECE_ROWS) -> DataFrame:
     """Exact tau-b. Pairs are counted by cells of a grid over both value ranges.
 
     Pairs in different columns and rows of the grid follow from its cell counts alone; the other
     pairs share a column or a row and are counted there, piece by piece.
     """
     points = df.groupBy(F.col(x).cast("double").alias("x"), F.col(y).cast("double").alias("y")).agg(F.count(F.lit(1)).alias("w"))
-    net = concordance(points, pieces)
+    net = concordance(points, piece_rows)
     tie_x = df.groupBy(x).agg(F.count(F.lit(1)).alias("n")).agg(F.sum(F.col("n") * (F.col("n") - 1) / 2)).scalar()
     tie_y = df.groupBy(y).agg(F.count(F.lit(1)).alias("n")).agg(F.sum(F.col("n") * (F.col("n") - 1) / 2)).scalar()
     n = df.agg(F.count(F.lit(1))).scalar()

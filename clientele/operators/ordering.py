@@ -113,18 +113,24 @@ def row_number_by_time(
     return row_number_in_pieces(df, keys, [time, *ties], F.to_date(time), out, total)
 
 
-def _with_piece(df: DataFrame, order: str, keys: Sequence[str], pieces: int) -> DataFrame:
-    cuts = F.array_distinct(
-        F.percentile_approx(order, [i / pieces for i in range(1, pieces)], F.lit(20 * pieces))
-    )
+# A key is cut into as many pieces as its rows fill, up to this number.
+MOST_PIECES = 512
+PIECE_ROWS = 65_536
+
+
+def _with_piece(df: DataFrame, order: str, keys: Sequence[str], piece_rows: int) -> DataFrame:
+    shares = [i / MOST_PIECES for i in range(1, MOST_PIECES)]
+    finest = F.percentile_approx(order, shares, F.lit(20 * MOST_PIECES))
+    bounds = df.groupBy(*keys).agg(finest.alias("__finest"), F.count(F.lit(1)).alias("__rows"))
+    pieces = F.least(F.ceil(F.col("__rows") / piece_rows), F.lit(MOST_PIECES))
+    # of the finest cuts those nearest to equal pieces; a key of one piece carries none
+    chosen = F.filter("__finest", lambda x, i: F.floor((i + 1) * pieces / MOST_PIECES) > F.floor(i * pieces / MOST_PIECES))
+    none = F.array().cast(T.ArrayType(df.schema[order].dataType))
+    bounds = bounds.select(*keys, F.coalesce(F.array_distinct(chosen), none).alias("__cuts"))
     if keys:
-        # a small key is one piece and carries no cut points
-        large = F.count(F.lit(1)) > 64 * pieces
-        none = F.array().cast(T.ArrayType(df.schema[order].dataType))
-        bounds = df.groupBy(*keys).agg(F.when(large, cuts).otherwise(none).alias("__cuts"))
         df = join_keys(df, bounds, keys)
     else:
-        df = df.withColumn("__cuts", df.agg(cuts.alias("__cuts")).scalar())
+        df = df.withColumn("__cuts", bounds.scalar())
     # a value that is itself a cut gets a piece of its own, so a very frequent value stays alone
     below = F.size(F.filter("__cuts", lambda c: c < F.col(order)))
     piece = 2 * below + F.array_contains("__cuts", F.col(order)).cast("int")
@@ -136,7 +142,7 @@ def running_totals(
     order: str,
     sums: dict[str, str],
     keys: Sequence[str] = (),
-    pieces: int = 64,
+    piece_rows: int = PIECE_ROWS,
 ) -> DataFrame:
     """Totals of the rows with a smaller ``order`` value, exclusive of the row itself.
 
@@ -144,7 +150,7 @@ def running_totals(
     ``{"n": "cum"}`` adds ``cum_before`` and ``cum_total``. The input is read three times (cuts,
     piece totals, rows), so it is settled first.
     """
-    pieced = _with_piece(settled(df), order, keys, pieces)
+    pieced = _with_piece(settled(df), order, keys, piece_rows)
     parts = pieced.groupBy(*keys, "__piece").agg(*[F.sum(c).alias(f"__part_{c}") for c in sums])
     scope = W.partitionBy(*keys) if keys else W.partitionBy(F.lit(0))
     earlier = scope.orderBy("__piece").rowsBetween(W.unboundedPreceding, -1)
@@ -167,7 +173,7 @@ def quantiles(
     value: str,
     probs: dict[str, float],
     keys: Sequence[str] = (),
-    pieces: int = 64,
+    piece_rows: int = PIECE_ROWS,
 ) -> DataFrame:
     """Exact quantiles with linear interpolation, per key or over the whole frame.
 
@@ -178,7 +184,7 @@ def quantiles(
         .groupBy(*keys, value)
         .agg(F.count(F.lit(1)).alias("__n"))
     )
-    ranked = running_totals(counts, value, {"__n": "__c"}, keys, pieces)
+    ranked = running_totals(counts, value, {"__n": "__c"}, keys, piece_rows)
     aggs = []
     for name, p in probs.items():
         position = F.lit(float(p)) * (F.col("__c_total") - 1)

@@ -189,9 +189,12 @@ def target_summary(targets: DataFrame) -> DataFrame:
                         *[F.avg(c).alias(f"{c}:mean") for c in CONTINUOUS_TARGETS],
                         F.avg((F.col("next_item_id") != "NONE").cast("int")).alias("next_item:valid_rate"))
     out = means.unpivot([], [f"`{c}`" for c in means.columns], "item", "value")
-    for c in CONTINUOUS_TARGETS:
-        middle = quantiles(targets, c, {"value": 0.5}).select(F.lit(f"{c}:median").alias("item"), "value")
-        out = out.unionByName(middle)
+    # both columns in one pass: the column's name is the key
+    values = targets.select(*[F.col(c).cast("double").alias(c) for c in CONTINUOUS_TARGETS])
+    long = values.unpivot([], list(CONTINUOUS_TARGETS), "column", "v")
+    names = targets.sparkSession.createDataFrame([(c,) for c in CONTINUOUS_TARGETS], "column string")
+    medians = names.join(quantiles(long, "v", {"value": 0.5}, ["column"]), "column", "left")
+    out = out.unionByName(medians.select(F.concat("column", F.lit(":median")).alias("item"), "value"))
     return out
 
 

@@ -28,11 +28,11 @@ def test_row_numbers_match_a_plain_sort(spark):
 def test_quantiles_match_numpy_under_skew(spark):
     rows = skewed()
     df = spark.createDataFrame(rows, "k string, v double, i int")
-    got = {r.k: (r.a, r.b, r.c) for r in O.quantiles(df, "v", {"a": 0.25, "b": 0.5, "c": 0.99}, ["k"], pieces=8).collect()}
+    got = {r.k: (r.a, r.b, r.c) for r in O.quantiles(df, "v", {"a": 0.25, "b": 0.5, "c": 0.99}, ["k"], piece_rows=40).collect()}
     for key in {r[0] for r in rows}:
         values = [r[1] for r in rows if r[0] == key]
         assert np.allclose(got[key], np.percentile(values, [25, 50, 99]))
-    whole = O.quantiles(df, "v", {"m": 0.5}, pieces=8).first().m
+    whole = O.quantiles(df, "v", {"m": 0.5}, piece_rows=40).first().m
     assert abs(whole - np.median([r[1] for r in rows])) < 1e-9
 
 
@@ -43,14 +43,14 @@ def test_a_large_key_is_cut_into_pieces(spark):
     pieced = O._with_piece(df.distinct(), "v", ["k"], 8)
     assert pieced.where("k = 'hot'").select("__piece").distinct().count() > 8
     assert pieced.where("k = 'small'").select("__piece").distinct().count() == 1
-    got = {r.k: (r.a, r.b) for r in O.quantiles(df, "v", {"a": 0.5, "b": 0.95}, ["k"], pieces=8).collect()}
+    got = {r.k: (r.a, r.b) for r in O.quantiles(df, "v", {"a": 0.5, "b": 0.95}, ["k"], piece_rows=40).collect()}
     assert np.allclose(got["hot"], np.percentile(values, [50, 95])) and np.allclose(got["small"], [2.0, 2.9])
 
 
 def test_running_totals(spark):
     values = sorted({r[1] for r in skewed()})
     df = spark.createDataFrame([(v, 2) for v in values], "v double, n int")
-    rows = O.running_totals(df, "v", {"n": "c"}, pieces=8).collect()
+    rows = O.running_totals(df, "v", {"n": "c"}, piece_rows=40).collect()
     assert {r.v: r.c_before for r in rows} == {v: 2 * i for i, v in enumerate(values)}
     assert {r.c_total for r in rows} == {2 * len(values)}
 
@@ -71,7 +71,7 @@ def test_kendall_and_spearman(spark):
     tx = sum(c * (c - 1) / 2 for c in np.unique(x, return_counts=True)[1])
     ty = sum(c * (c - 1) / 2 for c in np.unique(y, return_counts=True)[1])
     expected = s.sum() / 2 / np.sqrt((n - tx) * (n - ty))
-    assert abs(M.kendall(df, "x", "y", pieces=4).first().kendall - expected) < 1e-9
+    assert abs(M.kendall(df, "x", "y", piece_rows=20).first().kendall - expected) < 1e-9
 
     def ranks(v):
         order = np.sort(v)
