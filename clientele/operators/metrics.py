@@ -196,19 +196,29 @@ THRESHOLDS = {
         "acceptable": {"isotropy": 0.50, "effective_rank_ratio": 0.40},
         "poor": {"isotropy": 0.30, "effective_rank_ratio": 0.20},
     },
+    # one number for all metrics: how far a probe's AUC lies above that of trees on raw features
+    "linear_probe_vs_xgboost": {"excellent": 0.05, "good": 0.0, "acceptable": -0.05, "poor": -0.15},
 }
 
 
 def grade(values: dict[str, Column], area: str) -> Column:
-    """Best grade whose thresholds are all met; a metric that is not given counts as 0. Below all: POOR."""
+    """Best grade whose thresholds are all met. Below all: POOR.
+
+    A named metric that is not given counts as 0. In an area with one number per grade every given
+    metric must reach it, and a NULL reaches none.
+    """
     out = F.lit("POOR")
     for name in reversed(GRADES):
         limits = THRESHOLDS[area].get(name)
         if limits is None:
             continue
         met = F.lit(True)
-        for metric, limit in limits.items():
-            met = met & (F.coalesce(values.get(metric, F.lit(0.0)), F.lit(0.0)) >= limit)
+        if isinstance(limits, float):
+            for value in values.values():
+                met = met & F.coalesce(value >= limits, F.lit(False))
+        else:
+            for metric, limit in limits.items():
+                met = met & (F.coalesce(values.get(metric, F.lit(0.0)), F.lit(0.0)) >= limit)
         out = F.when(met, name.upper()).otherwise(out)
     return out
 

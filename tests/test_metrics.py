@@ -132,3 +132,9 @@ def test_linked_records_through_long_chains(spark):
     df = spark.createDataFrame(rows, "record bigint, phone string, mail string")
     got = {r.record: r.customer for r in V.linked_records(df, "record", ["phone", "mail"]).collect()}
     assert {got[i] for i in range(n)} == {0} and {got[100 + i] for i in range(50)} == {100} and got[900] == 900
+
+
+def test_grades_of_an_area_with_one_number(spark):
+    df = spark.createDataFrame([(0.06,), (0.05,), (0.0,), (-0.05,), (-0.06,), (-0.5,), (None,)], "d double")
+    got = [r.g for r in df.select(M.grade({"auc": F.col("d")}, "linear_probe_vs_xgboost").alias("g")).collect()]
+    assert got == ["EXCELLENT", "EXCELLENT", "GOOD", "ACCEPTABLE", "POOR", "POOR", "POOR"]
