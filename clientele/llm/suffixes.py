@@ -95,22 +95,39 @@ def _signed(x: np.ndarray) -> pa.Array:
     return pa.array(x.view(np.int64))
 
 
+def _first_ones(*columns: np.ndarray) -> np.ndarray:
+    """Which rows are the first of their kind."""
+    order = np.lexsort((np.arange(len(columns[0])), *columns))
+    new = np.zeros(len(order), bool)
+    for c in columns:
+        new[1:] |= c[order[1:]] != c[order[:-1]]
+    new[:1] = True
+    out = np.zeros(len(order), bool)
+    out[order] = new
+    return out
+
+
 def suffixes(docs: DataFrame, length: int, sample: int) -> DataFrame:
-    """``(value, content, doc, tie, at, n, itself)`` of all runs of the texts."""
+    """``(value, content, doc, tie, place, again)`` of all runs of the texts.
+
+    ``place`` packs the first window, the number of windows and whether the run may repeat itself;
+    ``again`` marks runs whose content stands earlier in the same text.
+    """
 
     def one(batch: pa.RecordBatch) -> pa.RecordBatch:
         docs_, ties, texts = (c.to_pylist() for c in batch.columns)
         found = [(d, t, r) for d, t, x in zip(docs_, ties, texts, strict=True) if (r := runs(x, length, sample)) is not None]
         sizes = [len(r[0]) for _, _, r in found]
-        cols = [np.concatenate([r[i] for _, _, r in found]) if found else np.zeros(0, t)
-                for i, t in enumerate((U, U, np.int64, np.int64, bool))]
-        doc = pa.array([d for d, _, _ in found], pa.int64()).take(pa.array(np.repeat(np.arange(len(found)), sizes)))
-        tie = pa.array(np.repeat(np.array([t for _, t, _ in found], np.int64), sizes))
+        whole = lambda i, kind: np.concatenate([np.zeros(0, kind), *[r[i] for _, _, r in found]])
+        again = np.concatenate([np.zeros(0, bool), *[~_first_ones(r[0], r[1]) for _, _, r in found]])
+        spread = lambda x: np.repeat(np.array(x, np.int64), sizes)
+        place = whole(2, np.int64) << 32 | whole(3, np.int64) << 1 | whole(4, bool)
         return pa.RecordBatch.from_arrays(
-            [_signed(cols[0]), _signed(cols[1]), doc, tie, pa.array(cols[2].astype(np.int32)), pa.array(cols[3].astype(np.int32)), pa.array(cols[4])],
-            names=["value", "content", "doc", "tie", "at", "n", "itself"])
+            [_signed(whole(0, U)), _signed(whole(1, U)), pa.array(spread([d for d, _, _ in found])), pa.array(spread([t for _, t, _ in found])),
+             pa.array(place), pa.array(again)], names=["value", "content", "doc", "tie", "place", "again"])
 
-    return docs.mapInArrow(lambda b: _sliced(b, one), "value long, content long, doc long, tie long, at int, n int, itself boolean")
+    narrow = docs.select("doc", "tie", "text")
+    return narrow.mapInArrow(lambda b: _sliced(b, one), "value long, content long, doc long, tie long, place long, again boolean")
 
 
 class Levels:
@@ -151,53 +168,57 @@ def _batch_ends(docs: DataFrame, batches: int) -> list[int]:
     return sorted(set(ends or []))
 
 
-def repeats(docs: DataFrame, length: int, sample: int, batches: int) -> DataFrame:
-    """``(doc, tie, stretches)``: per document the windows that repeat, as packed (first window, number)."""
-    levels, parts = Levels(), []
+def repeats(docs: DataFrame, length: int, sample: int, batches: int, ties: bool) -> DataFrame:
+    """``(doc, tie, stretches)``: per document the windows that repeat, as packed (first window, number).
+
+    A text holds each content once (later ones are marked before), so the earliest of several places
+    is the one of the smallest document; with unique keys that is a minimum of plain numbers.
+    """
+    levels, whole, some = Levels(), [], []
     ends = _batch_ends(docs, batches)
-    place = F.struct("doc", "tie", "at", "n", "itself")
+    order = F.struct("doc", "tie") if ties else F.col("doc")
+    stretch = F.shiftrightunsigned("place", 1).bitwiseAND(F.lit(0x7FFFFFFF)).bitwiseOR(F.shiftleft(F.shiftrightunsigned("place", 32), 32)).alias("stretch")
     for i in range(len(ends) + 1):
         after = F.lit(True) if i == 0 else F.col("doc") > ends[i - 1]
         until = F.lit(True) if i == len(ends) else F.col("doc") <= ends[i]
-        own = (after & until) if i else (until | F.col("doc").isNull())
-        batch = settled(suffixes(docs.where(own), length, sample))
-        known = levels.scan(batch)
-        entries = batch.withColumn("old", F.lit(False))
+        batch = settled(suffixes(docs.where(after & until), length, sample))
+        own = batch.where("NOT again").drop("again")
+        known = levels.scan(own)
+        entries = own.withColumn("old", F.lit(False))
         if known is not None:
             entries = entries.unionByName(known.withColumn("old", F.lit(True)))
-        firsts = entries.groupBy("value", "content").agg(
-            F.min(place).alias("f"), F.count(F.lit(1)).alias("same"), F.max("old").alias("old"))
-        firsts = settled(firsts)
+        firsts = settled(entries.groupBy("value", "content").agg(
+            F.min(order).alias("first"), F.min_by("place", order).alias("place"), F.count(F.lit(1)).alias("same"), F.max("old").alias("old")))
+        placed = firsts.withColumn("doc", F.col("first.doc") if ties else F.col("first")).withColumn("tie", F.col("first.tie") if ties else F.lit(0).cast("long"))
         # whole repeats: any run of the batch whose content stands earlier
-        met = firsts.where("same > 1").select("value", "content", "f")
-        whole = batch.join(met, ["value", "content"]).where(~(F.struct("doc", "tie", "at").eqNullSafe(F.struct("f.doc", "f.tie", "f.at"))))
-        parts.append((settled(whole.select("doc", "tie", _packed("at", "n"))), True))
+        met = firsts.where("same > 1").select("value", "content", "first")
+        later = own.join(met, ["value", "content"]).where(order != F.col("first")).select("doc", "tie", stretch)
+        whole.append(settled(later.unionByName(batch.where("again").select("doc", "tie", stretch))))
         # runs that share their value with other content, or may repeat themselves
         shared = firsts.groupBy("value").agg(F.count(F.lit(1)).alias("contents")).where("contents > 1").select("value")
-        some = firsts.join(shared, "value", "left_semi").unionByName(firsts.where("f.itself AND NOT old"))
-        parts.append((settled(some.select("f.doc", "f.tie", _packed("f.at", "f.n"))), False))
+        partly = placed.join(shared, "value", "left_semi").unionByName(placed.where("place % 2 = 1 AND NOT old"))
+        some.append(settled(partly.select("doc", "tie", stretch)))
         if i < len(ends):
-            levels.insert(firsts.where("NOT old").select("value", "content", "f.*"))
+            levels.insert(placed.where("NOT old").select("value", "content", "doc", "tie", "place"))
         dropped(batch, firsts)
     levels.drop()
-    whole = [t for t, is_whole in parts if is_whole]
-    some = [t for t, is_whole in parts if not is_whole]
-    union = lambda tables: tables[0] if len(tables) == 1 else tables[0].unionByName(union(tables[1:]))
-    windows = settled(_windows(docs, union(some).distinct(), length))
-    earliest = windows.groupBy("hash").agg(F.min(F.struct("doc", "tie", "at")).alias("f"), F.count(F.lit(1)).alias("same"))
-    earliest = settled(earliest.where("same > 1").select("hash", "f"))
-    again = windows.join(earliest, "hash").where(~F.struct("doc", "tie", "at").eqNullSafe(F.col("f")))
-    again = again.select("doc", "tie", _packed("at", F.lit(1)))
-    out = union(whole).unionByName(again).groupBy("doc", "tie").agg(F.collect_list("stretch").alias("stretches"))
-    out = settled(out)
+    windows = settled(_windows(docs, _union(some).distinct(), length))
+    own = windows.where("NOT again")
+    earliest = own.groupBy("hash").agg(F.min(order).alias("first"), F.count(F.lit(1)).alias("same"))
+    earliest = settled(earliest.where("same > 1").select("hash", "first"))
+    one = F.shiftleft(F.col("at").cast("long"), 32).bitwiseOR(F.lit(1)).alias("stretch")
+    again = own.join(earliest, "hash").where(order != F.col("first")).unionByName(windows.where("again"), allowMissingColumns=True)
+    stretches = _union([*whole, again.select("doc", "tie", one)])
+    out = settled(stretches.groupBy("doc", "tie").agg(F.collect_list("stretch").alias("stretches")))
     dropped(windows, earliest, *whole, *some)
     return out
 
 
-def _packed(at, n):
-    at = F.col(at) if isinstance(at, str) else at
-    n = F.col(n) if isinstance(n, str) else n
-    return F.shiftleft(at.cast("long"), 32).bitwiseOR(n.cast("long")).alias("stretch")
+def _union(tables: list[DataFrame]) -> DataFrame:
+    out = tables[0]
+    for t in tables[1:]:
+        out = out.unionByName(t)
+    return out
 
 
 def _unpacked(stretches: list[int]) -> tuple[np.ndarray, np.ndarray]:
@@ -205,30 +226,28 @@ def _unpacked(stretches: list[int]) -> tuple[np.ndarray, np.ndarray]:
     return packed >> 32, packed & 0xFFFFFFFF
 
 
-def _same(a: str, b: str):
-    return F.col(f"doc{a}").eqNullSafe(F.col(f"doc{b}")) & (F.col(f"tie{a}") == F.col(f"tie{b}"))
-
-
 def _windows(docs: DataFrame, some: DataFrame, length: int) -> DataFrame:
-    """``(hash, doc, tie, at)`` of every window in the given runs."""
-    per_doc = some.groupBy(F.col("doc").alias("doc_"), F.col("tie").alias("tie_")).agg(F.collect_list("stretch").alias("stretches"))
-    joined = docs.join(per_doc, _same("", "_")).select("doc", "tie", "text", "stretches")
+    """``(hash, doc, tie, at, again)`` of all windows in the given runs, and whether each stands earlier in its text."""
+    per_doc = some.groupBy("doc", "tie").agg(F.collect_list("stretch").alias("stretches"))
+    joined = docs.join(per_doc, ["doc", "tie"]).select("doc", "tie", "text", "stretches")
 
     def one(batch: pa.RecordBatch) -> pa.RecordBatch:
         docs_, ties, texts, lists = (c.to_pylist() for c in batch.columns)
-        places, hashed, sizes = [np.zeros(0, np.int64)], [np.zeros(0, U)], []
+        places, hashed, again, sizes = [np.zeros(0, np.int64)], [np.zeros(0, U)], [np.zeros(0, bool)], []
         for text, stretches in zip(texts, lists, strict=True):
             first, count = _unpacked(stretches)
             at = np.unique(np.repeat(first - np.cumsum(count) + count, count) + np.arange(count.sum()))
+            hashes = Hashes(_bytes(text)).of(at, at + length)
             places.append(at)
-            hashed.append(Hashes(_bytes(text)).of(at, at + length))
+            hashed.append(hashes)
+            again.append(~_first_ones(hashes))
             sizes.append(len(at))
-        doc = pa.array(docs_, pa.int64()).take(pa.array(np.repeat(np.arange(len(sizes)), sizes)))
-        tie = pa.array(np.repeat(np.array(ties, np.int64), sizes))
-        return pa.RecordBatch.from_arrays([_signed(np.concatenate(hashed)), doc, tie, pa.array(np.concatenate(places).astype(np.int32))],
-                                          names=["hash", "doc", "tie", "at"])
+        spread = lambda x: pa.array(np.repeat(np.array(x, np.int64), sizes))
+        return pa.RecordBatch.from_arrays(
+            [_signed(np.concatenate(hashed)), spread(docs_), spread(ties), pa.array(np.concatenate(places).astype(np.int32)), pa.array(np.concatenate(again))],
+            names=["hash", "doc", "tie", "at", "again"])
 
-    return joined.mapInArrow(lambda b: _sliced(b, one), "hash long, doc long, tie long, at int")
+    return joined.mapInArrow(lambda b: _sliced(b, one), "hash long, doc long, tie long, at int, again boolean")
 
 
 def remove_repeats(df: DataFrame, key: str = "doc_id", text: str = "text", length: int = LENGTH, sample: int = SAMPLE,
@@ -242,14 +261,15 @@ def remove_repeats(df: DataFrame, key: str = "doc_id", text: str = "text", lengt
     """
     if not 8 <= sample < length:
         raise ValueError("the sample must be shorter than the repeats")
-    rows = df.select(F.col(key).cast("long").alias("doc"), F.coalesce(F.col(text), F.lit("")).alias("text"))
+    doc = F.coalesce(F.col(key).cast("long"), F.lit(-(1 << 63)))
+    rows = df.select(doc.alias("doc"), F.col(key).isNull().alias("none"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     counts = rows.agg(F.count(F.lit(1)).alias("n"), F.count_distinct("doc").alias("d")).first()
     # a second sort key is only needed if keys repeat
-    tie = F.lit(0) if counts["n"] == counts["d"] else F.xxhash64("text")
-    docs = rows.select("doc", tie.cast("long").alias("tie"), "text")
-    found = repeats(docs.distinct() if counts["n"] != counts["d"] else docs, length, sample, batches)
-    named = found.select(F.col("doc").alias("doc_"), F.col("tie").alias("tie_"), "stretches")
-    joined = docs.join(named, _same("", "_"), "left").select("doc", "tie", "text", "stretches")
+    ties = counts["n"] != counts["d"]
+    docs = rows.select("doc", (F.xxhash64("text") if ties else F.lit(0)).cast("long").alias("tie"), "text", "none")
+    once = docs.select("doc", "tie", "text")
+    found = repeats(once.distinct() if ties else once, length, sample, batches, ties)
+    joined = docs.join(found, ["doc", "tie"], "left").select("doc", "tie", "text", "stretches", "none")
 
     def one(batch: pa.RecordBatch) -> pa.RecordBatch:
         kept, removed, spans, size = [], [], [], []
@@ -265,15 +285,15 @@ def remove_repeats(df: DataFrame, key: str = "doc_id", text: str = "text", lengt
             removed.append(int(gone.sum()))
             spans.append(int((gone & ~np.concatenate([[False], gone[:-1]])).sum()) if len(raw) else 0)
         return pa.RecordBatch.from_arrays(
-            [batch.column(0), batch.column(1), pa.array(kept, pa.binary()), pa.array(size, pa.int64()), pa.array(removed, pa.int64()), pa.array(spans, pa.int64())],
-            names=["doc", "tie", "kept", "n_bytes", "n_removed", "n_spans"])
+            [batch.column(0), batch.column(1), batch.column(4), pa.array(kept, pa.binary()), pa.array(size, pa.int64()), pa.array(removed, pa.int64()), pa.array(spans, pa.int64())],
+            names=["doc", "tie", "none", "kept", "n_bytes", "n_removed", "n_spans"])
 
-    made = joined.mapInArrow(lambda b: _sliced(b, one), "doc long, tie long, kept binary, n_bytes long, n_removed long, n_spans long")
-    if counts["n"] != counts["d"]:
+    made = joined.mapInArrow(lambda b: _sliced(b, one), "doc long, tie long, none boolean, kept binary, n_bytes long, n_removed long, n_spans long")
+    if ties:
         nth = F.row_number().over(W.partitionBy("doc", "tie").orderBy("n_bytes"))
         made = made.withColumn("again", (nth > 1) & (F.col("n_bytes") >= length))
         made = made.select(
-            "doc", F.when(F.col("again"), F.lit(b"")).otherwise(F.col("kept")).alias("kept"), "n_bytes",
+            "doc", "none", F.when(F.col("again"), F.lit(b"")).otherwise(F.col("kept")).alias("kept"), "n_bytes",
             F.when(F.col("again"), F.col("n_bytes")).otherwise(F.col("n_removed")).alias("n_removed"),
             F.when(F.col("again"), F.lit(1)).otherwise(F.col("n_spans")).cast("long").alias("n_spans"))
-    return made.select(F.col("doc").alias(key), "kept", "n_bytes", "n_removed", "n_spans")
+    return made.select(F.when(~F.col("none"), F.col("doc")).alias(key), "kept", "n_bytes", "n_removed", "n_spans")
