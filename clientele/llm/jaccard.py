@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql import Window as W
 
-from clientele.llm.common import map_texts, small
+from clientele.llm.common import map_texts, packed, small, unpacked
 from clientele.llm.shingles import BASE, U, mixed, shingle_set
 from clientele.operators.ordering import settled
 
@@ -37,8 +37,9 @@ WIDTH = 5
 PERCENT = 80
 LARGEST_BOUNDARY = 64  # beyond it subsets are far more than list entries
 FREQUENT = 200_000  # shingles whose counts the common order knows; 3 MB on each executor
-CHUNK = 1 << 22  # shingles counted together inside a task
-SKETCH_BITS = 1024
+CHUNK = 1 << 21  # shingles counted together inside a task
+SKETCH_BITS = 128  # the shortest; longer sets have two to four bits per shingle
+UNIT = 512  # entries of a list that are compared with as many others at once
 
 
 def least_overlap(n: int, percent: int = PERCENT) -> int:
@@ -46,6 +47,22 @@ def least_overlap(n: int, percent: int = PERCENT) -> int:
     return -(-percent * n // 100)
 
 
+def sketch(s: np.ndarray) -> np.ndarray:
+    """Parities of the hashes by their low-order bits: sets differ at least as often as their sketches.
+
+    Lengths are powers of two, so a sketch folds to half its length by joining its halves.
+    """
+    bits = SKETCH_BITS
+    while bits < 2 * len(s):
+        bits *= 2
+    return np.packbits(np.bincount((s & U(bits - 1)).astype(np.int64), minlength=bits) & 1).view(np.int64)
+
+
+def least_common(total, percent: int):
+    """Overlap that two sets with ``total`` members together need to link."""
+    return -(-total * percent // (100 + percent))
+
+
 def subset_keys(prefix: np.ndarray) -> np.ndarray:
     """Hashes of all two-element subsets."""
     i, j = np.triu_indices(len(prefix), 1)
@@ -132,7 +149,6 @@ def prepared(df: DataFrame, key: str, text: str, percent: int, width: int, also:
             s = shingle_set(value, width)
             n = len(s)
             first, second = np.add.reduce(mixed(s)), np.bitwise_xor.reduce(mixed(s + U(BASE))) if n else U(0)
-            bits = np.packbits(np.bincount((s & U(SKETCH_BITS - 1)).astype(np.int64), minlength=SKETCH_BITS) & 1)
             least = least_overlap(n, percent)
             light, single = [], []
             # some sets are too small to link with any set but an equal one
@@ -143,14 +159,14 @@ def prepared(df: DataFrame, key: str, text: str, percent: int, width: int, also:
                     light = subset_keys(prefix).view(np.int64).tolist()
                 if n > boundary or n >= least_overlap(boundary + 1, percent):
                     single = prefix[: spare + 1].view(np.int64).tolist()
-            return (n, int(first.astype(np.int64)), int(second.astype(np.int64)), bits.view(np.int64).tolist(), light, single, n > boundary)
+            return (n, int(first.astype(np.int64)), int(second.astype(np.int64)), sketch(s).tolist(), light, single, n > boundary)
 
         return lambda texts: [one(t) for t in texts]
 
     longs = T.ArrayType(T.LongType())
-    rows = df.select(F.col(key).alias("key"), F.col(text).alias("text"), F.xxhash64(F.col(text)).alias("th"), *also)
+    rows = df.select(F.col(key).alias("key"), F.col(text).alias("text"), F.xxhash64(F.col(text)).alias("th"), *packed(also))
     made = map_texts(rows, "text", make, ("n", T.LongType()), ("s1", T.LongType()), ("s2", T.LongType()), ("bits", longs),
-                     ("light", longs), ("single", longs), ("heavy", T.BooleanType()), keep=["key", "th", *also])
+                     ("light", longs), ("single", longs), ("heavy", T.BooleanType()), keep=["key", "th", *(["__also"] if also else [])])
     return settled(made.withColumn("row", F.monotonically_increasing_id()))
 
 
@@ -182,8 +198,12 @@ def verified(pairs: DataFrame, rows: DataFrame, texts: DataFrame, percent: int,
     facts = rows.select("row", "n", "bits", "th", "s1")
     side = lambda x: facts.select(F.col("row").alias(x), *[F.col(c).alias(f"{c}_{x}") for c in ("n", "bits", "th", "s1")])
     both = pairs.join(side("a"), "a").join(side("b"), "b")
-    # sketches differ in no more bits than the sets in shingles
-    apart = F.aggregate(F.zip_with("bits_a", "bits_b", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
+    # sketches differ in no more bits than the sets in shingles; a longer one is folded to the other's length
+    half = lambda x, n: F.zip_with(F.slice(x, 1, n), F.slice(x, n + 1, n), lambda p, q: p.bitwiseXOR(q))
+    a, b = F.col("bits_a"), F.col("bits_b")
+    short = F.least(F.size(a), F.size(b))
+    fold = lambda x: F.when(F.size(x) > short, half(x, short)).otherwise(x)
+    apart = F.aggregate(F.zip_with(fold(a), fold(b), lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
     total = F.col("n_a") + F.col("n_b")
     close = both.where(apart <= total - 2 * F.ceil(total * percent / F.lit(100 + percent)))
     close = settled(close.select("a", "b", "n_a", "n_b", "th_a", "th_b", "s1_a", "s1_b"))
@@ -210,6 +230,75 @@ def verified(pairs: DataFrame, rows: DataFrame, texts: DataFrame, percent: int,
     return settled(measured.where(F.col("overlap") * 100 >= (F.col("both") - F.col("overlap")) * percent).select("a", "b", "overlap"))
 
 
+def close_pairs(entries: DataFrame, rows: DataFrame, percent: int) -> DataFrame:
+    """``(a, b)``: pairs of a list in different components whose sizes and sketches allow a link.
+
+    Lists are cut into units of bounded size, and a pair of units is compared as arrays in one place:
+    only what passes leaves it, and no list, however long, is one task's work.
+    """
+    counts = entries.groupBy("list", "sub").agg(F.ceil(F.count(F.lit(1)) / F.lit(float(UNIT))).cast("int").alias("units"))
+    cut = entries.join(counts, ["list", "sub"]).withColumn("own", F.pmod(F.xxhash64("v"), F.col("units")).cast("int"))
+    cut = cut.join(rows.select(F.col("row").alias("v"), "bits"), "v")
+    others = F.explode(F.sequence(F.lit(0), F.col("units") - 1))
+    sent = cut.withColumn("other", others).select(
+        "list", "sub", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), "own", "v", "n", "alone", "root", "bits")
+    unit = ["list", "sub", "lo", "hi"]
+    placed = sent.repartition(*unit).sortWithinPartitions(*unit)
+
+    def compare(parts: list[pa.RecordBatch]) -> pa.RecordBatch:
+        one = pa.Table.from_batches(parts)
+        own, v, n, alone, root = (one.column(c).to_numpy() for c in ("own", "v", "n", "alone", "root"))
+        lo, hi = one.column("lo")[0].as_py(), one.column("hi")[0].as_py()
+        bits = one.column("bits").combine_chunks()
+        order = np.argsort(n, kind="stable")
+        own, v, n, alone, root = own[order], v[order], n[order], alone[order], root[order]
+        size = np.diff(bits.offsets.to_numpy())[order]
+        start, flat = bits.offsets.to_numpy()[:-1][order], bits.values.to_numpy().view(U)
+        left, right = [], []
+        for length in np.unique(size):
+            same = np.flatnonzero(size == length)
+            longer = np.flatnonzero(size == 2 * length)
+            at = np.concatenate([same, longer])
+            words = flat[start[same][:, None] + np.arange(length)]
+            if len(longer):
+                wide = flat[start[longer][:, None] + np.arange(2 * length)]
+                words = np.concatenate([words, wide[:, :length] ^ wide[:, length:]])
+            sizes = n[at]
+            for i in range(len(same)):
+                until = np.searchsorted(sizes, sizes[i] * 100 // percent, side="right")
+                js = np.arange(i + 1, until)
+                if lo != hi:
+                    js = js[own[at[js]] != own[at[i]]]
+                js = js[(root[at[js]] != root[at[i]]) & (alone[at[js]] | alone[at[i]])]
+                apart = np.bitwise_count(words[js] ^ words[i]).sum(axis=1, dtype=np.int64)
+                total = sizes[js] + sizes[i]
+                js = js[apart <= total - 2 * least_common(total, percent)]
+                left.append(np.full(len(js), v[at[i]]))
+                right.append(v[at[js]])
+        a, b = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (left, right))
+        return pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["a", "b"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        last = None
+        for batch in batches:
+            keys = np.stack([batch.column(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in unit], axis=1)
+            edges = [0, *(np.flatnonzero((keys[1:] != keys[:-1]).any(axis=1)) + 1).tolist(), batch.num_rows]
+            for x, y in zip(edges, edges[1:]):
+                if x == y:
+                    continue
+                key = tuple(keys[x])
+                if held and key != last:
+                    yield compare(held)
+                    held = []
+                held.append(batch.slice(x, y - x))
+                last = key
+        if held:
+            yield compare(held)
+
+    return placed.mapInArrow(run, "a long, b long").distinct()
+
+
 def components(links: DataFrame) -> DataFrame:
     """``(v, root)`` of every linked row number: the smallest one reachable. Runs until nothing changes."""
     ends = links.select(F.inline(F.array(F.struct(F.col("a").alias("v"), F.col("b").alias("to")), F.struct(F.col("b").alias("v"), F.col("a").alias("to")))))
@@ -255,20 +344,17 @@ def jaccard_join(df: DataFrame, key: str = "doc_id", text: str = "text", percent
     longer = longer.withColumn("root", F.coalesce("root", "v"))
     mixed_lists = longer.groupBy("list", "sub").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("list", "sub")
     longer = settled(longer.join(mixed_lists, ["list", "sub"]).select("list", "sub", "v", "n", "alone", "root"))
-    other = longer.select("list", "sub", F.col("v").alias("w"), F.col("n").alias("m"), F.col("alone").alias("also"), F.col("root").alias("base"))
-    rest = longer.join(other, ["list", "sub"]).where(
-        (F.col("v") < F.col("w")) & (F.col("root") != F.col("base")) & (F.col("alone") | F.col("also")) & _sizes_fit(F.col("n"), F.col("m"), percent))
-    rest = rest.select(F.col("v").alias("a"), F.col("w").alias("b")).distinct()
+    rest = close_pairs(longer, rows, percent)
     links = links.unionByName(verified(rest, rows, texts, percent, width))
     roots = components(links)
     placed = classes.join(roots, "v", "left").withColumn("root", F.coalesce("root", "v"))
     lows = placed.groupBy("root").agg(F.min("low").alias("component_id"))
     placed = settled(placed.join(lows, "root").select("n", "s1", "s2", "v", "root", "component_id"))
-    joined = rows.select("key", "th", "n", "s1", "s2", "row", *also).join(placed, ["n", "s1", "s2"], "left")
+    joined = rows.select("key", "th", "n", "s1", "s2", "row", *(["__also"] if also else [])).join(placed, ["n", "s1", "s2"], "left")
     joined = joined.withColumn("component_id", F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("key")))
     firsts = joined.where("n > 0").groupBy("root").agg(F.min(F.struct(F.col("key").isNull().alias("none"), "key", "row")).alias("f"))
     firsts = firsts.select(F.col("f.row").alias("row"), F.lit(True).alias("is_first"))
     members = joined.join(firsts, "row", "left").select(
         F.col("key").alias(key), F.col("n").alias("n_shingles"), "component_id", F.col("v").alias("class_id"),
-        F.col("th").alias("text_hash"), (F.coalesce("is_first", F.lit(False)) | (F.col("n") == 0)).alias("is_first"), *also)
+        F.col("th").alias("text_hash"), (F.coalesce("is_first", F.lit(False)) | (F.col("n") == 0)).alias("is_first"), *unpacked(also))
     return members, links.select(F.col("a").alias("class_id"), F.col("b").alias("other_id"), "overlap")
