@@ -15,21 +15,29 @@ of anything else. Special tokens that stand in a text are recognised before that
 from __future__ import annotations
 
 import json
+import re
 import unicodedata
 from collections.abc import Iterator
+from heapq import heapify, heappop, heappush
+from struct import pack
 
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
+from tokenizers import Tokenizer
 
 from clientele.llm.common import map_texts
 
-CACHED = 200_000
-# fixed values of the vocabulary file, for text below U+0370: its white space and its word pattern
-SPACE = r"[\t-\r \x85\xa0]"
-PIECE = r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\t-\r \x85\xa0\p{L}\p{N}]+"
+CACHED = 100_000
+LONG = 64  # bytes of a fragment from which a heap finds the next merge
+LONGEST_KEPT = 256  # longer words are not kept
+# fixed values of the vocabulary file, for text below U+0370: letters, digits and its word pattern
+LETTERS = r"A-Za-z\xaa\xb5\xba\xc0-\xd6\xd8-\xf6\xf8-\u02c1\u02c6-\u02d1\u02e0-\u02e4\u02ec\u02ee"
+DIGITS = r"0-9\xb2\xb3\xb9\xbc-\xbe"
+PIECE = rf"'s|'t|'re|'ve|'m|'ll|'d|[{LETTERS}]+|[{DIGITS}]|[^\t-\r \x85\xa0{LETTERS}{DIGITS}]+"
 SIMPLE = "\u0370"
 END = "</w>"
+SHIFT, MASK, NONE = 24, (1 << 24) - 1, 1 << 60
 
 
 def byte_letters() -> list[str]:
@@ -49,6 +57,8 @@ class _Cache(dict):
 
     def __missing__(self, key):
         value = self.make(key)
+        if len(key) > LONGEST_KEPT:
+            return value
         if len(self) >= CACHED:
             self.clear()
         self[key] = value
@@ -59,8 +69,6 @@ class Codec:
     """Encoder and decoder of one vocabulary file."""
 
     def __init__(self, path: str):
-        import regex
-        from tokenizers import Tokenizer
 
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
@@ -71,7 +79,8 @@ class Codec:
         byte_of = {c: b for b, c in enumerate(letters)}
         self.start = [vocab[c] for c in letters]
         self.last = [vocab[c + END] for c in letters]
-        self.merges = {(vocab[a], vocab[b]): (rank, vocab[a + b]) for rank, (a, b) in enumerate(merges)}
+        # both ids in one key; rank and new id in one value, so the least value is the first merge
+        self.merges = {vocab[a] << SHIFT | vocab[b]: rank << SHIFT | vocab[a + b] for rank, (a, b) in enumerate(merges)}
         self.tokens = [""] * (1 + max([*vocab.values(), *special.values()]))
         for token, i in [*vocab.items(), *special.items()]:
             self.tokens[i] = token
@@ -82,12 +91,10 @@ class Codec:
             for a, b in zip(raw, raw[1:]):
                 self.joined[a << 8 | b] = 1
         self.special = {s: np.uint32(i).tobytes() for s, i in special.items()}
-        self.at_special = regex.compile("(" + "|".join(map(regex.escape, special)) + ")") if special else None
+        self.at_special = re.compile("(" + "|".join(map(re.escape, special)) + ")") if special else None
         self.byte_of = byte_of
-        self.space = regex.compile(SPACE)
-        self.pieces = regex.compile(PIECE).findall
-        # letters, digits and white space beyond Latin depend on the Unicode release of the library
-        self.library = Tokenizer.from_file(path)
+        self.pieces = re.compile(PIECE).findall
+        self.path, self.library = path, None
         self.fragments = _Cache(self._encode_fragment)
         self.words = _Cache(self._encode_word)
 
@@ -96,22 +103,46 @@ class Codec:
         ids = [self.start[b] for b in raw]
         if ends:
             ids[-1] = self.last[raw[-1]]
-        while len(ids) > 1:
-            ranked = [(found[0], found[1], i) for i, pair in enumerate(zip(ids, ids[1:])) if (found := self.merges.get(pair))]
-            if not ranked:
-                break
-            rank, made, _ = min(ranked)
-            out, i = [], 0
-            while i < len(ids):
-                found = self.merges.get((ids[i], ids[i + 1])) if i + 1 < len(ids) else None
-                if found and found[0] == rank:
-                    out.append(made)
-                    i += 2
-                else:
-                    out.append(ids[i])
-                    i += 1
-            ids = out
-        return np.array(ids, "<u4").tobytes()
+        if len(ids) > LONG:
+            ids = self._merge_long(ids)
+            return pack(f"<{len(ids)}I", *ids)
+        found = self.merges.get
+        ranks = [found(a << SHIFT | b, NONE) for a, b in zip(ids, ids[1:])]
+        while ranks and (best := min(ranks)) != NONE:
+            i = ranks.index(best)
+            ids[i] = best & MASK
+            del ids[i + 1], ranks[i]
+            if i:
+                ranks[i - 1] = found(ids[i - 1] << SHIFT | ids[i], NONE)
+            if i < len(ranks):
+                ranks[i] = found(ids[i] << SHIFT | ids[i + 1], NONE)
+        return pack(f"<{len(ids)}I", *ids)
+
+    def _merge_long(self, ids: list[int]) -> list[int]:
+        """The same merges in the same order (best rank, then leftmost) with a heap, for fragments of any length."""
+        found, n = self.merges.get, len(ids)
+        after, before = [*range(1, n), -1], [-1, *range(n - 1)]
+        heap = [(v, i, ids[i], ids[i + 1]) for i in range(n - 1) if (v := found(ids[i] << SHIFT | ids[i + 1])) is not None]
+        heapify(heap)
+
+        def offer(i: int) -> None:
+            j = after[i]
+            if j >= 0 and (v := found(ids[i] << SHIFT | ids[j])) is not None:
+                heappush(heap, (v, i, ids[i], ids[j]))
+
+        while heap:
+            v, i, a, b = heappop(heap)
+            j = after[i]
+            if ids[i] != a or j < 0 or ids[j] != b:
+                continue  # one of the two has been merged since
+            ids[i], ids[j] = v & MASK, -1
+            after[i] = after[j]
+            if after[j] >= 0:
+                before[after[j]] = i
+            offer(i)
+            if before[i] >= 0:
+                offer(before[i])
+        return [x for x in ids if x >= 0]
 
     def cuts(self, raw: bytes) -> list[int]:
         """Places inside a word that no merge can cross."""
@@ -120,20 +151,27 @@ class Codec:
 
     def _encode_word(self, word: str) -> bytes:
         raw = word.encode()
-        edges = [0, *self.cuts(raw), len(raw)]
-        return b"".join([self.fragments[raw[a:b], b == len(raw)] for a, b in zip(edges, edges[1:])])
+        cuts = self.cuts(raw)
+        edges = [0, *cuts, len(raw)]
+        return b"".join([self._fragment(raw[a:b], b == len(raw)) for a, b in zip(edges, edges[1:])])
+
+    def _fragment(self, raw: bytes, ends: bool) -> bytes:
+        return self.fragments[raw, ends] if len(raw) <= LONGEST_KEPT else self._encode_fragment((raw, ends))
 
     def _split(self, text: str) -> Iterator[str]:
-        """Words of a text beyond Latin, by the library's own normaliser and splitter."""
+        """Words of a text beyond Latin, by the library's own normaliser and splitter.
+
+        Letters, digits and white space there depend on the Unicode release the library was built with.
+        """
+        if self.library is None:
+            self.library = Tokenizer.from_file(self.path)
         text = self.library.normalizer.normalize_str(text)
         for piece, _ in self.library.pre_tokenizer.pre_tokenize_str(text):
             yield bytes(self.byte_of[c] for c in piece).decode()
 
     def _plain(self, text: str) -> bytes:
-        if text.isascii() or max(text) < SIMPLE:
-            words = self.pieces(self.space.sub(" ", unicodedata.normalize("NFC", text)).lower())
-        else:
-            words = self._split(text)
+        plain = unicodedata.normalize("NFC", text).lower()
+        words = self.pieces(plain) if plain.isascii() or max(plain) < SIMPLE else self._split(text)
         return b"".join(map(self.words.__getitem__, words))
 
     def encode(self, text: str | None) -> bytes:
@@ -178,3 +216,19 @@ def decode(df: DataFrame, ids: str = "ids", out: str = "decoded", path: str | No
         return lambda values: [(codec.decode(v),) for v in values]
 
     return map_texts(df, ids, make, (out, T.StringType()))
+
+
+def encode_decode(df: DataFrame, text: str = "text", ids: str = "ids", decoded: str = "decoded", path: str | None = None) -> DataFrame:
+    """All columns of ``df`` plus the packed ids and the text they decode to, in one pass over the rows."""
+    path = path or default_path()
+
+    def make():
+        codec = Codec(path)
+
+        def both(value: str | None) -> tuple[bytes, str]:
+            packed = codec.encode(value)
+            return packed, codec.decode(packed)
+
+        return lambda texts: [both(t) for t in texts]
+
+    return map_texts(df, text, make, (ids, T.BinaryType()), (decoded, T.StringType()))

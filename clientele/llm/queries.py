@@ -58,8 +58,7 @@ def op2(spark: SparkSession, root: str) -> DataFrame:
 
 @query("op3_bpe")
 def op3(spark: SparkSession, root: str) -> DataFrame:
-    encoded = bpe.encode(table(spark, root, "documents").select("doc_id", "text"))
-    decoded = bpe.decode(encoded.select("doc_id", "ids"))
+    decoded = bpe.encode_decode(table(spark, root, "documents").select("doc_id", "text"))
     return decoded.select("doc_id", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"),
                           hex_digest(F.col("ids")).alias("ids_sha256"), hex_digest(F.col("decoded")).alias("decoded_sha256"))
 

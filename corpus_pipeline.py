@@ -54,8 +54,7 @@ def mixed_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with their packed token ids, the number of tokens and the text the ids decode to."""
-    decoded = bpe.decode(bpe.encode(docs))
-    return decoded.withColumn("n_tokens", (F.octet_length("ids") / 4).cast("long"))
+    return bpe.encode_decode(docs).withColumn("n_tokens", (F.octet_length("ids") / 4).cast("long"))
 
 
 STAGES = [
