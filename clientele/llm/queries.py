@@ -26,7 +26,31 @@ def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
     return register
 
 
-@query("op1_language_id")
+# CRC-32 bit by bit: each byte is followed by eight shifts, written as -1
+_HELD_SQL = """xor(list_reduce(list_prepend(4294967295::BIGINT, flatten(list_transform(string_split(CAST(doc_id AS VARCHAR), ''),
+    lambda ch: [CAST(unicode(ch) AS BIGINT), -1, -1, -1, -1, -1, -1, -1, -1]))), lambda a, v:
+    CASE WHEN v >= 0 THEN xor(a, v) WHEN a & 1 = 1 THEN xor(a >> 1, 3988292384::BIGINT) ELSE a >> 1 END), 4294967295::BIGINT) % 5 = 0"""
+OP1_SQL = rf"""
+WITH docs AS (SELECT doc_id, lang, coalesce({_HELD_SQL}, true) AS held_out,
+                     trim(regexp_replace(lower(coalesce(text, '')), '[^\p{{L}}]+', ' ', 'g')) AS t FROM documents),
+points AS (SELECT doc_id, list_transform(string_split(' ' || t || ' ', ''), lambda c: CASE WHEN c = ' ' THEN 1::BIGINT ELSE unicode(c) END) AS p
+           FROM docs WHERE t <> ''),
+codes AS (SELECT doc_id, unnest(list_concat(list_filter(p, lambda x: x <> 1),
+            list_transform(range(1, len(p)), lambda i: (p[i] << 21) | p[i + 1]),
+            list_transform(range(1, len(p) - 1), lambda i: (((p[i] << 21) | p[i + 1]) << 21) | p[i + 2]))) AS gram FROM points),
+counts AS (SELECT doc_id, gram, count(*) AS n FROM codes GROUP BY ALL),
+profiles AS (SELECT lang, gram, row_number() OVER (PARTITION BY lang ORDER BY sum(n) DESC, gram) - 1 AS place
+             FROM counts JOIN docs USING (doc_id) WHERE NOT held_out AND lang IS NOT NULL GROUP BY lang, gram QUALIFY place < 400),
+own AS (SELECT doc_id, gram, row_number() OVER (PARTITION BY doc_id ORDER BY n DESC, gram) - 1 AS place FROM counts QUALIFY place < 400),
+away AS (SELECT o.doc_id, l.lang, count(*) AS grams, sum(CASE WHEN p.place IS NULL THEN 400 ELSE abs(p.place - o.place) END) AS d
+         FROM own o CROSS JOIN (SELECT DISTINCT lang FROM profiles) l LEFT JOIN profiles p ON p.lang = l.lang AND p.gram = o.gram GROUP BY ALL),
+best AS (SELECT * FROM away QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY d, lang) = 1)
+SELECT doc_id, held_out, coalesce(b.lang, 'und') AS lang_pred, coalesce(1.0::DOUBLE - CAST(d AS DOUBLE) / (400 * grams), 0.0::DOUBLE) AS score
+FROM docs LEFT JOIN best b USING (doc_id)
+"""
+
+
+@query("op1_language_id", OP1_SQL)
 def op1(spark: SparkSession, root: str) -> DataFrame:
     documents = table(spark, root, "documents")
     predicted = language_id.language_id(documents.select("doc_id", "text", "lang"))
