@@ -192,7 +192,23 @@ def op8(spark: SparkSession, root: str) -> DataFrame:
     return urls.judge(table(spark, root, "pages")).select("page_id", "host", "path", "rule", "verdict")
 
 
-@query("op9_suffix_dedup")
+OP9_SQL = """
+WITH docs AS (SELECT doc_id, encode(coalesce(text, '')) AS b, octet_length(encode(coalesce(text, ''))) AS n FROM documents),
+windows AS (SELECT doc_id, s AS start_, array_slice(b, s + 1, s + 100) AS w FROM (SELECT doc_id, b, unnest(range(0, n - 99)) AS s FROM docs WHERE n >= 100)),
+again AS (SELECT doc_id, start_ FROM windows QUALIFY row_number() OVER (PARTITION BY w ORDER BY doc_id, start_) > 1),
+marked AS (SELECT *, CASE WHEN start_ <= lag(start_) OVER (PARTITION BY doc_id ORDER BY start_) + 100 THEN 0 ELSE 1 END AS fresh FROM again),
+spans AS (SELECT doc_id, run, min(start_) AS a, max(start_) + 100 AS z FROM
+          (SELECT *, sum(fresh) OVER (PARTITION BY doc_id ORDER BY start_) AS run FROM marked) GROUP BY ALL),
+pieces AS (SELECT doc_id, a, array_slice(b, coalesce(lag(z) OVER (PARTITION BY doc_id ORDER BY a), 0) + 1, a) AS piece, a = 0 AS none FROM spans JOIN docs USING (doc_id)),
+ends AS (SELECT doc_id, max(z) AS z, sum(z - a) AS gone, count(*) AS n_spans FROM spans GROUP BY doc_id),
+kept AS (SELECT doc_id, string_agg(CASE WHEN none THEN '' ELSE hex(piece) END, '' ORDER BY a) AS h FROM pieces GROUP BY doc_id)
+SELECT d.doc_id, CAST(n AS BIGINT) AS n_bytes, CAST(coalesce(gone, 0) AS BIGINT) AS n_removed, coalesce(n_spans, 0) AS n_spans,
+       sha256(CASE WHEN z IS NULL THEN b ELSE unhex(h || CASE WHEN z < n THEN hex(array_slice(b, z + 1, n)) ELSE '' END) END) AS kept_sha256
+FROM docs d LEFT JOIN ends USING (doc_id) LEFT JOIN kept USING (doc_id)
+"""
+
+
+@query("op9_suffix_dedup", OP9_SQL)
 def op9(spark: SparkSession, root: str) -> DataFrame:
     left = suffixes.remove_repeats(table(spark, root, "documents"))
     return left.select("doc_id", "n_bytes", "n_removed", "n_spans", hex_digest(F.col("kept")).alias("kept_sha256"))
