@@ -280,11 +280,11 @@ def governed_rules(spark: SparkSession, root: str) -> DataFrame:
 
 @query(
     "secured_customers",
-    """SELECT c_custkey AS customer_id, sha256(c_name) AS c_name, c_mktsegment FROM customer WHERE c_nationkey < 5""",
+    """SELECT c_custkey AS customer_id, sha256('check:' || sha256('check:' || c_name)) AS c_name, c_mktsegment FROM customer WHERE c_nationkey < 5""",
 )
 def secured_customers(spark: SparkSession, root: str) -> DataFrame:
     rules = {"analyst": F.col("c_nationkey") < 5, "admin": F.lit(True)}
-    out = V.secured(_people(spark, root), "analyst", rules, ["c_name"], ["admin"])
+    out = V.secured(_people(spark, root), "analyst", rules, ["c_name"], ["admin"], "check")
     return out.select("customer_id", "c_name", "c_mktsegment")
 
 

@@ -93,13 +93,22 @@ def campaign_eligible(customers: DataFrame, contacts: DataFrame, asof: Column, k
     return customers.join(recent.select(key), key, "left_anti")
 
 
-def secured(df: DataFrame, role: str, row_rules: dict[str, Column], masked: Sequence[str], privileged: Sequence[str]) -> DataFrame:
-    """Rows a role may see, with personal columns hashed for the others. A role without a rule sees nothing."""
+def secured(df: DataFrame, role: str, row_rules: dict[str, Column], masked: Sequence[str], privileged: Sequence[str],
+            secret: str) -> DataFrame:
+    """Rows a role may see, with personal columns hashed for the others. A role without a rule sees nothing.
+
+    The hash is keyed with ``secret``, so a list of likely names does not reveal who is behind it.
+    """
+    key = F.lit(f"{secret}:")
     rule = row_rules.get(role)
     visible = df.where(rule if rule is not None else F.lit(False))
     if role in privileged:
         return visible
-    return visible.withColumns({c: F.sha2(F.col(c).cast("string"), 256) for c in masked if c in df.columns})
+
+    def hidden(c: str) -> Column:
+        return F.sha2(F.concat(key, F.sha2(F.concat(key, F.col(c).cast("string")), 256)), 256)
+
+    return visible.withColumns({c: hidden(c) for c in masked if c in df.columns})
 
 
 # ---------------------------------------------------------------- unified records

@@ -90,8 +90,13 @@ def expected_files(spark: SparkSession, root: str, names: list[str]) -> DataFram
         .select(F.col("path"), F.col("length"))
     )
     wanted = spark.createDataFrame([(n,) for n in names], "name string")
+    folder = spark._jvm.org.apache.hadoop.fs.Path(root)
+    base = folder.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(folder).toString()
+    # a name is the first part below the folder, be it a file or a folder of part files
+    below = F.substring("path", len(base.rstrip("/")) + 2, 1 << 20)
+    listing = listing.withColumn("name", F.element_at(F.split(below, "/"), 1))
     sized = (
-        wanted.join(listing, F.expr("path like concat('%/', name) or path like concat('%/', name, '/%')"), "left")
+        wanted.join(listing, "name", "left")
         .groupBy("name")
         .agg(F.coalesce(F.sum("length"), F.lit(0)).alias("bytes"))
     )

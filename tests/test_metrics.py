@@ -122,7 +122,7 @@ def test_governed_access(spark):
     for wrong in ({"entity": "order"}, {"metric": "margin"}, {"filters": [{"field": "age", "op": "=", "value": 1}]}, {"filters": [{"field": "segment", "value": "gold"}]}):
         with pytest.raises(PermissionError):
             V.governed_request(cat, ask | wrong)
-    hidden = V.secured(df, "guest", {"admin": F.lit(True)}, ["country"], [])
+    hidden = V.secured(df, "guest", {"admin": F.lit(True)}, ["country"], [], "k")
     assert hidden.count() == 0
 
 
