@@ -39,6 +39,7 @@ LARGEST_BOUNDARY = 64  # beyond it subsets are far more than list entries
 FREQUENT = 200_000  # shingles whose counts the common order knows; 3 MB on each executor
 CHUNK = 1 << 21  # shingles counted together inside a task
 SKETCH_BITS = 128  # the shortest; longer sets have two to four bits per shingle
+BRIEF_WORDS = 16  # 1,024 bits: enough for sets of up to some 2,000 shingles
 UNIT = 512  # entries of a list that are compared with as many others at once
 
 
@@ -58,6 +59,14 @@ def sketch(s: np.ndarray) -> np.ndarray:
     return np.packbits(np.bincount((s & U(bits - 1)).astype(np.int64), minlength=bits) & 1).view(np.int64)
 
 
+def brief(words: np.ndarray) -> np.ndarray:
+    """A sketch folded to at most ``BRIEF_WORDS``, which travels with every list entry of its set."""
+    while len(words) > BRIEF_WORDS:
+        half = len(words) // 2
+        words = words[:half] ^ words[half:]
+    return words
+
+
 def least_common(total, percent: int):
     """Overlap that two sets with ``total`` members together need to link."""
     return -(-total * percent // (100 + percent))
@@ -149,6 +158,7 @@ def prepared(df: DataFrame, key: str, text: str, percent: int, width: int, also:
             s = shingle_set(value, width)
             n = len(s)
             first, second = np.add.reduce(mixed(s)), np.bitwise_xor.reduce(mixed(s + U(BASE))) if n else U(0)
+            bits = sketch(s)
             least = least_overlap(n, percent)
             light, single = [], []
             # some sets are too small to link with any set but an equal one
@@ -159,13 +169,13 @@ def prepared(df: DataFrame, key: str, text: str, percent: int, width: int, also:
                     light = subset_keys(prefix).view(np.int64).tolist()
                 if n > boundary or n >= least_overlap(boundary + 1, percent):
                     single = prefix[: spare + 1].view(np.int64).tolist()
-            return (n, int(first.astype(np.int64)), int(second.astype(np.int64)), sketch(s).tolist(), light, single, n > boundary)
+            return (n, int(first.astype(np.int64)), int(second.astype(np.int64)), bits.tolist(), brief(bits).tolist(), light, single, n > boundary)
 
         return lambda texts: [one(t) for t in texts]
 
     longs = T.ArrayType(T.LongType())
     rows = df.select(F.col(key).alias("key"), F.col(text).alias("text"), F.xxhash64(F.col(text)).alias("th"), *packed(also))
-    made = map_texts(rows, "text", make, ("n", T.LongType()), ("s1", T.LongType()), ("s2", T.LongType()), ("bits", longs),
+    made = map_texts(rows, "text", make, ("n", T.LongType()), ("s1", T.LongType()), ("s2", T.LongType()), ("bits", longs), ("brief", longs),
                      ("light", longs), ("single", longs), ("heavy", T.BooleanType()), keep=["key", "th", *(["__also"] if also else [])])
     return settled(made.withColumn("row", F.monotonically_increasing_id()))
 
@@ -238,7 +248,7 @@ def close_pairs(entries: DataFrame, rows: DataFrame, percent: int) -> DataFrame:
     """
     counts = entries.groupBy("list", "sub").agg(F.ceil(F.count(F.lit(1)) / F.lit(float(UNIT))).cast("int").alias("units"))
     cut = entries.join(counts, ["list", "sub"]).withColumn("own", F.pmod(F.xxhash64("v"), F.col("units")).cast("int"))
-    cut = cut.join(rows.select(F.col("row").alias("v"), "bits"), "v")
+    cut = cut.join(rows.select(F.col("row").alias("v"), F.col("brief").alias("bits")), "v")
     others = F.explode(F.sequence(F.lit(0), F.col("units") - 1))
     sent = cut.withColumn("other", others).select(
         "list", "sub", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), "own", "v", "n", "alone", "root", "bits")
