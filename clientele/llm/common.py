@@ -26,6 +26,21 @@ def with_fields(schema: T.StructType, *fields: tuple[str, T.DataType]) -> T.Stru
     return T.StructType([*kept, *[T.StructField(n, t) for n, t in fields]])
 
 
+BATCH_BYTES = 4 << 20
+_BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
+def small_batches(df: DataFrame) -> DataFrame:
+    """Let the session send at most ``BATCH_BYTES`` of rows to Python at once, if it would send more.
+
+    Long texts then take little memory beside the heap, whatever number of rows a batch may hold.
+    """
+    conf = df.sparkSession.conf
+    if int(conf.get(_BATCH).rstrip("bB")) > BATCH_BYTES:
+        conf.set(_BATCH, str(BATCH_BYTES))
+    return df
+
+
 def map_texts(
     df: DataFrame,
     text: str,
@@ -41,9 +56,11 @@ def map_texts(
     ``keep`` are the columns that stay (all by default); a column of a new field's name is replaced.
     """
     kept = [c for c in (df.columns if keep is None else keep) if c not in {n for n, _ in fields}]
-    source = "__text"
-    narrow = df.select(*[F.col(f"`{c}`") for c in kept], F.col(f"`{text}`").alias(source))
-    schema = T.StructType([*narrow.schema.fields[:-1], *[T.StructField(n, t) for n, t in fields]])
+    # a text that stays is sent once
+    at_text = kept.index(text) if text in kept else len(kept)
+    extra = [] if text in kept else [F.col(f"`{text}`").alias("__text")]
+    narrow = small_batches(df).select(*[F.col(f"`{c}`") for c in kept], *extra)
+    schema = T.StructType([*narrow.schema.fields[: len(kept)], *[T.StructField(n, t) for n, t in fields]])
 
     out = to_arrow_schema(schema)
 
@@ -52,9 +69,9 @@ def map_texts(
         for batch in batches:
             for at in range(0, batch.num_rows, slice_rows):
                 part = batch.slice(at, slice_rows)
-                rows = work(part.column(part.num_columns - 1).to_pylist())
+                rows = work(part.column(at_text).to_pylist())
                 new = list(zip(*rows, strict=True)) if rows else [() for _ in fields]
-                columns = [part.column(i) for i in range(part.num_columns - 1)]
+                columns = [part.column(i) for i in range(len(kept))]
                 columns += [pa.array(v, type=out.field(n).type) for v, (n, _) in zip(new, fields, strict=True)]
                 columns = [c.cast(f.type) if c.type != f.type else c for c, f in zip(columns, out, strict=True)]
                 yield pa.RecordBatch.from_arrays(columns, schema=out)

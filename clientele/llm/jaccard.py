@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql import Window as W
 
-from clientele.llm.common import map_texts, packed, small, unpacked
+from clientele.llm.common import map_texts, packed, small, small_batches, unpacked
 from clientele.llm.shingles import BASE, U, mixed, shingle_set
 from clientele.operators.ordering import settled
 
@@ -122,7 +122,7 @@ def statistics(df: DataFrame, text: str, percent: int, width: int) -> tuple[np.n
         if held:
             yield report(sets)
 
-    counted = df.select(F.col(text).alias("text")).where(F.col("text").isNotNull()).mapInArrow(count, "kind int, a long, n long, scan double")
+    counted = small_batches(df).select(F.col(text).alias("text")).where(F.col("text").isNotNull()).mapInArrow(count, "kind int, a long, n long, scan double")
     counted = settled(counted)
     sums = counted.groupBy("kind", "a").agg(F.sum("n").alias("n"), F.sum("scan").alias("scan"), F.count(F.lit(1)).alias("chunks"))
     often = sums.where("kind = 0").orderBy(F.desc("n"), "a").limit(FREQUENT).select("a", "n").toPandas()

@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from clientele.llm.common import map_texts
+from clientele.llm.common import map_texts, small_batches
 from clientele.operators.ordering import top_rows
 
 PROFILE = 400
@@ -65,7 +65,7 @@ def ranking(text: str | None, size: int = PROFILE) -> np.ndarray:
 
 def profiles(labelled: DataFrame, text: str = "text", lang: str = "lang", size: int = PROFILE) -> DataFrame:
     """``(lang, rank, gram)`` of every language in the labelled rows; rows without label or letters give nothing."""
-    rows = labelled.where(F.col(lang).isNotNull() & F.col(text).isNotNull())
+    rows = small_batches(labelled).where(F.col(lang).isNotNull() & F.col(text).isNotNull())
     rows = rows.select(F.col(lang).cast("string").alias("lang"), F.col(text).alias("text"))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

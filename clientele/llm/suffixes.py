@@ -27,6 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from clientele.llm.common import small_batches
 from clientele.llm.shingles import BASE, INVERSE, U, mixed, powers
 from clientele.operators.ordering import dropped, settled
 
@@ -126,7 +127,7 @@ def suffixes(docs: DataFrame, length: int, sample: int) -> DataFrame:
             [_signed(whole(0, U)), _signed(whole(1, U)), pa.array(spread([d for d, _, _ in found])), pa.array(spread([t for _, t, _ in found])),
              pa.array(place), pa.array(again)], names=["value", "content", "doc", "tie", "place", "again"])
 
-    narrow = docs.select("doc", "tie", "text")
+    narrow = small_batches(docs).select("doc", "tie", "text")
     return narrow.mapInArrow(lambda b: _sliced(b, one), "value long, content long, doc long, tie long, place long, again boolean")
 
 
