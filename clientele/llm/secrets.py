@@ -96,8 +96,9 @@ def trigram_query(pattern: str) -> list[list[str]]:
     best = max(runs, key=lambda r: min(map(len, r)))
     if min(map(len, best)) < 3:
         return []
-    words = sorted({w.lower() for w in best})
-    return [sorted({w[i : i + 3] for i in range(len(w) - 2)}) for w in words]
+    each = {frozenset(w[i : i + 3].lower() for i in range(len(w) - 2)) for w in best}
+    # an alternative that asks for all another one does, and more, adds nothing
+    return sorted(sorted(ands) for ands in each if not any(other < ands for other in each))
 
 
 def postings(df: DataFrame, rules: tuple[Rule, ...], key: str, text: str) -> DataFrame:
