@@ -3,8 +3,11 @@
 Where no rule fits, the host decides. Hosts of pages that a rule allows are trusted seeds, hosts of
 pages that a rule blocks are blocked seeds, both weighted by the number of such pages. Trust flows
 from the trusted seeds along links, distrust from the blocked seeds against them: a host that links to
-blocked ones is suspect. Both are personalised PageRanks over one row per pair of hosts. A host is
-blocked if its distrust exceeds its trust by ``limit`` times what its share of the pages would get.
+blocked ones is suspect. Both are personalised PageRanks over one row per pair of hosts. Each is divided
+by the PageRank of all pages over the same links, which gives the share of blocked (or allowed) pages
+among all pages whose weight comes to a host, from 0 to 1. A host is blocked if its share of distrust
+exceeds its share of trust by more than ``rate``. Weight stays where no link leads on, so only pages that
+reach a host count for it, and no page elsewhere.
 
 Only DataFrame functions are used; every few rounds the scores are written to a table, which cuts the
 lineage.
@@ -20,7 +23,8 @@ from pyspark.sql import functions as F
 from clientele.operators.ordering import settled
 
 DAMPING = 0.85
-LIMIT = 3.0
+RATE = 0.5
+LIMIT = 3.0  # of the measure relative to the whole table, for callers that name a limit
 ROUNDS = 40
 EVERY = 5
 NEAR = 1e-6
@@ -108,19 +112,32 @@ def ranks(edges: DataFrame, seeds: DataFrame, damping: float = DAMPING, rounds:
     return scores
 
 
-def judge(pages: DataFrame, rules: tuple[Rule, ...] = RULES, url: str = "url", html: str = "html", limit: float = LIMIT) -> DataFrame:
-    """All columns of ``pages`` but ``html``, plus ``host``, ``path``, ``rule`` and ``verdict``.
+def shares(hosts: DataFrame, links: DataFrame) -> DataFrame:
+    """``(host, excess)``: share of distrust less share of trust among the weight that comes to each host.
 
-    Null urls and those without ``://`` have an empty host and path; no rule and no link reaches an
-    empty host, so such pages are allowed. Columns of the new names are replaced. Null ``html`` has no
-    links; equal rows are judged alike.
+    ``hosts``: ``(host, pages, trust, distrust)`` with numbers of pages; ``links``: ``(source, target, n)``.
+    A host without outgoing links gets one to itself, so nothing returns to seeds elsewhere.
     """
-    parsed = pages.withColumn("host", host_of(F.col(url))).withColumn("path", path_of(F.col(url)))
-    parsed = parsed.withColumn("__fit", fitting(F.col("host"), F.col("path"), rules))
-    named = parsed.where("host <> ''")
-    of = lambda v: F.count(F.when(F.col("__fit.verdict") == v, 1))
-    hosts = settled(named.groupBy("host").agg(F.count(F.lit(1)).alias("pages"), of("allow").alias("trust"), of("block").alias("distrust")))
-    links = settled(host_edges(named, "host", html))
+    at = lambda k, a, b: links.select(F.lit(k).alias("kind"), F.col(a).alias("source"), F.col(b).alias("target"), "n")
+    ways = at("trust", "source", "target").unionByName(at("distrust", "target", "source"))
+    known = hosts.select("host").union(links.select("source")).union(links.select("target")).distinct()
+    both = known.select(F.explode(F.array(F.lit("trust"), F.lit("distrust"))).alias("kind"), F.col("host").alias("source"))
+    ends = both.join(ways.select("kind", "source"), ["kind", "source"], "left_anti")
+    ways = ways.unionByName(ends.select("kind", "source", F.col("source").alias("target"), F.lit(1).cast("long").alias("n")))
+    # the same walk from the seeds and from all pages
+    twice = F.explode(F.array(F.col("kind"), F.concat("kind", F.lit("_all")))).alias("kind")
+    edges = settled(ways.select(twice, "source", "target", "n"))
+    starts = {"trust": "trust", "distrust": "distrust", "trust_all": "pages", "distrust_all": "pages"}
+    seeds = hosts.select("host", F.inline(F.array(*[F.struct(F.lit(k).alias("kind"), F.col(c).alias("weight")) for k, c in starts.items()])))
+    scores = ranks(edges, seeds.where("weight > 0").select("kind", "host", "weight"))
+    by_kind = scores.groupBy("host").agg(*[F.sum(F.when(F.col("kind") == k, F.col("score"))).alias(k) for k in starts])
+    totals = hosts.agg(F.struct(*[F.sum(c).alias(c) for c in ("pages", "trust", "distrust")])).scalar()
+    part = lambda k: F.coalesce(F.try_divide(F.col(k) * F.col(f"__of.{k}"), F.col(f"{k}_all") * F.col("__of.pages")), F.lit(0.0))
+    return by_kind.withColumn("__of", totals).select("host", (part("distrust") - part("trust")).alias("excess"))
+
+
+def _relative(hosts: DataFrame, links: DataFrame, limit: float) -> DataFrame:
+    """``(host, __bad)`` by scores over each host's share of all pages."""
     kinds = lambda k: F.lit(k).alias("kind")
     edges = links.select(kinds("trust"), "source", "target", "n").unionByName(
         links.select(kinds("distrust"), F.col("target").alias("source"), F.col("source").alias("target"), "n"))
@@ -132,7 +149,29 @@ def judge(pages: DataFrame, rules: tuple[Rule, ...] = RULES, url: str = "url", h
     everything = hosts.agg(F.sum("pages").alias("n")).scalar()
     share = F.col("pages") / everything
     excess = (F.coalesce("distrust", F.lit(0.0)) - F.coalesce("trust", F.lit(0.0))) / share
-    verdicts = settled(hosts.select("host", "pages").join(scores, "host", "left").select("host", (excess > limit).alias("__bad")))
+    return hosts.select("host", "pages").join(scores, "host", "left").select("host", (excess > limit).alias("__bad"))
+
+
+def judge(pages: DataFrame, rules: tuple[Rule, ...] = RULES, url: str = "url", html: str = "html", limit: float | None = None,
+          rate: float = RATE) -> DataFrame:
+    """All columns of ``pages`` but ``html``, plus ``host``, ``path``, ``rule`` and ``verdict``.
+
+    Null urls and those without ``://`` have an empty host and path; no rule and no link reaches an
+    empty host, so such pages are allowed. Columns of the new names are replaced. Null ``html`` has no
+    links; equal rows are judged alike. With a ``limit``, a host is blocked instead if its distrust exceeds
+    its trust by ``limit`` times what its share of all pages would get; that hangs on the whole table.
+    """
+    parsed = pages.withColumn("host", host_of(F.col(url))).withColumn("path", path_of(F.col(url)))
+    parsed = parsed.withColumn("__fit", fitting(F.col("host"), F.col("path"), rules))
+    named = parsed.where("host <> ''")
+    of = lambda v: F.count(F.when(F.col("__fit.verdict") == v, 1))
+    hosts = settled(named.groupBy("host").agg(F.count(F.lit(1)).alias("pages"), of("allow").alias("trust"), of("block").alias("distrust")))
+    links = settled(host_edges(named, "host", html))
+    if limit is None:
+        verdicts = hosts.select("host").join(shares(hosts, links), "host").select("host", (F.round("excess", 9) > rate).alias("__bad"))
+    else:
+        verdicts = _relative(hosts, links, limit)
+    verdicts = settled(verdicts)
     judged = parsed.drop(html).join(verdicts, "host", "left")
     by_host = F.when(F.coalesce("__bad", F.lit(False)), F.lit("block")).otherwise(F.lit("allow"))
     return judged.select(*[c for c in pages.columns if c not in {html, "host", "path", "rule", "verdict"}], "host", "path",

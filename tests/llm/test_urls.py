@@ -99,6 +99,31 @@ def test_distrust_reaches_hosts_that_link_to_blocked_ones(spark):
     assert got[13] == "block" and got[5] == "allow"
 
 
+def judged(spark, pages):
+    got = U.judge(spark.createDataFrame([(i, *p, "") for i, p in enumerate(pages)], SCHEMA)).collect()
+    return {r.page_id: r.verdict for r in got}
+
+
+def test_seeds_and_linking_hosts_at_the_limit_of_the_query(spark):
+    link = '<a href="http://bad.org/1">'
+    pages = [("http://bad.org/es/1", ""), ("http://bad.org/es/2", ""), ("http://bad.org/es/3", ""), ("http://bad.org/fr/4", ""),
+             ("http://links.io/1", link), ("http://calm.io/1", ""), ("http://half.org/es/1", ""), ("http://half.org/fr/1", "")]
+    got = judged(spark, pages)
+    # 0.85 * 3 of 1 + 0.85 * 4 pages reach links.io; exactly half is not more than half
+    assert [got[i] for i in (3, 4, 5, 7)] == ["block", "block", "allow", "allow"]
+    trusted = [*pages, ("http://example.com/en/7", '<a href="http://bad.org/1">' * 3), ("http://example.com/en/71", ""), ("http://example.com/en/72", ""), ("http://example.com/en/73", "")]
+    assert judged(spark, trusted)[3] == "allow"
+
+
+def test_pages_elsewhere_do_not_flip_a_host(spark):
+    own = [*[(f"http://bad.org/es/{i}", "") for i in range(3)], ("http://bad.org/fr/3", ""), ("http://links.io/1", '<a href="http://bad.org/1">')]
+    many = [(f"http://h{i}.com/en/{i}", f'<a href="http://h{(i + 1) % 60}.com/x">' if i % 2 else "") for i in range(60)]
+    fine = [(f"http://f{i}.io/{i}", "") for i in range(60)]
+    for more in ([], many + fine):
+        got = judged(spark, own + more)
+        assert [got[3], got[4]] == ["block", "block"]
+
+
 def test_empty_table_and_plan(spark):
     assert U.judge(spark.createDataFrame([], SCHEMA)).collect() == []
     plan = U.judge(spark.read.parquet("/root/testdata/sf0.001/pages.parquet"))
