@@ -5,10 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from clientele.catalog import query
+from clientele.catalog import CHECKS, query
 from clientele.catalog.common import comparable, sql_poisson, sql_round, sql_seeds
 from clientele.operators import anomaly as D
 from clientele.operators import governed as V
+from clientele.operators.ordering import settled
 from clientele.sources import star
 
 SPLIT_AT = "2024-01-25"
@@ -86,15 +87,19 @@ def share_drift(spark: SparkSession, root: str) -> DataFrame:
     return comparable(D.share_drift(base, moved, "event_type"))
 
 
-def deviations(spark: SparkSession, root: str) -> DataFrame:
-    """One deviation per (kind, day, device) of unusual events, in three strata."""
+def _unusual(spark: SparkSession, root: str) -> DataFrame:
     e = star.table(spark, root, "events")
     kind, k = F.col("event_type"), F.get_json_object("props", "$.k").cast("int")
     stratum = F.when(kind == "error", "S0").when(kind == "view", "S1").when(kind == "purchase", "S2")
-    rows = e.where(kind.isin("error", "view", "purchase")).select(
+    return e.where(kind.isin("error", "view", "purchase")).select(
         stratum.alias("stratum"), kind.alias("metric"), (k % 5).cast("string").alias("zone"), "user_id", "ts", "value",
         F.to_date("ts").alias("day"),
     )
+
+
+def deviations(spark: SparkSession, root: str) -> DataFrame:
+    """One deviation per (kind, day, device) of unusual events, in three strata."""
+    rows = _unusual(spark, root)
     # a deviation holds the ten strongest users of its day and zone
     from clientele.operators.ordering import top_rows
 
@@ -171,6 +176,66 @@ def root_causes(spark: SparkSession, root: str) -> DataFrame:
     return out.select("root", "node", F.col("depth").cast("bigint").alias("depth"), F.array_join(F.array_sort("entities"), ",").alias("entities"))
 
 
+# ---------------------------------------------------------------- the same over all users of a day and zone
+
+
+WHOLE_SQL = DEV_SQL[: DEV_SQL.index("strong AS")] + "strong AS (SELECT * FROM r),\n" + DEV_SQL[DEV_SQL.index("dev AS") :]
+WHOLE_PAIR_SQL = PAIR_SQL.replace(DEV_SQL, WHOLE_SQL)
+
+
+def whole_deviations(spark: SparkSession, root: str) -> tuple[DataFrame, DataFrame]:
+    """One deviation per (kind, day, zone) of all its events, and ``(dev_id, entity)`` for each of its users."""
+    name = F.concat_ws("/", "stratum", F.col("day").cast("string"), "zone")
+    rows = _unusual(spark, root).withColumn("dev_id", name)
+    cells = rows.groupBy("dev_id", "stratum", "metric", "day", "zone").agg(
+        F.min("ts").alias("start_ts"), F.max("ts").alias("end_ts"), F.max("value").alias("magnitude"))
+    users = rows.where(F.col("user_id").isNotNull()).select("dev_id", F.col("user_id").cast("string").alias("entity")).distinct()
+    return settled(cells.withColumn("locus", F.create_map(F.lit("zone"), F.col("zone")))), settled(users)
+
+
+@query(
+    "deviation_records_whole",
+    f"""WITH {WHOLE_SQL} SELECT dev_id, stratum, metric, {sql_round('magnitude')} AS magnitude, CAST(len(ents) AS BIGINT) AS n_entities, CAST(64 AS BIGINT) AS hash_length FROM dev""",
+)
+def deviation_records_whole(spark: SparkSession, root: str) -> DataFrame:
+    """The record's hash covers its users by their number and the sum of their hashes, not by one list."""
+    cells, users = whole_deviations(spark, root)
+    part = F.conv(F.substring(F.md5("entity"), 1, 15), 16, 10).cast("decimal(20,0)")
+    known = users.groupBy("dev_id").agg(F.count(F.lit(1)).alias("n_entities"), F.sum(part).alias("users"))
+    out = cells.join(known, "dev_id", "left").withColumn("n_entities", F.coalesce("n_entities", F.lit(0)))
+    body = F.struct("stratum", "metric", "n_entities", "users", "start_ts", "end_ts", "locus", "magnitude")
+    return comparable(out.select("dev_id", "stratum", "metric", "magnitude", "n_entities", F.length(F.sha2(F.to_json(body), 256)).alias("hash_length")))
+
+
+def _scored_whole(spark: SparkSession, root: str) -> tuple[DataFrame, DataFrame]:
+    names = ["error", "view", "purchase"]
+    pairs = [(a, b, 0.9) for a in names for b in names if a != b]
+    affinity = spark.createDataFrame(pairs, "metric_a string, metric_b string, similarity double")
+    cells, users = whole_deviations(spark, root)
+    return D.pair_scores(cells, spread_seconds=21_600.0, affinity=affinity, members=users), users
+
+
+@query(
+    "deviation_pairs_whole",
+    WHOLE_PAIR_SQL + f""" SELECT cause, effect, {sql_round('entity')} AS entity, {sql_round('"time"')} AS "time", {sql_round('dimension')} AS dimension,
+      {sql_round('semantic')} AS semantic, {sql_round('score')} AS score FROM sc WHERE round(score, 9) >= {D.PAIR_LIMIT}""",
+)
+def deviation_pairs_whole(spark: SparkSession, root: str) -> DataFrame:
+    """Pairs that reach the stated limit."""
+    return comparable(_scored_whole(spark, root)[0])
+
+
+@query("root_causes_whole", CHECKS["root_causes"].replace(DEV_SQL, WHOLE_SQL).replace("0.65", str(D.PAIR_LIMIT)))
+def root_causes_whole(spark: SparkSession, root: str) -> DataFrame:
+    """Only deviations of a pair carry their users along the chains."""
+    scored, users = _scored_whole(spark, root)
+    scored = settled(scored)
+    linked = scored.select(F.col("cause").alias("dev_id")).union(scored.select("effect")).distinct()
+    nodes = users.join(linked, "dev_id", "left_semi").groupBy(F.col("dev_id").alias("node")).agg(F.collect_list("entity").alias("entities"))
+    out = D.root_causes(scored, nodes)
+    return out.select("root", "node", F.col("depth").cast("bigint").alias("depth"), F.array_join(F.array_sort("entities"), ",").alias("entities"))
+
+
 @query(
     "missing_responses",
     """WITH c AS (SELECT * FROM events WHERE event_type = 'error'), f AS (SELECT * FROM events WHERE event_type = 'click')

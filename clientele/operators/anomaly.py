@@ -194,22 +194,34 @@ def jaccard(a: Column, b: Column) -> Column:
 def pair_scores(
     deviations: DataFrame, delay_seconds: float = 0.0, spread_seconds: float = 3600.0, max_lag_seconds: int = 86_400,
     affinity: DataFrame | None = None, limit: float = PAIR_LIMIT, weights: dict[str, float] | None = None,
+    members: DataFrame | None = None,
 ) -> DataFrame:
     """Scores of deviation pairs of different strata, earlier one first, that reach the limit.
 
     Without a shared entity a pair cannot reach the limit, so pairs are found by joining on
-    entity and time bucket; nothing is paired that cannot count.
+    entity and time bucket; nothing is paired that cannot count. ``members``, distinct rows of
+    ``(dev_id, entity)``, stand in for the column ``entities``: what a pair shares is then counted in
+    that join, and no deviation holds all its entities in one row.
     """
     w = weights or PAIR_WEIGHTS
     if sum(v for k, v in w.items() if k != "entity") >= limit:
         raise ValueError("the limit must be out of reach for pairs without a shared entity")
-    base = deviations.select("dev_id", "stratum", "metric", "entities", "locus", "start_ts")
     origin = F.lit("1970-01-01").cast("timestamp_ntz")
     bucket = F.floor(seconds_between(origin, F.col("start_ts")) / max_lag_seconds)
-    keyed = base.withColumns({"entity": F.explode("entities"), "bucket": bucket})
-    left = keyed.select("entity", "bucket", F.col("dev_id").alias("cause"))
-    right = keyed.select("entity", F.explode(F.array(F.col("bucket"), F.col("bucket") - 1)).alias("bucket"), F.col("dev_id").alias("effect"))
-    candidates = left.join(right, ["entity", "bucket"]).where("cause <> effect").select("cause", "effect").distinct()
+    if members is None:
+        base = deviations.select("dev_id", "stratum", "metric", "locus", "start_ts", "entities")
+        keyed = base.select("dev_id", "stratum", F.explode("entities").alias("entity"), bucket.alias("bucket"))
+        entity = jaccard(F.col("a_entities"), F.col("b_entities"))
+    else:
+        counts = members.groupBy("dev_id").agg(F.count(F.lit(1)).alias("size"))
+        base = deviations.select("dev_id", "stratum", "metric", "locus", "start_ts").join(counts, "dev_id")
+        keyed = members.join(base.select("dev_id", "stratum", bucket.alias("bucket")), "dev_id")
+        entity = F.col("common") / (F.col("a_size") + F.col("b_size") - F.col("common"))
+    left = keyed.select("entity", "bucket", F.col("dev_id").alias("cause"), F.col("stratum").alias("__s"))
+    right = keyed.select("entity", F.explode(F.array(F.col("bucket"), F.col("bucket") - 1)).alias("bucket"),
+                         F.col("dev_id").alias("effect"), F.col("stratum").alias("__t"))
+    met = left.join(right, ["entity", "bucket"]).where("cause <> effect AND __s <> __t")
+    candidates = met.groupBy("cause", "effect").agg(F.count(F.lit(1)).alias("common"))
 
     a = base.select(F.col("dev_id").alias("cause"), *[F.col(c).alias(f"a_{c}") for c in base.columns[1:]])
     b = base.select(F.col("dev_id").alias("effect"), *[F.col(c).alias(f"b_{c}") for c in base.columns[1:]])
@@ -226,7 +238,7 @@ def pair_scores(
     same = F.filter(keys, lambda k: F.try_element_at(F.col("a_locus"), k) == F.try_element_at(F.col("b_locus"), k))
     scored = both.select(
         "cause", "effect",
-        jaccard(F.col("a_entities"), F.col("b_entities")).alias("entity"),
+        entity.alias("entity"),
         F.exp(-(lag - delay_seconds) * (lag - delay_seconds) / (2.0 * spread_seconds * spread_seconds)).alias("time"),
         F.coalesce(F.try_divide(F.size(same), F.size(keys)), F.lit(0.0)).alias("dimension"),
         semantic.alias("semantic"),
