@@ -56,13 +56,13 @@ def open_sessions(events: DataFrame, finished: DataFrame, user: str = "user_id",
                   gap: str = "30 minutes", lateness: str = "1 hour") -> DataFrame:
     """The sessions of a closed input that its watermark did not finish, from the same events as a batch.
 
-    Only users with events near the end of the input are read again.
+    Only users with events near the end of the input are read again; a NULL user is a user.
     """
     timed = events.withColumn("__t", F.col(time).cast("timestamp"))
     last = timed.agg(F.max("__t")).scalar()
     late = timed.where(F.col("__t") >= last - F.expr(f"INTERVAL {lateness}") - F.expr(f"INTERVAL {gap}") * 2).select(user).distinct()
-    whole = sessions(events.join(late, user, "left_semi"), user, time, gap, lateness)
-    return whole.join(finished.select(user, "started"), [user, "started"], "left_anti")
+    whole = sessions(join_keys(events, late, [user], "left_semi"), user, time, gap, lateness)
+    return join_keys(whole, finished.select(user, "started"), [user, "started"], "left_anti")
 
 
 def open_weeks(events: DataFrame, finished: DataFrame, keys: list[str], time: str = "event_timestamp",

@@ -11,6 +11,7 @@ from clientele.operators import ordering as O
 from clientele.operators import sessions as N
 from clientele.operators import signals as S
 from clientele.operators import splits as L
+from clientele.streaming import events as E
 from tests.conftest import ts
 
 
@@ -90,3 +91,11 @@ def test_equal_causes_are_both_missing(spark):
 
 def test_orders_that_share_eight_letters_keep_their_names():
     assert "short_ids" in A.journey_events.__code__.co_varnames
+
+
+def test_open_sessions_of_events_without_user_stay(spark):
+    times = [ts("2024-01-01T00:00:00"), ts("2024-01-01T09:00:00"), ts("2024-01-01T09:10:00")]
+    events = spark.createDataFrame([(u, t) for u in (None, "a") for t in times], "user_id string, event_timestamp timestamp_ntz")
+    done = E.sessions(events).where("started < '2024-01-01 06:00:00'")
+    got = E.open_sessions(events, done).collect()
+    assert sorted((r.user_id or "", r.events) for r in got) == [("", 2), ("a", 2)]
