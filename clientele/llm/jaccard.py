@@ -334,7 +334,7 @@ def jaccard_join(df: DataFrame, key: str = "doc_id", text: str = "text", percent
     ``class_id`` (rows with equal sets share it; null without words), ``text_hash``, ``is_first``
     (one row of each component; every row without words) and the columns named in ``also``. Links: ``(class_id, other_id, overlap)``
     between classes, enough to connect every component; pairs inside a component that its links
-    connect already are not listed. Null and empty texts have size 0 and link with nothing; equal rows are members
+    connect already are not listed (``link_counts`` counts them). Null and empty texts have size 0 and link with nothing; equal rows are members
     of one class; texts are compared whole; an empty table gives empty results.
     """
     if not 60 <= percent <= 100:
@@ -368,3 +368,24 @@ def jaccard_join(df: DataFrame, key: str = "doc_id", text: str = "text", percent
         F.col("key").alias(key), F.col("n").alias("n_shingles"), "component_id", F.col("v").alias("class_id"),
         F.col("th").alias("text_hash"), (F.coalesce("is_first", F.lit(False)) | (F.col("n") == 0)).alias("is_first"), *unpacked(also))
     return members, links.select(F.col("a").alias("class_id"), F.col("b").alias("other_id"), "overlap")
+
+
+def link_counts(df: DataFrame, key: str = "doc_id", text: str = "text", percent: int = PERCENT, width: int = WIDTH) -> DataFrame:
+    """``key`` and ``n_links`` of every row of ``df``: how many other rows its text links to, equal sets included.
+
+    Unlike the links of ``jaccard_join`` these are all of them: every pair of classes that meets in a list
+    is compared and verified, also inside a component, and then counted with the classes' sizes. The
+    pairs grow with the square of a group of near copies. Rows without words have no links.
+    """
+    if not 60 <= percent <= 100:
+        raise ValueError("subsets of two shingles serve similarities from 60 to 100 percent")
+    rows = prepared(df, key, text, percent, width, [])
+    grouped = rows.where("n > 0").groupBy("n", "s1", "s2")
+    classes = settled(grouped.agg(F.min("row").alias("v"), F.count(F.lit(1)).alias("size")))
+    # each class is a component of its own, so no pair is left out
+    every = settled(listed(rows, classes).select("list", "sub", "v", "n", "alone", F.col("v").alias("root")))
+    links = verified(close_pairs(every, rows, percent), rows, df.select(F.col(text).alias("text")), percent, width)
+    ends = links.select(F.inline(F.array(F.struct(F.col("a").alias("v"), F.col("b").alias("to")), F.struct(F.col("b").alias("v"), F.col("a").alias("to")))))
+    other = ends.join(classes.select(F.col("v").alias("to"), F.col("size").alias("n_to")), "to").groupBy("v").agg(F.sum("n_to").alias("others"))
+    counted = classes.join(other, "v", "left").select("n", "s1", "s2", (F.col("size") - 1 + F.coalesce("others", F.lit(0))).alias("n_links"))
+    return rows.join(counted, ["n", "s1", "s2"], "left").select(F.col("key").alias(key), F.coalesce("n_links", F.lit(0)).alias("n_links"))

@@ -97,6 +97,18 @@ def test_a_large_group_costs_one_comparison_per_member(spark):
     assert links.count() < 2 * len(made)
 
 
+def test_every_link_is_counted(spark):
+    rnd = random.Random(4)
+    base = prose(rnd, 200).split()
+    group = [(1000 + i, " ".join([*base[:100], f"only{i}", *base[100:]])) for i in range(100)]
+    made = [*near_copies(5, 100), *group, group[0], (None, group[1][1]), (2000, ""), (2001, None), (2002, "one"), (2003, "one")]
+    sets = [shingles(r[1]) for r in made]
+    want = [(r[0], sum(1 for j, t in enumerate(sets) if j != i and sets[i] and t and 100 * len(sets[i] & t) >= 80 * len(sets[i] | t))) for i, r in enumerate(made)]
+    got = J.link_counts(spark.createDataFrame(made, "doc_id long, text string")).collect()
+    assert sorted(((r.doc_id, r.n_links) for r in got), key=str) == sorted(want, key=str)
+    assert dict(want)[1005] == 101
+
+
 def test_shingles_are_those_of_the_contract():
     for r in rows():
         assert len(shingle_set(r[1])) == len(shingles(r[1]))
