@@ -143,7 +143,7 @@ def cross_validation(spark: SparkSession, root: str) -> DataFrame:
 
 @query("feature_set_comparison")
 def feature_set_comparison(spark: SparkSession, root: str) -> DataFrame:
-    v = vectors(spark, root).withColumns({"noise": B.noise_vector("vec_id", 8), "raw": F.slice("embedding", 1, 8)})
+    v = vectors(spark, root).withColumns({"noise": B.noise_vector("vec_id", 8), "raw": F.col("embedding")})
     return B.compare_feature_sets(v, "vec_id", {"embedding": "embedding", "random": "noise"}, "raw", "binary", "binary", SIZES)
 
 
