@@ -7,8 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from clientele.llm import bpe, chat, fingerprint, jaccard, language_id, mixing, secrets, suffixes, topk, urls
+from clientele.llm import bpe, chat, fingerprint, jaccard, language_id, mixing, packing, secrets, suffixes, topk, trie, urls, whitening
 from clientele.llm.common import hex_digest, table
+from clientele.operators.ordering import settled
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -229,3 +230,71 @@ FROM scored QUALIFY rank <= 5
 @query("op10_top_k", OP10_SQL)
 def op10(spark: SparkSession, root: str) -> DataFrame:
     return topk.search(table(spark, root, "embeddings"), F.col("id") % 50 == 0)
+
+
+@query("op11_best_fit_packing")
+def op11(spark: SparkSession, root: str) -> DataFrame:
+    packed = packing.pack(table(spark, root, "documents"))
+    return packed.select("doc_id", "piece", "start", "length", F.crc32("ids").alias("ids_crc32"), "sequence_id", "offset")
+
+
+HEAD = 9  # conversations take over fewer turns than this
+GROUP = 5  # from the first of this many ids
+
+
+def rebuilt(turns: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Turns of the rebuilt conversations, and the keys of all of them.
+
+    A conversation begins with the first h turns of the first of its group of ids, then come its own
+    after its first h. Only the few first turns of that other one are joined, once for each of the group.
+    """
+    rows = settled(turns)
+    wanted = lambda c: F.crc32(F.col(c).cast("string").cast("binary")) % HEAD
+    sizes = rows.groupBy("key").agg(F.max("depth").alias("n"))
+    convs = sizes.select("key", wanted("key").alias("h"), (F.col("key") - F.col("key") % GROUP).alias("base"))
+    known = convs.join(sizes.select(F.col("key").alias("base"), "n"), "base", "left")
+    known = settled(known.select("key", "h", "base", F.least(F.col("h"), F.coalesce("n", F.lit(0))).alias("head")))
+    heads = rows.where(F.col("depth") < HEAD).withColumnRenamed("key", "base").join(known.select("key", "base", "h"), "base").where("depth <= h")
+    own = rows.where(F.col("depth") > wanted("key")).join(known.select("key", "h", "head"), "key")
+    moved = own.withColumn("depth", F.col("depth") - F.col("h") + F.col("head"))
+    return heads.select("key", "depth", "id", "size").unionByName(moved.select("key", "depth", "id", "size")), known.select("key")
+
+
+def _crc_sql(text: str) -> str:
+    return _HELD_SQL.replace("CAST(doc_id AS VARCHAR)", text).removesuffix(" % 5 = 0")
+
+
+OP12_SQL = f"""
+WITH turns AS (SELECT conv_id, coalesce(role, '') AS role, coalesce(text, '') AS text, row_number() OVER (PARTITION BY conv_id
+                 ORDER BY turn NULLS FIRST, sha256(octet_length(encode(coalesce(role, ''))) || ':' || coalesce(role, '') || coalesce(text, ''))) AS d
+               FROM conversations WHERE conv_id IS NOT NULL),
+convs AS (SELECT conv_id, max(d) AS n, conv_id - conv_id % 5 AS base, {_crc_sql("CAST(conv_id AS VARCHAR)")} % 9 AS h FROM turns GROUP BY conv_id),
+known AS (SELECT c.*, least(c.h, coalesce(b.n, 0)) AS head FROM convs c LEFT JOIN convs b ON b.conv_id = c.base),
+made AS (SELECT k.conv_id, t.d, role, text FROM known k JOIN turns t ON t.conv_id = k.base AND t.d <= k.h
+         UNION ALL SELECT k.conv_id, t.d - k.h + k.head, role, text FROM known k JOIN turns t ON t.conv_id = k.conv_id AND t.d > k.h),
+paths AS (SELECT conv_id, d, octet_length(encode(text)) AS size,
+                 string_agg(sha256(octet_length(encode(role)) || ':' || role || text), '') OVER (PARTITION BY conv_id ORDER BY d) AS path FROM made
+          UNION ALL SELECT conv_id, 0, 0, '' FROM known),
+nodes AS (SELECT path, d, min(conv_id) AS conv_id, count(*) AS n, any_value(size) AS size FROM paths GROUP BY path, d),
+linked AS (SELECT c.*, p.conv_id AS parent FROM nodes c LEFT JOIN nodes p ON c.d > 0 AND p.d = c.d - 1 AND p.path = left(c.path, 64 * (c.d - 1)::INTEGER)),
+children AS (SELECT left(path, 64 * (d - 1)::INTEGER) AS path, count(*) AS n_children FROM nodes WHERE d > 0 GROUP BY 1),
+wide AS (SELECT l.*, coalesce(n_children, 0) AS n_children FROM linked l LEFT JOIN children c USING (path)),
+below AS (SELECT a.path, sum((b.n - 1) * b.size) AS saved, count(*) FILTER (b.n_children = 0) AS n_leaves
+          FROM (SELECT left(path, 64 * k::INTEGER) AS path, n, size, n_children FROM (SELECT *, unnest(range(0, d + 1)) AS k FROM wide)) b
+          JOIN nodes a USING (path) GROUP BY a.path),
+ends AS (SELECT path, sha256(string_agg(CAST(conv_id AS VARCHAR), ',' ORDER BY conv_id)) AS h
+         FROM (SELECT conv_id, path FROM paths QUALIFY row_number() OVER (PARTITION BY conv_id ORDER BY d DESC) = 1) GROUP BY path)
+SELECT conv_id, CAST(d AS BIGINT) AS depth, parent AS parent_conv_id, n AS n_convs, n_children, n_leaves,
+       CAST(saved AS BIGINT) AS saved_tokens, coalesce(h, sha256('')) AS ends_sha256
+FROM wide JOIN below USING (path) LEFT JOIN ends USING (path)
+"""
+
+
+@query("op12_prefix_trie", OP12_SQL)
+def op12(spark: SparkSession, root: str) -> DataFrame:
+    return trie.prefix_trie(*rebuilt(trie.ordered(table(spark, root, "conversations"))))
+
+
+@query("op13_whitening")
+def op13(spark: SparkSession, root: str) -> DataFrame:
+    return whitening.whiten(table(spark, root, "embeddings"))
