@@ -189,9 +189,10 @@ def _summed(fit: DataFrame, width: int, shape: tuple[int, ...], of: Callable[[np
         total = np.zeros(shape, kind)
         for batch in batches:
             if batch.num_rows:
-                total += of(_matrix(batch.column(0), width))
-                if kind is np.int64 and max(np.abs(total).max(), batch.num_rows * LARGEST_CODE) >= 2.0**62:
+                x = _matrix(batch.column(0), width)
+                if kind is np.int64 and float(np.abs(x).max()) * len(x) + float(np.abs(total).max()) >= 2.0**62:
                     raise OverflowError("a sum of codes does not fit into a long")
+                total += of(x)
         flat = total.ravel()
         yield pa.RecordBatch.from_arrays([pa.array(np.arange(size)), pa.array(flat, type=arrow)], names=["at", "part"])
 
