@@ -118,23 +118,43 @@ MOST_PIECES = 512
 PIECE_ROWS = 65_536
 
 
-def _with_piece(df: DataFrame, order: str, keys: Sequence[str], piece_rows: int) -> DataFrame:
+def _cuts(df: DataFrame, order: str, keys: Sequence[str], piece_rows: int) -> DataFrame | None:
+    """``(keys, __cuts)`` of the keys that fill more than one piece; None if there is no such key.
+
+    Rows are counted first, so quantiles are only estimated for large keys.
+    """
+    large = settled(df.groupBy(*keys).agg(F.count(F.lit(1)).alias("__rows")).where(F.col("__rows") > piece_rows))
+    if large.isEmpty():
+        return None
+    if keys:
+        rows = join_keys(df.select(*keys, order), large, keys)
+    else:
+        rows = df.select(order, F.lit(large.first()[0]).alias("__rows"))
     shares = [i / MOST_PIECES for i in range(1, MOST_PIECES)]
     finest = F.percentile_approx(order, shares, F.lit(20 * MOST_PIECES))
-    bounds = df.groupBy(*keys).agg(finest.alias("__finest"), F.count(F.lit(1)).alias("__rows"))
+    bounds = rows.groupBy(*keys).agg(finest.alias("__finest"), F.max("__rows").alias("__rows"))
     pieces = F.least(F.ceil(F.col("__rows") / piece_rows), F.lit(MOST_PIECES))
-    # of the finest cuts those nearest to equal pieces; a key of one piece carries none
+    # of the finest cuts those nearest to equal pieces
     chosen = F.filter("__finest", lambda x, i: F.floor((i + 1) * pieces / MOST_PIECES) > F.floor(i * pieces / MOST_PIECES))
     none = F.array().cast(T.ArrayType(df.schema[order].dataType))
-    bounds = bounds.select(*keys, F.coalesce(F.array_distinct(chosen), none).alias("__cuts"))
+    return bounds.select(*keys, F.coalesce(F.array_distinct(chosen), none).alias("__cuts"))
+
+
+def with_value_piece(df: DataFrame, order: str, keys: Sequence[str], piece_rows: int = PIECE_ROWS, out: str = "__piece") -> DataFrame:
+    """Number the value ranges of each key; keys of at most ``piece_rows`` rows are one piece. ``df`` is read up to three times."""
+    cuts = _cuts(df, order, keys, piece_rows)
+    if cuts is None:
+        return df.withColumn(out, F.lit(0))
     if keys:
-        df = join_keys(df, bounds, keys)
+        df = join_keys(df, cuts, keys, "left")
+        none = F.array().cast(T.ArrayType(df.schema[order].dataType))
+        df = df.withColumn("__cuts", F.coalesce("__cuts", none))
     else:
-        df = df.withColumn("__cuts", bounds.scalar())
+        df = df.withColumn("__cuts", cuts.scalar())
     # a value that is itself a cut gets a piece of its own, so a very frequent value stays alone
     below = F.size(F.filter("__cuts", lambda c: c < F.col(order)))
     piece = 2 * below + F.array_contains("__cuts", F.col(order)).cast("int")
-    return df.withColumn("__piece", piece).drop("__cuts")
+    return df.withColumn(out, piece).drop("__cuts")
 
 
 def running_totals(
@@ -150,7 +170,7 @@ def running_totals(
     ``{"n": "cum"}`` adds ``cum_before`` and ``cum_total``. The input is read three times (cuts,
     piece totals, rows), so it is settled first.
     """
-    pieced = _with_piece(settled(df), order, keys, piece_rows)
+    pieced = with_value_piece(settled(df), order, keys, piece_rows)
     parts = pieced.groupBy(*keys, "__piece").agg(*[F.sum(c).alias(f"__part_{c}") for c in sums])
     scope = W.partitionBy(*keys) if keys else W.partitionBy(F.lit(0))
     earlier = scope.orderBy("__piece").rowsBetween(W.unboundedPreceding, -1)

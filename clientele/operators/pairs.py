@@ -12,7 +12,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from clientele.operators.ordering import PIECE_ROWS, _with_piece, settled, top_rows
+from clientele.operators.ordering import PIECE_ROWS, settled, top_rows, with_value_piece
 
 BLOCK_ROWS = 2048
 
@@ -159,8 +159,8 @@ def _net(g: np.ndarray, y: np.ndarray, w: np.ndarray) -> float:
 
 def concordance(points: DataFrame, piece_rows: int = PIECE_ROWS) -> DataFrame:
     """Concordant minus discordant pairs of weighted points ``(x, y, w)``, as one row ``net``."""
-    gridded = _with_piece(settled(points), "x", (), piece_rows).withColumnRenamed("__piece", "bx")
-    gridded = _with_piece(gridded, "y", (), piece_rows).withColumnRenamed("__piece", "by")
+    gridded = with_value_piece(settled(points), "x", (), piece_rows).withColumnRenamed("__piece", "bx")
+    gridded = with_value_piece(gridded, "y", (), piece_rows).withColumnRenamed("__piece", "by")
 
     # pairs in different grid columns and rows: at most the square of the piece limit in cells
     cells = gridded.groupBy("bx", "by").agg(F.sum("w").alias("w"))

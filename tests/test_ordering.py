@@ -40,7 +40,7 @@ def test_a_large_key_is_cut_into_pieces(spark):
     rng = np.random.default_rng(1)
     values = np.concatenate([rng.normal(size=20_000), np.full(10_000, 0.25)])
     df = spark.createDataFrame([("hot", float(v)) for v in values] + [("small", 1.0), ("small", 3.0)], "k string, v double")
-    pieced = O._with_piece(df.distinct(), "v", ["k"], 8)
+    pieced = O.with_value_piece(df.distinct(), "v", ["k"], 8)
     assert pieced.where("k = 'hot'").select("__piece").distinct().count() > 8
     assert pieced.where("k = 'small'").select("__piece").distinct().count() == 1
     got = {r.k: (r.a, r.b) for r in O.quantiles(df, "v", {"a": 0.5, "b": 0.95}, ["k"], piece_rows=40).collect()}
