@@ -9,6 +9,7 @@ from clientele.catalog import CHECKS, query
 from clientele.catalog.common import comparable, sql_poisson, sql_round, sql_seeds
 from clientele.operators import anomaly as D
 from clientele.operators import governed as V
+from clientele.operators import sliding as L
 from clientele.operators.ordering import settled
 from clientele.sources import star
 
@@ -50,6 +51,34 @@ def robust_deviations(spark: SparkSession, root: str) -> DataFrame:
     return comparable(D.robust_scores(base, cur, "value", ["event_type"]).select("event_id", "z", "deviates"))
 
 
+def _sliding_sql(days: int) -> str:
+    frame = f"(PARTITION BY event_type ORDER BY CAST(ts AS DATE) RANGE BETWEEN INTERVAL {days} DAY PRECEDING AND INTERVAL 1 DAY PRECEDING)"
+    away = 'abs("value" - med)'
+    return f"""WITH w AS (SELECT *, quantile_cont("value", 0.5) OVER f AS med, mad("value") OVER f AS mad, count("value") OVER f AS n FROM events WINDOW f AS {frame})
+    SELECT event_id, n AS baseline_rows, {sql_round('med')} AS median, {sql_round('mad')} AS mad, {sql_round(f'{away} / nullif(mad, 0)')} AS z,
+      coalesce(CASE WHEN mad = 0 THEN {away} > 0 ELSE round({away} / mad, 9) > 4.0 END, false) AS deviates, med IS NULL AS no_baseline FROM w"""
+
+
+SLIDING_SQL = _sliding_sql(L.DAYS)
+
+
+def _sliding(spark: SparkSession, root: str, days: int) -> DataFrame:
+    scored = L.sliding_scores(star.table(spark, root, "events"), "value", "ts", ["event_type"], days)
+    return comparable(scored.select("event_id", "baseline_rows", "median", "mad", "z", "deviates", "no_baseline"))
+
+
+@query("sliding_deviations", SLIDING_SQL)
+def sliding_deviations(spark: SparkSession, root: str) -> DataFrame:
+    """Every event against the 30 days of its kind before its own day."""
+    return _sliding(spark, root, L.DAYS)
+
+
+@query("sliding_deviations_7d", _sliding_sql(7))
+def sliding_deviations_7d(spark: SparkSession, root: str) -> DataFrame:
+    """The same over 7 days, so that days leave the range within a month of events."""
+    return _sliding(spark, root, 7)
+
+
 def _cut_sql(i: int) -> str:
     return f'quantile_cont("value", {i / 10}) AS q{i}'
 

@@ -193,24 +193,60 @@ def quality_report(spark: SparkSession, root: str) -> DataFrame:
     return Q.report_summary(Q.quality_report(parts))
 
 
+# every thirteenth order carries a wrong nation, every seventeenth a wrong region; lines of every nineteenth are early
+PLANTED_SQL = """po AS (SELECT o.*, c_mktsegment AS segment, CASE WHEN o_orderkey % 13 = 0 THEN (c_nationkey + 1) % 25 ELSE c_nationkey END AS nation,
+    CASE WHEN o_orderkey % 17 = 0 THEN -1 ELSE n_regionkey END AS region FROM orders o LEFT JOIN customer ON c_custkey = o_custkey LEFT JOIN nation ON n_nationkey = c_nationkey),
+  lines AS (SELECT l_orderkey, min(CASE WHEN l_orderkey % 19 = 0 THEN l_shipdate - INTERVAL 9000 DAY ELSE l_shipdate END) AS shipped, sum(l_quantity) AS quantity
+    FROM lineitem GROUP BY 1),
+  dep AS (SELECT 'o_custkey -> nation' AS rule, o_custkey::VARCHAR AS d, nation::VARCHAR AS v FROM po UNION ALL SELECT 'o_custkey -> segment', o_custkey::VARCHAR, segment FROM po
+    UNION ALL SELECT 'segment, nation -> region', segment || ':' || nation, region::VARCHAR FROM po),
+  held AS (SELECT rule, sum(n)::BIGINT AS checked, sum(n - m)::BIGINT AS violations FROM (SELECT rule, d, sum(n) AS n, max(n) AS m FROM
+      (SELECT rule, d, v, count(*) AS n FROM dep WHERE d IS NOT NULL AND v IS NOT NULL GROUP BY ALL) GROUP BY ALL) GROUP BY 1
+    UNION ALL SELECT 'shipped after the order', count(*), count(*) FILTER (WHERE NOT shipped >= o_orderdate) FROM po JOIN lines ON l_orderkey = o_orderkey
+    UNION ALL SELECT 'at most 175 pieces', count(*), count(*) FILTER (WHERE NOT quantity <= 175) FROM po JOIN lines ON l_orderkey = o_orderkey)"""
+
+
+def _planted(spark: SparkSession, root: str) -> tuple[DataFrame, dict, list[Q.CrossRule]]:
+    """Orders with their customer's segment, nation and region, some of them wrong, and the rules they should keep."""
+    people = star.table(spark, root, "customer").join(star.table(spark, root, "nation"), F.col("c_nationkey") == F.col("n_nationkey"), "left")
+    orders = star.table(spark, root, "orders").join(people, F.col("o_custkey") == F.col("c_custkey"), "left")
+    orders = orders.withColumns({
+        "segment": F.col("c_mktsegment"),
+        "nation": F.when(F.col("o_orderkey") % 13 == 0, (F.col("c_nationkey") + 1) % 25).otherwise(F.col("c_nationkey")),
+        "region": F.when(F.col("o_orderkey") % 17 == 0, -1).otherwise(F.col("n_regionkey")),
+    })
+    early = F.when(F.col("l_orderkey") % 19 == 0, F.col("l_shipdate") - F.expr("INTERVAL 9000 DAYS")).otherwise(F.col("l_shipdate"))
+    lines, on = star.table(spark, root, "lineitem"), (("o_orderkey", "l_orderkey"),)
+    rules = [Q.CrossRule("shipped after the order", lines, on, {"shipped": F.min(early)}, F.col("shipped") >= F.col("o_orderdate")),
+             Q.CrossRule("at most 175 pieces", lines, on, {"quantity": F.sum("l_quantity")}, F.col("quantity") <= 175)]
+    return orders, {("o_custkey",): ["nation", "segment"], ("segment", "nation"): ["region"]}, rules
+
+
+@query("consistency_checks", f"WITH {PLANTED_SQL} SELECT rule, checked, violations, {sql_round('1.0::DOUBLE - violations / checked::DOUBLE')} AS share FROM held")
+def consistency_checks(spark: SparkSession, root: str) -> DataFrame:
+    orders, dependencies, rules = _planted(spark, root)
+    return comparable(Q.consistency(orders, dependencies, rules))
+
+
 @query(
     "order_scorecard",
-    f"""WITH o AS (SELECT *, CASE WHEN o_orderkey % 7 = 0 THEN NULL ELSE o_orderpriority END AS priority FROM orders)
+    f"""WITH {PLANTED_SQL}, o AS (SELECT *, CASE WHEN o_orderkey % 7 = 0 THEN NULL ELSE o_orderpriority END AS priority FROM orders)
     SELECT 'orders' AS "table", 'completeness' AS dimension, {sql_round('avg(((o_custkey IS NOT NULL)::INT + (priority IS NOT NULL)::INT) / 2.0::DOUBLE)')} AS "value" FROM o
     UNION ALL SELECT 'orders', 'uniqueness', {sql_round('count(DISTINCT o_orderkey) / count(*)::DOUBLE')} FROM o
     UNION ALL SELECT 'orders', 'validity', {sql_round('avg(((o_totalprice > 50000)::INT + (o_orderstatus IN (chr(70), chr(79)))::INT) / 2.0::DOUBLE)')} FROM o
     UNION ALL SELECT 'orders', 'freshness_days', {sql_round("date_diff('second', max(o_orderdate), TIMESTAMP '2001-09-01') / 86400.0::DOUBLE")} FROM o
     UNION ALL SELECT 'orders', 'referential_integrity', {sql_round("avg(CASE WHEN c_custkey IS NOT NULL THEN 1.0 ELSE 0.0 END)")}
-      FROM o LEFT JOIN (SELECT c_custkey FROM customer WHERE c_custkey % 11 > 0) ON c_custkey = o_custkey""",
+      FROM o LEFT JOIN (SELECT c_custkey FROM customer WHERE c_custkey % 11 > 0) ON c_custkey = o_custkey
+    UNION ALL SELECT 'orders', 'consistency', {sql_round('avg(1.0::DOUBLE - violations / checked::DOUBLE)')} FROM held""",
 )
 def order_scorecard(spark: SparkSession, root: str) -> DataFrame:
-    orders = star.table(spark, root, "orders").withColumn(
-        "priority", F.when(F.col("o_orderkey") % 7 != 0, F.col("o_orderpriority"))
-    )
+    orders, dependencies, rules = _planted(spark, root)
+    orders = orders.withColumn("priority", F.when(F.col("o_orderkey") % 7 != 0, F.col("o_orderpriority")))
     valid = {"price": F.col("o_totalprice") > 50000, "status": F.col("o_orderstatus").isin("F", "O")}
     parents = star.table(spark, root, "customer").where("c_custkey % 11 > 0")
-    return comparable(Q.scorecard(orders, "orders", "o_orderkey", ["o_custkey", "priority"], valid, "o_orderdate",
-                                  F.lit("2001-09-01").cast("timestamp_ntz"), (parents, "o_custkey", "c_custkey")))
+    return comparable(Q.scorecard(
+        orders, "orders", "o_orderkey", ["o_custkey", "priority"], valid, "o_orderdate", F.lit("2001-09-01").cast("timestamp_ntz"),
+        (parents, "o_custkey", "c_custkey"), dependencies, rules))
 
 
 def campaigns(spark: SparkSession, root: str) -> DataFrame:

@@ -123,13 +123,14 @@ def _cuts(df: DataFrame, order: str, keys: Sequence[str], piece_rows: int) -> Da
 
     Rows are counted first, so quantiles are only estimated for large keys.
     """
-    large = settled(df.groupBy(*keys).agg(F.count(F.lit(1)).alias("__rows")).where(F.col("__rows") > piece_rows))
-    if large.isEmpty():
+    sizes = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("__rows"))
+    most = sizes.agg(F.max("__rows")).first()[0] or 0
+    if most <= piece_rows:
         return None
     if keys:
-        rows = join_keys(df.select(*keys, order), large, keys)
+        rows = join_keys(df.select(*keys, order), sizes.where(F.col("__rows") > piece_rows), keys)
     else:
-        rows = df.select(order, F.lit(large.first()[0]).alias("__rows"))
+        rows = df.select(order, F.lit(most).alias("__rows"))
     shares = [i / MOST_PIECES for i in range(1, MOST_PIECES)]
     finest = F.percentile_approx(order, shares, F.lit(20 * MOST_PIECES))
     bounds = rows.groupBy(*keys).agg(finest.alias("__finest"), F.max("__rows").alias("__rows"))

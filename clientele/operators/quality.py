@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -216,11 +217,81 @@ def leak_alarm(metrics: DataFrame, auc: str = "auc_roc") -> DataFrame:
 # ---------------------------------------------------------------- scorecard
 
 
+def dependency_violations(df: DataFrame, rules: dict[tuple[str, ...], Sequence[str]]) -> DataFrame:
+    """``(rule, checked, violations)`` of functional dependencies, determinant columns -> dependent columns.
+
+    A row violates ``a -> b`` if its b differs from the value that most rows with its a have; of equally
+    frequent values one counts as the majority. Rows without a value of the determinant or the dependent
+    are not checked. One pass per determinant: rows become counts per value before they are shuffled, so
+    a determinant value that a third of all rows share arrives as one row per task and value.
+    """
+    out = None
+    for by, dependents in rules.items():
+        known = df.where(F.concat(*[F.col(c).cast("string") for c in by]).isNotNull())
+        cells = F.array(*[F.struct(F.lit(f"{', '.join(by)} -> {d}").alias("rule"), F.col(d).cast("string").alias("value")) for d in dependents])
+        cells = known.select(*[F.col(c).alias(f"__{i}") for i, c in enumerate(by)], F.inline(cells)).where(F.col("value").isNotNull())
+        keys = [f"__{i}" for i in range(len(by))]
+        counts = cells.groupBy(*keys, "rule", "value").agg(F.count(F.lit(1)).alias("n"))
+        odd = counts.groupBy(*keys, "rule").agg(F.sum("n").alias("n"), (F.sum("n") - F.max("n")).alias("odd"))
+        rows = odd.groupBy("rule").agg(F.sum("n").alias("checked"), F.sum("odd").alias("violations"))
+        # a dependency without a row to check is still reported
+        named = df.sparkSession.createDataFrame([(f"{', '.join(by)} -> {d}",) for d in dependents], "rule string")
+        rows = named.join(F.broadcast(rows), "rule", "left").select("rule", *[F.coalesce(c, F.lit(0)).alias(c) for c in ("checked", "violations")])
+        out = rows if out is None else out.unionByName(rows)
+    return out
+
+
+@dataclass(frozen=True)
+class CrossRule:
+    """A condition on rows of a table and aggregates of another table's rows with the same key."""
+
+    name: str
+    other: DataFrame
+    keys: tuple[tuple[str, str], ...]  # (column of the table, column of the other)
+    aggregates: dict[str, Column]
+    holds: Column  # over the table's columns and the aggregates
+
+
+def cross_violations(df: DataFrame, rules: Sequence[CrossRule]) -> DataFrame:
+    """``(rule, checked, violations)``: rows with a partner in the other table, and those for which the rule fails.
+
+    The other table is aggregated by its key first, so rows are never multiplied; rows without a partner
+    are left to referential integrity. A condition that is NULL fails.
+    """
+    out = None
+    for r in rules:
+        mine = [f"__{i}" for i in range(len(r.keys))]
+        known = r.other.groupBy(*[F.col(b).alias(m) for m, (_, b) in zip(mine, r.keys, strict=True)]).agg(
+            *[a.alias(n) for n, a in r.aggregates.items()])
+        on = F.lit(True)
+        for m, (a, _) in zip(mine, r.keys, strict=True):
+            on = on & (F.col(a) == F.col(m))
+        fails = F.coalesce(~r.holds, F.lit(True)).cast("long")
+        rows = df.join(known, on).agg(F.count(F.lit(1)).alias("checked"), F.coalesce(F.sum(fails), F.lit(0)).alias("violations"))
+        rows = rows.select(F.lit(r.name).alias("rule"), "checked", "violations")
+        out = rows if out is None else out.unionByName(rows)
+    return out
+
+
+def consistency(df: DataFrame, dependencies: dict[tuple[str, ...], Sequence[str]] | None = None, rules: Sequence[CrossRule] = ()) -> DataFrame:
+    """``(rule, checked, violations, share)`` of all dependencies and cross-table rules; ``share`` of checked rows that hold."""
+    parts = [dependency_violations(df, dependencies)] if dependencies else []
+    parts += [cross_violations(df, rules)] if rules else []
+    if not parts:
+        raise ValueError("consistency needs a dependency or a rule")
+    both = parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
+    return both.withColumn("share", F.coalesce(1.0 - F.try_divide("violations", "checked"), F.lit(1.0)))
+
+
 def scorecard(
     df: DataFrame, name: str, key: str, required: Sequence[str], valid: dict[str, Column],
     time: str | None = None, asof: Column | None = None, parent: tuple[DataFrame, str, str] | None = None,
+    dependencies: dict[tuple[str, ...], Sequence[str]] | None = None, rules: Sequence[CrossRule] = (),
 ) -> DataFrame:
-    """Completeness, uniqueness, validity, freshness in days and referential integrity of a table."""
+    """Completeness, uniqueness, validity, freshness in days, referential integrity and consistency of a table.
+
+    Consistency is the mean share over dependencies and cross-table rules.
+    """
     n = F.count(F.lit(1))
     cells = {"completeness": F.avg(sum_columns([F.col(c).isNotNull().cast("double") for c in required]) / len(required)),
              "uniqueness": F.countDistinct(key) / F.greatest(n, F.lit(1))}
@@ -236,6 +307,9 @@ def scorecard(
         linked = df.select(F.col(child_key).alias("__k")).join(keys, "__k", "left")
         out = out.unionByName(linked.agg(F.avg(F.coalesce("__hit", F.lit(0.0))).alias("value")).select(
             F.lit("referential_integrity").alias("dimension"), "value"))
+    if dependencies or rules:
+        held = consistency(df, dependencies, rules).agg(F.avg("share").alias("value"))
+        out = out.unionByName(held.select(F.lit("consistency").alias("dimension"), "value"))
     return out.select(F.lit(name).alias("table"), "dimension", "value")
 
 

@@ -43,6 +43,11 @@ class SignalSpec:
 # ---------------------------------------------------------------- weekly cohort aggregation
 
 
+def with_profiles(events: DataFrame, profiles: DataFrame) -> DataFrame:
+    """Events with the cohort columns of their user; users without profile drop out."""
+    return events.join(profiles.select("user_id", "gender", "city", R.age_group("age").alias("age_group")), "user_id")
+
+
 def weekly_cohorts(
     events: DataFrame, profiles: DataFrame, since: Column | str | None = None, until: Column | str | None = None
 ) -> DataFrame:
@@ -54,11 +59,10 @@ def weekly_cohorts(
         events = events.where(F.col("event_timestamp") >= as_timestamp(since))
     if until is not None:
         events = events.where(F.col("event_timestamp") < as_timestamp(until))
-    people = profiles.select("user_id", "gender", "city", R.age_group("age").alias("age_group"))
     kind = F.col("event_type")
     bought, viewed = kind == "purchase", kind == "page_view"
     return (
-        events.join(people, "user_id")
+        with_profiles(events, profiles)
         .groupBy(*COHORT, week_start("event_timestamp").alias("week_start"))
         .agg(
             F.countDistinct(F.when(bought, F.col("user_id"))).alias("purchasers"),

@@ -34,7 +34,6 @@ def day_counts(rows: DataFrame, value: str, time: str, keys: Sequence[str] = ())
 def _spans(pieced: DataFrame, targets: DataFrame, by: list[str], days: int) -> DataFrame:
     """``(by, day, piece, n, low, high)``: what the ``days`` days before each target day hold of each piece."""
     daily = pieced.groupBy(*by, "piece", "day").agg(F.sum("n").alias("n"), F.min("value").alias("low"), F.max("value").alias("high"))
-    daily = settled(daily)
     asked = join_keys(daily.select(*by, "piece").distinct(), targets, by)
     none = F.lit(None).cast("double")
     both = daily.withColumn("asked", F.lit(False)).unionByName(
@@ -113,7 +112,7 @@ def sliding_baselines(counts: DataFrame, targets: DataFrame, keys: Sequence[str]
     by = list(keys) or ["__all"]
     if not keys:
         counts, targets = counts.withColumn("__all", F.lit(1)), targets.withColumn("__all", F.lit(1))
-    pieced = settled(with_value_piece(settled(counts), "value", by, piece_rows, "piece"))
+    pieced = with_value_piece(settled(counts), "value", by, piece_rows, "piece")
     spans = settled(_spans(pieced, targets.select(*by, "day").distinct(), by, days))
     medians = settled(_middles(pieced, spans, by, days, None, "median"))
     center = medians.select(*by, "day", F.col("median").alias("center"))

@@ -157,8 +157,13 @@ def lean_commerce(spark: SparkSession, root: str) -> dict[str, DataFrame]:
 
 def user_events(spark: SparkSession, root: str) -> DataFrame:
     """The event log, with the product category looked up from the event's product."""
+    return with_categories(spark, root, table(spark, root, "events"))
+
+
+def with_categories(spark: SparkSession, root: str, events: DataFrame) -> DataFrame:
+    """Raw events, a table or a stream, as the event log."""
     kind = F.col("event_type")
-    events = table(spark, root, "events").select(
+    events = events.select(
         "event_id",
         F.col("user_id").cast("string").alias("user_id"),
         F.col("ts").alias("event_timestamp"),

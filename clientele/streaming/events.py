@@ -1,7 +1,8 @@
-"""Sessions and weekly cohort counts over an unbounded event stream.
+"""Streams of events: reading, running, and sessions in one step.
 
-Both are plain windowed aggregates with a watermark, so state is bounded by the open windows and
-recovers from the stream's checkpoint folder.
+Sessions here are a plain windowed aggregate with a watermark, so state is bounded by the open windows
+and recovers from the stream's checkpoint folder. A user is one key; ``weekly`` has the form for very
+active users, and the weekly measures.
 """
 
 from __future__ import annotations
@@ -32,26 +33,6 @@ def sessions(events: DataFrame, user: str = "user_id", time: str = "event_timest
     )
 
 
-def weekly_counts(events: DataFrame, keys: list[str], time: str = "event_timestamp", lateness: str = "1 day") -> DataFrame:
-    """Counts per cohort and Monday week; users and sessions are counted approximately in a stream."""
-    timed = events.withColumn("__t", F.col(time).cast("timestamp")).withWatermark("__t", lateness)
-    kind = F.col("event_type")
-    # the epoch is a Thursday: four days later weeks start on Monday
-    week = F.window("__t", "7 days", startTime="4 days")
-    return (
-        timed.groupBy(*keys, week.alias("w"))
-        .agg(
-            F.count_if(kind == "purchase").alias("purchase_count"),
-            F.sum(F.when(kind == "purchase", F.col("revenue")).otherwise(0.0)).alias("total_revenue"),
-            F.count_if(kind == "page_view").alias("page_views"),
-            F.count_if(kind == "add_to_cart").alias("add_to_cart_events"),
-            F.approx_count_distinct("user_id").alias("active_users"),
-        )
-        .withColumn("week_start", F.to_date("w.start"))
-        .drop("w")
-    )
-
-
 def open_sessions(events: DataFrame, finished: DataFrame, user: str = "user_id", time: str = "event_timestamp",
                   gap: str = "30 minutes", lateness: str = "1 hour") -> DataFrame:
     """The sessions of a closed input that its watermark did not finish, from the same events as a batch.
@@ -65,15 +46,6 @@ def open_sessions(events: DataFrame, finished: DataFrame, user: str = "user_id",
     return join_keys(whole, finished.select(user, "started"), [user, "started"], "left_anti")
 
 
-def open_weeks(events: DataFrame, finished: DataFrame, keys: list[str], time: str = "event_timestamp",
-               lateness: str = "1 day") -> DataFrame:
-    """The weeks of a closed input that its watermark did not finish, from the same events as a batch."""
-    last = events.agg(F.max(time)).scalar()
-    since = F.date_trunc("week", last - F.expr(f"INTERVAL {lateness}"))
-    whole = weekly_counts(events.where(F.col(time) >= since), keys, time, lateness)
-    return join_keys(whole, finished.select(*keys, "week_start"), [*keys, "week_start"], "left_anti")
-
-
 def run_once(stream: DataFrame, out: str, checkpoint: str, mode: str = "append") -> StreamingQuery:
     """Process what is there, in micro-batches, into a Parquet folder; a restart continues where it stopped."""
     query = (
