@@ -312,7 +312,7 @@ def drill_down(spark: SparkSession, root: str) -> DataFrame:
     f"""WITH r AS (SELECT event_id, user_id, CASE WHEN ts >= TIMESTAMP '{SPLIT_AT}' THEN 1 ELSE 0 END AS cur,
         CASE WHEN ts >= TIMESTAMP '{SPLIT_AT}' AND user_id % 10 = 0 THEN "value" * 6 ELSE "value" END AS v FROM events),
     z AS (SELECT cur, v, user_id % 10 = 0 AS c, {sql_seeds('event_id')} FROM r),
-    d AS (SELECT rep, cur, v, c, CASE WHEN rep = 0 THEN 1 ELSE {sql_poisson('rep')} END AS w FROM z, (SELECT unnest(range(0, 101)) AS rep)),
+    d AS (SELECT rep, cur, v, c, CASE WHEN rep = 0 THEN 1 ELSE {sql_poisson('rep')} END AS w FROM z, (SELECT unnest(range(0, 201)) AS rep)),
     e AS (SELECT rep, sum(w * v) FILTER (WHERE cur = 1) / sum(w) FILTER (WHERE cur = 1) - sum(w * v) FILTER (WHERE cur = 0) / sum(w) FILTER (WHERE cur = 0) AS f,
         sum(w * v) FILTER (WHERE cur = 1 AND NOT c) / sum(w) FILTER (WHERE cur = 1 AND NOT c)
           - sum(w * v) FILTER (WHERE cur = 0 AND NOT c) / sum(w) FILTER (WHERE cur = 0 AND NOT c) AS x FROM d GROUP BY 1),
@@ -329,7 +329,7 @@ def cause_ablation(spark: SparkSession, root: str) -> DataFrame:
         F.when(cur & (F.col("user_id") % 10 == 0), F.col("value") * 6).otherwise(F.col("value")).alias("v"),
     )
     causes = star.table(spark, root, "customer").where("c_custkey % 10 = 0").select(F.col("c_custkey").alias("user_id"))
-    out = D.ablation(rows, causes, "event_id", "user_id", "v", "cur", replicates=100)
+    out = D.ablation(rows, causes, "event_id", "user_id", "v", "cur")
     return comparable(out, 3)
 
 

@@ -10,7 +10,7 @@ from clientele.catalog import query
 from clientele.catalog.commerce import (
     EVENTS_SQL, FEATURES_SQL, TARGETS_SQL, cleaned, features_of, spine, targets_of, txn_of,
 )
-from clientele.catalog.common import CLEAN, CUSTOMERS, comparable, sql_poisson, sql_round, sql_seeds
+from clientele.catalog.common import CLEAN, CUSTOMERS, comparable, sql_round, sql_seeds
 from clientele.catalog.labels import UNIT_SQL
 from clientele.functions import rules as R
 from clientele.operators import adapter as A
@@ -507,14 +507,21 @@ def rank_correlation(spark: SparkSession, root: str) -> DataFrame:
     return comparable(one.withColumn("kendall", M.kendall(df, "x", "y").scalar()))
 
 
-BOOT = 200
+REPLICATES = 10_000
+BOOT_SEEDS = sql_seeds("churn || '|' || (CASE WHEN b THEN '1.0' ELSE '0.0' END) || '|' || (CASE WHEN a THEN '1.0' ELSE '0.0' END)")
 
 
 @query(
     "paired_bootstrap",
-    SCORED_SQL + f""", seeds AS (SELECT churn, a, b, {sql_seeds('c_custkey')} FROM scored),
-    pois AS (SELECT r, churn, a, b, {sql_poisson()} AS w FROM seeds, (SELECT unnest(range(1, {BOOT + 1})) AS r)),
-    per AS (SELECT r, (sum(w * ((b >= 0.5)::INT = churn)::INT) - sum(w * ((a >= 0.5)::INT = churn)::INT)) / sum(w)::DOUBLE AS diff FROM pois GROUP BY 1),
+    SCORED_SQL + f""", cells AS (SELECT churn, a, b, n, {BOOT_SEEDS}, 12 * CAST(floor(sqrt(n)) AS BIGINT) + 30 AS wide FROM
+        (SELECT churn, a >= 0.5 AS a, b >= 0.5 AS b, count(*) AS n FROM scored GROUP BY ALL)),
+    pmf AS (SELECT churn, a, b, k, exp(k * ln(n) - n - lgamma(k + 1)) AS p FROM (SELECT *, unnest(range(greatest(0, n - wide), n + wide + 1)) AS k FROM cells)),
+    cdf AS (SELECT churn, a, b, list(c ORDER BY k) AS cs, min(k) AS low FROM
+        (SELECT *, sum(p) OVER (PARTITION BY churn, a, b ORDER BY k ROWS UNBOUNDED PRECEDING) AS c FROM pmf) GROUP BY 1, 2, 3),
+    u AS (SELECT churn, a, b, r, ((h1 % 2147483647 + r * (h2 % 2147483647) + r * r * ((h1 + h2) % 65521)) % 2147483647) / 2147483647.0::DOUBLE AS u
+        FROM cells, (SELECT unnest(range(1, {REPLICATES + 1})) AS r)),
+    pois AS (SELECT r, churn, a, b, low + len(list_filter(cs, lambda x: x <= u)) AS w FROM u JOIN cdf USING (churn, a, b)),
+    per AS (SELECT r, (sum(w * (b::INT = churn)::INT) - sum(w * (a::INT = churn)::INT)) / sum(w)::DOUBLE AS diff FROM pois GROUP BY 1),
     obs AS (SELECT avg(((b >= 0.5)::INT = churn)::INT) AS sb, avg(((a >= 0.5)::INT = churn)::INT) AS sa FROM scored)
     SELECT {sql_round('sb')} AS score_a, {sql_round('sa')} AS score_b, {sql_round('sb - sa')} AS observed_diff,
       {sql_round('count(*) FILTER (WHERE round(diff, 12) <= 0) / count(*)::DOUBLE')} AS p_value, {sql_round('quantile_cont(diff, 0.025)')} AS ci_95_lower,
@@ -522,7 +529,7 @@ BOOT = 200
     FROM per, obs GROUP BY sa, sb""",
 )
 def paired_bootstrap(spark: SparkSession, root: str) -> DataFrame:
-    return comparable(M.paired_bootstrap(scored(spark, root), "c_custkey", "churn", "b", "a", replicates=BOOT))
+    return comparable(M.paired_bootstrap(scored(spark, root), "churn", "b", "a", replicates=REPLICATES))
 
 
 @query(

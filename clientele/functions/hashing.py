@@ -7,7 +7,7 @@ import math
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-_PRIME = 2_147_483_647
+PRIME = 2_147_483_647
 LARGEST_DRAW = 12
 
 
@@ -35,12 +35,12 @@ def poisson_one(h1: Column, h2: Column, replicate: Column) -> Column:
     """A Poisson(1) draw for a row in one replicate, by inverting its distribution."""
     # rotate the mix with the square of the replicate, so that draws of two rows do not stay in step
     mixed = F.pmod(
-        F.pmod(h1, F.lit(_PRIME))
-        + replicate * F.pmod(h2, F.lit(_PRIME))
+        F.pmod(h1, F.lit(PRIME))
+        + replicate * F.pmod(h2, F.lit(PRIME))
         + replicate * replicate * F.pmod(h1 + h2, F.lit(65_521)),
-        F.lit(_PRIME),
+        F.lit(PRIME),
     )
-    u = mixed / F.lit(float(_PRIME))
+    u = mixed / F.lit(float(PRIME))
     # to the resolution of the draw: a count of 13 or more has less than one part in 2^31
     out, cumulative = F.lit(LARGEST_DRAW), []
     p, total = math.exp(-1.0), 0.0

@@ -6,13 +6,17 @@ neither a large group nor heavy ties meet in one task.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+import math
+from collections.abc import Callable, Iterator, Sequence
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from clientele.functions.hashing import poisson_one, replicate_seeds
+from clientele.functions.hashing import PRIME, replicate_seeds
 from clientele.operators.ordering import PIECE_ROWS, join_keys, running_totals
 from clientele.operators.pairs import concordance
 
@@ -252,24 +256,62 @@ def weighted_mae_skill(label: str, score: str, weight: str) -> Column:
     return -F.sum(F.abs(F.col(score) - F.col(label)) * F.col(weight)) / F.sum(weight)
 
 
+def accuracy_state(score: Column) -> Column:
+    """What accuracy reads of a score."""
+    return (score >= 0.5).cast("double")
+
+
+def _cell_draws(cells: DataFrame, replicates: int) -> DataFrame:
+    """``(cells' columns, __r, __w)``: per cell and replicate one Poisson draw with the cell's count as its mean.
+
+    The draw inverts the distribution, whose table reaches 12 standard deviations to either side: its size
+    goes with the root of the count. Uniform numbers follow from the cell's seeds and the replicate.
+    """
+    kept = [f for f in cells.schema.fields if f.name not in ("__n", "__h1", "__h2")]
+    schema = T.StructType([*kept, T.StructField("__r", T.LongType()), T.StructField("__w", T.DoubleType())])
+    names = [f.name for f in kept]
+
+    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        r = np.arange(1, replicates + 1)
+        for part in parts:
+            for row in part.itertuples(index=False):
+                n, h1, h2 = (int(x) for x in row[-3:])
+                low, high = poisson_range(n)
+                k = np.arange(low, high + 1)
+                logs = k * math.log(n) - n - np.array([math.lgamma(x + 1) for x in k])
+                u = ((h1 % PRIME + r * (h2 % PRIME) + r * r * ((h1 + h2) % 65_521)) % PRIME) / PRIME
+                w = np.searchsorted(np.cumsum(np.exp(logs)), u, side="right") + low
+                out = pd.DataFrame({"__r": r, "__w": w.astype(float)})
+                for name, value in zip(names, row, strict=False):
+                    out[name] = value
+                yield out[[*names, "__r", "__w"]]
+
+    return cells.select(*names, "__n", "__h1", "__h2").mapInPandas(run, schema)
+
+
+def poisson_range(n: int) -> tuple[int, int]:
+    """The values that a Poisson draw of mean ``n`` takes but for less than one part in 10^30."""
+    wide = 12 * math.isqrt(n) + 30
+    return max(0, n - wide), n + wide
+
+
 def paired_bootstrap(
-    pred: DataFrame, key: str, label: str, score_a: str, score_b: str, metric: Metric = weighted_accuracy,
-    replicates: int = 10_000, seed: int = 42,
+    pred: DataFrame, label: str, score_a: str, score_b: str, metric: Metric = weighted_accuracy,
+    state: Callable[[Column], Column] | None = accuracy_state, replicates: int = 10_000, seed: int = 42,
 ) -> DataFrame:
     """One-sided p-value, difference and 95 % interval of model A over model B.
 
-    Each replicate weighs every row by its own Poisson(1) draw, which is resampling with
-    replacement for large tables. A task reduces its rows to one partial sum per replicate, so
-    the shuffle carries ``tasks x replicates`` rows, whatever the table size.
+    A replicate weighs every row by a Poisson(1) draw, which is resampling with replacement for large
+    tables. Rows that the metric cannot tell apart form a cell, and the sum of their draws is one
+    Poisson draw with their count as its mean; so the cost is cells x replicates whatever the number of
+    rows. ``state`` maps a score to what the metric reads of it (for accuracy, at most eight cells);
+    None keeps the scores themselves, with a cell per distinct label and pair of scores.
     """
-    h1, h2 = replicate_seeds(seed, key)
-    seeded = pred.select(label, score_a, score_b, h1.alias("__h1"), h2.alias("__h2"))
-    drawn = seeded.withColumn("__r", F.explode(F.sequence(F.lit(1), F.lit(replicates)))).withColumn(
-        "__w", poisson_one(F.col("__h1"), F.col("__h2"), F.col("__r").cast("bigint")).cast("double")
-    )
-    per = drawn.where(F.col("__w") > 0).groupBy("__r").agg(
-        (metric(label, score_a, "__w") - metric(label, score_b, "__w")).alias("diff")
-    )
+    of = state or (lambda c: c.cast("double"))
+    cells = pred.groupBy(F.col(label).alias(label), of(F.col(score_a)).alias("__a"), of(F.col(score_b)).alias("__b")).agg(F.count(F.lit(1)).alias("__n"))
+    h1, h2 = replicate_seeds(seed, *[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in (label, "__a", "__b")])
+    drawn = _cell_draws(cells.withColumns({"__h1": h1, "__h2": h2}).select(label, "__a", "__b", "__n", "__h1", "__h2"), replicates)
+    per = drawn.groupBy("__r").agg((metric(label, "__a", "__w") - metric(label, "__b", "__w")).alias("diff"))
     observed = pred.withColumn("__w", F.lit(1.0)).agg(
         metric(label, score_a, "__w").alias("score_a"), metric(label, score_b, "__w").alias("score_b")
     )

@@ -64,14 +64,27 @@ def test_grades_and_summary(spark):
 def test_bootstrap_finds_a_real_difference(spark):
     rows = [(i, i % 2, 0.9 if i % 2 else 0.1, (0.9 if i % 2 else 0.1) if i % 3 else (0.1 if i % 2 else 0.9)) for i in range(400)]
     df = spark.createDataFrame(rows, "id bigint, label int, a double, b double")
-    r = M.paired_bootstrap(df, "id", "label", "a", "b", replicates=300).first()
+    r = M.paired_bootstrap(df, "label", "a", "b", replicates=300).first()
     assert r.observed_diff == pytest.approx(134 / 400) and r.significant and r.ci_95_lower < r.observed_diff < r.ci_95_upper
     spread = (134 / 400 * 266 / 400 / 400) ** 0.5
     assert r.ci_95_upper - r.ci_95_lower == pytest.approx(2 * 1.96 * spread, rel=0.25)
-    same = M.paired_bootstrap(df, "id", "label", "a", "a", replicates=50).first()
+    same = M.paired_bootstrap(df, "label", "a", "a", replicates=50).first()
     assert same.p_value == 1.0 and not same.significant
 
 
+def test_draws_of_a_cell_are_poisson_with_its_count(spark):
+    cells = spark.createDataFrame([(1, 1.0, 0.0, n, 12345 + n, 98765 * n) for n in (1, 5, 400, 1_000_000)], "label int, a double, b double, __n long, __h1 long, __h2 long")
+    got = M._cell_draws(cells.withColumn("c", F.col("__n")).select("label", "a", "b", "c", "__n", "__h1", "__h2"), 4000)
+    for r in got.groupBy("c").agg(F.avg("__w").alias("m"), F.var_pop("__w").alias("v"), F.count("*").alias("n")).collect():
+        assert r.n == 4000 and abs(r.m - r.c) < 5 * (r.c / 4000) ** 0.5 and r.v == pytest.approx(r.c, rel=0.12)
+
+
+def test_bootstrap_over_scores_themselves(spark):
+    rows = [(float(i % 5), float(i % 5) + 0.1 * (i % 2), float(i % 5) + 0.5) for i in range(300)]
+    r = M.paired_bootstrap(spark.createDataFrame(rows, "y double, a double, b double"), "y", "a", "b", M.weighted_mae_skill, None, 200).first()
+    assert r.observed_diff == pytest.approx(0.45) and r.significant and r.ci_95_lower < 0.45 < r.ci_95_upper
+
+
 def test_embedding_spectra_match_numpy(spark):
     m = np.random.default_rng(0).normal(size=(80, 6)) * np.array([3, 1, 1, 1, 0.5, 0.1])
     df = spark.createDataFrame([([float(x) for x in v],) for v in m], "embedding array<double>")
