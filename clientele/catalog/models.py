@@ -10,7 +10,10 @@ from clientele.catalog.commerce import features_of, targets_of
 from clientele.catalog.common import comparable, sql_round
 from clientele.operators import embeddings as E
 from clientele.operators import models as B
+from clientele.operators import neighbours as N
 from clientele.operators import splits as P
+from clientele.operators.ordering import settled
+from clientele.operators.pairs import nearest
 from clientele.sources import star
 
 # small enough for every benchmark run; the library defaults are the full sizes
@@ -136,6 +139,29 @@ def knn_probe(spark: SparkSession, root: str) -> DataFrame:
     return B.knn_probe(vectors(spark, root), "vec_id", "embedding", "label", "label")
 
 
+@query("hashed_knn_probe")
+def hashed_knn_probe(spark: SparkSession, root: str) -> DataFrame:
+    return B.hashed_knn_probe(vectors(spark, root), "vec_id", "embedding", "label", "label")
+
+
+NEAREST = 10
+
+
+@query(
+    "neighbour_recall",
+    """WITH n AS (SELECT count(*) FILTER (vec_id % 5 = 0) AS q, count(*) FILTER (vec_id % 5 <> 0) AS b FROM embeddings)
+    SELECT q AS queries, q * least(b, 10) AS neighbours, true AS reached FROM n""",
+)
+def neighbour_recall(spark: SparkSession, root: str) -> DataFrame:
+    """Whether hashed neighbours of a fifth of the rows among the others hold nine tenths of those that comparing all finds."""
+    rows = settled(vectors(spark, root).select("vec_id", F.col("embedding").cast("array<double>").alias("v"), "label"))
+    asked, base = rows.where("vec_id % 5 = 0"), rows.where("vec_id % 5 <> 0")
+    index = N.fit(asked, base, "vec_id", "v", NEAREST)
+    found = N.hashed_nearest(asked, base, "vec_id", "v", "label", NEAREST, index)
+    one = N.recall(found, nearest(asked, base, "vec_id", "v", "label", NEAREST))
+    return one.select("queries", "neighbours", (F.col("recall") >= 0.9).alias("reached"))
+
+
 @query("cross_validation")
 def cross_validation(spark: SparkSession, root: str) -> DataFrame:
     return B.cross_validated(vectors(spark, root), "vec_id", "embedding", "binary", "binary")

@@ -22,6 +22,7 @@ from pyspark.sql import functions as F
 from clientele.functions import rules as R
 from clientele.functions.hashing import unit_hash
 from clientele.operators import metrics as M
+from clientele.operators.neighbours import fit, hashed_nearest
 from clientele.operators.ordering import settled
 from clientele.operators.pairs import nearest
 from clientele.operators.splits import stratified_folds, stratified_split
@@ -211,23 +212,40 @@ def linear_probe(vectors: DataFrame, key: str, vector: str, label: str, task: st
     return _union(out)
 
 
-def knn_probe(vectors: DataFrame, key: str, vector: str, label: str, task: str, ks: Sequence[int] = (1, 3, 5, 10), seed: int = 42) -> DataFrame:
-    """Majority of the k nearest train rows, for several k from one neighbour search."""
-    split = stratified_split(vectors, label, key, seed=seed)
-    scaled = _scaled(split, vector).select(key, label, "split", vector_to_array("features").alias("v"))
-    data = settled(scaled)
-    found = settled(nearest(data.where("split = 'test'"), data.where("split = 'train'"), key, "v", label, max(ks)))
-    truth = data.where("split = 'test'").select(F.col(key).alias("query"), F.col(label).alias("label"))
+def _probe_votes(found: DataFrame, truth: DataFrame, ks: Sequence[int], task: str, name: str) -> DataFrame:
     out = []
     for k in ks:
         votes = found.where(F.col("place") <= k).groupBy("query", "carry").agg(F.count(F.lit(1)).alias("n"))
         # a tie goes to the smallest label
         winner = votes.groupBy("query").agg(F.min_by("carry", F.struct(-F.col("n"), F.col("carry"))).alias("prediction"))
         scores = M.multiclass_metrics(truth.join(winner, "query"))
-        out.append(_rows(scores, task, f"knn_k={k}", ("accuracy", "f1_weighted")))
+        out.append(_rows(scores, task, f"{name}_k={k}", ("accuracy", "f1_weighted")))
     return _union(out)
 
 
+def _probe_sides(vectors: DataFrame, key: str, vector: str, label: str, seed: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    split = stratified_split(vectors, label, key, seed=seed)
+    data = settled(_scaled(split, vector).select(key, label, "split", vector_to_array("features").alias("v")))
+    test = data.where("split = 'test'")
+    return test, data.where("split = 'train'"), test.select(F.col(key).alias("query"), F.col(label).alias("label"))
+
+
+def knn_probe(vectors: DataFrame, key: str, vector: str, label: str, task: str, ks: Sequence[int] = (1, 3, 5, 10), seed: int = 42) -> DataFrame:
+    """Majority of the k nearest train rows, for several k from one neighbour search that compares all."""
+    test, train, truth = _probe_sides(vectors, key, vector, label, seed)
+    found = settled(nearest(test, train, key, "v", label, max(ks)))
+    return _probe_votes(found, truth, ks, task, "knn")
+
+
+def hashed_knn_probe(vectors: DataFrame, key: str, vector: str, label: str, task: str, ks: Sequence[int] = (1, 3, 5, 10),
+                     seed: int = 42) -> DataFrame:
+    """The same from hashed neighbours, for tables whose pairs are too many to compare."""
+    test, train, truth = _probe_sides(vectors, key, vector, label, seed)
+    index = fit(test, train, key, "v", max(ks), seed=seed)
+    found = settled(hashed_nearest(test, train, key, "v", label, max(ks), index))
+    return _probe_votes(found, truth, ks, task, "hashed_knn")
+
+
 def regression_probe(vectors: DataFrame, key: str, vector: str, target: str, task: str, seed: int = 42) -> DataFrame:
     """Ridge regression on scaled vectors: errors and rank correlations of its predictions."""
     hashed = vectors.withColumn("split", F.when(unit_hash(seed, key) < 0.2, "test").otherwise("train"))
