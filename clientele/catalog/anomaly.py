@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from clientele.catalog import CHECKS, query
+from clientele.catalog import query
 from clientele.catalog.common import comparable, sql_poisson, sql_round, sql_seeds
+from clientele.functions.timeutil import week_start
 from clientele.operators import anomaly as D
 from clientele.operators import governed as V
 from clientele.operators import sliding as L
@@ -126,90 +127,91 @@ def _unusual(spark: SparkSession, root: str) -> DataFrame:
     )
 
 
-def deviations(spark: SparkSession, root: str) -> DataFrame:
-    """One deviation per (kind, day, device) of unusual events, in three strata."""
-    rows = _unusual(spark, root)
-    # a deviation holds the ten strongest users of its day and zone
-    from clientele.operators.ordering import top_rows
-
-    strong = top_rows(rows, ["stratum", "day", "zone"], [F.col("value").desc(), F.col("ts"), F.col("user_id")], 10)
-    return strong.groupBy("stratum", "metric", "day", "zone").agg(
-        F.array_sort(F.collect_set(F.col("user_id").cast("string"))).alias("entities"),
-        F.min("ts").alias("start_ts"), F.max("ts").alias("end_ts"), F.max("value").alias("magnitude"),
-    ).select(F.concat_ws("/", "stratum", F.col("day").cast("string"), "zone").alias("dev_id"), "stratum", "metric", "entities",
-             F.create_map(F.lit("zone"), F.col("zone")).alias("locus"), "start_ts", "end_ts", "magnitude", "zone")
+def weekly_deviations(spark: SparkSession, root: str) -> tuple[DataFrame, DataFrame]:
+    """One deviation per kind, week and group of users, of all its events, and ``(dev_id, entity)`` for each of its users."""
+    kind = F.col("event_type")
+    stratum = F.when(kind == "error", "S0").when(kind == "view", "S1").when(kind == "purchase", "S2")
+    rows = star.table(spark, root, "events").where(kind.isin("error", "view", "purchase")).select(
+        stratum.alias("stratum"), kind.alias("metric"), (F.col("user_id") % 5).cast("string").alias("zone"), "user_id", "ts", "value",
+        week_start("ts").cast("string").alias("week"),
+    )
+    rows = rows.withColumn("dev_id", F.concat_ws("/", "stratum", "week", "zone"))
+    cells = rows.groupBy("dev_id", "stratum", "metric", "zone").agg(
+        F.min("ts").alias("start_ts"), F.max("ts").alias("end_ts"), F.max("value").alias("magnitude"))
+    users = rows.where(F.col("user_id").isNotNull()).select("dev_id", F.col("user_id").cast("string").alias("entity")).distinct()
+    return settled(cells.withColumn("locus", F.create_map(F.lit("zone"), F.col("zone")))), settled(users)
 
 
-DEV_SQL = """r AS (SELECT CASE event_type WHEN 'error' THEN 'S0' WHEN 'view' THEN 'S1' ELSE 'S2' END AS stratum, event_type AS metric,
-    CAST(CAST(json_extract_string(props, '$.k') AS INTEGER) % 5 AS VARCHAR) AS zone, user_id, ts, "value" AS v, CAST(ts AS DATE) AS day
+WEEK_SQL = """r AS (SELECT CASE event_type WHEN 'error' THEN 'S0' WHEN 'view' THEN 'S1' ELSE 'S2' END AS stratum, event_type AS metric,
+    CAST(user_id % 5 AS VARCHAR) AS zone, user_id, ts, "value" AS v, strftime(date_trunc('week', ts), '%Y-%m-%d') AS week
   FROM events WHERE event_type IN ('error', 'view', 'purchase')),
-strong AS (SELECT * FROM r QUALIFY row_number() OVER (PARTITION BY stratum, day, zone ORDER BY v DESC, ts, user_id) <= 10),
-dev AS (SELECT stratum || '/' || day || '/' || zone AS dev_id, stratum, metric, zone, min(ts) AS s, max(ts) AS e, max(v) AS magnitude,
-               list(DISTINCT CAST(user_id AS VARCHAR)) AS ents FROM strong GROUP BY stratum, metric, day, zone)"""
+dev AS (SELECT concat_ws('/', stratum, week, zone) AS dev_id, stratum, metric, zone, min(ts) AS s, max(ts) AS e, max(v) AS magnitude,
+               list(DISTINCT CAST(user_id AS VARCHAR)) FILTER (user_id IS NOT NULL) AS ents FROM r GROUP BY stratum, metric, week, zone)"""
 
 
 @query(
     "deviation_records",
-    f"""WITH {DEV_SQL} SELECT dev_id, stratum, metric, {sql_round('magnitude')} AS magnitude, CAST(len(ents) AS BIGINT) AS n_entities, CAST(64 AS BIGINT) AS hash_length FROM dev""",
+    f"""WITH {WEEK_SQL}, u AS (SELECT dev_id, sum(CAST('0x' || substr(md5(x), 1, 15) AS HUGEINT)) AS h FROM (SELECT dev_id, unnest(ents) AS x FROM dev) GROUP BY 1)
+    SELECT dev_id, stratum, metric, {sql_round('magnitude')} AS magnitude, CAST(coalesce(len(ents), 0) AS BIGINT) AS n_entities,
+      sha256(concat_ws('|', dev_id, stratum, metric, coalesce(len(ents), 0), coalesce(h, 0), epoch_us(s), epoch_us(e), CAST(round(magnitude * 1000000) AS BIGINT))) AS provenance
+    FROM dev LEFT JOIN u USING (dev_id)""",
 )
 def deviation_records(spark: SparkSession, root: str) -> DataFrame:
-    d = deviations(spark, root)
-    out = None
-    for stratum, metric in (("S0", "error"), ("S1", "view"), ("S2", "purchase")):
-        part = d.where(F.col("stratum") == stratum)
-        rec = D.deviation_record(part, stratum, metric, F.col("entities"), F.col("start_ts"), F.col("end_ts"), F.col("locus"),
-                                 F.col("magnitude"), F.col("magnitude") - 1, F.col("magnitude") + 1)
-        out = rec if out is None else out.unionByName(rec)
-    name = F.concat_ws("/", "stratum", F.to_date("start_ts").cast("string"), F.col("locus.zone"))
-    return comparable(out.select(name.alias("dev_id"), "stratum", "metric", "magnitude", F.size("entities").alias("n_entities"),
-                                 F.length("provenance").alias("hash_length")))
-
-
-PAIR_SQL = f"""WITH {DEV_SQL}, p AS (SELECT a.dev_id AS cause, b.dev_id AS effect,
+    records = D.record_digests(*weekly_deviations(spark, root))
+    return comparable(records.select("dev_id", "stratum", "metric", "magnitude", "n_entities", "provenance"))
+
+
+PAIR_SQL = f"""WITH {WEEK_SQL}, p AS (SELECT a.dev_id AS cause, b.dev_id AS effect,
   len(list_intersect(a.ents, b.ents)) / len(list_distinct(list_concat(a.ents, b.ents)))::DOUBLE AS entity,
   exp(-power((epoch_us(b.s - a.s) / 1000000.0::DOUBLE), 2) / (2.0::DOUBLE * 21600 * 21600)) AS "time",
   CASE WHEN a.zone = b.zone THEN 1.0::DOUBLE ELSE 0 END AS dimension, 0.9::DOUBLE AS semantic
   FROM dev a JOIN dev b ON a.stratum <> b.stratum AND b.s >= a.s AND b.s <= a.s + INTERVAL 1 DAY
   WHERE len(list_intersect(a.ents, b.ents)) > 0),
-sc AS (SELECT *, entity * 0.38::DOUBLE + "time" * 0.28::DOUBLE + dimension * 0.14::DOUBLE + semantic * 0.2::DOUBLE AS score FROM p)"""
+sc AS (SELECT *, entity * 0.38::DOUBLE + "time" * 0.28::DOUBLE + dimension * 0.14::DOUBLE + semantic * 0.2::DOUBLE AS score FROM p),
+ed AS (SELECT DISTINCT cause, effect FROM sc WHERE round(score, 9) >= {D.PAIR_LIMIT})"""
 
 
-def _scored(spark: SparkSession, root: str) -> DataFrame:
+def _scored(spark: SparkSession, cells: DataFrame, users: DataFrame) -> DataFrame:
     names = ["error", "view", "purchase"]
     pairs = [(a, b, 0.9) for a in names for b in names if a != b]
     affinity = spark.createDataFrame(pairs, "metric_a string, metric_b string, similarity double")
-    # the score without a shared entity stays at 0.38 + ... < limit for every weight used here
-    return D.pair_scores(deviations(spark, root), spread_seconds=21_600.0, affinity=affinity, limit=0.65)
+    return D.pair_scores(cells, spread_seconds=21_600.0, affinity=affinity, members=users)
 
 
 @query(
     "deviation_pairs",
     PAIR_SQL + f""" SELECT cause, effect, {sql_round('entity')} AS entity, {sql_round('"time"')} AS "time", {sql_round('dimension')} AS dimension,
-      {sql_round('semantic')} AS semantic, {sql_round('score')} AS score FROM sc WHERE round(score, 9) >= 0.65""",
+      {sql_round('semantic')} AS semantic, {sql_round('score')} AS score FROM sc WHERE round(score, 9) >= {D.PAIR_LIMIT}""",
 )
 def deviation_pairs(spark: SparkSession, root: str) -> DataFrame:
-    return comparable(_scored(spark, root))
+    """Pairs that reach the stated limit, over all users of each week and group."""
+    return comparable(_scored(spark, *weekly_deviations(spark, root)))
 
 
 @query(
     "root_causes",
-    PAIR_SQL.replace("WITH ", "WITH RECURSIVE ", 1) + """, ed AS (SELECT DISTINCT cause, effect FROM sc WHERE round(score, 9) >= 0.65),
-    walk AS (SELECT DISTINCT cause AS root, cause AS node, list_sort(ents) AS ents, 0 AS depth FROM ed JOIN dev ON dev_id = cause WHERE cause NOT IN (SELECT effect FROM ed)
-      UNION SELECT root, effect, list_sort(list_intersect(w.ents, d.ents)), depth + 1 FROM walk w JOIN ed ON ed.cause = w.node JOIN dev d ON d.dev_id = effect
-      WHERE len(list_intersect(w.ents, d.ents)) > 0)
-    SELECT root, node, CAST(min(depth) AS BIGINT) AS depth, array_to_string(ents, ',') AS entities FROM walk GROUP BY root, node, ents""",
+    PAIR_SQL.replace("WITH ", "WITH RECURSIVE ", 1) + """, mem AS (SELECT dev_id, unnest(ents) AS x FROM dev),
+    walk AS (SELECT DISTINCT cause AS root, cause AS node, x, 0 AS depth FROM ed JOIN mem ON dev_id = cause WHERE cause NOT IN (SELECT effect FROM ed)
+      UNION SELECT root, effect, w.x, depth + 1 FROM walk w JOIN ed ON ed.cause = w.node JOIN mem m ON m.dev_id = effect AND m.x = w.x)
+    SELECT root, node, x AS entity, CAST(min(depth) AS BIGINT) AS depth FROM walk GROUP BY root, node, x""",
 )
 def root_causes(spark: SparkSession, root: str) -> DataFrame:
-    nodes = deviations(spark, root).select(F.col("dev_id").alias("node"), "entities")
-    out = D.root_causes(_scored(spark, root), nodes)
-    return out.select("root", "node", F.col("depth").cast("bigint").alias("depth"), F.array_join(F.array_sort("entities"), ",").alias("entities"))
+    """What each root's chains have in common, one row per entity."""
+    cells, users = weekly_deviations(spark, root)
+    scored = settled(_scored(spark, cells, users))
+    out = D.chain_entities(scored, users.withColumnRenamed("dev_id", "node"))
+    return out.select("root", "node", "entity", F.col("depth").cast("bigint").alias("depth"))
 
 
 # ---------------------------------------------------------------- the same over all users of a day and zone
 
 
-WHOLE_SQL = DEV_SQL[: DEV_SQL.index("strong AS")] + "strong AS (SELECT * FROM r),\n" + DEV_SQL[DEV_SQL.index("dev AS") :]
-WHOLE_PAIR_SQL = PAIR_SQL.replace(DEV_SQL, WHOLE_SQL)
+WHOLE_SQL = """r AS (SELECT CASE event_type WHEN 'error' THEN 'S0' WHEN 'view' THEN 'S1' ELSE 'S2' END AS stratum, event_type AS metric,
+    CAST(CAST(json_extract_string(props, '$.k') AS INTEGER) % 5 AS VARCHAR) AS zone, user_id, ts, "value" AS v, CAST(ts AS DATE) AS day
+  FROM events WHERE event_type IN ('error', 'view', 'purchase')),
+dev AS (SELECT stratum || '/' || day || '/' || zone AS dev_id, stratum, metric, zone, min(ts) AS s, max(ts) AS e, max(v) AS magnitude,
+               list(DISTINCT CAST(user_id AS VARCHAR)) AS ents FROM r GROUP BY stratum, metric, day, zone)"""
+WHOLE_PAIR_SQL = PAIR_SQL.replace(WEEK_SQL, WHOLE_SQL)
 
 
 def whole_deviations(spark: SparkSession, root: str) -> tuple[DataFrame, DataFrame]:
@@ -237,11 +239,8 @@ def deviation_records_whole(spark: SparkSession, root: str) -> DataFrame:
 
 
 def _scored_whole(spark: SparkSession, root: str) -> tuple[DataFrame, DataFrame]:
-    names = ["error", "view", "purchase"]
-    pairs = [(a, b, 0.9) for a in names for b in names if a != b]
-    affinity = spark.createDataFrame(pairs, "metric_a string, metric_b string, similarity double")
     cells, users = whole_deviations(spark, root)
-    return D.pair_scores(cells, spread_seconds=21_600.0, affinity=affinity, members=users), users
+    return _scored(spark, cells, users), users
 
 
 @query(
@@ -254,7 +253,14 @@ def deviation_pairs_whole(spark: SparkSession, root: str) -> DataFrame:
     return comparable(_scored_whole(spark, root)[0])
 
 
-@query("root_causes_whole", CHECKS["root_causes"].replace(DEV_SQL, WHOLE_SQL).replace("0.65", str(D.PAIR_LIMIT)))
+@query(
+    "root_causes_whole",
+    WHOLE_PAIR_SQL.replace("WITH ", "WITH RECURSIVE ", 1) + """,
+    walk AS (SELECT DISTINCT cause AS root, cause AS node, list_sort(ents) AS ents, 0 AS depth FROM ed JOIN dev ON dev_id = cause WHERE cause NOT IN (SELECT effect FROM ed)
+      UNION SELECT root, effect, list_sort(list_intersect(w.ents, d.ents)), depth + 1 FROM walk w JOIN ed ON ed.cause = w.node JOIN dev d ON d.dev_id = effect
+      WHERE len(list_intersect(w.ents, d.ents)) > 0)
+    SELECT root, node, CAST(min(depth) AS BIGINT) AS depth, array_to_string(ents, ',') AS entities FROM walk GROUP BY root, node, ents""",
+)
 def root_causes_whole(spark: SparkSession, root: str) -> DataFrame:
     """Only deviations of a pair carry their users along the chains."""
     scored, users = _scored_whole(spark, root)

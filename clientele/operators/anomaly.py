@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -191,6 +192,41 @@ def jaccard(a: Column, b: Column) -> Column:
     return F.coalesce(F.try_divide(F.size(F.array_intersect(a, b)), F.size(F.array_union(a, b))), F.lit(0.0))
 
 
+MEETING_ROWS = 4096  # deviations of one entity and time bucket that meet in one task
+
+
+def _meeting(keyed: DataFrame, share: float) -> DataFrame:
+    """Distinct pairs ``(cause, effect)`` of different strata that can share ``share`` of their entities.
+
+    Two sets whose intersection is at least that share of their union have an entity in common among the
+    rarest ``size - ceil(share x size) + 1`` of either. Entities are therefore ranked by the number of
+    deviations that hold them, and only these prefixes meet: an entity that all deviations hold comes
+    last. A list of many deviations is cut, and its parts meet apart.
+    """
+    held = keyed.groupBy("entity").agg(F.count(F.lit(1)).alias("__held"))
+    rare = keyed.join(held, "entity")
+    rare = rare.withColumn("__rank", F.row_number().over(W.partitionBy("dev_id").orderBy("__held", "entity")))
+    first = settled(rare.where(F.col("__rank") <= F.col("size") - F.ceil(F.col("size") * F.lit(share - 1e-9)) + 1).drop("__held", "__rank"))
+    at = ["entity", "bucket"]
+    right = first.select("entity", F.explode(F.array(F.col("bucket"), F.col("bucket") - 1)).alias("bucket"),
+                         F.col("dev_id").alias("effect"), F.col("stratum").alias("__t"), F.col("size").alias("__b"))
+    cuts = first.groupBy(*at).agg(F.ceil(F.count(F.lit(1)) / MEETING_ROWS).cast("int").alias("__cuts"))
+    left = first.join(cuts, at).select(*at, F.col("dev_id").alias("cause"), F.col("stratum").alias("__s"), F.col("size").alias("__a"),
+                                       F.pmod(F.xxhash64("dev_id"), F.col("__cuts")).cast("int").alias("__part"))
+    spread = right.join(cuts, at).withColumn("__part", F.explode(F.sequence(F.lit(0), F.col("__cuts") - 1))).drop("__cuts")
+    met = left.join(spread, [*at, "__part"]).where("cause <> effect AND __s <> __t")
+    near = F.least("__a", "__b") >= F.greatest("__a", "__b") * F.lit(share - 1e-9)  # sets of such unlike sizes cannot share enough
+    return settled(met.where(near).select("cause", "effect").distinct())
+
+
+def _common_entities(pairs: DataFrame, members: DataFrame) -> DataFrame:
+    """``(cause, effect, common)``: how many entities each pair shares."""
+    mine = members.select(F.col("dev_id").alias("cause"), "entity")
+    theirs = members.select(F.col("dev_id").alias("effect"), "entity")
+    both = pairs.join(mine, "cause").join(theirs, ["effect", "entity"], "left_semi")
+    return both.groupBy("cause", "effect").agg(F.count(F.lit(1)).alias("common"))
+
+
 def pair_scores(
     deviations: DataFrame, delay_seconds: float = 0.0, spread_seconds: float = 3600.0, max_lag_seconds: int = 86_400,
     affinity: DataFrame | None = None, limit: float = PAIR_LIMIT, weights: dict[str, float] | None = None,
@@ -200,8 +236,8 @@ def pair_scores(
 
     Without a shared entity a pair cannot reach the limit, so pairs are found by joining on
     entity and time bucket; nothing is paired that cannot count. ``members``, distinct rows of
-    ``(dev_id, entity)``, stand in for the column ``entities``: what a pair shares is then counted in
-    that join, and no deviation holds all its entities in one row.
+    ``(dev_id, entity)``, stand in for the column ``entities``; no deviation then holds all its entities
+    in one row, and an entity of very many deviations pairs none of them by itself (``_meeting``).
     """
     w = weights or PAIR_WEIGHTS
     if sum(v for k, v in w.items() if k != "entity") >= limit:
@@ -215,13 +251,17 @@ def pair_scores(
     else:
         counts = members.groupBy("dev_id").agg(F.count(F.lit(1)).alias("size"))
         base = deviations.select("dev_id", "stratum", "metric", "locus", "start_ts").join(counts, "dev_id")
-        keyed = members.join(base.select("dev_id", "stratum", bucket.alias("bucket")), "dev_id")
+        keyed = members.join(base.select("dev_id", "stratum", "size", bucket.alias("bucket")), "dev_id")
         entity = F.col("common") / (F.col("a_size") + F.col("b_size") - F.col("common"))
-    left = keyed.select("entity", "bucket", F.col("dev_id").alias("cause"), F.col("stratum").alias("__s"))
-    right = keyed.select("entity", F.explode(F.array(F.col("bucket"), F.col("bucket") - 1)).alias("bucket"),
-                         F.col("dev_id").alias("effect"), F.col("stratum").alias("__t"))
-    met = left.join(right, ["entity", "bucket"]).where("cause <> effect AND __s <> __t")
-    candidates = met.groupBy("cause", "effect").agg(F.count(F.lit(1)).alias("common"))
+    if members is None:
+        left = keyed.select("entity", "bucket", F.col("dev_id").alias("cause"), F.col("stratum").alias("__s"))
+        right = keyed.select("entity", F.explode(F.array(F.col("bucket"), F.col("bucket") - 1)).alias("bucket"),
+                             F.col("dev_id").alias("effect"), F.col("stratum").alias("__t"))
+        met = left.join(right, ["entity", "bucket"]).where("cause <> effect AND __s <> __t")
+        candidates = met.groupBy("cause", "effect").agg(F.count(F.lit(1)).alias("common"))
+    else:
+        share = (limit - sum(v for k, v in w.items() if k != "entity")) / w["entity"]
+        candidates = _common_entities(_meeting(keyed, share), members)
 
     a = base.select(F.col("dev_id").alias("cause"), *[F.col(c).alias(f"a_{c}") for c in base.columns[1:]])
     b = base.select(F.col("dev_id").alias("effect"), *[F.col(c).alias(f"b_{c}") for c in base.columns[1:]])
@@ -312,6 +352,47 @@ def root_causes(edges: DataFrame, entities: DataFrame) -> DataFrame:
     return out
 
 
+def chain_entities(edges: DataFrame, members: DataFrame) -> DataFrame:
+    """``(root, node, entity, depth)``: the entities that every node of some chain from a root to the node holds.
+
+    ``edges`` is ``(cause, effect)``, ``members`` ``(node, entity)``; roots have no incoming edge. Each
+    step carries only what the last one found over the edges both of whose ends hold the entity, so rows
+    are joined by node and entity, and no node's entities are ever gathered. ``depth`` is the length of the
+    shortest such chain. A cycle leads back to known rows, so it ends as well.
+    """
+    edges = settled(edges.select("cause", "effect").distinct())
+    members = members.select("node", "entity").distinct()
+    carried = edges.join(members.withColumnRenamed("node", "cause"), "cause").join(
+        members.withColumnRenamed("node", "effect"), ["effect", "entity"], "left_semi")
+    carried = settled(carried.select(F.col("cause").alias("node"), "entity", "effect"))
+    roots = edges.select(F.col("cause").alias("node")).distinct().join(edges.select(F.col("effect").alias("node")), "node", "left_anti")
+    front = settled(roots.join(members, "node").select(F.col("node").alias("root"), "node", "entity", F.lit(0).alias("depth")))
+    out, step = front, 0
+    while not front.isEmpty():
+        step += 1
+        reached = front.join(carried, ["node", "entity"]).select("root", F.col("effect").alias("node"), "entity").distinct()
+        front = settled(reached.join(out, ["root", "node", "entity"], "left_anti").withColumn("depth", F.lit(step)))
+        out = out.unionByName(front)
+    return out
+
+
+def record_digests(cells: DataFrame, members: DataFrame) -> DataFrame:
+    """``cells`` plus ``n_entities`` and ``provenance``, a SHA-256 over the record that any engine can repeat.
+
+    ``cells`` is ``(dev_id, stratum, metric, start_ts, end_ts, magnitude)``; the entities, distinct rows of
+    ``(dev_id, entity)``, enter by their number and the sum of their hashes, so no list is gathered.
+    Times enter in microseconds, the magnitude in units of 10^-6.
+    """
+    part = F.conv(F.substring(F.md5("entity"), 1, 15), 16, 10).cast("decimal(20,0)")
+    known = members.groupBy("dev_id").agg(F.count(F.lit(1)).alias("n_entities"), F.sum(part).alias("__users"))
+    out = cells.join(known, "dev_id", "left").withColumn("n_entities", F.coalesce("n_entities", F.lit(0)))
+    micros = lambda c: F.timestamp_diff("MICROSECOND", F.lit("1970-01-01").cast("timestamp_ntz"), F.col(c))
+    fields = ["dev_id", "stratum", "metric", "n_entities", F.coalesce("__users", F.lit(0)), micros("start_ts"), micros("end_ts"),
+              F.round(F.col("magnitude") * 1_000_000).cast("long")]
+    body = F.concat_ws("|", *[(F.col(f) if isinstance(f, str) else f).cast("string") for f in fields])
+    return out.withColumn("provenance", F.sha2(body, 256)).drop("__users")
+
+
 def missing_responses(causes: DataFrame, effects: DataFrame, entity: str, time: str, window_seconds: int) -> DataFrame:
     """Causes with no effect on the same entity within the window after them.
 
