@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from clientele.catalog import query
 from clientele.catalog.commerce import (
-    EVENTS_SQL, FEATURES_SQL, TARGETS_SQL, cleaned, features_of, spine, targets_of, txn_of,
+    DOUBLE_FEATURES, EVENTS_SQL, FEATURES_SQL, LONG_FEATURES, TARGETS_SQL, cleaned, features_of, spine, targets_of, txn_of,
 )
 from clientele.catalog.common import CLEAN, CUSTOMERS, comparable, sql_round, sql_seeds
 from clientele.catalog.labels import UNIT_SQL
@@ -57,38 +57,33 @@ def target_checks(spark: SparkSession, root: str) -> DataFrame:
     return comparable(Q.check_targets(targets_of(spark, root)))
 
 
-FEATURE_NAMES = ("recency_days", "frequency", "monetary", "std_order_value", "total_items", "n_unique_products",
-                 "uses_boleto", "avg_delivery_days")
-
-
-def some_features(spark: SparkSession, root: str) -> DataFrame:
-    """Features with the faults the check looks for: a constant, a sparse, an infinite and a huge column."""
-    f = features_of(spark, root).select("user_id", "user_segment", *FEATURE_NAMES)
+def faulty_features(spark: SparkSession, root: str) -> DataFrame:
+    """All features, with the faults the check looks for: a constant, a sparse, an infinite and a huge column."""
     n = F.col("user_id").cast("bigint")
-    return f.withColumns({
+    return features_of(spark, root).withColumns({
         "constant": F.lit(1.0), "sparse": F.when(n % 3 > 0, F.col("monetary")),
         "endless": F.when(n % 100 == 0, F.lit(float("inf"))).otherwise(1.0 * n), "large": F.col("monetary") * 1e6,
     })
 
 
-ALL_FEATURES = (*FEATURE_NAMES, "constant", "sparse", "endless", "large")
+ALL_FEATURES = (*DOUBLE_FEATURES, *LONG_FEATURES, "constant", "sparse", "endless", "large")
 FEATURE_CELLS = [(k, c, a.format(c=c), s) for c in ALL_FEATURES for k, a, s in (
     ("zero_variance", "CASE WHEN min({c}) = max({c}) THEN 1 ELSE 0 END", "var"),
     ("all_null", "CASE WHEN count({c}) = 0 THEN 1 ELSE 0 END", "zero"),
     ("infinite", "count(*) FILTER (WHERE isinf(CAST({c} AS DOUBLE)))", "zero"),
     ("null_rate", "avg(CASE WHEN {c} IS NULL THEN 1.0 ELSE 0.0 END)", "nulls"),
     ("huge", "count(*) FILTER (WHERE abs({c}) > 1e10 AND NOT isinf(CAST({c} AS DOUBLE)))", "zero"))]
-FEATURE_CELLS.append(("text_column", "user_segment", "max(1)", "text"))
-FAULTY_SQL = FEATURES_SQL + """, faulty AS (SELECT user_id, user_segment, recency_days, frequency, monetary, std_order_value, total_items,
-   n_unique_products, uses_boleto, avg_delivery_days, 1.0::DOUBLE AS constant,
-   CASE WHEN CAST(user_id AS BIGINT) % 3 > 0 THEN monetary END AS sparse,
-   CASE WHEN CAST(user_id AS BIGINT) % 100 = 0 THEN 'infinity'::DOUBLE ELSE CAST(user_id AS DOUBLE) END AS endless, monetary * 1e6 AS large
+FEATURE_CELLS += [("text_column", c, "max(1)", "text") for c in ("city", "state", "user_segment", "top_category")]
+FAULTY_SQL = FEATURES_SQL + f""", faulty AS MATERIALIZED (SELECT user_id, city, state, user_segment, top_category,
+   {', '.join(f'coalesce({c}, 0) AS {c}' for c in (*DOUBLE_FEATURES, *LONG_FEATURES))}, 1.0::DOUBLE AS constant,
+   CASE WHEN CAST(user_id AS BIGINT) % 3 > 0 THEN coalesce(monetary, 0) END AS sparse,
+   CASE WHEN CAST(user_id AS BIGINT) % 100 = 0 THEN 'infinity'::DOUBLE ELSE CAST(user_id AS DOUBLE) END AS endless, coalesce(monetary, 0) * 1e6 AS large
    FROM feats)"""
 
 
 @query("feature_checks", FAULTY_SQL + f", c AS ({_cells(FEATURE_CELLS, 'faulty')}) SELECT {CHECK_OUT} FROM c")
 def feature_checks(spark: SparkSession, root: str) -> DataFrame:
-    return comparable(Q.check_features(some_features(spark, root)))
+    return comparable(Q.check_features(faulty_features(spark, root)))
 
 
 def odd_splits(spark: SparkSession, root: str) -> DataFrame:
