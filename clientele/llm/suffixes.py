@@ -81,8 +81,15 @@ def runs(text: str | None, length: int = LENGTH, sample: int = SAMPLE) -> tuple[
     tail = h[windows - 1 :]
     if len(tail) > 1:
         after[windows - 1 : len(h) - 1] = np.minimum.accumulate(tail[:0:-1])[::-1]
-    for q in np.flatnonzero(h == after):
-        itself |= (value == h[q]) & (first <= q) & (q < first + count + wide - 1)
+    q = np.flatnonzero(h == after)
+    if len(q):
+        # the first such place of the run's value that does not lie before the run, found in one sorted list
+        kinds, kind = np.unique(h[q], return_inverse=True)
+        listed = np.sort(kind * len(h) + q)
+        own = np.minimum(np.searchsorted(kinds, value), len(kinds) - 1)
+        at = np.searchsorted(listed, own * len(h) + first)
+        place = listed[np.minimum(at, len(listed) - 1)] - own * len(h)
+        itself = (kinds[own] == value) & (at < len(listed)) & (place >= first) & (place < np.minimum(first + count + wide - 1, len(h)))
     return value, hashes.of(first, first + count + length - 1), first, count, itself
 
 
