@@ -95,6 +95,22 @@ def cluster_scores(spark: SparkSession, root: str) -> DataFrame:
     return comparable(E.cluster_scores(given, "v"), 3)
 
 
+@query(
+    "label_silhouette",
+    f"""WITH {UNIT}, x AS (SELECT vec_id, label, unnest(v) AS x, unnest(range(1, len(v) + 1)) AS j FROM emb),
+    m AS (SELECT label, j, avg(x) AS m, count(*) AS n FROM x GROUP BY 1, 2),
+    q AS (SELECT label, sum(x * x) / count(DISTINCT vec_id) AS q FROM x GROUP BY 1), own AS (SELECT vec_id, label, sum(x * x) AS s FROM x GROUP BY 1, 2),
+    dot AS (SELECT vec_id, m.label AS other, any_value(n) AS n, sum(x * m) AS d FROM x JOIN m USING (j) GROUP BY 1, 2),
+    away AS (SELECT vec_id, own.label, other, n, s + q - 2 * d AS a FROM dot JOIN own USING (vec_id) JOIN q ON q.label = other),
+    io AS (SELECT vec_id, max(CASE WHEN label = other THEN n END) AS n, max(CASE WHEN label = other THEN a * n / greatest(n - 1, 1) END) AS i,
+      min(CASE WHEN label <> other THEN a END) AS o FROM away GROUP BY 1)
+    SELECT {sql_round('avg(CASE WHEN n > 1 THEN (o - i) / greatest(o, i) ELSE 0 END)')} AS silhouette FROM io""",
+)
+def label_silhouette(spark: SparkSession, root: str) -> DataFrame:
+    """Silhouette of the given labels, from sums per label."""
+    return comparable(E.silhouette(vectors(spark, root), "embedding", "label"))
+
+
 @query("cluster_sweep")
 def cluster_sweep(spark: SparkSession, root: str) -> DataFrame:
     return E.cluster_sweep(vectors(spark, root))

@@ -3,17 +3,18 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
 import numpy as np
+import pandas as pd
 from pyspark.ml.clustering import KMeans
-from pyspark.ml.evaluation import ClusteringEvaluator
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from clientele.functions.hashing import unit_hash
-from clientele.operators.pairs import kernel_sums, label_distances
+from clientele.operators.ordering import settled
+from clientele.operators.pairs import BLOCK_ROWS, kernel_sums, label_distances, squared_distances
 
 # Cluster counts of the sweep and the rows each row is compared with for uniformity.
 CLUSTER_COUNTS = (3, 5, 8, 10, 15)
@@ -138,49 +139,133 @@ def alignment(vectors: DataFrame, key: str, label: str, vector: str = "embedding
     return out.withColumn("separation_ratio", ratio)
 
 
+LARGEST_CENTERS = 1 << 22  # numbers in the centres that a task holds, or that are broadcast
+
+
+def _centers(assigned: DataFrame, vector: str, cluster: str) -> DataFrame:
+    """``(cluster, n, center)`` from sums per cluster and dimension."""
+    entries = assigned.select(cluster, F.posexplode(F.col(vector).cast("array<double>")).alias("j", "x"))
+    means = entries.groupBy(cluster, "j").agg(F.avg("x").alias("m"), F.count(F.lit(1)).alias("n"))
+    ordered = F.transform(F.array_sort(F.collect_list(F.struct("j", "m"))), lambda e: e["m"])
+    return settled(means.groupBy(cluster).agg(F.max("n").alias("n"), ordered.alias("center")))
+
+
+def _narrow(centers: DataFrame) -> bool:
+    size = centers.agg(F.sum(F.size("center"))).first()[0]
+    return (size or 0) <= LARGEST_CENTERS
+
+
+def _worst_ratios(per: DataFrame, cluster: str, block_rows: int = BLOCK_ROWS) -> DataFrame:
+    """``(cluster, r)``: the largest (scatter a + scatter b) / distance of a cluster's centre to any other's.
+
+    Centres are compared as matrices, one pair of blocks at a time; a block pair returns one number per centre.
+    """
+    blocks = max(1, math.ceil(per.count() / block_rows))
+    own = per.select(F.col(cluster).alias("c"), "scatter", "center", F.pmod(F.xxhash64(cluster), F.lit(blocks)).cast("int").alias("block"))
+    every = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
+    both = own.withColumnRenamed("block", "left").withColumn("right", every).withColumn("side", F.lit(0)).unionByName(
+        own.withColumnRenamed("block", "right").withColumn("left", every).withColumn("side", F.lit(1)))
+
+    def compare(pdf: pd.DataFrame) -> pd.DataFrame:
+        mine, other = pdf[pdf["side"] == 0], pdf[pdf["side"] == 1]
+        if mine.empty or other.empty:
+            return pd.DataFrame({"c": mine["c"], "r": np.nan})
+        d = np.sqrt(squared_distances(np.stack(mine["center"].to_list()), np.stack(other["center"].to_list())))
+        with np.errstate(divide="ignore", invalid="ignore"):
+            r = (mine["scatter"].to_numpy()[:, None] + other["scatter"].to_numpy()) / d
+        r[mine["c"].to_numpy()[:, None] == other["c"].to_numpy()] = -np.inf
+        return pd.DataFrame({"c": mine["c"], "r": r.max(axis=1)})
+
+    kind = per.schema[cluster].dataType.simpleString()
+    found = both.groupBy("left", "right").applyInPandas(compare, f"c {kind}, r double").where("r > '-infinity'")
+    return found.groupBy("c").agg(F.max("r").alias("r"))
+
+
 def cluster_scores(assigned: DataFrame, vector: str, cluster: str = "cluster") -> DataFrame:
     """Inertia, Calinski-Harabasz and Davies-Bouldin of an assignment.
 
-    Centroids (clusters x dimensions numbers) are joined back; each row then yields two numbers.
+    Each row meets its own centre only, which is broadcast if all of them are at most ``LARGEST_CENTERS``
+    numbers; centres are compared with each other in blocks.
     """
-    entries = assigned.select(cluster, F.posexplode(vector).alias("j", "x"))
-    means = entries.groupBy(cluster, "j").agg(F.avg("x").alias("m"))
-    centers = means.groupBy(cluster).agg(F.transform(F.array_sort(F.collect_list(F.struct("j", "m"))), lambda e: e["m"]).alias("center"))
-    grand = entries.groupBy("j").agg(F.avg("x").alias("m")).agg(
-        F.transform(F.array_sort(F.collect_list(F.struct("j", "m"))), lambda e: e["m"]).alias("g")
-    )
+    centers = _centers(assigned, vector, cluster)
+    total = F.sum("n")
+    grand = centers.select(F.posexplode("center").alias("j", "m"), "n").groupBy("j").agg((F.sum(F.col("m") * F.col("n")) / total).alias("m")).agg(
+        F.transform(F.array_sort(F.collect_list(F.struct("j", "m"))), lambda e: e["m"]).alias("g"))
 
     def sq(a: Column, b: Column) -> Column:
         return F.aggregate(F.zip_with(a, b, lambda p, q: (p - q) * (p - q)), F.lit(0.0), lambda acc, x: acc + x)
 
-    # one row per cluster: the number of clusters is a parameter
-    joined = assigned.join(F.broadcast(centers), cluster)
-    d2 = sq(F.col(vector).cast("array<double>"), F.col("center"))
-    per = joined.groupBy(cluster).agg(
-        F.count(F.lit(1)).alias("n"), F.sum(d2).alias("within"), F.avg(F.sqrt(d2)).alias("scatter"), F.first("center").alias("center")
-    )
-    per = per.withColumn("g", grand.scalar()).withColumn("between", F.col("n") * sq(F.col("center"), F.col("g")))
-    a = per.select(F.col(cluster).alias("ca"), F.col("scatter").alias("sa"), F.col("center").alias("xa"))
-    b = per.select(F.col(cluster).alias("cb"), F.col("scatter").alias("sb"), F.col("center").alias("xb"))
-    worst = a.join(F.broadcast(b), F.col("ca") != F.col("cb")).groupBy("ca").agg(
-        F.max((F.col("sa") + F.col("sb")) / F.sqrt(sq(F.col("xa"), F.col("xb")))).alias("r")
-    )
-    total = per.agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("k"), F.sum("within").alias("inertia"), F.sum("between").alias("between"))
-    ch = F.col("between") / (F.col("k") - 1) / (F.col("inertia") / (F.col("n") - F.col("k")))
-    return total.withColumn("davies_bouldin", worst.agg(F.avg("r")).scalar()).select(
+    known = centers.drop("n")
+    joined = assigned.select(cluster, F.col(vector).cast("array<double>").alias("__v")).join(F.broadcast(known) if _narrow(centers) else known, cluster)
+    d2 = sq(F.col("__v"), F.col("center"))
+    near = joined.groupBy(cluster).agg(F.sum(d2).alias("within"), F.avg(F.sqrt(d2)).alias("scatter"))
+    per = settled(near.join(centers, cluster).withColumn("g", grand.scalar()).withColumn("between", F.col("n") * sq(F.col("center"), F.col("g"))).drop("g"))
+    sums = per.agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("k"), F.sum("within").alias("inertia"), F.sum("between").alias("between"))
+    ch = F.try_divide(F.try_divide("between", F.col("k") - 1), F.try_divide("inertia", F.col("n") - F.col("k")))
+    return sums.withColumn("davies_bouldin", _worst_ratios(per, cluster).agg(F.avg("r")).scalar()).select(
         "k", "inertia", ch.alias("calinski_harabasz"), "davies_bouldin"
     )
 
 
+def silhouette(assigned: DataFrame, vector: str, cluster: str = "cluster") -> DataFrame:
+    """One row ``silhouette``: the mean over all rows, with squared distances, as the library of Spark defines it.
+
+    The mean squared distance of a row to a cluster follows from the cluster's number of rows, mean and
+    mean squared length, which are sums that merge; each task holds these numbers for all clusters, at
+    most ``LARGEST_CENTERS`` in all (more are refused), and compares its rows with them as a matrix. A row
+    that is alone in its cluster counts as 0; with fewer than two clusters the result is NULL.
+    """
+    centers = _centers(assigned, vector, cluster)
+    if not _narrow(centers):
+        raise ValueError(f"centres of more than {LARGEST_CENTERS} numbers are not held in one task")
+    length = F.aggregate(F.col(vector).cast("array<double>"), F.lit(0.0), lambda a, x: a + x * x)
+    squares = assigned.groupBy(cluster).agg(F.avg(length).alias("square"))
+    rows = centers.join(squares, cluster).orderBy(cluster).collect()  # bounded by the check above
+    if len(rows) < 2:
+        return assigned.sparkSession.createDataFrame([(None,)], "silhouette double")
+    means, counts, square = np.array([r["center"] for r in rows]), np.array([r["n"] for r in rows]), np.array([r["square"] for r in rows])
+    place = {r[cluster]: i for i, r in enumerate(rows)}
+
+    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for part in parts:
+            if part.empty:
+                continue
+            x, own = np.stack(part["v"].to_list()), part["c"].map(place).to_numpy()
+            away = (x * x).sum(axis=1)[:, None] + square - 2 * x @ means.T
+            n, at = counts[own], np.arange(len(x))
+            inside = away[at, own] * n / np.maximum(n - 1, 1)  # the row itself is not compared
+            away[at, own] = np.inf
+            outside = away.min(axis=1)
+            s = np.where(n > 1, (outside - inside) / np.maximum(np.maximum(outside, inside), 1e-300), 0.0)
+            yield pd.DataFrame({"total": [float(s.sum())], "n": [len(s)]})
+
+    sent = assigned.select(F.col(cluster).alias("c"), F.col(vector).cast("array<double>").alias("v"))
+    parts = sent.mapInPandas(run, "total double, n long")
+    return parts.agg((F.sum("total") / F.sum("n")).alias("silhouette"))
+
+
+def assigned_clusters(vectors: DataFrame, vector: str, k: int, seed: int = 42) -> DataFrame:
+    """``(cluster, v)`` by k-means, kept as a table, so that whatever is computed from it is of one assignment."""
+    data = vectors.select(array_to_vector(vector).alias("features"), F.col(vector).cast("array<double>").alias("v"))
+    model = KMeans(k=k, seed=seed, featuresCol="features", predictionCol="cluster").fit(data)
+    return settled(model.transform(data).select("cluster", "v"))
+
+
+def assignment_scores(assigned: DataFrame, vector: str = "v") -> DataFrame:
+    """The scores of :func:`cluster_scores` and the silhouette of an assignment."""
+    return cluster_scores(assigned, vector).withColumn("silhouette", silhouette(assigned, vector).scalar())
+
+
 def cluster_sweep(vectors: DataFrame, vector: str = "embedding", counts: Sequence[int] = CLUSTER_COUNTS, seed: int = 42) -> DataFrame:
-    """k-means for several cluster counts with silhouette and the scores of :func:`cluster_scores`."""
-    data = vectors.select(array_to_vector(vector).alias("features"), F.col(vector).cast("array<double>").alias("v")).cache()
+    """k-means for several cluster counts, scored; a count that is not below the number of rows gives a row without scores."""
+    data = settled(vectors.select(vector))
     n, out = data.count(), None
-    for k in [k for k in counts if k < n]:
-        model = KMeans(k=k, seed=seed, featuresCol="features", predictionCol="cluster").fit(data)
-        assigned = model.transform(data)
-        silhouette = ClusteringEvaluator(featuresCol="features", predictionCol="cluster").evaluate(assigned)
-        row = cluster_scores(assigned, "v").withColumn("silhouette", F.lit(silhouette))
+    for k in counts:
+        if k < n:
+            row = assignment_scores(assigned_clusters(data, vector, k, seed))
+        else:
+            scores = [F.lit(None).cast("double").alias(c) for c in ("inertia", "calinski_harabasz", "davies_bouldin", "silhouette")]
+            row = vectors.sparkSession.range(1).select(F.lit(k).cast("long").alias("k"), *scores)
         out = row if out is None else out.unionByName(row)
     return out
 
