@@ -28,8 +28,9 @@ from clientele.operators.sessions import sessionise
 
 PIECE = "10 minutes"
 GAP = "30 minutes"
-WEEK_MS = 7 * 86_400_000
-MONDAY_MS = 4 * 86_400_000  # the epoch is a Thursday
+DAY_MS = 86_400_000
+WEEK_MS = 7 * DAY_MS
+MONDAY_MS = 4 * DAY_MS  # the epoch is a Thursday
 COUNTS = ("purchase_count", "page_views", "add_to_cart_events", "events")
 
 
@@ -82,9 +83,9 @@ def open_events(events: DataFrame, finished: DataFrame, user: str = "user_id", t
 class WeeksOfUser(StatefulProcessor):
     """Turns a user's fragments into one row per cohort and week, once the watermark has passed the week.
 
-    State: fragments that wait (map by window start), the session that is open (its number and last
-    event), and running measures per cohort and week (map). A timer stands at the end of the first
-    waiting window or open week; entries go when they are used, so a silent user keeps two numbers.
+    State: fragments that wait (map by day), the session that is open (its number and last event), and
+    running measures per cohort and week (map). A timer stands at the end of the first waiting window or
+    open week; entries go when they are used, so a silent user keeps two numbers.
     """
 
     def __init__(self, by: Sequence[str], schema: T.StructType, gap: str = GAP, piece: str = PIECE):
@@ -103,20 +104,31 @@ class WeeksOfUser(StatefulProcessor):
             at = part[["start", "first", "last"]].apply(lambda c: c.astype("datetime64[us]").astype("int64"))
             cohorts = part[self.by[1:]].astype(object).where(part[self.by[1:]].notna(), None).values.tolist()
             for t, c, n in zip(at.values.tolist(), cohorts, part[[*COUNTS, "total_revenue"]].values.tolist(), strict=True):
-                new.setdefault(t[0] // 1000, []).append([t[1], t[2], c, n])
-        for start, parts in new.items():
-            kept = json.loads(self.waiting.getValue((start,))[0]) if self.waiting.containsKey((start,)) else []
-            self.waiting.updateValue((start,), (json.dumps(kept + parts),))
-        self._wake()
+                start = t[0] // 1000
+                new.setdefault(start // DAY_MS, []).append([start, t[1], t[2], c, n])
+        for day, parts in new.items():
+            kept = json.loads(self.waiting.getValue((day,))[0]) if self.waiting.containsKey((day,)) else []
+            self.waiting.updateValue((day,), (json.dumps(kept + parts),))
+        if new:
+            self._wake([*self.handle.listTimers(), min(p[0] for parts in new.values() for p in parts) + self.piece])
         return iter(())
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         now = timerValues.getCurrentWatermarkInMs()
-        due = sorted((start, text) for (start,), (text,) in self.waiting.iterator() if start + self.piece <= now)
+        due: dict[int, list] = {}
+        ends = []
+        for day, parts in sorted((day, json.loads(text)) for (day,), (text,) in self.waiting.iterator()):
+            rest = []
+            for p in parts:
+                due.setdefault(p[0], []).append(p[1:]) if p[0] + self.piece <= now else rest.append(p)
+            ends += [p[0] + self.piece for p in rest]
+            if not rest:
+                self.waiting.removeKey((day,))
+            elif len(rest) < len(parts):
+                self.waiting.updateValue((day,), (json.dumps(rest),))
         number, last = self.session.get() if self.session.exists() else (0, None)
         weeks = {week: {tuple(c): m for c, m in json.loads(text)} for (week,), (text,) in self.weeks.iterator()}
-        for start, text in due:
-            parts = json.loads(text)
+        for start, parts in sorted(due.items()):
             if last is None or min(p[0] for p in parts) - last > self.gap:
                 number += 1
             last = max([p[1] for p in parts] + ([last] if last is not None else []))
@@ -127,7 +139,6 @@ class WeeksOfUser(StatefulProcessor):
                     m[i] += x
                 if n[1] and m[-1] != number:  # sessions are those with a page view
                     m[-2], m[-1] = m[-2] + 1, number
-            self.waiting.removeKey((start,))
         if due:
             self.session.update((number, last))
         out = []
@@ -138,15 +149,16 @@ class WeeksOfUser(StatefulProcessor):
                                 int(m[0] > 0)))
                 if self.weeks.containsKey((week,)):
                     self.weeks.removeKey((week,))
-            elif due:
-                self.weeks.updateValue((week,), (json.dumps([[list(c), m] for c, m in weeks[week].items()]),))
-        self._wake()
+            else:
+                ends.append(week + WEEK_MS)
+                if due:
+                    self.weeks.updateValue((week,), (json.dumps([[list(c), m] for c, m in weeks[week].items()]),))
+        self._wake(ends)
         if out:
             yield pd.DataFrame(out, columns=self.names)
 
-    def _wake(self) -> None:
+    def _wake(self, ends: list[int]) -> None:
         """One timer, at the first moment at which something is due."""
-        ends = [start + self.piece for (start,) in self.waiting.keys()] + [week + WEEK_MS for (week,) in self.weeks.keys()]
         for t in list(self.handle.listTimers()):
             self.handle.deleteTimer(t)
         if ends:
