@@ -15,6 +15,7 @@ lineage.
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -24,10 +25,9 @@ from clientele.operators.ordering import settled
 
 DAMPING = 0.85
 RATE = 0.5
-LIMIT = 3.0  # of the measure relative to the whole table, for callers that name a limit
-ROUNDS = 40
-EVERY = 5
-NEAR = 1e-6
+EVERY = 8
+NEAR = 1e-7
+DIGITS = 6
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -80,34 +80,44 @@ def host_edges(pages: DataFrame, host: str, html: str) -> DataFrame:
     return edges.groupBy("source", "target").agg(F.count(F.lit(1)).alias("n"))
 
 
-def ranks(edges: DataFrame, seeds: DataFrame, damping: float = DAMPING, rounds: int = ROUNDS, near: float = NEAR) -> DataFrame:
-    """``(kind, host, score)``: PageRank of each kind of seed, restarting at the seeds in proportion to their weight.
+def ranks(edges: DataFrame, seeds: DataFrame, damping: float = DAMPING, near: float = NEAR) -> DataFrame:
+    """``(kind, host, score, part)``: PageRank of each kind, restarting at the seeds in proportion to their weight.
 
-    ``edges``: ``(kind, source, target, n)``; ``seeds``: ``(kind, host, weight)``. What reaches a host
-    without outgoing links returns to the seeds. Rounds end when a whole pass changes the scores by
-    less than ``near`` in sum, at the latest after ``rounds``, when the rest is below ``damping ** rounds``.
+    ``edges``: ``(kind, source, target, n)``, from every host that can be reached; ``seeds``: ``(kind, host,
+    weight, part)``, numbers of pages, ``part`` of them marked. Scores are in pages and add up to the weights;
+    ``part`` is what the marked pages send. Each round shrinks what is still to come to ``damping`` of what it
+    was, so rounds end when all of it together is less than ``near`` of what one page gives its own host,
+    at the latest when ``damping`` to the number of rounds is.
     """
-    total = seeds.groupBy("kind").agg(F.sum("weight").alias("all"))
-    start = settled(seeds.join(total, "kind").select("kind", "host", (F.col("weight") / F.col("all")).alias("restart")))
+    start = settled(seeds.select("kind", "host", F.col("weight").cast("double").alias("weight"), F.col("part").cast("double").alias("part")))
+    total = start.agg(F.sum("weight")).first()[0]
+    scores = start.select("kind", "host", F.col("weight").alias("score"), "part")
+    if not total:
+        return scores
+    least = near * (1 - damping)
+    most = math.ceil(math.log(least / (2 * total)) / math.log(damping))
     out = edges.groupBy("kind", "source").agg(F.sum("n").alias("out"))
     flow = settled(edges.join(out, ["kind", "source"]).select("kind", "source", "target", (F.col("n") / F.col("out")).alias("share")))
-    scores = start.select("kind", "host", F.col("restart").alias("score"))
-    for i in range(rounds):
+    zero = F.lit(0.0)
+    kept, at = scores, -1  # the last scores that were written, and their round
+    for i in range(most):
         moved = flow.join(scores.withColumnRenamed("host", "source"), ["kind", "source"])
-        sums = moved.groupBy("kind", F.col("target").alias("host")).agg(F.sum(F.col("score") * F.col("share")).alias("came"))
-        kept = sums.groupBy("kind").agg(F.sum("came").alias("moved"))
-        both = start.join(sums, ["kind", "host"], "full").join(kept, "kind", "left")
-        came, back = F.coalesce("came", F.lit(0.0)), 1 - damping * F.coalesce("moved", F.lit(0.0))
-        fresh = both.select("kind", "host", (damping * came + back * F.coalesce("restart", F.lit(0.0))).alias("score"))
-        if i % EVERY and i + 1 < rounds:
+        sums = moved.groupBy("kind", F.col("target").alias("host")).agg(
+            F.sum(F.col("score") * F.col("share")).alias("came"), F.sum(F.col("part") * F.col("share")).alias("came_part"))
+        both = start.join(sums, ["kind", "host"], "full")
+        step = lambda came, own: damping * F.coalesce(came, zero) + (1 - damping) * F.coalesce(own, zero)
+        fresh = both.select("kind", "host", step("came", "weight").alias("score"), step("came_part", "part").alias("part"))
+        if i % EVERY and i + 1 < most:
             scores = fresh
             continue
         fresh = settled(fresh)
-        old = scores.select("kind", "host", F.col("score").alias("old"))
-        change = fresh.join(old, ["kind", "host"], "full").agg(
-            F.sum(F.abs(F.coalesce("score", F.lit(0.0)) - F.coalesce("old", F.lit(0.0))))).first()[0]
-        scores = fresh
-        if (change or 0.0) < near:
+        old = kept.select("kind", "host", F.col("score").alias("old"), F.col("part").alias("old_part"))
+        apart = lambda a, b: F.abs(F.coalesce(a, zero) - F.coalesce(b, zero))
+        change = fresh.join(old, ["kind", "host"], "full").agg(F.sum(apart("score", "old") + apart("part", "old_part"))).first()[0]
+        shrunk = damping ** (i - at)
+        scores = kept = fresh
+        at = i
+        if (change or 0.0) * shrunk < least * (1 - shrunk):
             break
     return scores
 
@@ -116,50 +126,30 @@ def shares(hosts: DataFrame, links: DataFrame) -> DataFrame:
     """``(host, excess)``: share of distrust less share of trust among the weight that comes to each host.
 
     ``hosts``: ``(host, pages, trust, distrust)`` with numbers of pages; ``links``: ``(source, target, n)``.
-    A host without outgoing links gets one to itself, so nothing returns to seeds elsewhere.
+    A host without outgoing links gets one to itself, so nothing returns to seeds elsewhere. Shares are
+    exact to about ``NEAR`` and rounded to ``DIGITS``, so that ties are told from what exceeds them.
     """
     at = lambda k, a, b: links.select(F.lit(k).alias("kind"), F.col(a).alias("source"), F.col(b).alias("target"), "n")
     ways = at("trust", "source", "target").unionByName(at("distrust", "target", "source"))
     known = hosts.select("host").union(links.select("source")).union(links.select("target")).distinct()
-    both = known.select(F.explode(F.array(F.lit("trust"), F.lit("distrust"))).alias("kind"), F.col("host").alias("source"))
-    ends = both.join(ways.select("kind", "source"), ["kind", "source"], "left_anti")
-    ways = ways.unionByName(ends.select("kind", "source", F.col("source").alias("target"), F.lit(1).cast("long").alias("n")))
-    # the same walk from the seeds and from all pages
-    twice = F.explode(F.array(F.col("kind"), F.concat("kind", F.lit("_all")))).alias("kind")
-    edges = settled(ways.select(twice, "source", "target", "n"))
-    starts = {"trust": "trust", "distrust": "distrust", "trust_all": "pages", "distrust_all": "pages"}
-    seeds = hosts.select("host", F.inline(F.array(*[F.struct(F.lit(k).alias("kind"), F.col(c).alias("weight")) for k, c in starts.items()])))
-    scores = ranks(edges, seeds.where("weight > 0").select("kind", "host", "weight"))
-    by_kind = scores.groupBy("host").agg(*[F.sum(F.when(F.col("kind") == k, F.col("score"))).alias(k) for k in starts])
-    totals = hosts.agg(F.struct(*[F.sum(c).alias(c) for c in ("pages", "trust", "distrust")])).scalar()
-    part = lambda k: F.coalesce(F.try_divide(F.col(k) * F.col(f"__of.{k}"), F.col(f"{k}_all") * F.col("__of.pages")), F.lit(0.0))
-    return by_kind.withColumn("__of", totals).select("host", (part("distrust") - part("trust")).alias("excess"))
-
-
-def _relative(hosts: DataFrame, links: DataFrame, limit: float) -> DataFrame:
-    """``(host, __bad)`` by scores over each host's share of all pages."""
-    kinds = lambda k: F.lit(k).alias("kind")
-    edges = links.select(kinds("trust"), "source", "target", "n").unionByName(
-        links.select(kinds("distrust"), F.col("target").alias("source"), F.col("source").alias("target"), "n"))
-    seeds = hosts.where("trust > 0").select(kinds("trust"), "host", F.col("trust").alias("weight")).unionByName(
-        hosts.where("distrust > 0").select(kinds("distrust"), "host", F.col("distrust").alias("weight")))
-    scores = ranks(edges, seeds).groupBy("host").agg(
-        F.sum(F.when(F.col("kind") == "trust", F.col("score"))).alias("trust"),
-        F.sum(F.when(F.col("kind") == "distrust", F.col("score"))).alias("distrust"))
-    everything = hosts.agg(F.sum("pages").alias("n")).scalar()
-    share = F.col("pages") / everything
-    excess = (F.coalesce("distrust", F.lit(0.0)) - F.coalesce("trust", F.lit(0.0))) / share
-    return hosts.select("host", "pages").join(scores, "host", "left").select("host", (excess > limit).alias("__bad"))
-
-
-def judge(pages: DataFrame, rules: tuple[Rule, ...] = RULES, url: str = "url", html: str = "html", limit: float | None = None,
-          rate: float = RATE) -> DataFrame:
+    kinds = F.explode(F.array(F.lit("trust"), F.lit("distrust"))).alias("kind")
+    ends = known.select(kinds, F.col("host").alias("source")).join(ways.select("kind", "source"), ["kind", "source"], "left_anti")
+    edges = settled(ways.unionByName(ends.select("kind", "source", F.col("source").alias("target"), F.lit(1).cast("long").alias("n"))))
+    part = F.when(F.col("kind") == "trust", F.col("trust")).otherwise(F.col("distrust"))
+    # the same walk carries all pages and the marked ones among them
+    seeds = hosts.select("host", "pages", "trust", "distrust", kinds).select("kind", "host", F.col("pages").alias("weight"), part.alias("part"))
+    share = F.try_divide("part", "score") * F.when(F.col("kind") == "trust", -1).otherwise(1)
+    excess = ranks(edges, seeds).groupBy("host").agg(F.sum(share).alias("excess"))
+    return excess.select("host", F.round(F.coalesce("excess", F.lit(0.0)), DIGITS).alias("excess"))
+
+
+def judge(pages: DataFrame, rules: tuple[Rule, ...] = RULES, url: str = "url", html: str = "html", rate: float = RATE) -> DataFrame:
     """All columns of ``pages`` but ``html``, plus ``host``, ``path``, ``rule`` and ``verdict``.
 
     Null urls and those without ``://`` have an empty host and path; no rule and no link reaches an
     empty host, so such pages are allowed. Columns of the new names are replaced. Null ``html`` has no
-    links; equal rows are judged alike. With a ``limit``, a host is blocked instead if its distrust exceeds
-    its trust by ``limit`` times what its share of all pages would get; that hangs on the whole table.
+    links; equal rows are judged alike. An excess of exactly ``rate`` is allowed. Pages of any length are
+    searched whole for links; an empty table gives an empty result.
     """
     parsed = pages.withColumn("host", host_of(F.col(url))).withColumn("path", path_of(F.col(url)))
     parsed = parsed.withColumn("__fit", fitting(F.col("host"), F.col("path"), rules))
@@ -167,11 +157,7 @@ def judge(pages: DataFrame, rules: tuple[Rule, ...] = RULES, url: str = "url", h
     of = lambda v: F.count(F.when(F.col("__fit.verdict") == v, 1))
     hosts = settled(named.groupBy("host").agg(F.count(F.lit(1)).alias("pages"), of("allow").alias("trust"), of("block").alias("distrust")))
     links = settled(host_edges(named, "host", html))
-    if limit is None:
-        verdicts = hosts.select("host").join(shares(hosts, links), "host").select("host", (F.round("excess", 9) > rate).alias("__bad"))
-    else:
-        verdicts = _relative(hosts, links, limit)
-    verdicts = settled(verdicts)
+    verdicts = settled(hosts.select("host").join(shares(hosts, links), "host").select("host", (F.col("excess") > rate).alias("__bad")))
     judged = parsed.drop(html).join(verdicts, "host", "left")
     by_host = F.when(F.coalesce("__bad", F.lit(False)), F.lit("block")).otherwise(F.lit("allow"))
     return judged.select(*[c for c in pages.columns if c not in {html, "host", "path", "rule", "verdict"}], "host", "path",
