@@ -27,9 +27,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql import Window as W
 
-from clientele.llm.common import map_texts, packed, small, small_batches, unpacked
+from clientele.llm.common import giving_back, map_texts, packed, small, small_batches, unpacked
 from clientele.llm.shingles import BASE, U, mixed, shingle_set
 from clientele.operators.ordering import settled
 
@@ -122,7 +121,7 @@ def statistics(df: DataFrame, text: str, percent: int, width: int) -> tuple[np.n
         if held:
             yield report(sets)
 
-    counted = small_batches(df).select(F.col(text).alias("text")).where(F.col("text").isNotNull()).mapInArrow(count, "kind int, a long, n long, scan double")
+    counted = small_batches(df).select(F.col(text).alias("text")).where(F.col("text").isNotNull()).mapInArrow(giving_back(count), "kind int, a long, n long, scan double")
     counted = settled(counted)
     sums = counted.groupBy("kind", "a").agg(F.sum("n").alias("n"), F.sum("scan").alias("scan"), F.count(F.lit(1)).alias("chunks"))
     often = sums.where("kind = 0").orderBy(F.desc("n"), "a").limit(FREQUENT).select("a", "n").toPandas()
@@ -192,11 +191,11 @@ def listed(rows: DataFrame, classes: DataFrame) -> DataFrame:
     entries = own.select("row", "n", "heavy", F.inline(kinds)).select(
         F.col("row").alias("v"), F.col("n").cast("int").alias("n"), (F.col("sub") | F.col("heavy")).alias("alone"),
         "sub", F.explode("keys").alias("list"))
-    name = W.partitionBy("list", "sub")
-    first = F.min(F.struct("v", "n")).over(name)
-    placed = entries.withColumn("many", F.count(F.lit(1)).over(name)).withColumn("first", first).withColumn("any", F.max("alone").over(name))
-    placed = placed.where((F.col("many") > 1) & F.col("any"))
-    return settled(placed.select("list", "sub", "v", "n", "alone", F.col("first.v").alias("lead"), F.col("first.n").alias("lead_n"), "many"))
+    # aggregates and a join instead of a window: a list that a third of all sets share is then no single task's work
+    met = entries.groupBy("list", "sub").agg(
+        F.count(F.lit(1)).alias("many"), F.min("v").alias("lead"), F.min_by("n", "v").alias("lead_n"), F.max("alone").alias("any"))
+    met = settled(met.where((F.col("many") > 1) & F.col("any")).drop("any"))
+    return settled(entries.join(met, ["list", "sub"]).select("list", "sub", "v", "n", "alone", "lead", "lead_n", "many"))
 
 
 def _sizes_fit(n: Column, m: Column, percent: int) -> Column:
@@ -306,7 +305,7 @@ def close_pairs(entries: DataFrame, rows: DataFrame, percent: int) -> DataFrame:
         if held:
             yield compare(held)
 
-    return placed.mapInArrow(run, "a long, b long").distinct()
+    return placed.mapInArrow(giving_back(run), "a long, b long").distinct()
 
 
 def components(links: DataFrame) -> DataFrame:

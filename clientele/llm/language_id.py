@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from clientele.llm.common import map_texts, small_batches
+from clientele.llm.common import giving_back, map_texts, small_batches
 from clientele.operators.ordering import top_rows
 
 PROFILE = 400
@@ -86,7 +86,7 @@ def profiles(labelled: DataFrame, text: str = "text", lang: str = "lang", size:
                     yield pa.RecordBatch.from_arrays(
                         [pa.array([label] * len(grams)), pa.array(grams), pa.array(counts)], names=["lang", "gram", "n"])
 
-    sums = rows.mapInArrow(count, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
+    sums = rows.mapInArrow(giving_back(count), "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
     best = top_rows(sums, ["lang"], [F.desc("n"), F.col("gram")], size, "rank")
     return best.select("lang", "rank", "gram")
 
