@@ -5,10 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from clientele.catalog import query
+from clientele.catalog import labels, query
 from clientele.catalog.commerce import features_of, targets_of
 from clientele.catalog.common import comparable, sql_round
+from clientele.functions import rules as R
 from clientele.operators import embeddings as E
+from clientele.operators import leakfree as L
 from clientele.operators import models as B
 from clientele.operators import neighbours as N
 from clientele.operators import splits as P
@@ -16,8 +18,9 @@ from clientele.operators.ordering import settled
 from clientele.operators.pairs import nearest
 from clientele.sources import star
 
-# small enough for every benchmark run; the library defaults are the full sizes
-SIZES = B.ModelSizes(trees=20, depth=5, rounds=5, boost_depth=4, step=0.1, max_iter=50)
+# the full sizes but for the boosting rounds, of which the library's default is 500
+SIZES = B.ModelSizes(rounds=100, boost_depth=6, step=0.1)
+COMPARED = B.ModelSizes(trees=100, depth=10, leaf_rows=1, rounds=100, boost_depth=6, step=0.1)
 
 
 def vectors(spark: SparkSession, root: str) -> DataFrame:
@@ -116,20 +119,17 @@ def cluster_sweep(spark: SparkSession, root: str) -> DataFrame:
     return E.cluster_sweep(vectors(spark, root))
 
 
-FEATURES = ["recency_days", "frequency", "monetary", "avg_order_value", "std_order_value", "n_unique_products",
-            "avg_delivery_days", "n_late_deliveries", "avg_installments", "user_segment"]
-
-
 def model_data(spark: SparkSession, root: str) -> DataFrame:
-    feats = features_of(spark, root).select("user_id", *FEATURES)
+    """Every feature column, scaled on the training split, with all targets."""
+    feats = features_of(spark, root)
     frame, names = B.model_frame(feats, targets_of(spark, root), P.hash_split(feats.select("user_id")))
-    return B.prepared(frame, names)
+    return B.prepared(settled(frame), names)
 
 
 @query("baseline_models")
 def baseline_models(spark: SparkSession, root: str) -> DataFrame:
-    tasks = [t for t in B.TASKS if t.name in ("early_adopter", "clv")]
-    return B.train_baselines(model_data(spark, root), tasks, SIZES)
+    """Every model on all six tasks."""
+    return B.train_baselines(model_data(spark, root), B.TASKS, SIZES)
 
 
 @query("segment_models")
@@ -142,6 +142,23 @@ def segment_models(spark: SparkSession, root: str) -> DataFrame:
     return B.train_baselines(data, [B.Task("segment", "segment_id", "multiclass")], SIZES)
 
 
+CUTOFF_TASKS = (
+    B.Task("churn", "churn", "binary", valid="churn_valid"),
+    B.Task("category", "category", "multiclass", valid="category_valid"),
+    B.Task("clv", "clv", "regression", valid="clv_valid", log=True),
+)
+
+
+@query("cutoff_models")
+def cutoff_models(spark: SparkSession, root: str) -> DataFrame:
+    """Churn, next category and value after the cutoff from what was known before it; only valid labels count."""
+    t = labels.tables(spark, root)
+    known, labelled = labels.features_of(t), labels.labels_of(t)
+    split = P.hash_split(labelled.select(L.WHO), L.WHO, names=("train", "val"), ratios=(0.8, 0.2))
+    frame, names = B.model_frame(known, labelled, split, L.WHO)
+    return B.train_baselines(B.prepared(settled(frame), names), CUTOFF_TASKS, SIZES, test="val", key=L.WHO)
+
+
 @query("linear_probe")
 def linear_probe(spark: SparkSession, root: str) -> DataFrame:
     v = vectors(spark, root)
@@ -186,15 +203,52 @@ def cross_validation(spark: SparkSession, root: str) -> DataFrame:
 
 @query("feature_set_comparison")
 def feature_set_comparison(spark: SparkSession, root: str) -> DataFrame:
-    v = vectors(spark, root).withColumns({"noise": B.noise_vector("vec_id", 8), "raw": F.col("embedding")})
-    return B.compare_feature_sets(v, "vec_id", {"embedding": "embedding", "random": "noise"}, "raw", "binary", "binary", SIZES)
+    v = vectors(spark, root).withColumns({"noise": B.noise_like("embedding", "vec_id"), "raw": F.col("embedding")})
+    return B.compare_feature_sets(v, "vec_id", {"embedding": "embedding", "random": "noise"}, "raw", "binary", "binary", COMPARED)
+
+
+# the numeric feature columns by what they tell of
+GROUPS = {
+    "money": ["monetary", "avg_order_value", "max_order_value", "min_order_value", "std_order_value", "avg_item_price",
+              "total_freight", "avg_freight", "freight_ratio", "freight_pct"],
+    "activity": ["tenure_days", "recency_days", "frequency", "total_items", "n_unique_products", "n_unique_sellers",
+                 "n_unique_categories", "total_journey_events", "n_order_sessions"],
+    "delivery": ["avg_delivery_days", "max_delivery_days", "n_late_deliveries", "avg_delivery_delta"],
+    "reviews": ["avg_review_score", "min_review_score", "max_review_score", "n_reviews"],
+    "payment": ["avg_installments", "max_installments", "n_payment_types", "uses_credit_card", "uses_boleto"],
+}
 
 
 @query("feature_group_ablation")
 def feature_group_ablation(spark: SparkSession, root: str) -> DataFrame:
-    groups = {"money": ["monetary", "avg_order_value", "std_order_value"], "activity": ["frequency", "n_unique_products"],
-              "delivery": ["avg_delivery_days", "n_late_deliveries"]}
-    data = features_of(spark, root).select("user_id", *[c for g in groups.values() for c in g]).join(
-        targets_of(spark, root).select("user_id", "early_adopter"), "user_id"
-    )
-    return B.group_ablation(data, "user_id", groups, "early_adopter", "early_adopter", max_iter=30)
+    data = features_of(spark, root).select("user_id", *[c for g in GROUPS.values() for c in g])
+    data = data.join(targets_of(spark, root).select("user_id", "early_adopter"), "user_id")
+    return B.group_ablation(data, "user_id", GROUPS, "early_adopter", "early_adopter")
+
+
+# features up to the cutoff: those above cover all orders and so hold the value that is asked for
+GATED_GROUPS = {"money": ["monetary", "avg_order_value"], "activity": ["frequency", "n_items"], "time": ["recency_days", "tenure_days"]}
+
+
+def later_value(spark: SparkSession, root: str) -> DataFrame:
+    """Features up to the cutoff and the value after it, of customers whose value counts."""
+    t = labels.tables(spark, root)
+    later = labels.labels_of(t).where("clv_valid").select(L.WHO, "clv")
+    return labels.features_of(t).join(later, L.WHO)
+
+
+@query("value_set_comparison")
+def value_set_comparison(spark: SparkSession, root: str) -> DataFrame:
+    """Value after the cutoff, on its logarithm, from the vector with the customer's number, from noise and from features."""
+    raw = F.array(*[R.sanitised(c) for g in GATED_GROUPS.values() for c in g])
+    vector = star.table(spark, root, "embeddings").where("embedding IS NOT NULL").select(F.col("vec_id").cast("string").alias(L.WHO), "embedding")
+    known = later_value(spark, root).withColumn("raw", raw).join(vector, L.WHO)
+    known = known.withColumn("noise", B.noise_like("embedding", L.WHO))
+    sets = {"embedding": "embedding", "random": "noise"}
+    return B.compare_feature_sets(known, L.WHO, sets, "raw", "clv", "clv", COMPARED, kind="regression", log=True)
+
+
+@query("value_group_ablation")
+def value_group_ablation(spark: SparkSession, root: str) -> DataFrame:
+    """What each group of features tells of a customer's value after the cutoff."""
+    return B.group_ablation(later_value(spark, root), L.WHO, GATED_GROUPS, "clv", "clv", kind="regression")

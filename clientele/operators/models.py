@@ -6,18 +6,20 @@ exchanges gradients, histograms and tree splits.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass
+from multiprocessing.pool import ThreadPool
 
-from pyspark.ml import Pipeline
+from pyspark.ml import Model, Pipeline
 from pyspark.ml.classification import GBTClassifier, LogisticRegression, RandomForestClassifier
 from pyspark.ml.evaluation import MulticlassClassificationEvaluator, RegressionEvaluator
 from pyspark.ml.feature import StandardScaler, StringIndexer, VectorAssembler
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.regression import GBTRegressor, LinearRegression, RandomForestRegressor
 from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.util import inheritable_thread_target
 
 from clientele.functions import rules as R
 from clientele.functions.hashing import unit_hash
@@ -61,6 +63,8 @@ TASKS = (
     Task("days_next_purchase", "days_next_purchase", "regression"),
 )
 MIN_TRAIN, MIN_TEST = 20, 5
+TRAIN_ROWS = 1_000_000
+AT_ONCE = 6
 
 
 def classifiers(sizes: ModelSizes, seed: int = 42, boosted: bool = True) -> dict:
@@ -139,54 +143,127 @@ BINARY_METRICS = ("auc_roc", "f1", "precision", "recall", "accuracy", "avg_preci
 REGRESSION_METRICS = ("rmse", "mae", "r2")
 
 
-def _skipped(data: DataFrame, task: str, why: str, rows: int) -> DataFrame:
-    return data.sparkSession.createDataFrame([(task, "skipped", why, float(rows))], "task string, model string, metric string, value double")
+MULTICLASS_METRICS = ("accuracy", "f1_macro", "f1_weighted")
 
 
-def train_baselines(data: DataFrame, tasks: Sequence[Task] = TASKS, sizes: ModelSizes = ModelSizes(), seed: int = 42,
-                    test: str = "test") -> DataFrame:
-    """Every model on every task.
+def side_by_side(df: DataFrame, fits: Sequence[Callable[[], Model]], at_once: int = AT_ONCE) -> list[Model]:
+    """The models that some training functions return, several trained at a time.
+
+    Trees are trained by many short Spark jobs, level by level; one model alone leaves most cores idle.
+    """
+    if not fits:
+        return []
+    with ThreadPool(min(at_once, len(fits))) as pool:
+        return pool.map(lambda fit_one: fit_one(), [inheritable_thread_target(df.sparkSession)(f) for f in fits])
+
+
+def _long(df: DataFrame, metrics: Sequence[str], prefix: str = "") -> DataFrame:
+    cells = [F.struct(F.lit(prefix + m).alias("metric"), F.col(m).cast("double").alias("value")) for m in metrics]
+    return df.select("task", "model", F.inline(F.array(*cells)))
+
+
+def _label(task: Task) -> Column:
+    """The target as a number; null where the row does not count for the task."""
+    target = F.col(task.target).cast("double")
+    return F.when(F.col(task.valid), target) if task.valid else target
+
+
+def _sizes(data: DataFrame, tasks: Sequence[Task]) -> dict:
+    """Rows, smallest and largest label by task and split, from one pass."""
+    if not tasks:
+        return {}
+    cells = [F.struct(F.count(_label(t)).alias("n"), F.min(_label(t)).alias("a"), F.max(_label(t)).alias("b")).alias(t.name) for t in tasks]
+    found = data.groupBy("split").agg(*cells).collect()  # one row per split
+    return {t.name: {r["split"]: r[t.name] for r in found if r[t.name]["n"]} for t in tasks}
+
+
+def _unfit(task: Task, size: dict, test: str) -> str | None:
+    if "train" not in size or test not in size or size["train"]["n"] < MIN_TRAIN or size[test]["n"] < MIN_TEST:
+        return "too few rows"
+    if task.kind != "regression" and size["train"]["a"] == size["train"]["b"]:
+        return "one class"
+    return None
+
+
+def _estimators(task: Task, sizes: ModelSizes, n_train: int, seed: int) -> dict:
+    if task.kind == "regression":
+        return regressors(sizes, n_train, seed)
+    return classifiers(sizes, seed, boosted=task.kind == "binary")
+
+
+def _predicted(task: Task, name: str, fitted: Model, rows: DataFrame) -> DataFrame:
+    out = fitted.transform(rows)
+    guess = R.from_log_target("prediction") if task.log else F.col("prediction")
+    score = _positive() if task.kind == "binary" else F.lit(None).cast("double")
+    return out.select(F.lit(task.name).alias("task"), F.lit(name).alias("model"), F.lit(task.kind).alias("kind"), "split", "label",
+                      guess.alias("prediction"), score.alias("score"))
+
+
+def baseline_predictions(
+    data: DataFrame, tasks: Sequence[Task] = TASKS, sizes: ModelSizes = ModelSizes(), seed: int = 42, test: str = "test",
+    key: str = "user_id", train_rows: int = TRAIN_ROWS,
+) -> tuple[DataFrame | None, list[tuple]]:
+    """What every model of every task predicts for each row outside of ``train``, and the tasks that are not trained.
+
+    Rows: task, model, kind, split, label, prediction, and the score of the positive class of binary
+    tasks. Of more than ``train_rows`` labelled training rows of a task a hash of the key takes about that
+    many to train on; every row of the other splits is predicted.
+    """
+    here = [t for t in tasks if t.target in data.columns]
+    size = _sizes(data, here)
+    skipped = [(t.name, "skipped", "no target", 0.0) for t in tasks if t not in here]
+    parts, fits = [], []
+    for task in here:
+        why = _unfit(task, size[task.name], test)
+        n = size[task.name]["train"]["n"] if "train" in size[task.name] else 0
+        if why:
+            skipped.append((task.name, "skipped", why, float(n)))
+            continue
+        rows = data.withColumn("label", _label(task)).where("label IS NOT NULL")
+        train = rows.where("split = 'train'")
+        if n > train_rows:
+            train = train.where(unit_hash(seed + 1, key) < train_rows / n)
+        if task.log:
+            train = train.withColumn("label", R.to_log_target("label"))
+        for name, model in _estimators(task, sizes, min(n, train_rows), seed).items():
+            parts.append((task, name, rows.where("split <> 'train'")))
+            fits.append(lambda model=model, train=train: model.fit(train))
+    fitted = side_by_side(data, fits)
+    return (_union([_predicted(t, name, m, rows) for (t, name, rows), m in zip(parts, fitted, strict=True)]) if parts else None), skipped
+
+
+def baseline_scores(pred: DataFrame, test: str = "test") -> DataFrame:
+    """Metrics of stored predictions by task and model; ``val_`` ones from the split ``val``, if another is the test."""
+    by = ("task", "model")
+    held, val = pred.where(F.col("split") == test), pred.where("split = 'val'")
+    kinds = {r["kind"] for r in pred.select("kind").distinct().collect()}  # at most three
+    out = []
+    if "binary" in kinds:
+        out.append(_long(M.classification_metrics(held.where("kind = 'binary'"), keys=by), BINARY_METRICS))
+        if test != "val":
+            out.append(_long(M.auc_and_ap(val.where("kind = 'binary'"), keys=by), ["auc_roc"], "val_"))
+    if "multiclass" in kinds:
+        out.append(_long(M.multiclass_metrics(held.where("kind = 'multiclass'"), keys=by), MULTICLASS_METRICS))
+    if "regression" in kinds:
+        out.append(_long(M.regression_metrics(held.where("kind = 'regression'"), keys=by), REGRESSION_METRICS))
+        if test != "val":
+            out.append(_long(M.regression_metrics(val.where("kind = 'regression'"), keys=by), ["r2"], "val_"))
+    return _union(out)
+
+
+def train_baselines(
+    data: DataFrame, tasks: Sequence[Task] = TASKS, sizes: ModelSizes = ModelSizes(), seed: int = 42, test: str = "test",
+    key: str = "user_id", train_rows: int = TRAIN_ROWS,
+) -> DataFrame:
+    """Every model on every task, scored on the split ``test``.
 
     A task without its target, without two classes or with too few rows is not trained: it gives one
     row with the model ``skipped``, the reason as metric and the number of training rows as value.
     """
-    data = settled(data)
-    out = []
-    for task in tasks:
-        if task.target not in data.columns:
-            out.append(_skipped(data, task.name, "no target", 0))
-            continue
-        rows = data.where(F.col(task.valid)) if task.valid else data
-        rows = rows.where(F.col(task.target).isNotNull()).withColumn("label", F.col(task.target).cast("double"))
-        train, held = rows.where("split = 'train'"), rows.where(F.col("split") == test)
-        size = rows.groupBy("split").agg(F.count(F.lit(1)).alias("n"), F.min("label").alias("a"), F.max("label").alias("b")).collect()
-        n = {r["split"]: r for r in size}  # one row per split
-        if "train" not in n or test not in n or n["train"]["n"] < MIN_TRAIN or n[test]["n"] < MIN_TEST:
-            out.append(_skipped(data, task.name, "too few rows", n["train"]["n"] if "train" in n else 0))
-            continue
-        if task.kind != "regression" and n["train"]["a"] == n["train"]["b"]:
-            out.append(_skipped(data, task.name, "one class", n["train"]["n"]))
-            continue
-        if task.kind == "binary":
-            for name, model in classifiers(sizes, seed).items():
-                pred = settled(model.fit(train).transform(rows.where("split <> 'train'")).select("split", "label", _positive().alias("score")))
-                out.append(_rows(M.classification_metrics(pred.where(F.col("split") == test)), task.name, name, BINARY_METRICS))
-                if "val" in n and test != "val":
-                    out.append(_rows(M.auc_and_ap(pred.where("split = 'val'")), task.name, name, ["auc_roc"], "val_"))
-        elif task.kind == "multiclass":
-            for name, model in classifiers(sizes, seed, boosted=False).items():
-                pred = model.fit(train).transform(held)
-                out.append(_rows(M.multiclass_metrics(pred), task.name, name, ("accuracy", "f1_macro", "f1_weighted")))
-        else:
-            fit_on = train.withColumn("label", R.to_log_target("label")) if task.log else train
-            for name, model in regressors(sizes, n["train"]["n"], seed).items():
-                pred = model.fit(fit_on).transform(rows.where("split <> 'train'"))
-                if task.log:
-                    pred = pred.withColumn("prediction", R.from_log_target("prediction"))
-                pred = settled(pred.select("split", "label", "prediction"))
-                out.append(_rows(M.regression_metrics(pred.where(F.col("split") == test)), task.name, name, REGRESSION_METRICS))
-                if "val" in n and test != "val":
-                    out.append(_rows(M.regression_metrics(pred.where("split = 'val'")), task.name, name, ["r2"], "val_"))
+    pred, skipped = baseline_predictions(settled(data), tasks, sizes, seed, test, key, train_rows)
+    out = [] if pred is None else [baseline_scores(settled(pred), test)]
+    if skipped or not out:
+        out.append(data.sparkSession.createDataFrame(skipped, "task string, model string, metric string, value double"))
     return _union(out)
 
 
@@ -279,48 +356,84 @@ def cross_validated(vectors: DataFrame, key: str, vector: str, label: str, task:
     return vectors.sparkSession.createDataFrame(rows, "task string, model string, metric string, value double")
 
 
-def compare_feature_sets(data: DataFrame, key: str, sets: dict[str, str], raw: str, label: str, task: str,
-                         sizes: ModelSizes = ModelSizes(), seed: int = 42) -> DataFrame:
+def _halves(data: DataFrame, key: str, label: str, kind: str, seed: int, log: bool = False) -> DataFrame:
+    """A train and a test split with equal class shares, or by hash alone where the label is a quantity."""
+    value = F.col(label).cast("double")
+    if kind == "binary":
+        return stratified_split(data, label, key, seed=seed).withColumn("label", value)
+    split = F.when(unit_hash(seed, key) < 0.2, "test").otherwise("train")
+    return data.where(value.isNotNull()).withColumn("split", split).withColumn("label", R.to_log_target(value) if log else value)
+
+
+def _linear(kind: str, max_iter: int, n_train: int):
+    return LogisticRegression(maxIter=max_iter) if kind == "binary" else ridge(n_train)
+
+
+def _compared(kind: str, task: str, models: dict, metrics: Sequence[str], against: Sequence[tuple[str, str]]) -> DataFrame:
+    """Scores of fitted models on the test rows, and by how much the first of two models is ahead of the second."""
+    t = Task(task, "label", kind)
+    pred = settled(_union([_predicted(t, name, m, rows.where("split = 'test'")) for name, (m, rows) in models.items()]))
+    scores = M.classification_metrics if kind == "binary" else M.regression_metrics
+    rows = settled(_long(scores(pred, keys=("task", "model")), metrics))
+    lead = "auc_roc" if kind == "binary" else "r2"
+
+    def value(model: str) -> Column:
+        return rows.where((F.col("model") == model) & (F.col("metric") == lead)).agg(F.max("value")).scalar()
+
+    gaps = [(a, b, value(a) - value(b)) for a, b in against]
+    cells = [F.struct(F.lit(task).alias("task"), F.lit(f"{a}_vs_{b}").alias("model"), F.lit(f"{lead}_diff").alias("metric"), d.alias("value"))
+             for a, b, d in gaps]
+    return rows.unionByName(rows.sparkSession.range(1).select(F.inline(F.array(*cells)))) if cells else rows
+
+
+def compare_feature_sets(
+    data: DataFrame, key: str, sets: dict[str, str], raw: str, label: str, task: str, sizes: ModelSizes = ModelSizes(),
+    seed: int = 42, kind: str = "binary", log: bool = False,
+) -> DataFrame:
     """A linear model on each vector column and tree models on the raw one, on one shared split.
 
-    Vectors of noise come in as one more set, as a floor every useful set must clear.
+    Vectors of noise come in as one more set, as a floor every useful set must clear. The first set is
+    then set against the tree models and the other sets: rows ``a_vs_b`` hold the difference of the area
+    under the curve, or of R squared for a quantity (``kind="regression"``; with ``log`` on its logarithm).
     """
-    split = settled(stratified_split(data, label, key, seed=seed).withColumn("label", F.col(label).cast("double")))
-    out = []
+    split = settled(_halves(data, key, label, kind, seed, log))
+    n = split.where("split = 'train'").count()
+    held, fits = {}, []
     for name, column in sets.items():
-        scaled = settled(_scaled(split, column).select("split", "label", "features"))
-        pred = LogisticRegression(maxIter=sizes.max_iter).fit(scaled.where("split = 'train'")).transform(scaled.where("split = 'test'"))
-        scores = M.classification_metrics(pred.select("label", _positive().alias("score")))
-        out.append(_rows(scores, task, f"{name}_linear", BINARY_METRICS))
+        held[f"{name}_linear"] = settled(_scaled(split, column).select("split", "label", "features"))
+        fits.append((f"{name}_linear", _linear(kind, sizes.max_iter, n)))
     trees = settled(split.select("split", "label", array_to_vector(F.transform(raw, lambda x: x.cast("double"))).alias("features")))
-    for name, model in list(classifiers(sizes, seed).items())[1:]:
-        pred = model.fit(trees.where("split = 'train'")).transform(trees.where("split = 'test'"))
-        out.append(_rows(M.classification_metrics(pred.select("label", _positive().alias("score"))), task, f"{name}_raw", BINARY_METRICS))
-    return _union(out)
+    for name, model in list((classifiers(sizes, seed) if kind == "binary" else regressors(sizes, n, seed)).items())[1:]:
+        held[f"{name}_raw"] = trees
+        fits.append((f"{name}_raw", model))
+    fitted = side_by_side(split, [lambda name=name, m=m: m.fit(held[name].where("split = 'train'")) for name, m in fits])
+    models = {name: (m, held[name]) for (name, _), m in zip(fits, fitted, strict=True)}
+    first, *others = models
+    metrics = BINARY_METRICS if kind == "binary" else REGRESSION_METRICS
+    return _compared(kind, task, models, metrics, [(first, o) for o in others])
+
 
+def noise_like(vector: str, key: str, seed: int = 42) -> Column:
+    """A reproducible vector of noise per row, as wide as another one."""
+    return F.transform(vector, lambda _, i: unit_hash(seed, F.col(key), i.cast("string")) - 0.5)
 
-def noise_vector(key: str, dimension: int, seed: int = 42):
-    """A reproducible vector of noise per row."""
-    return F.array(*[unit_hash(seed + i, key) - 0.5 for i in range(dimension)])
 
+def group_ablation(
+    data: DataFrame, key: str, groups: dict[str, Sequence[str]], label: str, task: str, seed: int = 42, max_iter: int = 1000,
+    kind: str = "binary",
+) -> DataFrame:
+    """A linear model of all features and of each group alone, and what a group lacks compared with all.
 
-def group_ablation(data: DataFrame, key: str, groups: dict[str, Sequence[str]], label: str, task: str,
-                   seed: int = 42, max_iter: int = 100) -> DataFrame:
-    """AUC of all features and of each group alone, and what a group lacks compared with all."""
+    Binary labels: accuracy, F1 and area under the curve; quantities (``kind="regression"``): errors and R
+    squared of ridge regression. Rows ``full_vs_<group>`` hold the difference of the area or of R squared.
+    """
     everything = [c for g in groups.values() for c in g]
     columns = {"full": everything, **groups}
     vectors = {f"__v_{n}": F.array(*[R.sanitised(c) for c in cs]) for n, cs in columns.items()}
-    split = stratified_split(data.withColumns(vectors), label, key, seed=seed)
-    split = settled(split.withColumn("label", F.col(label).cast("double")).select("split", "label", *vectors))
-    out = []
-    for name in columns:
-        scaled = settled(_scaled(split, f"__v_{name}").select("split", "label", "features"))
-        pred = LogisticRegression(maxIter=max_iter).fit(scaled.where("split = 'train'")).transform(scaled.where("split = 'test'"))
-        scores = M.classification_metrics(pred.select("label", _positive().alias("score")))
-        out.append(_rows(scores, task, name, ("accuracy", "f1", "auc_roc")))
-    rows = _union(out)
-    full = rows.where("model = 'full' AND metric = 'auc_roc'").agg(F.max("value")).scalar()
-    gaps = rows.where("model <> 'full' AND metric = 'auc_roc'").select(
-        "task", "model", F.lit("auc_diff_from_full").alias("metric"), (full - F.col("value")).alias("value")
-    )
-    return rows.unionByName(gaps)
+    split = settled(_halves(data.withColumns(vectors), key, label, kind, seed).select("split", "label", *vectors))
+    n = split.where("split = 'train'").count()
+    held = {name: settled(_scaled(split, f"__v_{name}").select("split", "label", "features")) for name in columns}
+    fitted = side_by_side(split, [lambda rows=rows: _linear(kind, max_iter, n).fit(rows.where("split = 'train'")) for rows in held.values()])
+    models = {name: (m, held[name]) for name, m in zip(held, fitted, strict=True)}
+    metrics = ("accuracy", "f1", "auc_roc") if kind == "binary" else ("rmse", "mae", "r2")
+    return _compared(kind, task, models, metrics, [("full", g) for g in groups])

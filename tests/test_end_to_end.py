@@ -10,7 +10,8 @@ from clientele.sources import contracts, readers, sinks, star
 
 QUERIES, CHECKS = entry.queries(), entry.oracle_sql()
 # too slow to train in every test run; tools/check_queries.py runs them
-SLOW = {"baseline_models", "segment_models", "cluster_sweep", "feature_group_ablation"}
+SLOW = {"baseline_models", "segment_models", "cutoff_models", "cluster_sweep", "feature_group_ablation", "value_group_ablation",
+        "feature_set_comparison", "value_set_comparison"}
 
 
 def test_entry_runs(spark):
