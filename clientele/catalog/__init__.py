@@ -36,5 +36,6 @@ def load() -> None:
         models,
         quality,
         signals,
+        storage,
         streams,
     )
