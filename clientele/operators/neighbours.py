@@ -12,6 +12,7 @@ indexed; the sample decides the cost only. ``pairs.nearest`` is the exact form.
 from __future__ import annotations
 
 import math
+from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -28,6 +29,8 @@ TABLES = 4
 MOST_BITS = 14
 BUCKET_ROWS = 512  # wanted mean size of a bucket
 UNIT_ROWS = 4096  # rows of either side that meet at once
+SPREAD_ROWS = 16_384  # rows with their vectors that a task holds while it deals them to buckets
+BLOCK_CELLS = 1 << 20  # distances that a task holds at once
 SAMPLE = 256  # queries whose true neighbours are found to fit the number of probes
 RECALL = 0.95  # wanted on the sample
 
@@ -105,6 +108,39 @@ def fit(queries: DataFrame, base: DataFrame, key: str, vector: str, k: int, tabl
     return Index(planes, center, index.flips, probes)
 
 
+def dealt(codes_of: Callable[[np.ndarray], np.ndarray], per_row: int) -> Callable[[Iterable[pd.DataFrame]], Iterator[pd.DataFrame]]:
+    """Rows with their vectors, once for each of the ``per_row`` buckets that ``codes_of`` gives them, a bounded number at a time."""
+    step = max(1, SPREAD_ROWS // per_row)
+
+    def run(parts: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for whole in parts:
+            for at in range(0, len(whole), step):
+                part = whole.iloc[at : at + step]
+                codes = codes_of(_vectors(part["v"]))
+                rows, where, _ = np.indices(codes.shape).reshape(3, -1)
+                out = part.iloc[rows].reset_index(drop=True)
+                yield out.assign(table=where.astype("int32"), code=codes.ravel().astype("int32"))
+
+    return run
+
+
+def best(asked: pd.DataFrame, held: pd.DataFrame, k: int) -> pd.DataFrame:
+    """The k nearest held rows of each asked one; some queries at a time, so the distances in memory are bounded."""
+    if asked.empty or held.empty:
+        return pd.DataFrame({"query": asked["k"][:0], "neighbour": held["k"][:0], "distance": [], "carry": held["c"][:0]})
+    held = held.sort_values("k")
+    own, vectors = _vectors(asked["v"]), _vectors(held["v"])
+    step, tops, near = max(1, BLOCK_CELLS // len(held)), [], []
+    for i in range(0, len(asked), step):
+        d = np.round(np.sqrt(squared_distances(own[i : i + step], vectors)), 12)
+        tops.append(np.argsort(d, axis=1, kind="stable")[:, :k].copy())  # a view would keep all places
+        near.append(np.take_along_axis(d, tops[-1], axis=1))
+    top, away = np.concatenate(tops), np.concatenate(near)
+    at, flat = np.repeat(np.arange(len(asked)), top.shape[1]), top.ravel()
+    return pd.DataFrame({"query": asked["k"].to_numpy()[at], "neighbour": held["k"].to_numpy()[flat], "distance": away.ravel(),
+                         "carry": held["c"].to_numpy()[flat]})
+
+
 def hashed_nearest(queries: DataFrame, base: DataFrame, key: str, vector: str, carry: str, k: int, index: Index,
                    unit_rows: int = UNIT_ROWS) -> DataFrame:
     """The k nearest of the probed base rows of each query: ``(query, neighbour, distance, carry, place)``.
@@ -117,21 +153,10 @@ def hashed_nearest(queries: DataFrame, base: DataFrame, key: str, vector: str, c
     placed = T.StructType([T.StructField("k", key_type), T.StructField("v", T.ArrayType(T.DoubleType())), T.StructField("table", T.IntegerType()),
                            T.StructField("code", T.IntegerType())])
 
-    def spread(codes_of):
-        def run(parts):
-            for part in parts:
-                if len(part):
-                    codes = codes_of(_vectors(part["v"]))
-                    rows, where, _ = np.indices(codes.shape).reshape(3, -1)
-                    out = part.iloc[rows].reset_index(drop=True)
-                    yield out.assign(table=where.astype("int32"), code=codes.ravel().astype("int32"))
-
-        return run
-
     b = base.select(F.col(key).alias("k"), F.col(vector).cast("array<double>").alias("v"), F.col(carry).alias("c"))
-    b = settled(b.mapInPandas(spread(lambda x: index.sides(x)[0][:, :, None]), T.StructType([*placed.fields[:2], T.StructField("c", carry_type), *placed.fields[2:]])))
+    b = settled(b.mapInPandas(dealt(lambda x: index.sides(x)[0][:, :, None], len(index.planes)), T.StructType([*placed.fields[:2], T.StructField("c", carry_type), *placed.fields[2:]])))
     q = queries.select(F.col(key).alias("k"), F.col(vector).cast("array<double>").alias("v"))
-    q = settled(q.mapInPandas(spread(index.probed), placed))
+    q = settled(q.mapInPandas(dealt(index.probed, len(index.planes) * index.probes), placed))
     bucket = ["table", "code"]
     cuts = lambda df, out: df.groupBy(*bucket).agg(F.ceil(F.count(F.lit(1)) / unit_rows).cast("int").alias(out))
     sizes = settled(cuts(b, "nb").join(cuts(q, "nq"), bucket))
@@ -143,14 +168,7 @@ def hashed_nearest(queries: DataFrame, base: DataFrame, key: str, vector: str, c
                            T.StructField("carry", carry_type)])
 
     def compare(asked: pd.DataFrame, held: pd.DataFrame) -> pd.DataFrame:
-        if asked.empty or held.empty:
-            return pd.DataFrame({"query": asked["k"][:0], "neighbour": held["k"][:0], "distance": [], "carry": held["c"][:0]})
-        held = held.sort_values("k")
-        d = np.round(np.sqrt(squared_distances(_vectors(asked["v"]), _vectors(held["v"]))), 12)
-        top = np.argsort(d, axis=1, kind="stable")[:, :k]
-        at, flat = np.repeat(np.arange(len(asked)), top.shape[1]), top.ravel()
-        return pd.DataFrame({"query": asked["k"].to_numpy()[at], "neighbour": held["k"].to_numpy()[flat], "distance": d[at, flat],
-                             "carry": held["c"].to_numpy()[flat]})
+        return best(asked, held, k)
 
     unit = [*bucket, "i", "j"]
     found = left.groupBy(*unit).cogroup(right.groupBy(*unit)).applyInPandas(compare, schema)

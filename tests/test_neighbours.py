@@ -1,6 +1,9 @@
 """Hashed neighbours against comparing all: recall, hot buckets, ties and small tables."""
 
+import tracemalloc
+
 import numpy as np
+import pandas as pd
 import pytest
 
 from clientele.operators import neighbours as N
@@ -57,3 +60,36 @@ def test_small_tables(spark, rows):
     q, b = table(spark, rng.standard_normal((4, 3)), 50), table(spark, rng.standard_normal((rows, 3)))
     found = N.hashed_nearest(q, b, "id", "v", "label", 5, N.fit(q, b, "id", "v", 5))
     assert found.count() == 4 * rows
+
+
+def frame(vectors, start=0):
+    return pd.DataFrame({"k": np.arange(start, start + len(vectors)), "v": list(vectors), "c": 0})
+
+
+def peak(work):
+    tracemalloc.start()
+    work()
+    _, most = tracemalloc.get_traced_memory()
+    tracemalloc.stop()
+    return most
+
+
+def test_rows_are_dealt_to_buckets_a_bounded_number_at_a_time():
+    rng = np.random.default_rng(7)
+    index = N.Index(rng.standard_normal((4, 9, 8)), np.zeros(8), N.flip_order(9), 300)
+    rows = frame(rng.standard_normal((500, 8)))
+    pieces = list(N.dealt(index.probed, 4 * 300)([rows, rows[:0]]))
+    assert max(map(len, pieces)) <= N.SPREAD_ROWS
+    out = pd.concat(pieces)
+    assert (out["k"].to_numpy() == np.repeat(np.arange(500), 4 * 300)).all()
+    assert (out["code"].to_numpy() == index.probed(N._vectors(rows["v"])).ravel()).all()
+
+
+def test_a_unit_holds_few_distances_at_once():
+    rng = np.random.default_rng(8)
+    asked, held = frame(rng.standard_normal((4096, 4))), frame(rng.standard_normal((4096, 4)), 10_000)
+    assert peak(lambda: N.best(asked, held, 5)) < 100e6  # all distances of the unit alone are 134 MB
+    some = asked[:50]
+    got = N.best(some, held, 5)
+    d = np.round(np.linalg.norm(np.stack(some["v"])[:, None] - np.stack(held["v"])[None], axis=2), 9)
+    assert (np.round(got["distance"].to_numpy().reshape(50, 5), 9) == np.sort(d, axis=1)[:, :5]).all()
