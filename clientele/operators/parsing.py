@@ -245,14 +245,17 @@ def _load_first(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 def parse_yaml_answers(responses: DataFrame, doc: str = "doc", raw: str = "raw") -> DataFrame:
     """``(doc, json, stage, success, error)`` per response; failures stay in the table as dead letters."""
     source = responses.select(F.col(doc).alias("doc"), F.coalesce(raw, F.lit("")).alias("raw"))
-    staged = source.withColumn("__c", F.array(*yaml_candidates(F.col("raw"))))
+    # reading costs far more than the bytes of an answer tell: a small file must not be left to one task
+    tasks = int(responses.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    staged = source.repartition(tasks).withColumn("__c", F.array(*yaml_candidates(F.col("raw"))))
     loaded = staged.mapInPandas(_load_first, "doc string, raw string, __at int, __yaml string")
     bare = F.trim(F.regexp_replace(F.regexp_replace("raw", r"```json\s*", ""), r"```\s*", ""))
     as_json = F.regexp_extract(bare, r"(?s)\{.*\}", 0)
-    as_json = F.when(_is_object(as_json), as_json)
-    last = regex_trends(F.col("raw"))
-    names = F.array(*[F.lit(s) for s in YAML_STAGES])
     empty = F.trim(F.col("raw")) == ""
+    unread = ~empty & F.col("__at").isNull()  # only these need the last stages
+    as_json = F.when(unread & _is_object(as_json), as_json)
+    last = F.when(unread, regex_trends(F.col("raw")))
+    names = F.array(*[F.lit(s) for s in YAML_STAGES])
     at = (
         F.when(empty, F.lit(None).cast("int"))
         .when(F.col("__at").isNotNull(), F.col("__at"))

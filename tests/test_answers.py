@@ -50,6 +50,15 @@ YAML_CASES = {
 }
 
 
+def test_yaml_answers_of_one_partition_are_read_by_many_tasks(spark):
+    from pyspark.sql import functions as F
+
+    df = spark.range(0, 40, 1, 1).select(F.col("id").cast("string").alias("doc"), F.lit(CLEAN).alias("raw"))
+    parsed = P.parse_yaml_answers(df)
+    assert parsed.rdd.getNumPartitions() == int(spark.conf.get("spark.sql.shuffle.partitions")) > 1
+    assert parsed.where("success").count() == 40
+
+
 def test_yaml_stages(spark):
     df = spark.createDataFrame([(n, raw) for n, (raw, _) in YAML_CASES.items()], "doc string, raw string")
     parsed = P.parse_yaml_answers(df)
