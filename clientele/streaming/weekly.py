@@ -83,9 +83,10 @@ def open_events(events: DataFrame, finished: DataFrame, user: str = "user_id", t
 class WeeksOfUser(StatefulProcessor):
     """Turns a user's fragments into one row per cohort and week, once the watermark has passed the week.
 
-    State: fragments that wait (map by day), the session that is open (its number and last event), and
+    State: fragments that wait (list), the session that is open (its number and last event), and
     running measures per cohort and week (map). A timer stands at the end of the first waiting window or
-    open week; entries go when they are used, so a silent user keeps two numbers.
+    open week; entries go when they are used, so a silent user keeps two numbers. Each call to the state
+    costs a round trip, so new fragments are appended in one, and what still waits is written in one.
     """
 
     def __init__(self, by: Sequence[str], schema: T.StructType, gap: str = GAP, piece: str = PIECE):
@@ -94,40 +95,44 @@ class WeeksOfUser(StatefulProcessor):
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.waiting = handle.getMapState("waiting", "start long", "parts string")
+        self.waiting = handle.getListState("waiting", "part string")
         self.weeks = handle.getMapState("weeks", "week long", "cohorts string")
         self.session = handle.getValueState("session", "number long, last long")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        new: dict[int, list] = {}
+        new, first = [], None
         for part in rows:
-            at = part[["start", "first", "last"]].apply(lambda c: c.astype("datetime64[us]").astype("int64"))
-            cohorts = part[self.by[1:]].astype(object).where(part[self.by[1:]].notna(), None).values.tolist()
-            for t, c, n in zip(at.values.tolist(), cohorts, part[[*COUNTS, "total_revenue"]].values.tolist(), strict=True):
+            # plain lists: frame operations cost more than the few rows of a user
+            at = zip(*[part[c].to_numpy().astype("datetime64[us]").astype("int64").tolist() for c in ("start", "first", "last")], strict=True)
+            cohorts = zip(*[[None if v is None or v != v else v for v in part[c].tolist()] for c in self.by[1:]], strict=True)
+            numbers = zip(*[part[c].tolist() for c in (*COUNTS, "total_revenue")], strict=True)
+            for t, c, n in zip(at, cohorts, numbers, strict=True):
                 start = t[0] // 1000
-                new.setdefault(start // DAY_MS, []).append([start, t[1], t[2], c, n])
-        for day, parts in new.items():
-            kept = json.loads(self.waiting.getValue((day,))[0]) if self.waiting.containsKey((day,)) else []
-            self.waiting.updateValue((day,), (json.dumps(kept + parts),))
+                first = start if first is None else min(first, start)
+                new.append((json.dumps([start, t[1], t[2], c, n]),))
         if new:
-            self._wake([*self.handle.listTimers(), min(p[0] for parts in new.values() for p in parts) + self.piece])
+            self.waiting.appendList(new)
+            self._wake([*self.handle.listTimers(), first + self.piece])
         return iter(())
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         now = timerValues.getCurrentWatermarkInMs()
         due: dict[int, list] = {}
-        ends = []
-        for day, parts in sorted((day, json.loads(text)) for (day,), (text,) in self.waiting.iterator()):
-            rest = []
-            for p in parts:
-                due.setdefault(p[0], []).append(p[1:]) if p[0] + self.piece <= now else rest.append(p)
-            ends += [p[0] + self.piece for p in rest]
-            if not rest:
-                self.waiting.removeKey((day,))
-            elif len(rest) < len(parts):
-                self.waiting.updateValue((day,), (json.dumps(rest),))
+        ends, rest = [], []
+        for (text,) in self.waiting.get():
+            p = json.loads(text)
+            if p[0] + self.piece <= now:
+                due.setdefault(p[0], []).append(p[1:])
+            else:
+                rest.append((text,))
+                ends.append(p[0] + self.piece)
+        if due and rest:
+            self.waiting.put(rest)
+        elif due:
+            self.waiting.clear()
         number, last = self.session.get() if self.session.exists() else (0, None)
         weeks = {week: {tuple(c): m for c, m in json.loads(text)} for (week,), (text,) in self.weeks.iterator()}
+        stored = set(weeks)
         for start, parts in sorted(due.items()):
             if last is None or min(p[0] for p in parts) - last > self.gap:
                 number += 1
@@ -147,7 +152,7 @@ class WeeksOfUser(StatefulProcessor):
                 for cohort, m in weeks[week].items():
                     out.append((*cohort, pd.Timestamp(week, unit="ms").date(), *map(int, m[: len(COUNTS)]), float(m[len(COUNTS)]), int(m[-2]),
                                 int(m[0] > 0)))
-                if self.weeks.containsKey((week,)):
+                if week in stored:
                     self.weeks.removeKey((week,))
             else:
                 ends.append(week + WEEK_MS)

@@ -3,8 +3,10 @@
 import datetime as dt
 import random
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from clientele.operators import sliding
 from clientele.operators.sessions import sessionise
@@ -145,3 +147,45 @@ def test_sliding_scores_by_micro_batch(spark, tmp_path):
     again = spark.read.schema(schema).parquet(f"{tmp_path}/out/rows/__batch=1").select("id", "k", "at", "v").collect()
     scores.add(spark.createDataFrame(again, schema), 1)
     assert plain(scores.scores().unionByName(scores.still_open())) == whole
+
+
+class Held:
+    """A state that counts the calls to it."""
+
+    def __init__(self, calls):
+        self.calls, self.rows = calls, {}
+
+    def __getattr__(self, name):
+        def call(*args):
+            self.calls.append(name)
+            if name in ("exists", "containsKey"):
+                return False
+            return iter(()) if name in ("get", "iterator") else None
+
+        return call
+
+
+class Handle:
+    def __init__(self):
+        self.calls, self.timers = [], []
+        self.getMapState = self.getListState = self.getValueState = lambda *_: Held(self.calls)
+
+    def listTimers(self):
+        return iter(self.timers)
+
+    def deleteTimer(self, t):
+        self.timers.remove(t)
+
+    def registerTimer(self, t):
+        self.timers.append(t)
+
+
+def test_fragments_of_many_days_take_one_call_to_the_state():
+    days = pd.date_range("2024-01-01", periods=60, freq="D")
+    part = pd.DataFrame({"user_id": "a", "c": ["x", None] * 30, "start": days, "first": days, "last": days, "purchase_count": 0, "page_views": 1,
+                         "add_to_cart_events": 0, "events": 1, "total_revenue": 0.0})
+    weeks, handle = K.WeeksOfUser(["user_id", "c"], T.StructType([])), Handle()
+    weeks.init(handle)
+    assert list(weeks.handleInputRows(("a",), iter([part]), None)) == []
+    assert len(handle.calls) == 1  # one round trip, not two for each day
+    assert handle.timers == [int(days[0].timestamp() * 1000) + 600_000]
