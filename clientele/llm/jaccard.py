@@ -12,10 +12,11 @@ one are listed too. The boundary is the size that minimises the estimated record
 both parts.
 
 Lists never turn into all pairs of a group. First every member is compared with the first member of
-its lists only; verified links form components. Then only those pairs of a list are compared that
-different components still hold, so a large group of near copies costs one comparison per member,
-and no component is missed. A bound from bit sketches drops most other candidates; what remains is
-verified on whole sets.
+its lists only; verified links form components. While many pairs of a list are still in different
+components, another member at a time takes the first one's place. Then only those pairs of a list
+are compared that different components still hold, so a large group of near copies costs a few
+comparisons per member, and no component is missed. A bound from bit sketches drops most other
+candidates; what remains is verified on whole sets.
 """
 
 from __future__ import annotations
@@ -39,6 +40,7 @@ FREQUENT = 200_000  # shingles whose counts the common order knows; 3 MB on each
 CHUNK = 1 << 21  # shingles counted together inside a task
 SKETCH_BITS = 128  # the shortest; longer sets have two to four bits per shingle
 BRIEF_WORDS = 16  # 1,024 bits: enough for sets of up to some 2,000 shingles
+PAIRS_AN_ENTRY = 16  # pairs left for each list entry up to which they are compared as they are
 UNIT = 512  # entries of a list that are compared with as many others at once
 
 
@@ -324,6 +326,37 @@ def components(links: DataFrame) -> DataFrame:
             return labels
 
 
+def held_apart(entries: DataFrame, roots: DataFrame) -> DataFrame:
+    """The entries, with their components, of the lists that several components hold."""
+    rooted = entries.join(roots, "v", "left").withColumn("root", F.coalesce("root", "v"))
+    several = rooted.groupBy("list", "sub").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("list", "sub")
+    return settled(rooted.join(several, ["list", "sub"]).select("list", "sub", "v", "n", "alone", "root"))
+
+
+def hub_rounds(entries: DataFrame, links: DataFrame, rows: DataFrame, texts: DataFrame, percent: int, width: int) -> tuple[DataFrame, DataFrame]:
+    """More links from one member of each list at a time, and the entries of lists still held by several components.
+
+    A list's first member may be far from most of a group that its other members hold together. While the pairs
+    left are many times the entries, another member of each list, drawn by hash, is compared with all of other
+    components, so a round makes at most as many pairs as there are entries. Rounds end when one leaves more than
+    nine tenths of the pairs it found: those are for the comparison of all that is left.
+    """
+    turn, before = 0, None
+    while True:
+        left = held_apart(entries, components(links))
+        parts = left.groupBy("list", "sub", "root").agg(F.count(F.lit(1)).alias("m")).groupBy("list", "sub")
+        sizes = parts.agg(F.sum("m").alias("all"), F.sum(F.col("m") * F.col("m")).alias("own"))
+        pairs, held = sizes.agg(F.sum((F.col("all") * F.col("all") - F.col("own")) / 2), F.sum("all")).first()
+        if not held or pairs <= PAIRS_AN_ENTRY * held or (before is not None and pairs > 0.9 * before):
+            return links, left
+        drawn = F.min_by(F.struct("v", "n", "root"), F.struct(F.xxhash64("list", "v", F.lit(turn)), "v"))
+        hubs = left.groupBy("list", "sub").agg(drawn.alias("hub"))
+        met = left.join(hubs, ["list", "sub"]).where((F.col("root") != F.col("hub.root")) & _sizes_fit(F.col("n"), F.col("hub.n"), percent))
+        met = met.select(F.least("v", "hub.v").alias("a"), F.greatest("v", "hub.v").alias("b")).distinct()
+        links = links.unionByName(verified(met, rows, texts, percent, width))
+        turn, before = turn + 1, pairs
+
+
 def jaccard_join(df: DataFrame, key: str = "doc_id", text: str = "text", percent: int = PERCENT, width: int = WIDTH,
                  also: list[str] | None = None) -> tuple[DataFrame, DataFrame]:
     """Members and links of the join.
@@ -347,12 +380,9 @@ def jaccard_join(df: DataFrame, key: str = "doc_id", text: str = "text", percent
     star = lists.where((F.col("v") != F.col("lead")) & _sizes_fit(F.col("n"), F.col("lead_n"), percent))
     star = star.select(F.col("lead").alias("a"), F.col("v").alias("b")).distinct()
     links = verified(star, rows, texts, percent, width)
-    roots = components(links)
-    # what is left: pairs of a list in different components, neither the list's first
-    longer = lists.where((F.col("many") > 2) & (F.col("v") != F.col("lead"))).join(roots, "v", "left")
-    longer = longer.withColumn("root", F.coalesce("root", "v"))
-    mixed_lists = longer.groupBy("list", "sub").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("list", "sub")
-    longer = settled(longer.join(mixed_lists, ["list", "sub"]).select("list", "sub", "v", "n", "alone", "root"))
+    longer = settled(lists.where((F.col("many") > 2) & (F.col("v") != F.col("lead"))).select("list", "sub", "v", "n", "alone"))
+    links, longer = hub_rounds(longer, links, rows, texts, percent, width)
+    # what is left: pairs of a list in different components
     rest = close_pairs(longer, rows, percent)
     links = links.unionByName(verified(rest, rows, texts, percent, width))
     roots = components(links)

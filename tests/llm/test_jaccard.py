@@ -124,3 +124,19 @@ def test_bad_percent(spark):
 def test_hashes_of_other_columns_stay(spark):
     members, _ = J.jaccard_join(table(spark).withColumn("th", F.lit("mine")).drop("th"), also=["size"])
     assert "size" in members.columns
+
+
+def test_a_group_whose_first_member_is_far_from_most_is_joined_by_few_comparisons(spark, monkeypatch):
+    """Copies with a changed word link only to copies changed near by: the first one's links join few of them."""
+    words = [f"word{i}" for i in range(60)]
+    made = [(100 * at + x, " ".join([*words[:at], f"new{at}x{x}", *words[at + 1 :]])) for at in range(20, 40) for x in range(8)]
+    real, counts = J.close_pairs, []
+
+    def counted(*a):
+        pairs = real(*a)
+        counts.append(pairs.count())
+        return pairs
+
+    monkeypatch.setattr(J, "close_pairs", counted)
+    assert got(spark, made) == brute(made)
+    assert counts[0] < 4 * len(made)  # without the rounds 2,030 pairs of 160 members, with them 246
