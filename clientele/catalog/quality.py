@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 
 from clientele.catalog import query
 from clientele.catalog.commerce import (
-    DOUBLE_FEATURES, EVENTS_SQL, FEATURES_SQL, LONG_FEATURES, TARGETS_SQL, cleaned, features_of, spine, targets_of, txn_of,
+    DOUBLE_FEATURES, EVENTS_SQL, FEATURES_SQL, LONG_FEATURES, TARGETS_SQL, cleaned, features_and_targets, features_of, spine,
+    targets_of, txn_of,
 )
 from clientele.catalog.common import CLEAN, CUSTOMERS, comparable, sql_round, sql_seeds
 from clientele.catalog.labels import UNIT_SQL
@@ -152,10 +153,8 @@ META_SQL = FEATURES_SQL.replace("WITH ", "WITH ", 1) + """, m AS (SELECT
 
 
 def meta_of(spark: SparkSession, root: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    data = cleaned(spark, root)
-    people, txn, web = A.demographics(data), A.transactions(data), A.journey_events(data)
-    feats, targets = features_of(spark, root), targets_of(spark, root)
-    return Q.metadata(people, txn, web, feats, targets), feats, targets
+    data, txn, feats, targets = features_and_targets(spark, root)
+    return Q.metadata(A.demographics(data), txn, A.journey_events(data), feats, targets), feats, targets
 
 
 @query("run_metadata", META_SQL + " SELECT * FROM m")
