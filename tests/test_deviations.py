@@ -2,6 +2,8 @@
 
 from datetime import datetime, timedelta
 
+from pyspark.sql import functions as F
+
 import __spark_entry__ as entry
 
 SCHEMA = "event_id bigint, ts timestamp_ntz, user_id bigint, event_type string, value double, props string"
@@ -72,6 +74,26 @@ def test_prefixes_find_what_the_full_join_finds(spark, monkeypatch):
     assert apart and all(groups[a] == groups[b] for a, b in apart)
 
 
+def test_only_pairs_that_can_reach_the_limit_are_counted(spark, monkeypatch):
+    from clientele.operators import anomaly as D
+
+    day = datetime(2024, 1, 1)
+    # a and b share all but one of ten; c holds two of theirs, e half of theirs; f holds theirs a day later
+    sets = {"a": range(10), "b": range(1, 11), "c": (1, 2), "e": (*range(3, 8), *range(50, 55)), "f": range(11)}
+    cells = [(d, f"S{i}", "m", {"zone": "1"}, day + timedelta(minutes=i, hours=23 * (d == "f"))) for i, d in enumerate(sets)]
+    cells = spark.createDataFrame(cells, "dev_id string, stratum string, metric string, locus map<string,string>, start_ts timestamp_ntz")
+    members = spark.createDataFrame([(d, str(x)) for d, xs in sets.items() for x in xs], "dev_id string, entity string")
+    counted, count = [], D._common_entities
+    monkeypatch.setattr(D, "_common_entities", lambda pairs, m: counted.append({(r.cause, r.effect) for r in pairs.collect()}) or count(pairs, m))
+    got = D.pair_scores(cells, spread_seconds=21_600.0, members=members).collect()
+    lists = cells.join(members.groupBy("dev_id").agg(F.collect_list("entity").alias("entities")), "dev_id")
+    full = D.pair_scores(lists, spread_seconds=21_600.0).collect()
+    assert {(r.cause, r.effect): round(r.score, 9) for r in got} == {(r.cause, r.effect): round(r.score, 9) for r in full}
+    assert {(r.cause, r.effect) for r in got} >= {("a", "b")}
+    # neither the later nor the small one can reach the limit, whatever they share
+    assert all("f" not in p and "c" not in p for p in counted[0])
+
+
 def test_chains_over_rows(spark):
     from clientele.operators import anomaly as D
 
